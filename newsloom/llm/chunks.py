@@ -66,7 +66,8 @@ def unpacked(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_hashes(chunks: DataFrame, hashes_of: Callable[[pa.Table], np.ndarray], n_buckets: int) -> DataFrame:
-    """(chunk, found): for each chunk the hashes that it shares with another chunk, packed, sorted within a row.
+    """(chunk, found, spread): for each chunk the hashes that it shares with other chunks, and the number of
+    chunks that have each, packed as unsigned 64-bit and 32-bit integers, sorted by hash within a row.
 
     `hashes_of` gives a chunk's distinct hashes, sorted.  What repeats inside one chunk only is not
     reported: the chunk sees that itself.
@@ -82,16 +83,17 @@ def shared_hashes(chunks: DataFrame, hashes_of: Callable[[pa.Table], np.ndarray]
         h, edge = unpacked(table["hashes"], np.uint64)
         order = np.argsort(h, kind="stable")
         s = h[order]
-        same = s[1:] == s[:-1]
-        again = np.zeros(len(h), dtype=bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        runs = np.diff(np.append(first, len(s)))
+        count = np.empty(len(h), dtype=np.uint32)
+        count[order] = np.repeat(runs, runs)
+        again = count > 1
         upto = np.concatenate(([0], np.cumsum(again)))[edge]
         some = upto[1:] > upto[:-1]
-        return pa.table({"chunk": table["chunk"], "found": packed(h[again], upto)}).filter(pa.array(some))
+        return pa.table({"chunk": table["chunk"], "found": packed(h[again], upto), "spread": packed(count[again], upto)}).filter(pa.array(some))
 
     sent = chunks.groupBy(CHUNK).applyInArrow(send, "chunk long, bucket int, hashes binary")
-    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, found binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, found binary, spread binary")
 
 
 def member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .ngram_join import OP1_SQL, op1_ngram_join
 from .substring import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op6_substring_dedup": op6_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_ngram_join": OP1_SQL,
     "op6_substring_dedup": OP6_SQL,
 }
