@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
 from .substring import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
 }
 
 ORACLE_SQL = {
     "op1_ngram_join": OP1_SQL,
+    "op5_mixing": OP5_SQL,
     "op6_substring_dedup": OP6_SQL,
 }
