@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
 from .substring import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
 }
