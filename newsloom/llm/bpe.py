@@ -214,40 +214,38 @@ def _encoder(raw: bytes) -> Encoder:
     return Encoder(Vocabulary(raw))
 
 
-def encode(text: Column, raw: bytes) -> Column:
-    """Ids of a text as little-endian unsigned 32-bit integers (binary); null gives no ids."""
+def _packed_ids(column: pa.Array, raw: bytes) -> pa.Array:
+    encoder, (data, offsets) = _encoder(raw), string_buffers(column)
+    out, ends, done = [], [np.zeros(1, np.int64)], 0
+    for i, j in slices(offsets):
+        got, upto = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        out.append(got)
+        ends.append(upto[1:] + done)
+        done += len(got)
+    flat = np.concatenate(out).astype("<u4") if out else np.zeros(0, "<u4")
+    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer((np.concatenate(ends) * 4).astype(np.int32)), pa.py_buffer(flat)])
+
+
+def _decoded(column: pa.Array, raw: bytes) -> pa.Array:
+    vocabulary, (data, offsets) = _encoder(raw).vocabulary, string_buffers(column)
+    out, ends, done = [], [np.zeros(1, np.int64)], 0
+    for i, j in slices(offsets, 4 << 20):
+        got, upto = gather(vocabulary.bytes, vocabulary.edges, np.frombuffer(data[offsets[i] : offsets[j]].tobytes(), "<u4").astype(np.int64))
+        out.append(got)
+        ends.append(upto[(offsets[i + 1 : j + 1] - offsets[i]) // 4] + done)
+        done += len(got)
+    flat = np.concatenate(out) if out else np.zeros(0, np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(np.concatenate(ends).astype(np.int32)), pa.py_buffer(flat)])
 
-    @F.arrow_udf("binary")
-    def ids(column: pa.Array) -> pa.Array:
-        encoder, (data, offsets) = _encoder(raw), string_buffers(column)
-        out, ends, done = [], [np.zeros(1, np.int64)], 0
-        for i, j in slices(offsets):
-            got, upto = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            out.append(got)
-            ends.append(upto[1:] + done)
-            done += len(got)
-        flat = np.concatenate(out).astype("<u4") if out else np.zeros(0, "<u4")
-        return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer((np.concatenate(ends) * 4).astype(np.int32)), pa.py_buffer(flat)])
 
-    return ids(text)
+def encode(text: Column, raw: bytes) -> Column:
+    """Ids of a text as little-endian unsigned 32-bit integers (binary); null gives no ids."""
+    return F.arrow_udf(lambda column: _packed_ids(column, raw), "binary")(text)
 
 
 def decode(ids: Column, raw: bytes) -> Column:
     """The bytes that packed ids stand for; null gives none."""
-
-    @F.arrow_udf("binary")
-    def text(column: pa.Array) -> pa.Array:
-        vocabulary, (data, offsets) = _encoder(raw).vocabulary, string_buffers(column)
-        out, ends, done = [], [np.zeros(1, np.int64)], 0
-        for i, j in slices(offsets, 4 << 20):
-            got, upto = gather(vocabulary.bytes, vocabulary.edges, np.frombuffer(data[offsets[i] : offsets[j]].tobytes(), "<u4").astype(np.int64))
-            out.append(got)
-            ends.append(upto[(offsets[i + 1 : j + 1] - offsets[i]) // 4] + done)
-            done += len(got)
-        flat = np.concatenate(out) if out else np.zeros(0, np.uint8)
-        return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(np.concatenate(ends).astype(np.int32)), pa.py_buffer(flat)])
-
-    return text(ids)
+    return F.arrow_udf(lambda column: _decoded(column, raw), "binary")(ids)
 
 
 def bpe_round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -258,7 +256,15 @@ def bpe_round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFr
     any key does not matter; a column of `docs` named ids or decoded is replaced; an empty table gives an empty result.
     """
     raw = read_vocabulary(path)
-    return docs.withColumn("ids", encode(F.col(text_col), raw)).withColumn("decoded", decode(F.col("ids"), raw))
+
+    @F.arrow_udf("ids binary, decoded binary")
+    def both(column: pa.Array) -> pa.Array:
+        ids = _packed_ids(column, raw)
+        return pa.StructArray.from_arrays([ids, _decoded(ids, raw)], ["ids", "decoded"])
+
+    others = [c for c in docs.columns if c not in ("ids", "decoded")]
+    made = docs.select(*others, both(F.col(text_col)).alias("__both"))
+    return made.select(*others, "__both.ids", "__both.decoded")
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
