@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .embed_dedup import OP2_SQL, op2_embedding_dedup
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
 from .substring import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
@@ -16,6 +18,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_ngram_join": OP1_SQL,
+    "op2_embedding_dedup": OP2_SQL,
     "op5_mixing": OP5_SQL,
     "op6_substring_dedup": OP6_SQL,
 }
