@@ -7,6 +7,7 @@ from .embed_dedup import OP2_SQL, op2_embedding_dedup
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
 from .substring import OP6_SQL, op6_substring_dedup
+from .topk import OP7_SQL, op7_topk
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_topk": op7_topk,
 }
 
 ORACLE_SQL = {
@@ -21,4 +23,5 @@ ORACLE_SQL = {
     "op2_embedding_dedup": OP2_SQL,
     "op5_mixing": OP5_SQL,
     "op6_substring_dedup": OP6_SQL,
+    "op7_topk": OP7_SQL,
 }
