@@ -65,35 +65,52 @@ def unpacked(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), dtype), offsets // np.dtype(dtype).itemsize
 
 
-def shared_hashes(chunks: DataFrame, hashes_of: Callable[[pa.Table], np.ndarray], n_buckets: int) -> DataFrame:
-    """(chunk, found, spread): for each chunk the hashes that it shares with other chunks, and the number of
-    chunks that have each, packed as unsigned 64-bit and 32-bit integers, sorted by hash within a row.
+def shared_hashes(chunks: DataFrame, hashes_of: Callable[[pa.Table], np.ndarray], n_buckets: int, exact: bool = True) -> DataFrame:
+    """(chunk, bucket, bits, level): which of the hashes that a chunk sent to a bucket other chunks sent too.
 
-    `hashes_of` gives a chunk's distinct hashes, sorted.  What repeats inside one chunk only is not
-    reported: the chunk sees that itself.
+    `hashes_of` gives a chunk's distinct hashes, sorted.  bits has one bit for each hash of that chunk and bucket in
+    this order; level has a byte for each bit that is set, growing with the number of chunks.  What repeats inside
+    one chunk only is not reported: the chunk sees that itself.  If not `exact`, hashes are compared by bucket and 32
+    bits, which halves what is sent and may report some that are not shared.
     """
+    kind = np.uint64 if exact else np.uint32
 
     def send(table: pa.Table) -> pa.Table:
         h = hashes_of(table)
         bucket, edge = cuts(h, n_buckets)
         chunk = table[CHUNK][0].as_py()
-        return pa.table({"chunk": pa.array([chunk] * len(bucket), pa.int64()), "bucket": pa.array(bucket, pa.int32()), "hashes": packed(h, edge)})
+        return pa.table({"chunk": pa.array([chunk] * len(bucket), pa.int64()), "bucket": pa.array(bucket, pa.int32()), "hashes": packed(h.astype(kind), edge)})
 
     def answer(table: pa.Table) -> pa.Table:
-        h, edge = unpacked(table["hashes"], np.uint64)
+        h, edge = unpacked(table["hashes"], kind)
         order = np.argsort(h, kind="stable")
         s = h[order]
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         runs = np.diff(np.append(first, len(s)))
-        count = np.empty(len(h), dtype=np.uint32)
-        count[order] = np.repeat(runs, runs)
-        again = count > 1
-        upto = np.concatenate(([0], np.cumsum(again)))[edge]
-        some = upto[1:] > upto[:-1]
-        return pa.table({"chunk": table["chunk"], "found": packed(h[again], upto), "spread": packed(count[again], upto)}).filter(pa.array(some))
+        level = np.empty(len(h), dtype=np.uint8)
+        level[order] = np.repeat(np.minimum(4 * np.log2(runs), 255).astype(np.uint8), runs)
+        bits, levels, rows = [], [], []
+        for i in range(len(edge) - 1):
+            part = level[edge[i] : edge[i + 1]]
+            if part.any():
+                rows.append(i)
+                bits.append(np.packbits(part > 0).tobytes())
+                levels.append(part[part > 0].tobytes())
+        return pa.table({"chunk": table["chunk"].take(pa.array(rows, pa.int64())), "bucket": table["bucket"].take(pa.array(rows, pa.int64())), "bits": pa.array(bits, pa.binary()), "level": pa.array(levels, pa.binary())})
 
     sent = chunks.groupBy(CHUNK).applyInArrow(send, "chunk long, bucket int, hashes binary")
-    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, found binary, spread binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, bits binary, level binary")
+
+
+def levels_of(answers: pa.Table, hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Level of each of a chunk's distinct, sorted hashes; 0 where no other chunk has it."""
+    bucket, edge = cuts(hashes, n_buckets)
+    out = np.zeros(len(hashes), dtype=np.uint8)
+    place = np.searchsorted(bucket, answers["bucket"].to_numpy())
+    for at, bits, level in zip(place, answers["bits"].to_pylist(), answers["level"].to_pylist(), strict=True):
+        part = out[edge[at] : edge[at + 1]]
+        part[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(part)).astype(bool)] = np.frombuffer(level, np.uint8)
+    return out
 
 
 def member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chunks import each_slice
 from .textbytes import Words, string_buffers
@@ -15,14 +16,14 @@ from .textbytes import Words, string_buffers
 ROWS_PER_BUCKET = 4096
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def word_count(text: pa.Array) -> pa.Array:
     """Words (runs of bytes other than 0x20 and 0x09-0x0D) of each text; null has none."""
     parts = [np.diff(w.first) for _, _, w in each_slice(text)]
     return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.int64())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def first_words(text: pa.Array, n: pa.Array) -> pa.Array:
     """The text up to the end of its n-th word; the whole text if it has no more words than that."""
     data, offsets = string_buffers(text)

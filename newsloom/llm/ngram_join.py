@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import CHUNK, buckets_for, chunk_key, each_slice, member, packed, shared_hashes, text_bytes, unpacked
+from .chunks import CHUNK, buckets_for, chunk_key, each_slice, levels_of, packed, shared_hashes, text_bytes, unpacked
 from .graph import components
 from .textbytes import Words, mix, unique_sorted
 
@@ -90,14 +90,15 @@ def _class_and_sets(chunks: DataFrame, id_col: str, text_col: str, total: int, k
 
     Only shingles that two documents have can be shared, so a document of which fewer than `percent` of the
     shingles occur elsewhere has no link.  `shared` has the others' shingles in one order for all documents, by
-    the number of chunks and then the hash, so rare ones stand first; of a chunk's equal sets one carries it.
+    the level of their spread over chunks and then the hash, so rare ones stand first; of a chunk's equal sets one carries it.
     """
 
     def hashes_of(table: pa.Table) -> np.ndarray:
         parts = [_shingles(w, k)[1] for _, _, w in each_slice(table[text_col])]
         return unique_sorted(np.concatenate(parts))
 
-    found = shared_hashes(chunks, hashes_of, buckets_for(total, 8))
+    n_buckets = buckets_for(total, 4)
+    found = shared_hashes(chunks, hashes_of, n_buckets, exact=False)
 
     def describe(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, values, upto = [], [], 0
@@ -108,15 +109,10 @@ def _class_and_sets(chunks: DataFrame, id_col: str, text_col: str, total: int, k
         row, value = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((rows, np.int64), (values, np.uint64)))
         n = left.num_rows
         size = np.bincount(row, minlength=n)
-        elsewhere, spread = unpacked(right["found"], np.uint64)[0], unpacked(right["spread"], np.uint32)[0]
-        order = np.argsort(elsewhere, kind="stable")
-        elsewhere, spread = elsewhere[order], spread[order]
-        s = np.sort(value)
-        twice = np.unique(s[1:][s[1:] == s[:-1]])
-        abroad = member(value, elsewhere)
-        shared = abroad | member(value, twice)
-        chunks_with = np.ones(len(value), dtype=np.uint32)
-        chunks_with[abroad] = spread[np.searchsorted(elsewhere, value[abroad])]
+        distinct, at, twice = np.unique(value, return_inverse=True, return_counts=True)
+        level = levels_of(right, distinct, n_buckets)
+        shared = ((level > 0) | (twice > 1))[at]
+        chunks_with = level[at]
         some = np.bincount(row, weights=shared, minlength=n).astype(np.int64)
         open_ = (size > 0) & (100 * some >= percent * size)
         first = np.zeros(n + 1, np.int64)
@@ -186,7 +182,6 @@ def _remaining_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFr
     rest could not hold enough).  Lists of documents by such a shingle are compared between components only; the
     positions in both lists and the sizes bound the overlap, and what stays is counted exactly.
     """
-    known = sets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     held = F.floor(F.octet_length("shared") / 8)
     least = F.ceil(F.lit(percent) * F.col("n") / 100)
 
@@ -198,7 +193,9 @@ def _remaining_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFr
         pick = np.repeat(edge[:-1] - at[:-1], take) + np.arange(at[-1])
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v[pick], pa.int64()))
 
-    lists = known.select("id", "n", "component", held.alias("held"), F.posexplode(prefix("shared", held - least + 1)).alias("at", "h"))
+    rare = sets.select("id", "n", held.alias("held"), prefix("shared", held - least + 1).alias("rare"))
+    known = rare.join(labels.withColumnRenamed("node", "id"), "id", "left")
+    lists = known.select("id", "n", F.coalesce("component", "id").alias("component"), "held", F.posexplode("rare").alias("at", "h"))
     mixed = lists.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
     lists = lists.join(mixed, "h").select("h", "component", "id", "n", (F.col("held") - F.col("at")).alias("rest"))
     sides = lists.select("h", "component").distinct()
@@ -235,9 +232,9 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     info = _class_and_sets(chunks, "id", "text", total, k, percent).checkpoint()
     live = info.filter("f1 is not null")
     classes = live.groupBy("f1", "f2", "n").agg(F.min("id").alias("first"))
-    equal = live.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("id", "first")
-    sets = live.filter("shared is not null").select("id", "n", "shared", "keys").join(classes.select(F.col("first").alias("id")), "id", "left_semi")
-    links = _block_links(sets, percent).checkpoint()
+    equal = live.select("id", "f1", "f2", "n", F.col("shared").isNotNull().alias("carries")).join(classes, ["f1", "f2", "n"]).select("id", "first", "carries")
+    sets = live.filter("shared is not null").select("id", "n", "shared", "keys")
+    links = _block_links(sets, percent).unionByName(equal.filter("carries and id <> first").select(F.col("first").alias("u"), F.col("id").alias("v"))).checkpoint()
     labels = components(links)
     more = _remaining_links(sets, labels, percent)
     joined = components(links.unionByName(more)).withColumnsRenamed({"node": "first", "component": "reached"})

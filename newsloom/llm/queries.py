@@ -6,6 +6,7 @@ from .bpe import op4_bpe
 from .embed_dedup import OP2_SQL, op2_embedding_dedup
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
+from .quality import op10_quality
 from .substring import OP6_SQL, op6_substring_dedup
 from .topk import OP7_SQL, op7_topk
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_topk": op7_topk,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import CHUNK, buckets_for, chunk_key, each_slice, member, shared_hashes, text_bytes, unpacked
+from .chunks import CHUNK, buckets_for, chunk_key, each_slice, levels_of, member, shared_hashes, text_bytes
 from .textbytes import joined, unique_sorted
 
 OUTPUT = ("n_words", "n_removed", "kept_text", "removed")
@@ -38,19 +38,18 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     def hashes_of(table: pa.Table) -> np.ndarray:
         return unique_sorted(_window_hashes(table[text_col], window))
 
-    found = shared_hashes(chunks, hashes_of, buckets_for(total, 8))
+    n_buckets = buckets_for(total, 8)
+    found = shared_hashes(chunks, hashes_of, n_buckets)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         text = left[text_col]
-        elsewhere = np.sort(unpacked(right["found"], np.uint64)[0])
-        here = _window_hashes(text, window)
-        here.sort()
-        here = here[1:][here[1:] == here[:-1]]
+        distinct, count = np.unique(_window_hashes(text, window), return_counts=True)
+        repeated = distinct[(count > 1) | (levels_of(right, distinct, n_buckets) > 0)]
         n_words, n_removed, pieces, ends, starts, stops, spans, done = [], [], [], [np.zeros(1, np.int64)], [], [], [np.zeros(1, np.int64)], 0
         n_spans = 0
         for _, _, w in each_slice(text):
             at, hashes = w.windows(w.hashes(), window)
-            at = at[member(hashes, elsewhere) | member(hashes, here)]
+            at = at[member(hashes, repeated)]
             cover = np.zeros(len(w.start) + 1, dtype=np.int64)
             cover[at] += 1
             cover[at + window] -= 1
