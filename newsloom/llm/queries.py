@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run as pipeline
+
 from .bpe import op4_bpe
 from .embed_dedup import OP2_SQL, op2_embedding_dedup
 from .mixing import OP5_SQL, op5_mixing
@@ -18,6 +20,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_topk": op7_topk,
     "op10_quality": op10_quality,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
