@@ -7,6 +7,7 @@ from corpus_pipeline import run as pipeline
 from .bpe import op4_bpe
 from .embed_dedup import OP2_SQL, op2_embedding_dedup
 from .langid import op9_langid
+from .lm import op8_lm
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
 from .quality import op10_quality
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_topk": op7_topk,
+    "op8_lm": op8_lm,
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
     "pipeline": pipeline,
