@@ -12,11 +12,13 @@ from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
 from .quality import op10_quality
 from .substring import OP6_SQL, op6_substring_dedup
+from .token_counts import op3_token_counts
 from .topk import OP7_SQL, op7_topk
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
