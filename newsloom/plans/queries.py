@@ -1,0 +1,559 @@
+"""The news engine's queries over the driver's tables, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import lexicons as L
+from ..functions import scoring as S
+from ..functions import similarity as M
+from ..functions import text as X
+from ..operators import claims as C
+from ..operators import coverage as V
+from ..operators import dedup as D
+from ..operators import markets as K
+from ..operators import vectors as E
+from . import adapters as A
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _with(*tables: str) -> str:
+    return "WITH " + ",\n".join(tables) + "\n"
+
+
+ART, CLU, CLA, MAR, HIS = A.ARTICLES, A.CLUSTERS, A.CLAIMS, A.MARKETS, A.HISTORY
+NOW = "now AS (SELECT max(ts) AS as_of FROM articles)"
+
+
+def _events(spark, d):
+    arts = A.articles(spark, d)
+    return arts, A.clusters(arts), V.as_of(arts)
+
+
+# ---- coverage
+
+
+def _gap_events(clusters):
+    none = F.lit(None)
+    return clusters.select("cluster_id", "source_count", "headline", none.cast("string").alias("neutral_headline"), "impact", "impact_score", "latest_timestamp", "market_odds", none.cast("double").alias("market_volume"))
+
+
+GAPS = _with(ART, CLU, NOW) + r""", agg AS (
+  SELECT cluster_id, count(DISTINCT CASE WHEN social THEN CASE WHEN url <> '' THEN url ELSE id END END) AS s, count(*) FILTER (social) AS rows_,
+    count(*) FILTER (source_type IN ('rss', 'api', 'scrape')) AS t, CAST(sum(CASE WHEN social THEN social_coverage ELSE 0 END) AS BIGINT) AS cov
+  FROM (SELECT *, source_type = 'social' AND sensationalism_score < 0.5 AS social FROM articles, now WHERE ts >= as_of - 172800) GROUP BY cluster_id),
+g AS (SELECT *, CASE WHEN s > 1 AND t = 0 THEN 1.0::DOUBLE WHEN s > 1 AND t > 0 AND s >= 3 * t THEN least(1.0::DOUBLE, (s / t::DOUBLE - 1) / (s / t::DOUBLE + 1)) END AS gap FROM agg),
+x AS (SELECT g.*, c.latest_timestamp, c.impact AS ci, c.impact_score AS sc, trim(regexp_replace(regexp_replace(c.headline, 'https?://\S+', '', 'g'), '\s{2,}', ' ', 'g')) AS h0,
+    g.gap * 0.3::DOUBLE + least((g.s + g.t) / 5.0::DOUBLE, 1.0::DOUBLE) * 0.4::DOUBLE + least(ln(1 + g.cov) / 5.0::DOUBLE, 1.0::DOUBLE) * 0.3::DOUBLE AS imp FROM g JOIN clusters c USING (cluster_id) WHERE gap IS NOT NULL),
+y AS (SELECT *, CASE WHEN length(h0) > 120 THEN regexp_replace(substr(h0, 1, 117), ' [^ ]*$', '') || '...' ELSE h0 END AS headline,
+    CASE WHEN imp >= 0.5 THEN 'high' WHEN imp >= 0.25 THEN 'medium' ELSE 'low' END AS importance,
+    CASE WHEN (ci IN ('high', 'medium') AND s + t >= 3) OR sc >= 42 OR s + t >= 5 OR (gap >= 0.7 AND s + t >= 2) THEN 'high'
+         WHEN ci IN ('high', 'medium') OR sc >= 20 OR s + t >= 3 OR gap >= 0.4 THEN 'medium' ELSE 'low' END AS impact FROM x),
+z AS (SELECT *, CASE WHEN impact = 'high' AND importance = 'high' THEN 'high' ELSE 'lower' END AS bucket FROM y
+  WHERE NOT (t = 0 AND (regexp_matches(lower(headline), '^(how |why |what |anyone |does |is it |can you |should )') OR (contains(headline, '?') AND s <= 3)))),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY gap DESC, cluster_id) AS rank FROM z)
+SELECT bucket, rank, cluster_id, headline, s AS social_count, t AS traditional_count, cov AS social_coverage,
+  CASE WHEN s <= 1 AND rows_ > 1 THEN 'viral' WHEN s > 1 THEN 'multiple' ELSE 'single' END AS social_signal_type, 'social_leading' AS gap_type, round(gap, 4) AS gap_score, importance, impact, latest_timestamp
+FROM r WHERE rank <= 20"""
+
+
+@query("coverage_gaps", GAPS)
+def coverage_gaps(spark, d):
+    arts, clusters, now = _events(spark, d)
+    return V.coverage_gaps(arts, _gap_events(clusters), now)
+
+
+@query("platform_stats", _with(ART, CLU, CLA) + """SELECT c.*, a.*, l.* FROM
+  (SELECT count(*) AS cluster_count, max(latest_timestamp) AS latest_update FROM clusters) c,
+  (SELECT count(*) AS article_count, count(*) FILTER (source_type = 'social') AS social_article_count, count(*) FILTER (source_type = 'rss') AS rss_article_count, count(DISTINCT CASE WHEN source_type = 'social' THEN publisher END) AS social_publisher_count FROM articles) a,
+  (SELECT count(*) AS claim_count FROM claims) l""")
+def platform_stats(spark, d):
+    arts, clusters, _ = _events(spark, d)
+    return V.platform_stats(arts, clusters, A.claims(spark, d))
+
+
+@query("publisher_stats", _with(ART) + """SELECT publisher, count(*) AS article_count, max(ts) AS latest_article, min(ts) AS earliest_article, round(avg(sensationalism_score), 3) AS avg_sensationalism, round(avg(fact_density), 4) AS avg_fact_density,
+  arg_max(source_type, ts) AS source_type FROM articles WHERE publisher <> '' GROUP BY publisher""")
+def publisher_stats(spark, d):
+    return V.publisher_stats(A.articles(spark, d))
+
+
+@query("social_publisher_stats", _with(ART) + "SELECT publisher, count(*) AS article_count, CAST(sum(social_coverage) AS BIGINT) AS total_coverage, max(ts) AS latest_article FROM articles WHERE source_type = 'social' GROUP BY publisher")
+def social_publisher_stats(spark, d):
+    return V.social_publisher_stats(A.articles(spark, d))
+
+
+@query("publisher_bias", _with(ART) + """SELECT cluster_id, publisher, round(avg(sensationalism_score), 3) AS avg_sensationalism, count(*) AS article_count, min(ts) <= min(f) + 3600 AS is_primary, count(DISTINCT source_type) AS source_types
+  FROM (SELECT *, min(ts) OVER (PARTITION BY cluster_id) AS f FROM articles) GROUP BY cluster_id, publisher""")
+def publisher_bias(spark, d):
+    return V.publisher_bias(A.articles(spark, d))
+
+
+@query("narrative_evolution", _with(ART) + """SELECT cluster_id, id, step, sensationalism_score, CASE WHEN c > 0.1 THEN 'more sensational' WHEN c < -0.1 THEN 'more neutral' ELSE '' END AS shift
+  FROM (SELECT *, row_number() OVER w AS step, round(sensationalism_score - lag(sensationalism_score) OVER w, 3) AS c FROM articles WINDOW w AS (PARTITION BY cluster_id ORDER BY ts, ingest_seq))""")
+def narrative_evolution(spark, d):
+    return V.narrative_evolution(A.articles(spark, d))
+
+
+@query("primary_source", _with(ART) + "SELECT cluster_id, id, publisher, row_number() OVER (PARTITION BY cluster_id ORDER BY ts, ingest_seq) = 1 AS is_primary FROM articles")
+def primary_source(spark, d):
+    return V.primary_source(A.articles(spark, d))
+
+
+@query("earliest_url_per_cluster", _with(ART) + "SELECT cluster_id, arg_min(url, ts) AS source_url FROM articles WHERE url <> '' GROUP BY cluster_id")
+def earliest_url_per_cluster(spark, d):
+    return V.earliest_url(A.articles(spark, d))
+
+
+@query("dedup_by_url", _with(ART) + "SELECT id, url FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN url <> '' THEN url ELSE '#' || id END ORDER BY ingest_seq) AS r FROM articles) WHERE r = 1")
+def dedup_by_url(spark, d):
+    return V.dedup_by_url(A.articles(spark, d)).select("id", "url")
+
+
+@query("orphan_clusters", _with(ART) + "SELECT DISTINCT CAST(user_id AS VARCHAR) AS cluster_id FROM events WHERE user_id IS NOT NULL AND CAST(user_id AS VARCHAR) NOT IN (SELECT cluster_id FROM articles WHERE source_type = 'rss' AND cluster_id IS NOT NULL) AND user_id % 10 <> 0")
+def orphan_clusters(spark, d):
+    ids = A.read(spark, d, "events").filter("user_id is not null").select(F.col("user_id").cast("string").alias("cluster_id"), "user_id").distinct()
+    linked = ids.filter("user_id % 10 = 0").select(F.col("cluster_id").alias("linked_cluster_id"))
+    return V.orphan_clusters(ids.select("cluster_id"), A.articles(spark, d).filter("source_type = 'rss'"), linked)
+
+
+@query("claim_counts", _with(ART, CLA) + "SELECT a.id, a.cluster_id, coalesce(n, 0) AS claim_count FROM articles a LEFT JOIN (SELECT source_article_id, count(*) AS n FROM claims GROUP BY ALL) c ON c.source_article_id = a.id")
+def claim_counts(spark, d):
+    return V.claim_counts(A.articles(spark, d), A.claims(spark, d))
+
+
+@query("top3_per_platform", _with(ART) + "SELECT publisher AS platform, rank, id, title FROM (SELECT *, row_number() OVER (PARTITION BY publisher ORDER BY ts DESC, ingest_seq DESC) AS rank FROM articles WHERE source_type = 'social') WHERE rank <= 3")
+def top3_per_platform(spark, d):
+    return V.newest_per_platform(A.articles(spark, d))
+
+
+@query("recent_social", _with(ART) + "SELECT id, publisher, title, ts, social_coverage FROM articles WHERE source_type = 'social' ORDER BY ts DESC, ingest_seq DESC LIMIT 50")
+def recent_social(spark, d):
+    return V.recent_social(A.articles(spark, d))
+
+
+@query("platform_counts", _with(ART) + "SELECT split_part(publisher, '/', 1) AS platform, count(*) AS articles FROM (SELECT publisher FROM articles WHERE source_type = 'social' ORDER BY ts DESC, ingest_seq DESC LIMIT 50) GROUP BY 1")
+def platform_counts(spark, d):
+    return V.platform_counts(V.recent_social(A.articles(spark, d)))
+
+
+@query("platform_proof", _with(ART) + "SELECT publisher, count(*) AS article_count, min(ts) AS earliest, max(ts) AS latest FROM articles WHERE source_type = 'social' GROUP BY publisher")
+def platform_proof(spark, d):
+    return A.articles(spark, d).filter("source_type = 'social'").groupBy("publisher").agg(F.count(F.lit(1)).alias("article_count"), F.min("ts").alias("earliest"), F.max("ts").alias("latest"))
+
+
+@query("publisher_by_host", _with(ART) + """, p AS (SELECT DISTINCT publisher, url FROM articles WHERE url <> '' AND publisher <> ''),
+h AS (SELECT replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'www.', '') AS host, publisher, count(*) AS n FROM p GROUP BY ALL)
+SELECT host, publisher FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n DESC, publisher) AS r FROM h WHERE host <> '') WHERE r = 1""")
+def publisher_by_host(spark, d):
+    return V.publisher_by_host(A.articles(spark, d))
+
+
+FEED = "cluster_id, headline, impact, topic, source_count, latest_timestamp"
+_FEED = [c.strip() for c in FEED.split(",")]
+
+
+@query("feed_filtered", _with(ART, CLU, NOW) + f"SELECT {FEED} FROM clusters, now WHERE latest_timestamp >= as_of - 86400 AND source_count >= 2 AND contains(lower(headline), 'the') AND (topic = 'Economy' OR market_odds IS NOT NULL)")
+def feed_filtered(spark, d):
+    _, clusters, now = _events(spark, d)
+    return V.feed_filter(clusters, now, "24h", min_sources=2, keyword="the", topic="Market & Economy").select(*_FEED)
+
+
+@query("feed_tiered", _with(ART, CLU, NOW) + """, r AS (SELECT c.*, row_number() OVER (PARTITION BY impact ORDER BY latest_timestamp DESC, coalesce(impact_score, 0) DESC, cluster_id) AS tr FROM clusters c, now WHERE latest_timestamp >= as_of - 604800),
+n AS (SELECT least(count(*) FILTER (impact = 'high'), 40) AS h, least(count(*) FILTER (impact = 'medium'), 40) AS m, least(count(*) FILTER (impact = 'low'), 40) AS l FROM r),
+a AS (SELECT h, m, l, least(l, 4) AS l0, least(m, 40 - h - least(l, 4)) AS m0 FROM n),
+b AS (SELECT h, CASE WHEN m0 < 0 THEN greatest(0, m + m0) ELSE m0 END AS mm, CASE WHEN 40 - h - m0 - l0 > 0 AND l > l0 THEN least(l, l0 + 40 - h - m0 - l0) ELSE l0 END AS ll FROM a),
+p AS (SELECT r.*, tr + CASE impact WHEN 'high' THEN 0 WHEN 'medium' THEN h ELSE h + mm END AS place FROM r, b WHERE tr <= CASE impact WHEN 'high' THEN h WHEN 'medium' THEN mm ELSE ll END)
+SELECT place, cluster_id, impact FROM p WHERE place > 5 AND place <= 40""")
+def feed_tiered(spark, d):
+    _, clusters, now = _events(spark, d)
+    return V.feed_tiered(V.feed_filter(clusters, now, "7d"), limit=35, offset=5).select("place", "cluster_id", "impact")
+
+
+@query("feed_impact_order", _with(ART, CLU, NOW) + """SELECT cluster_id, impact, tier, latest_timestamp FROM (SELECT *, CASE WHEN impact = 'high' AND r THEN 0 WHEN impact = 'high' AND (market_odds IS NOT NULL OR topic = 'Economy') THEN 1 WHEN impact = 'high' THEN 2
+  WHEN impact = 'medium' AND r THEN 3 WHEN impact = 'medium' THEN 4 WHEN impact = 'low' AND r THEN 5 ELSE 6 END AS tier FROM (SELECT c.*, latest_timestamp >= as_of - 21600 AS r FROM clusters c, now))
+  ORDER BY tier, latest_timestamp DESC, coalesce(impact_score, 0) DESC, cluster_id LIMIT 30 OFFSET 10""")
+def feed_impact_order(spark, d):
+    _, clusters, now = _events(spark, d)
+    return V.feed_impact_order(clusters, now, 30, 10).select("cluster_id", "impact", "tier", "latest_timestamp")
+
+
+@query("cluster_rollup", _with(ART, CLU) + "SELECT cluster_id, source_count, confidence, social_score, latest_timestamp FROM clusters")
+def cluster_rollup(spark, d):
+    return V.cluster_rollup(A.articles(spark, d))
+
+
+@query("cluster_timeline", _with(ART) + "SELECT cluster_id, ts, ingest_seq, CASE WHEN coalesce(publisher, '') <> '' THEN '[' || publisher || '] ' ELSE '' END || CASE WHEN coalesce(title, '') = '' THEN 'New source added' ELSE substr(title, 1, 120) END AS entry FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ts DESC, ingest_seq DESC) AS r FROM articles) WHERE r <= 50")
+def cluster_timeline(spark, d):
+    return V.timeline(A.articles(spark, d))
+
+
+@query("exact_headline_groups", _with(ART, CLU) + """SELECT lower(trim(headline)) AS headline_key, count(*) AS clusters, arg_min(cluster_id, earliest_timestamp) AS primary_id, CAST(sum(source_count) AS BIGINT) AS source_count
+  FROM clusters GROUP BY 1 HAVING count(*) > 1""")
+def exact_headline_groups(spark, d):
+    return V.exact_headline_groups(_events(spark, d)[1])
+
+
+# ---- claims
+
+KEY = r"regexp_replace(lower(trim(what)), '\s+', ' ', 'g')"
+
+
+@query("claim_dedup", _with(CLA) + f"SELECT cluster_id, doc_id, seq, what FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, {KEY} ORDER BY doc_id, seq) AS r FROM claims WHERE what <> '') WHERE r = 1")
+def claim_dedup(spark, d):
+    return C.claim_dedup(A.claims(spark, d)).select("cluster_id", "doc_id", "seq", "what")
+
+
+@query("novel_claims", _with(CLA) + f"SELECT cluster_id, trim(w) AS what FROM (SELECT cluster_id, {KEY} AS k, first(what ORDER BY doc_id, seq) AS w, count(DISTINCT source_article_id) AS n FROM claims WHERE what <> '' GROUP BY 1, 2) WHERE n = 1")
+def novel_claims(spark, d):
+    return C.novel_claims(A.claims(spark, d))
+
+
+def _values(rows) -> str:
+    lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+
+
+DISPUTES = [
+    ("a", 1, "Exports rise in May"), ("a", 2, "Exports fall again"), ("a", 3, "Ministers support the plan"), ("a", 4, ""), ("a", 5, "Some oppose the plan"), ("b", 1, "Profit growth slows"),
+    ("b", 2, "A decline in profit"), ("b", 3, "Officials confirm the deal"), ("c", 1, "Officials deny the deal"), ("c", 2, "Growth up; losses down"),
+]
+_PAIRS = _values(L.ANTONYMS)
+
+
+@query("disputed_claims", f"WITH c(cluster_id, seq, what) AS (VALUES {_values(DISPUTES)}), p(a, b) AS (VALUES {_PAIRS})" + """
+SELECT DISTINCT x.cluster_id, CAST(x.seq AS BIGINT) AS seq, CAST(y.seq AS BIGINT) AS earlier_seq, x.what AS claim, 'Contradicted by: ' || y.what AS contradiction FROM c x JOIN c y ON x.cluster_id = y.cluster_id AND y.seq < x.seq, p
+WHERE x.what <> '' AND y.what <> '' AND ((contains(lower(x.what), a) AND contains(lower(y.what), b)) OR (contains(lower(x.what), b) AND contains(lower(y.what), a)))""")
+def disputed_claims(spark, d):
+    return C.disputed_claims(spark.createDataFrame(DISPUTES, "cluster_id string, seq long, what string"))
+
+
+# ---- markets
+
+REASON = """concat_ws('; ', CASE WHEN volume > 5000000 THEN printf('High total volume: $%.1fM', volume / 1000000) END, CASE WHEN volume_24h > 500000 THEN printf('High 24h volume: $%.1fM', volume_24h / 1000000) END,
+  CASE WHEN (probability > 0.95 OR probability < 0.05) AND volume > 1000000 THEN printf('Extreme odds (%.0f%%) with significant volume', probability * 100) END)"""
+VALID = r"regexp_full_match(slug, '[a-zA-Z0-9\-_]{2,120}') AND len(regexp_extract_all(slug, '-(\d{3,})')) < 5"
+AS_OF = 1_000_000_000.0
+LIVE = "NOT coalesce(end_date = '1995-06-01T00:00:00Z', false)"
+URL = "CASE source WHEN 'callsheet' THEN 'https://callsheet.com/event/' WHEN 'kalshi' THEN 'https://kalshi.com/markets/' ELSE 'https://polymarket.com/event/' END || slug"
+
+
+@query("unusual_markets", _with(MAR) + f", f AS (SELECT *, {REASON} AS unusual_reason FROM markets WHERE {VALID}), t AS (SELECT * FROM f WHERE unusual_reason <> '' AND probability > 0.05 AND probability < 0.95 ORDER BY volume_24h DESC, volume DESC, id LIMIT 40) SELECT id, question, volume, volume_24h, {URL} AS url FROM t WHERE {LIVE} ORDER BY volume_24h DESC, volume DESC, id LIMIT 20")
+def unusual_markets(spark, d):
+    return K.market_page(K.with_flags(A.markets(spark, d)), AS_OF, 20, True).select("id", "question", "volume", "volume_24h", "url")
+
+
+@query("all_markets", _with(MAR) + f", t AS (SELECT * FROM markets WHERE probability > 0.05 AND probability < 0.95 ORDER BY volume DESC, id LIMIT 100) SELECT id, question, probability, volume, {URL} AS url FROM t WHERE {VALID} AND {LIVE} ORDER BY volume DESC, id LIMIT 50")
+def all_markets(spark, d):
+    return K.market_page(K.with_flags(A.markets(spark, d)), AS_OF, 50, False).select("id", "question", "probability", "volume", "url")
+
+
+_CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(lower(question), '{p}') THEN '{c}'" for c, p in L.MARKET_CATEGORIES) + " ELSE 'Culture' END"
+
+
+@query("market_categories", _with(MAR) + f"SELECT {_CATEGORY} AS category, count(*) AS markets FROM markets GROUP BY 1")
+def market_categories(spark, d):
+    return K.categories(A.markets(spark, d))
+
+
+@query("market_anti_join", _with(MAR) + "SELECT id, question FROM markets m WHERE question NOT IN (SELECT question FROM markets WHERE volume > 40000000)")
+def market_anti_join(spark, d):
+    m = A.markets(spark, d)
+    return K.not_in(m, m.filter("volume > 40000000")).select("id", "question")
+
+
+@query("price_shift_24h", _with(HIS) + """, n AS (SELECT max(ts) AS as_of FROM history), r AS (SELECT h.*, ts >= as_of - 86400 AS recent FROM history h, n),
+g AS (SELECT cluster_id, count(*) AS points, first(probability ORDER BY ts DESC, seq DESC) FILTER (recent) AS newest, first(probability ORDER BY ts, seq) FILTER (recent) AS oldest FROM r GROUP BY cluster_id),
+s AS (SELECT cluster_id, points, CASE WHEN points >= 2 AND newest IS NOT NULL THEN round(newest - oldest, 4) ELSE 0.0::DOUBLE END AS shift FROM g)
+SELECT cluster_id, points, shift, abs(shift) >= 0.10 AS is_significant, CASE WHEN shift > 0 THEN 'up' WHEN shift < 0 THEN 'down' ELSE 'flat' END AS direction FROM s""")
+def price_shift_24h(spark, d):
+    h = A.history(spark, d)
+    return K.price_shift(h, h.agg(F.max("ts").alias("as_of")))
+
+
+@query("volume_spike", """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS slug, epoch_us(o_orderdate) / 1000000.0::DOUBLE AS ts, o_orderkey AS seq, o_totalprice AS volume_24h FROM orders),
+w AS (SELECT *, lag(volume_24h) OVER (PARTITION BY slug ORDER BY ts, seq) AS before FROM o) SELECT slug, seq, volume_24h, before FROM w WHERE before > 0 AND volume_24h > 2 * before AND volume_24h > 100000""")
+def volume_spike(spark, d):
+    o = A.read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("slug"), A.epoch("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("volume_24h"))
+    return K.volume_spikes(o).select("slug", "seq", "volume_24h", "before")
+
+
+_DIVERGE = """CASE WHEN impact = 'high' AND market_odds < 0.30 THEN 'High news impact but low market probability — market may be discounting the event' WHEN impact = 'low' AND market_odds > 0.70 THEN 'Low news impact but high market probability — market sees higher significance'
+  WHEN impact_score > 60 AND market_odds < 0.25 THEN 'High computed impact score but low market odds' ELSE '' END"""
+
+
+@query("market_divergence", _with(ART, CLU) + f"SELECT cluster_id, market_odds, impact, impact_score, {_DIVERGE} <> '' AS divergent, {_DIVERGE} AS reason FROM clusters WHERE market_odds IS NOT NULL")
+def market_divergence(spark, d):
+    c = _events(spark, d)[1].filter("market_odds is not null").withColumn("reason", S.divergence("impact", "impact_score", "market_odds"))
+    return c.select("cluster_id", "market_odds", "impact", "impact_score", (F.col("reason") != "").alias("divergent"), "reason")
+
+
+QUESTIONS = [("m1", "Will the Harbor Bridge reopen in spring?"), ("m2", "Will copper exports exceed targets?"), ("m3", "Will it?"), ("m4", "Will Nordland ratify the fishing treaty?")]
+HEADLINES = [(0, "Harbor bridge repairs near completion", "Harbor Bridge"), (1, "Nordland parliament debates fishing treaty", "Nordland|Fishing Council"), (2, "Copper exports miss targets as mines exceed limits", "Copper"), (3, "Bridge tolls rise", "Tollway")]
+_WORDS = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9_]+'), lambda w: regexp_matches(w, '^[a-z].{{2,}}')))"
+
+
+@query("market_event_match", f"WITH m(id, question) AS (VALUES {_values(QUESTIONS)}), e(position, headline, entities) AS (VALUES {_values(HEADLINES)})," + f"""
+q AS (SELECT id, list_filter({_WORDS("question")}, lambda w: w NOT IN ({", ".join(f"'{w}'" for w in L.QUESTION_STOPWORDS)})) AS ws FROM m),
+h AS (SELECT position, {_WORDS("headline")} AS hw, {_WORDS("replace(entities, '|', ' ')")} AS ew FROM e),
+s AS (SELECT id, position, len(list_intersect(ws, list_distinct(list_concat(hw, ew)))) / len(ws)::DOUBLE AS share, len(list_intersect(ws, ew)) AS hits FROM q, h WHERE len(ws) >= 2),
+r AS (SELECT *, share + hits * 0.2::DOUBLE AS score FROM s WHERE (hits >= 1 AND share >= 0.3) OR share >= 0.6)
+SELECT id, CAST(position AS BIGINT) AS position, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, position) AS n FROM r) WHERE n = 1""")
+def market_event_match(spark, d):
+    m = spark.createDataFrame(QUESTIONS, "id string, question string")
+    e = spark.createDataFrame(HEADLINES, "position long, headline string, e string").withColumn("entities", F.split("e", r"\|"))
+    return K.match_events(m, e).withColumn("score", F.round("score", 6))
+
+
+# ---- similarity
+
+SIMHASH = """t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS w FROM documents),
+h AS (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 16)) AS UBIGINT) AS h FROM t),
+b AS (SELECT doc_id, i, sum(CAST((h >> i) & 1 AS BIGINT)) * 2 > count(*) AS bit FROM h, range(0, 64) r(i) GROUP BY doc_id, i),
+s AS (SELECT doc_id, sum(CASE WHEN bit THEN CAST(1 AS HUGEINT) << i ELSE 0 END) AS u FROM b GROUP BY doc_id),
+simhash AS (SELECT d.doc_id, CAST(CASE WHEN coalesce(u, 0) >= 9223372036854775808 THEN u - 18446744073709551616 ELSE coalesce(u, 0) END AS BIGINT) AS simhash FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id)""".replace("\\\\", "\\")
+
+
+@query("simhash", "WITH " + SIMHASH + " SELECT doc_id, simhash FROM simhash")
+def simhash(spark, d):
+    return M.simhash_table(A.read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query("simhash_pairs", "WITH " + SIMHASH + """, k AS (SELECT DISTINCT a.doc_id AS id_a, b.doc_id AS id_b, bit_count(xor(a.simhash, b.simhash)) AS distance FROM simhash a JOIN simhash b ON a.doc_id < b.doc_id
+  AND (((a.simhash & 255) = (b.simhash & 255) AND (SELECT count(*) FROM simhash c WHERE (c.simhash & 255) = (a.simhash & 255)) <= 100)""" + "".join(
+    f" OR (((a.simhash >> {8 * i}) & 255) = ((b.simhash >> {8 * i}) & 255) AND (SELECT count(*) FROM simhash c WHERE ((c.simhash >> {8 * i}) & 255) = ((a.simhash >> {8 * i}) & 255)) <= 100)" for i in range(1, 8)
+) + ")) SELECT id_a, id_b, CAST(distance AS INTEGER) AS distance FROM k WHERE distance <= 9")
+def simhash_pairs(spark, d):
+    return D.banded_pairs(simhash(spark, d), "doc_id", "simhash", 9)
+
+
+@query("word_sets", r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS ws FROM documents)
+SELECT doc_id, CAST(len(ws) AS INTEGER) AS n_words, CAST(len(list_filter(ws, lambda x: length(x) > 1 AND x NOT IN (""" + ", ".join(f"'{w}'" for w in L.HEADLINE_STOPWORDS) + """))) AS INTEGER) AS n_content FROM w""")
+def word_sets(spark, d):
+    docs = A.read(spark, d, "documents")
+    return docs.select("doc_id", F.size(F.array_distinct(X.words("text"))).alias("n_words"), F.size(X.content_words("text")).alias("n_content"))
+
+
+@query("entity_jaccard", r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(split_part(coalesce(text, ''), chr(10), 1)), '[\p{L}\p{N}_]+')) AS ws FROM documents)
+SELECT a.doc_id AS id_a, b.doc_id AS id_b, round(CASE WHEN len(list_distinct(list_concat(a.ws, b.ws))) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE END, 6) AS jaccard
+FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
+def entity_jaccard(spark, d):
+    w = A.read(spark, d, "documents").select("doc_id", F.array_distinct(X.words(F.split_part(X.text_of("text"), F.lit("\n"), F.lit(1)))).alias("ws"))
+    a, b = w.select(F.col("doc_id").alias("id_a"), F.col("ws").alias("wa")), w.select(F.col("doc_id").alias("id_b"), F.col("ws").alias("wb"))
+    return a.join(b, F.col("id_b") == F.col("id_a") + 1).select("id_a", "id_b", F.round(M.entity_jaccard("wa", "wb"), 6).alias("jaccard"))
+
+
+@query("dedup_score", "WITH " + SIMHASH + """, p AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, 1.0::DOUBLE - bit_count(xor(a.simhash, b.simhash)) / 64.0::DOUBLE AS content FROM simhash a JOIN simhash b ON b.doc_id = a.doc_id + 1)
+SELECT id_a, id_b, content AS content_similarity, round(content * 0.4::DOUBLE + content * 0.3::DOUBLE, 6) AS overall, content * 0.4::DOUBLE + content * 0.3::DOUBLE > 0.70 AS is_duplicate FROM p""")
+def dedup_score(spark, d):
+    h = simhash(spark, d)
+    a, b = h.select(F.col("doc_id").alias("id_a"), F.col("simhash").alias("ha")), h.select(F.col("doc_id").alias("id_b"), F.col("simhash").alias("hb"))
+    x = a.join(b, F.col("id_b") == F.col("id_a") + 1).withColumn("content_similarity", M.simhash_similarity("ha", "hb"))
+    overall = M.dedup_score(F.col("content_similarity"), F.col("content_similarity"), F.lit(0.0))
+    return x.select("id_a", "id_b", "content_similarity", F.round(overall, 6).alias("overall"), (overall > M.DUPLICATE).alias("is_duplicate"))
+
+
+VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)"
+
+
+@query("knn_exact", f"WITH {VEC}" + """, s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, list_cosine_similarity(q.e, x.e) AS c FROM v q, v x WHERE q.vec_id < 10 AND q.vec_id <> x.vec_id)
+SELECT query_id, rank, id, round(c, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM s WHERE c >= 0.1) WHERE rank <= 5""")
+def knn_exact(spark, d):
+    """The search form: a stated query set of ten vectors against all rows."""
+    v = A.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return E.nearest(v, v.filter("id < 10"), 5, 0.1)
+
+
+@query("centroids", f"WITH {VEC}, x AS (SELECT label, i, e[i] AS x FROM v, range(1, 65) r(i)) SELECT CAST(label AS VARCHAR) AS cluster_id, CAST(i - 1 AS INTEGER) AS pos, round(avg(x), 6) AS mean FROM x GROUP BY ALL")
+def centroids(spark, d):
+    return E.centroids(_vectors(spark, d)).select("cluster_id", F.posexplode("centroid").alias("pos", "x")).select("cluster_id", "pos", F.round("x", 6).alias("mean"))
+
+
+@query("assign_centroid", f"WITH {VEC}" + """, x AS (SELECT label, i, avg(e[i]) AS m FROM v, range(1, 65) r(i) GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS c FROM x GROUP BY label),
+s AS (SELECT v.vec_id AS id, CAST(c.label AS VARCHAR) AS cluster_id, list_cosine_similarity(v.e, c.c) AS s FROM v, c)
+SELECT id, cluster_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, cluster_id) AS r FROM s WHERE s > 0.1) WHERE r = 1""")
+def assign_centroid(spark, d):
+    v = _vectors(spark, d)
+    return E.assign(v, E.centroids(v), 0.1).select("id", "cluster_id", F.round("similarity", 6).alias("similarity"))
+
+
+def _vectors(spark, d):
+    return A.read(spark, d, "embeddings").filter("embedding is not null and label is not null").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("cluster_id"))
+
+
+@query("knn_lsh")
+def knn_lsh(spark, d):
+    v = A.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return E.nearest_lsh(v, v.filter("id < 10"), 5, 64)
+
+
+# ---- pages
+
+
+@query("url_hosts", "SELECT page_id, replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'www.', '') AS host FROM pages")
+def url_hosts(spark, d):
+    return A.read(spark, d, "pages").select("page_id", X.url_host("url").alias("host"))
+
+
+@query("clean_urls", "WITH p AS (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) AS b, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q, regexp_extract(url, '(#.*)$', 1) AS f FROM pages), ".replace("\\\\", "\\") + "k AS (SELECT *, list_filter(string_split(q, '&'), lambda x: regexp_matches(x, '^[^=]+=.+') AND NOT regexp_matches(x, '^(?i:" + "|".join(L.TRACKING) + ")=')) AS l FROM p) SELECT page_id, b || CASE WHEN len(l) > 0 THEN '?' || array_to_string(l, '&') ELSE '' END || f AS url FROM k")
+def clean_urls(spark, d):
+    return A.read(spark, d, "pages").select("page_id", X.strip_tracking("url").alias("url"))
+
+
+def _sql_unescape(x: str) -> str:
+    for entity, char in L.HTML_ENTITIES:
+        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+def _sql_clean(x: str) -> str:
+    for tag in ("script", "style"):
+        x = f"regexp_replace({x}, '(?is)<{tag}[^>]*>.*?</{tag}>', '', 'g')"
+    x = _sql_unescape(f"regexp_replace({x}, '<[^>]+>', ' ', 'g')")
+    return f"trim(regexp_replace({x}, '[\\s ]+', ' ', 'g'))".replace("\\\\", "\\")
+
+
+@query("clean_html", f"SELECT page_id, md5({_sql_clean('html')}) AS text_md5 FROM pages")
+def clean_html(spark, d):
+    return A.read(spark, d, "pages").select("page_id", F.md5(X.clean_html("html").cast("binary")).alias("text_md5"))
+
+
+def _sql_body() -> str:
+    t = "html"
+    for tag in L.NON_CONTENT:
+        t = f"regexp_replace({t}, '(?is)<{tag}[^>]*>.*?</{tag}>', '', 'g')"
+    b = _sql_clean("p")
+    for pattern in L.BOILERPLATE:
+        b = f"regexp_replace({b}, '(?i){pattern}', '', 'g')"
+    n = lambda x: f"(CASE WHEN trim({x}) = '' THEN 0 ELSE len(string_split(trim({x}), ' ')) END)"
+    return f"""WITH r AS (SELECT page_id, regexp_extract_all({t}, '(?is)<p[^>]*>(.*?)</p>', 1) AS ps FROM pages), e AS (SELECT page_id, i, trim({b.replace("p)", "ps[i])").replace("(p,", "(ps[i],")}) AS p FROM r, unnest(range(1, len(ps) + 1)) u(i)),
+j AS (SELECT page_id, string_agg(p, ' ' ORDER BY i) AS body FROM e WHERE {n("p")} >= 5 GROUP BY page_id)
+SELECT pages.page_id, md5(CASE WHEN {n("body")} >= 30 THEN body END) AS body_md5 FROM pages LEFT JOIN j ON j.page_id = pages.page_id"""
+
+
+@query("extract_body", _sql_body())
+def extract_body(spark, d):
+    return A.read(spark, d, "pages").select("page_id", F.md5(X.article_body("html").cast("binary")).alias("body_md5"))
+
+
+# ---- text scores
+
+TITLES = [
+    ("t1", "SHOCKING collapse: markets in FREEFALL!!", "Everyone says the worst is here. Nothing helps."), ("t2", "Council approves budget", "The council approved the annual budget on Monday."), ("t3", "Will the Fed cut rates?", "Interest rate and inflation data."),
+    ("t4", "BREAKING: Senator slams rival", "A radical, historic crisis!"), ("t5", "", ""), ("t6", "OpenAI ships a new model", "The AI system and machine learning research."), ("t7", "Paris climate talks begin", "European ministers discuss emission and carbon policy."), ("t8", "China chip makers rally", "Semiconductor stock gains in Taiwan and Japan."),
+    ("t9", "The AI lab hires", "A data algorithm."), ("t10", "[P] Storm erupts | Evening Show 03/09/2020", "Hurricane and flood"),
+]
+_T = f"WITH t(id, title, body) AS (VALUES {_values(TITLES)})"
+_HAS = lambda x, terms: "(" + " + ".join(f"CAST(contains({x}, '{t.replace(chr(39), chr(39) * 2)}') AS INTEGER)" for t in terms) + ")"
+
+
+def _titles(spark):
+    return spark.createDataFrame(TITLES, "id string, title string, body string")
+
+
+def _sql_hits(lexicon) -> str:
+    return "len(list_filter(ws, lambda x: x IN (" + ", ".join(f"'{w}'" for w in lexicon) + ")))"
+
+
+_SENS = _T + r", w AS (SELECT *, list_distinct(regexp_extract_all(lower(title || ' ' || body), '[\p{L}\p{N}_]+')) AS ws FROM t)" + f"""
+SELECT id, CASE WHEN len(ws) = 0 THEN 0.0::DOUBLE ELSE round(least(1.0::DOUBLE, least({_sql_hits(L.EMOTIONAL)} / 3.0::DOUBLE, 1) * 0.3::DOUBLE + least({_sql_hits(L.ABSOLUTE)} / 3.0::DOUBLE, 1) * 0.15::DOUBLE + least({_sql_hits(L.LOADED)} / 3.0::DOUBLE, 1) * 0.15::DOUBLE
+  + least(({" + ".join(f"CAST(regexp_matches(lower(title), '{p.replace(chr(39), chr(39) * 2)}') AS INTEGER)" for p in L.BAIT)}) / 2.0::DOUBLE, 1) * 0.15::DOUBLE
+  + least(len(regexp_extract_all(title || ' ' || body, '\\b[A-Z]{{4,}}\\b')) / 3.0::DOUBLE, 1) * 0.1::DOUBLE + least((length(title || body) - length(replace(title || body, '!', ''))) / 2.0::DOUBLE, 1) * 0.15::DOUBLE), 3) END AS score FROM w"""
+
+
+@query("sensationalism", _SENS)
+def sensationalism(spark, d):
+    return _titles(spark).select("id", X.sensationalism("title", "body").alias("score"))
+
+
+def _sql_label(table) -> str:
+    x = "(lower('' || ' ' || title || ' ' || body))"
+    scores = {k: _HAS(x, v) for k, v in table.items()}
+    most = "greatest(" + ", ".join(scores.values()) + ")"
+    return f"CASE WHEN {most} = 0 THEN '' " + " ".join(f"WHEN {s} = {most} THEN '{k}'" for k, s in scores.items()) + " END"
+
+
+@query("topics", _T + f" SELECT id, {_sql_label(L.TOPICS)} AS topic FROM t")
+def topics(spark, d):
+    return _titles(spark).select("id", S.topic(F.array().cast("array<string>"), F.concat_ws(" ", "title", "body")).alias("topic"))
+
+
+@query("geography", _T + f" SELECT id, {_sql_label(L.GEOGRAPHIES)} AS geography FROM t")
+def geography(spark, d):
+    return _titles(spark).select("id", S.geography(F.array().cast("array<string>"), F.concat_ws(" ", "title", "body")).alias("geography"))
+
+
+_H, _B = "lower(title)", "lower(title || ' ' || body)"
+
+
+@query("ai_relevance", _T + f""" SELECT id, {_HAS(_H, L.AI_STRONG + L.AI_COMPANIES + L.AI_PRODUCTS)} > 0 OR (regexp_matches({_H}, '\\bai\\b') AND length(title) < 200 AND {_HAS(_B, L.AI_CONTEXT)} > 0)
+  OR {_HAS(_B, L.AI_STRONG)} >= 2 OR ({_HAS(_B, L.AI_STRONG)} >= 1 AND {_HAS(_B, L.AI_COMPANIES)} > 0) AS relevant FROM t""".replace("\\\\", "\\"))
+def ai_relevance(spark, d):
+    return _titles(spark).select("id", S.ai_relevant("title", "body").alias("relevant"))
+
+
+@query("neutral_headline", f"WITH e(id, neutral) AS (VALUES {_values([('t1', 'Shocking collapse: markets in decline..'), ('t2', 'Council approves budget'), ('t3', 'Will the Fed cut rates?'), ('t4', 'Senator criticizes rival'), ('t5', ''), ('t6', 'OpenAI ships a new model'), ('t7', 'Paris climate talks begin'), ('t8', 'China chip makers rally'), ('t9', 'The AI lab hires'), ('t10', 'Storm emerges')])}) SELECT id, neutral FROM e")
+def neutral_headline(spark, d):
+    return _titles(spark).select("id", X.neutral_headline("title").alias("neutral"))
+
+
+@query("key_sentences")
+def key_sentences(spark, d):
+    return A.read(spark, d, "documents").select("doc_id", X.key_sentences("text").alias("sentences"))
+
+
+@query("entities")
+def entities(spark, d):
+    return A.read(spark, d, "documents").select("doc_id", X.entities("text").alias("entities"))
+
+
+EVENTS = [
+    ("e1", "Federal Reserve rate hike", "Inflation data", 8, 1.0, 30.0, 0.9, 6e6, 3, 2, 3, 2, 99000.0), ("e2", "Here's the latest", "", 1, 0.6, 0.0, None, None, 0, 0, 1, 0, 0.0), ("e3", "Village fair opens", "", 2, 0.7, 10.0, None, None, 1, 0, 1, 1, 50000.0), ("e4", "Election war merger", "", 4, 0.9, 5.0, 0.5, 1e6, 0, 0, 0, 2, 100000.0),
+]
+_E = f"WITH e(id, headline, summary, source_count, confidence, social_score, market_odds, market_volume, n, q, t, k, latest) AS (VALUES {_values(EVENTS)})"
+_IMPACT = f"""round(greatest(0, least(100.0::DOUBLE, least(source_count / 8.0::DOUBLE, 1) * 25 + confidence * 10::DOUBLE + least(social_score / 30.0::DOUBLE, 1) * 10
+  + CASE WHEN market_odds IS NOT NULL THEN abs(market_odds - 0.5::DOUBLE) * 2 * 8 + least(coalesce(market_volume, 0) / 5000000.0::DOUBLE, 1) * 7 ELSE 0 END
+  + least(n / 3.0::DOUBLE, 1) * 6 + least(q / 2.0::DOUBLE, 1) * 3 + least(t / 3.0::DOUBLE, 1) * 3 + least(k / 2.0::DOUBLE, 1) * 3 + least({_HAS("lower(headline || ' ' || summary)", L.IMPACT_KEYWORDS)} / 3.0::DOUBLE, 1) * 15
+  - CASE WHEN {_HAS("lower(headline)", L.DIGEST_TITLES)} > 0 THEN 20 ELSE 0 END + greatest(0, 1 - (100000 - latest) / 3600.0::DOUBLE / 48) * 15)), 1)"""
+
+
+def _scored(spark):
+    e = spark.createDataFrame(EVENTS, "id string, headline string, summary string, source_count long, confidence double, social_score double, market_odds double, market_volume double, n int, q int, t int, k int, latest_timestamp double")
+    fill = lambda c: F.array_repeat(F.lit("x"), F.col(c))
+    e = e.withColumn("novel_facts", fill("n")).withColumn("disputed_claims", fill("q")).withColumn("timeline", fill("t")).withColumn("entities", fill("k"))
+    return e.withColumn("score", S.impact_score(F.lit(100000.0), F.lit(0.0)))
+
+
+@query("impact_score", _E + f" SELECT id, {_IMPACT} AS score FROM e")
+def impact_score(spark, d):
+    return _scored(spark).select("id", "score")
+
+
+@query("impact_label", _E + f", s AS (SELECT id, source_count, {_IMPACT} AS score FROM e) SELECT id, CASE WHEN score >= 60 AND source_count >= 3 THEN 'high' WHEN score >= 32 THEN 'medium' ELSE 'low' END AS label FROM s")
+def impact_label(spark, d):
+    return _scored(spark).select("id", S.impact_label("score", 0.0, "source_count").alias("label"))
+
+
+@query("grouped_feed")
+def grouped_feed(spark, d):
+    _, clusters, now = _events(spark, d)
+    page = V.feed_tiered(V.feed_filter(clusters, now, "7d"), limit=100)
+    return D.grouped_feed(page)
+
+
+@query("merge_clusters")
+def merge_clusters(spark, d):
+    _, clusters, now = _events(spark, d)
+    return D.merge_map(clusters, now)
