@@ -196,10 +196,15 @@ def _remaining_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFr
     rare = sets.select("id", "n", held.alias("held"), prefix("shared", held - least + 1).alias("rare"))
     known = rare.join(labels.withColumnRenamed("node", "id"), "id", "left")
     lists = known.select("id", "n", F.coalesce("component", "id").alias("component"), "held", F.posexplode("rare").alias("at", "h"))
-    mixed = lists.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-    lists = lists.join(mixed, "h").select("h", "component", "id", "n", (F.col("held") - F.col("at")).alias("rest"))
-    sides = lists.select("h", "component").distinct()
-    between = sides.alias("a").join(sides.alias("b"), "h").filter("a.component < b.component").select("h", F.col("a.component").alias("ca"), F.col("b.component").alias("cb"))
+    # of two linked sets, one has at most (1 + 100 / percent) * rest - n shingles if the other has n, `rest` of them from
+    # this one on in its list of shared ones: who finds no such partner in a list leaves it
+    lists = lists.withColumn("rest", F.col("held") - F.col("at")).withColumn("most", F.floor((F.col("rest") * (100 + percent)) / percent - F.col("n")))
+    for _ in range(2):
+        others = lists.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("n0"), F.max("most").alias("m1")).filter("c0 < c1")
+        lists = lists.join(others, "h").filter("n <= m1 and most >= n0").select("h", "component", "id", "n", "rest", "most")
+    sides = lists.groupBy("h", "component").agg(F.min("n").alias("n"), F.max("most").alias("most"))
+    between = sides.alias("a").join(sides.alias("b"), "h").filter("a.component < b.component and a.n <= b.most and b.n <= a.most")
+    between = between.select("h", F.col("a.component").alias("ca"), F.col("b.component").alias("cb"))
     a = lists.select("h", F.col("component").alias("ca"), F.col("id").alias("u"), F.col("n").alias("nu"), F.col("rest").alias("ru"))
     b = lists.select("h", F.col("component").alias("cb"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("rest").alias("rv"))
     enough = F.least("ru", "rv") * (100 + percent) >= percent * (F.col("nu") + F.col("nv"))
@@ -220,9 +225,9 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D after lower-casing A-Z; a text of fewer than k words is
     one shingle, a null or empty text has none and links with nothing.  Returns id_col, n_shingles (long) and
-    component_id (long: the smallest id that can be reached by links, itself included); ids must be distinct,
-    not null and integers.  Ties need no order, equal texts are one class, other columns are not read, and an
-    empty table gives an empty result.
+    component_id (long: the smallest id that can be reached by links, itself included); ids are distinct integers.
+    A row of null id has a null component and links with nothing, a repeated row gets what its id gets.  Ties need no
+    order, equal texts are one class, other columns are not read, and an empty table gives an empty result.
 
     Equal sets are joined by fingerprint.  Blocks of equal min-hash then find most links by a blocked sparse
     product, and a join by rare shingles finds every link that is left between the components so far.
@@ -230,7 +235,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     total = text_bytes(docs, text_col)
     chunks = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn(CHUNK, chunk_key("id", "text", total))
     info = _class_and_sets(chunks, "id", "text", total, k, percent).checkpoint()
-    live = info.filter("f1 is not null")
+    live = info.filter("f1 is not null and id is not null")
     classes = live.groupBy("f1", "f2", "n").agg(F.min("id").alias("first"))
     equal = live.select("id", "f1", "f2", "n", F.col("shared").isNotNull().alias("carries")).join(classes, ["f1", "f2", "n"]).select("id", "first", "carries")
     sets = live.filter("shared is not null").select("id", "n", "shared", "keys")
@@ -238,7 +243,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     labels = components(links)
     more = _remaining_links(sets, labels, percent)
     joined = components(links.unionByName(more)).withColumnsRenamed({"node": "first", "component": "reached"})
-    member_of = equal.join(joined, "first", "left").select("id", F.coalesce("reached", "first").alias("component_id"))
+    member_of = equal.join(joined, "first", "left").select("id", F.coalesce("reached", "first").alias("component_id")).groupBy("id").agg(F.min("component_id").alias("component_id"))
     out = info.select("id", "n").join(member_of, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
