@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .vectors import matrix
+from .vectors import dimension, matrix
 
 TILE_ROWS = 512
 STEPS = (8, 16, 32)  # leading dimensions after which pairs are given up
 SLACK = 1e-9  # rounding of the rotated coordinates; the decision itself is taken on the given components
 
 
-def _second_moment(vectors: DataFrame) -> np.ndarray:
+def _second_moment(vectors: DataFrame, dim: int) -> np.ndarray:
     """Mean outer product of all unit vectors: partial sums in tasks, added up in Spark; dim * dim numbers come back."""
 
     def part(batches):
         total = None
         for batch in batches:
-            _, x = matrix(batch.column("embedding"))
+            _, x = matrix(batch.column("embedding"), dim)
             x = x[(x != 0).any(axis=1)]
             if len(x):
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -31,8 +31,7 @@ def _second_moment(vectors: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"at": np.arange(total.size), "x": total.ravel()})
 
     sums = vectors.select("embedding").mapInArrow(part, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
-    dim = int(round(len(sums) ** 0.5))
-    return np.array([r["x"] for r in sums]).reshape(dim, dim)
+    return np.array([r["x"] for r in sums]).reshape(dim, dim) if sums else np.zeros((dim, dim))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -81,20 +80,21 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     """
     vectors = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
 
+    dim = dimension(vectors, "embedding")
+
     def usable(batches):
         for batch in batches:
-            ok, x = matrix(batch.column("embedding"))
+            ok, x = matrix(batch.column("embedding"), dim)
             live = (x != 0).any(axis=1)
             ok[np.flatnonzero(ok)[~live]] = False
             yield batch.filter(pa.array(ok))
 
     good = vectors.filter("label is not null").mapInArrow(usable, vectors.schema)
-    moment = _second_moment(good)
-    axes = np.linalg.eigh(moment)[1][:, ::-1] if moment.size else np.zeros((0, 0))
+    axes = np.linalg.eigh(_second_moment(good, dim))[1][:, ::-1]
 
     @F.arrow_udf("double")
     def first_coordinate(column: pa.Array) -> pa.Array:
-        ok, x = matrix(column)
+        ok, x = matrix(column, dim)
         return pa.array(_unit(x) @ axes[:, 0] if len(x) else np.zeros(0), pa.float64())
 
     classes = good.groupBy("label", "embedding").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -127,7 +127,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         side = table["side"].to_numpy()
         same = not side.any()
         first, copies = table["first"].to_numpy(), table["copies"].to_numpy()
-        x = _unit(matrix(table["embedding"])[1])
+        x = _unit(matrix(table["embedding"], dim)[1])
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
         r = x @ axes
         i, j = tile_links(x[left], x[right], r[left], r[right], threshold, same)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import packed, unpacked
-from .vectors import matrix
+from .vectors import dimension, matrix
 
 PIVOTS = 64  # top-level nodes: a sample of this many rows, whatever the size of the table
 PIECE_ROWS = 4096  # rows of one part of a top-level node
@@ -100,22 +100,23 @@ def top_inner_products(vectors: DataFrame, k: int = 5, scale: int = 256, every:
     """
     vectors = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding"))
 
+    dim = dimension(vectors, "embedding")
+
     def whole(batches):
         for batch in batches:
-            ok, x = matrix(batch.column("embedding"))
+            ok, x = matrix(batch.column("embedding"), dim)
             x = np.floor(scale * x).astype(np.int64)
-            dim = x.shape[1]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id").filter(pa.array(ok)), "v": packed(x.ravel(), np.arange(len(x) + 1) * dim)})
 
     points = vectors.mapInArrow(whole, "id long, v binary")
     sample = points.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
     pivot_ids = np.array([r["id"] for r in sample], dtype=np.int64)
-    pivots = np.array([np.frombuffer(r["v"], np.int64) for r in sample], dtype=np.float64).reshape(len(sample), -1)
+    pivots = np.array([np.frombuffer(r["v"], np.int64) for r in sample], dtype=np.float64).reshape(len(sample), dim)
 
     def assign(batches):
         for batch in batches:
             v, edges = unpacked(pa.chunked_array([batch.column("v")]), np.int64)
-            x = v.astype(np.float64).reshape(batch.num_rows, -1)
+            x = v.astype(np.float64).reshape(batch.num_rows, dim)
             ids = batch.column("id").to_numpy()
             dot = x @ pivots.T if len(x) else np.zeros((0, len(pivots)))
             square = (x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * dot
@@ -161,7 +162,7 @@ def top_inner_products(vectors: DataFrame, k: int = 5, scale: int = 256, every:
         if not left.num_rows or not right.num_rows:
             return pa.table(none)
         left, right = left.sort_by("id"), right.sort_by("d_id")
-        rows = lambda c: unpacked(c, np.int64)[0].astype(np.float64).reshape(len(c), -1)
+        rows = lambda c: unpacked(c, np.int64)[0].astype(np.float64).reshape(len(c), dim)
         s = Search(rows(left["v"]), left["id"].to_numpy(), left["kth"].to_numpy(), rows(right["d_v"]), right["d_id"].to_numpy(), k)
         s.run(left["g"].to_numpy())
         i, j = np.nonzero(np.isfinite(s.score))

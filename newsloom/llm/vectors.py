@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def dimension(vectors: DataFrame, column: str) -> int:
+    """The commonest length of the vectors; 0 if there are none."""
+    sizes = vectors.filter(F.size(column) > 0).groupBy(F.size(column).alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+    best = sizes.orderBy(F.col("rows").desc(), "n").first()
+    return best["n"] if best else 0
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(usable, rows): which rows are usable, and these as a float64 matrix.
 
-    Null vectors and vectors with a null or non-finite component are not usable; neither are vectors whose length
-    differs from the batch's most common one, as they have no product with the others.
+    Null vectors and vectors with a null or non-finite component are not usable; neither are vectors of another length
+    than `dim`, as they have no product with the others.
     """
     n = len(column)
     if isinstance(column, pa.ChunkedArray):
@@ -19,8 +28,6 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
             column = pa.concat_arrays(column.chunks)
     length = np.asarray(column.value_lengths().fill_null(0)) if n else np.zeros(0, np.int64)
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    some = length[length > 0]
-    dim = int(np.bincount(some).argmax()) if len(some) else 0
     edges = np.concatenate(([0], np.cumsum(length)))
     usable = (length == dim) & (dim > 0)
     rows = values[edges[:-1][usable][:, None] + np.arange(dim)[None, :]] if usable.any() else np.zeros((0, dim))
