@@ -31,12 +31,14 @@ def simhash_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def simhash_column(text: Column | str) -> Column:
     """The same fingerprint of a short text such as a headline, in one expression."""
-    hashes = F.transform(words(text), token_hash)
-    total = F.size(hashes)
+    # the array of hashes is bound once as a lambda's variable, not computed again for each bit
+    return F.get(F.transform(F.array(F.transform(words(text), token_hash)), _majority), F.lit(0))
 
+
+def _majority(hashes: Column) -> Column:
     def bit(i: Column) -> Column:
         ones = F.size(F.filter(hashes, lambda h: F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(1)) == 1))
-        return F.when(ones * 2 > total, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+        return F.when(ones * 2 > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
 
     each = F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
     return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))

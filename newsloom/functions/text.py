@@ -196,3 +196,28 @@ def display_headline(neutral: Column | str, headline: Column | str) -> Column:
     """Neutral headline, else the headline, without links, cut to 120 characters at a word."""
     h = strip_urls(F.coalesce(F.nullif(col(neutral), F.lit("")), col(headline), F.lit("")))
     return F.when(F.length(h) > 120, F.concat(F.regexp_replace(F.substring(h, 1, 117), r" [^ ]*$", ""), F.lit("..."))).otherwise(h)
+
+
+def short_publisher(x: Column | str) -> Column:
+    """A feed's publisher of over 50 characters cut to the part before its first separator."""
+    p = col(x)
+    out = p
+    for sep in reversed((" - ", " -- ", " | ", ": ")):
+        out = F.when(F.contains(p, F.lit(sep)), F.trim(F.get(F.split(p, re.escape(sep), 2), F.lit(0)))).otherwise(out)
+    return F.when(F.length(p) > 50, out).otherwise(p)
+
+
+def volume_text(x: Column | str) -> Column:
+    """A sum of money as $1.2M, $3K or $7."""
+    v = F.coalesce(col(x).cast("double"), F.lit(0.0))
+    return F.when(v >= 1e6, F.format_string("$%.1fM", v / 1e6)).when(v >= 1e3, F.format_string("$%.0fK", v / 1e3)).otherwise(F.format_string("$%.0f", v))
+
+
+def json_list(x: Column | str) -> Column:
+    """A JSON list of strings; an empty one for null or anything else."""
+    return F.coalesce(F.from_json(col(x), "array<string>"), F.array().cast("array<string>"))
+
+
+def low_density(density: Column | str, n_words: Column | str) -> Column:
+    """Whether a text of over 100 words makes hardly any claim."""
+    return (col(density) < 0.001) & (col(n_words) > 100)

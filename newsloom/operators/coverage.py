@@ -234,3 +234,45 @@ def exact_headline_groups(events: DataFrame) -> DataFrame:
     key = F.lower(F.trim("headline"))
     g = events.groupBy(key.alias("headline_key")).agg(F.count(F.lit(1)).alias("clusters"), F.min_by("cluster_id", F.struct("earliest_timestamp", "cluster_id")).alias("primary_id"), F.sum("source_count").alias("source_count"))
     return g.filter("clusters > 1")
+
+
+def ai_feed(events: DataFrame, now: DataFrame, limit: int = 100, offset: int = 0, time_range: str = "24h") -> DataFrame:
+    """Events about AI: keyword matches, stored verdicts first, hype dropped, and a rule where no verdict is stored.
+
+    Five times the limit (500 at least) is taken in the feed's order before hype and other subjects are dropped.
+    """
+    from ..functions.scoring import ai_keyword, ai_relevant, hype
+
+    x = feed_filter(events, now, time_range).filter(ai_keyword("headline", "summary", F.to_json("entities"))).crossJoin(F.broadcast(now))
+    recent = F.col("latest_timestamp") >= F.col("as_of") - 21600.0
+    tier = F.lit(None).cast("int")
+    for i, name in enumerate(("low", "medium", "high")):
+        tier = F.when((F.col("impact") == name), F.when(recent, 4 - 2 * i).otherwise(5 - 2 * i)).otherwise(tier)
+    x = x.withColumn("verdict_rank", F.when(F.col("ai_relevant"), 0).otherwise(1)).withColumn("tier", F.coalesce(tier, F.lit(5)))
+    order = ["verdict_rank", "tier", F.col("latest_timestamp").desc(), F.coalesce("impact_score", F.lit(0.0)).desc(), "cluster_id"]
+    page = x.orderBy(*order).offset(offset).limit(max(5 * limit, 500))
+    headline = F.coalesce(F.nullif("neutral_headline", F.lit("")), F.col("headline"))
+    kept = page.filter(~hype(headline) & F.coalesce("ai_relevant", ai_relevant(headline, "summary")))
+    return kept.orderBy(*order).limit(limit)
+
+
+def related_sources(events: DataFrame, groups: DataFrame) -> DataFrame:
+    """Sum of sources of each group of events; `groups` has cluster_id and primary_id."""
+    return groups.join(events.select("cluster_id", "source_count"), "cluster_id").groupBy("primary_id").agg(F.sum("source_count").alias("source_count"), F.count(F.lit(1)).alias("members"))
+
+
+def social_detail(arts: DataFrame) -> DataFrame:
+    """Per event: coverage and number of platforms of its social articles."""
+    social = arts.filter("source_type = 'social'")
+    return social.groupBy("cluster_id").agg(F.sum("social_coverage").alias("coverage"), F.countDistinct(F.split_part("publisher", F.lit("/"), F.lit(1))).alias("platforms"))
+
+
+def platform_prefix_counts(arts: DataFrame, platforms: list[str]) -> DataFrame:
+    """Articles whose publisher begins with each platform's name, in one pass."""
+    one = arts.agg(*[F.count_if(F.col("publisher").startswith(p)).alias(p) for p in platforms])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(p).alias("platform"), F.col(p).alias("articles")) for p in platforms])).alias("x")).select("x.*")
+
+
+def cluster_span(arts: DataFrame) -> DataFrame:
+    """First and last article and number of articles of each event."""
+    return arts.groupBy("cluster_id").agg(F.min("ts").alias("earliest_timestamp"), F.max("ts").alias("latest_timestamp"), F.count(F.lit(1)).alias("source_count"))

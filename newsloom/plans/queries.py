@@ -8,11 +8,15 @@ from ..functions import lexicons as L
 from ..functions import scoring as S
 from ..functions import similarity as M
 from ..functions import text as X
+from ..operators import assign as N
 from ..operators import claims as C
 from ..operators import coverage as V
 from ..operators import dedup as D
+from ..operators import maintenance as W
 from ..operators import markets as K
 from ..operators import vectors as E
+from ..sources import payloads as P
+from ..streaming import ingest as I
 from . import adapters as A
 
 QUERIES: dict = {}
@@ -557,3 +561,200 @@ def grouped_feed(spark, d):
 def merge_clusters(spark, d):
     _, clusters, now = _events(spark, d)
     return D.merge_map(clusters, now)
+
+
+# ---- further feeds, joins and aggregates
+
+STORIES = [
+    ("c1", "OpenAI ships a new model", "Machine learning research.", "high", 90000.0, 3, None), ("c2", "Robots will destroy jobs, says AI safety panel", "", "medium", 95000.0, 2, None), ("c3", "ChatGPT lessons in schools", "", "low", 70000.0, 1, True),
+    ("c4", "Anthropic hires in Oslo", "", "medium", 99000.0, 4, False), ("c5", "Council votes", "", "high", 99500.0, 5, None), ("c6", "Open weight lifting contest", "", "low", 98000.0, 1, None),
+]
+_S = f"WITH s(cluster_id, headline, summary, impact, latest, source_count, ai_relevant) AS (VALUES {_values([tuple(('true' if x else 'false') if isinstance(x, bool) else x for x in r) for r in STORIES])}), f AS (SELECT cluster_id, headline, summary, impact, latest, source_count, ai_relevant = 'true' AS r FROM s)"
+_ANY = lambda x, terms: "(" + " OR ".join(f"contains({x}, '{t.lower().replace(chr(39), chr(39) * 2)}')" for t in terms) + ")"
+
+
+@query("ai_feed", _S + f"""SELECT cluster_id, headline FROM f WHERE {_ANY("lower(headline || ' ' || summary)", L.AI_KEYWORDS)} AND NOT {_ANY("lower(headline)", L.AI_HYPE)} AND latest >= 100000 - 86400
+  AND coalesce(r, {_ANY("lower(headline)", L.AI_STRONG + L.AI_COMPANIES + L.AI_PRODUCTS)} OR (regexp_matches(lower(headline), '\\bai\\b') AND {_ANY("lower(headline || ' ' || summary)", L.AI_CONTEXT)}))""".replace("\\\\", "\\"))
+def ai_feed(spark, d):
+    s = spark.createDataFrame(STORIES, "cluster_id string, headline string, summary string, impact string, latest_timestamp double, source_count long, ai_relevant boolean")
+    s = s.withColumn("neutral_headline", F.lit("")).withColumn("impact_score", F.lit(1.0)).withColumn("entities", F.array(F.lit("Oslo")))
+    return V.ai_feed(s, spark.createDataFrame([(100000.0,)], "as_of double")).select("cluster_id", "headline")
+
+
+@query("entity_candidates", _with(ART, CLU, NOW) + r""", a AS (SELECT id, list_distinct(regexp_extract_all(title, '[A-Za-z]+')) AS ws FROM articles WHERE ingest_seq < 50),
+l AS (SELECT id, w FROM (SELECT id, w, row_number() OVER (PARTITION BY id ORDER BY length(w) DESC, i) AS n FROM (SELECT id, ws[i] AS w, i FROM a, unnest(range(1, len(ws) + 1)) t(i))) WHERE n <= 5),
+e AS (SELECT cluster_id, latest_timestamp, unnest(list_distinct(regexp_extract_all(headline, '[A-Za-z]+'))) AS w FROM clusters, now WHERE latest_timestamp >= as_of - 86400),
+m AS (SELECT id, cluster_id, latest_timestamp, count(*) AS shared FROM l JOIN e USING (w) GROUP BY ALL)
+SELECT id, cluster_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY latest_timestamp DESC, cluster_id) AS r FROM m) WHERE r <= 20""".replace("list_distinct(regexp_extract_all(title, '[A-Za-z]+'))", "regexp_extract_all(title, '[A-Za-z]+')").replace("(SELECT id, ws[i] AS w, i FROM a", "(SELECT id, ws[i] AS w, min(i) AS i FROM a").replace("t(i))) WHERE n", "t(i) GROUP BY ALL)) WHERE n"))
+def entity_candidates(spark, d):
+    """A stated set of fifty articles against all events."""
+    arts, clusters, now = _events(spark, d)
+    found = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)))
+    return N.entity_candidates(arts.filter("ingest_seq < 50").withColumn("entities", found("title")), clusters.withColumn("entities", found("headline")), now)
+
+
+@query("assign_articles")
+def assign_articles(spark, d):
+    arts, clusters, now = _events(spark, d)
+    events = clusters.withColumn("entities", X.entities("headline")).withColumn("summary", F.lit(""))
+    return N.assign_articles(arts.withColumn("entities", X.entities("title")), events, now)
+
+
+FEEDS = [("https://www.ththth.example.net/feed", "ththth.example.net"), ("https://rss.example.org/a", "example.org"), ("x", "nowhere.test")]
+
+
+@query("feed_publishers", ORACLE_SQL["publisher_by_host"].replace("SELECT host, publisher FROM (", "SELECT f.feed, coalesce((SELECT min(publisher) FROM best WHERE best.host = f.host), (SELECT arg_min(publisher, host) FROM best WHERE contains(f.host, best.host) OR contains(best.host, f.host))) AS publisher FROM fd f").split("SELECT f.feed")[0]
+    + ", best AS (SELECT host, publisher FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n DESC, publisher) AS r FROM h WHERE host <> '') WHERE r = 1)" + f", fd(feed, host) AS (VALUES {_values(FEEDS)}) "
+    + "SELECT f.feed, coalesce((SELECT min(publisher) FROM best WHERE best.host = f.host), (SELECT arg_min(publisher, host) FROM best WHERE contains(f.host, best.host) OR contains(best.host, f.host))) AS publisher FROM fd f")
+def feed_publishers(spark, d):
+    return N.feed_publishers(spark.createDataFrame(FEEDS, "feed string, host string"), V.publisher_by_host(A.articles(spark, d)))
+
+
+@query("social_detail", _with(ART) + "SELECT cluster_id, CAST(sum(social_coverage) AS BIGINT) AS coverage, count(DISTINCT split_part(publisher, '/', 1)) AS platforms FROM articles WHERE source_type = 'social' GROUP BY cluster_id")
+def social_detail(spark, d):
+    return V.social_detail(A.articles(spark, d))
+
+
+PLATFORMS = ["src0", "src1", "src2", "reddit"]
+
+
+@query("platform_prefix_counts", _with(ART) + " UNION ALL ".join(f"SELECT '{p}' AS platform, count(*) FILTER (starts_with(publisher, '{p}')) AS articles FROM articles" for p in PLATFORMS))
+def platform_prefix_counts(spark, d):
+    return V.platform_prefix_counts(A.articles(spark, d), PLATFORMS)
+
+
+@query("cluster_span", _with(ART) + "SELECT cluster_id, min(ts) AS earliest_timestamp, max(ts) AS latest_timestamp, count(*) AS source_count FROM articles GROUP BY cluster_id")
+def cluster_span(spark, d):
+    return V.cluster_span(A.articles(spark, d))
+
+
+@query("related_sources", _with(ART, CLU) + "SELECT first_value AS primary_id, CAST(sum(source_count) AS BIGINT) AS source_count, count(*) AS members FROM (SELECT source_count, first_value(cluster_id) OVER (PARTITION BY lower(trim(headline)) ORDER BY earliest_timestamp, cluster_id) AS first_value FROM clusters) GROUP BY 1")
+def related_sources(spark, d):
+    from pyspark.sql import Window
+
+    c = _events(spark, d)[1]
+    first = F.first("cluster_id").over(Window.partitionBy(F.lower(F.trim("headline"))).orderBy("earliest_timestamp", "cluster_id"))
+    return V.related_sources(c, c.select("cluster_id", first.alias("primary_id")))
+
+
+@query("low_density_articles", _with(ART) + r"SELECT id, fact_density < 0.001 AND len(string_split(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' ')) > 100 AS low FROM articles")
+def low_density_articles(spark, d):
+    return A.articles(spark, d).select("id", X.low_density("fact_density", X.word_count("text")).alias("low"))
+
+
+@query("article_word_counts", r"SELECT doc_id, CAST(CASE WHEN trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) END AS BIGINT) AS n FROM documents")
+def article_word_counts(spark, d):
+    return A.read(spark, d, "documents").select("doc_id", X.word_count("text").alias("n"))
+
+
+NAMES = [("News - The Gazette of the Long Northern Coast and Hills",), ("Daily Harbour Messenger of the East | Politics and People RSS",), ("Short - name",), ("FRB: Releases of the Regional Bank of the Long Northern Coast",), ("X" * 70,)]
+
+
+@query("publisher_names", f"WITH n(name) AS (VALUES {_values(NAMES)})" + r""", p AS (SELECT name, CASE WHEN contains(name, ' - ') THEN ' - ' WHEN contains(name, ' -- ') THEN ' -- ' WHEN contains(name, ' | ') THEN ' | ' WHEN contains(name, ': ') THEN ': ' END AS sep FROM n),
+h AS (SELECT name, sep, trim(split_part(name, sep, 1)) AS l, trim(substr(name, strpos(name, sep) + length(sep))) AS r FROM p),
+c AS (SELECT name, regexp_replace(CASE WHEN sep IS NULL THEN name WHEN lower(l) IN (""" + ", ".join(f"'{g}'" for g in L.GENERIC_PUBLISHERS) + r""") OR starts_with(lower(l), 'frb') THEN r ELSE l END, ' (RSS|Feed|rss|feed)$', '') AS s FROM h)
+SELECT name, CASE WHEN length(name) > 40 THEN CASE WHEN length(s) > 60 THEN substr(s, 1, 57) || '...' ELSE s END ELSE name END AS display FROM c""")
+def publisher_names(spark, d):
+    return spark.createDataFrame(NAMES, "name string").select("name", X.publisher_name("name").alias("display"))
+
+
+@query("market_order", _with(MAR) + "SELECT id, row_number() OVER (ORDER BY volume DESC, id) AS by_volume, row_number() OVER (ORDER BY volume_24h / volume DESC, id) AS by_spike, row_number() OVER (ORDER BY end_date, id) AS by_end FROM (SELECT * FROM markets ORDER BY volume DESC, id LIMIT 50)")
+def market_order(spark, d):
+    """Ranks of the fifty largest markets by each of the page's sort keys."""
+    from pyspark.sql import Window
+
+    m = A.markets(spark, d).orderBy(F.col("volume").desc(), "id").limit(50)
+    rank = lambda *c: F.row_number().over(Window.orderBy(*c)).cast("long")  # noqa: E731  fifty rows
+    return m.select("id", rank(F.col("volume").desc(), "id").alias("by_volume"), rank((F.col("volume_24h") / F.col("volume")).desc(), "id").alias("by_spike"), rank("end_date", "id").alias("by_end"))
+
+
+@query("market_volumes", _with(MAR) + "SELECT id, CASE WHEN volume > 5000000 THEN 'high' WHEN volume > 1000000 THEN 'medium' ELSE 'low' END AS tier, CAST(round(volume_24h / volume * 100) AS BIGINT) AS spike_percent FROM markets")
+def market_volumes(spark, d):
+    tier = F.when(F.col("volume") > 5e6, "high").when(F.col("volume") > 1e6, "medium").otherwise("low")
+    return A.markets(spark, d).select("id", tier.alias("tier"), F.round(F.col("volume_24h") / F.col("volume") * 100).cast("long").alias("spike_percent"))
+
+
+@query("purge_expired", _with(MAR) + "SELECT id FROM markets WHERE end_date <> '1995-06-01T00:00:00Z'")
+def purge_expired(spark, d):
+    return W.purge_expired(A.markets(spark, d), AS_OF).select("id")
+
+
+@query("insert_articles", _with(ART) + ", k AS (SELECT url FROM articles WHERE ingest_seq % 3 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN url <> '' THEN url ELSE '#' || id END ORDER BY ingest_seq) AS r FROM articles WHERE ingest_seq % 2 = 0) SELECT id FROM n WHERE r = 1 AND (url = '' OR url NOT IN (SELECT url FROM k WHERE url <> ''))")
+def insert_articles(spark, d):
+    arts = A.articles(spark, d)
+    return W.insert_articles(arts.filter("ingest_seq % 3 = 0"), arts.filter("ingest_seq % 2 = 0")).select("id")
+
+
+@query("upsert_markets", _with(MAR) + ", m AS (SELECT *, CAST(id AS BIGINT) AS k FROM markets) SELECT id, slug, volume + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS volume FROM m WHERE k % 3 <> 0 OR k % 2 = 0")
+def upsert_markets(spark, d):
+    m = A.markets(spark, d).withColumn("question", F.concat("question", F.lit(" "), F.col("id"))).withColumn("ts", F.lit(1.0))
+    table, new = m.filter("cast(id as bigint) % 3 <> 0"), m.filter("cast(id as bigint) % 2 = 0").withColumn("volume", F.col("volume") + 1).withColumn("ts", F.lit(2.0))
+    return W.upsert_markets(table, new).select("id", "slug", "volume")
+
+
+@query("claim_cascade", _with(ART, CLA) + ", k AS (SELECT id FROM articles WHERE source_type = 'social') SELECT source_article_id, seq FROM claims WHERE source_article_id IN (SELECT id FROM k)")
+def claim_cascade(spark, d):
+    return W.cascade_claims(A.claims(spark, d), A.articles(spark, d).filter("source_type = 'social'")).select("source_article_id", "seq")
+
+
+# ---- wire payloads: both engines read the same literals
+
+_RSS = "<rss><channel><title>Coast Daily</title><item><title>Storm nears</title><link>https://c.org/a?utm_source=x</link><description>Wind rises.</description><pubDate>Mon, 06 Nov 2023 10:00:00 GMT</pubDate></item><item><title> </title></item></channel></rss>"
+_EXPECTED = "title, author, publisher, timestamp, url, text, source_type, social_coverage"
+
+
+def _literal(*rows) -> str:
+    return f"SELECT title, author, publisher, CAST(ts AS DOUBLE) AS timestamp, url, text, source_type, CAST(c AS BIGINT) AS social_coverage FROM (VALUES {_values(rows)}) t(title, author, publisher, ts, url, text, source_type, c)"
+
+
+@query("rss_items", _literal(("Storm nears", "", "Coast Daily", 1699264800.0, "https://c.org/a", "Wind rises.", "rss", 0)))
+def rss_items(spark, d):
+    return P.rss(spark.createDataFrame([(_RSS,), ("<broken",)], "xml string"), AS_OF)
+
+
+_HN = [('{"id": 7, "type": "story", "title": "A", "score": 5, "descendants": 2, "by": "u", "time": 9}',), ('{"id": 8, "type": "job", "title": "B"}',), ("junk",)]
+
+
+@query("hacker_news_items", _literal(("A", "u", "Hacker News", 9.0, "https://news.ycombinator.com/item?id=7", "HN discussion: A", "social", 7)))
+def hacker_news_items(spark, d):
+    return P.hacker_news(spark.createDataFrame(_HN, "json string"))
+
+
+_POLY = [('[{"slug": "s", "endDate": "e", "description": "d", "markets": [{"question": "Q?", "outcomePrices": "[\\"0.4\\", \\"0.6\\"]", "volume": 5.0}, {"question": "Sure?", "outcomePrices": "[\\"0.99\\"]"}]}]',)]
+
+
+@query("polymarket_markets", "SELECT 'Q?' AS question, 0.4::DOUBLE AS probability, 5.0::DOUBLE AS volume, 0.0::DOUBLE AS volume_24h, 'd' AS resolution_criteria, 's' AS slug, 'e' AS end_date, 'polymarket' AS source")
+def polymarket_markets(spark, d):
+    return P.polymarket(spark.createDataFrame(_POLY, "json string"))
+
+
+# ---- streams: run to the end of what is there, equal to the batch answer
+
+
+def _events_stream(spark, d):
+    schema = A.read(spark, d, "events").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    kind = F.when(F.col("event_type") == "signup", "rss").otherwise("social")
+    return files.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("cluster_id"), F.lit("p").alias("publisher"), F.lit("t").alias("title"), F.concat(F.lit("u"), F.col("event_id") % 500).alias("url"), A.epoch("ts").alias("ts"), kind.alias("source_type"), F.floor("value").cast("long").alias("social_coverage"))
+
+
+def _drained(stream, mode: str):
+    spark, name = stream.sparkSession, f"drained_{id(stream)}"
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    if mode == "complete":
+        stream.writeStream.outputMode(mode).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    else:
+        stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("stream_dedup", "SELECT DISTINCT 'u' || (event_id % 500) AS url FROM events")
+def stream_dedup(spark, d):
+    return _drained(I.unseen(_events_stream(spark, d), "60 days").select("url"), "append")
+
+
+@query("stream_rollup", """SELECT CAST(user_id AS VARCHAR) AS cluster_id, count(*) AS source_count, least(1.0::DOUBLE, count(*) * 0.1::DOUBLE + 0.5::DOUBLE) AS confidence,
+  CASE WHEN sum(CASE WHEN event_type <> 'signup' THEN floor(value) ELSE 0 END) > 0 THEN round(least(least(log10(sum(CASE WHEN event_type <> 'signup' THEN floor(value) ELSE 0 END) + 1.0::DOUBLE) * 20, 100.0::DOUBLE) + count(*) FILTER (event_type <> 'signup') * 5, 100.0::DOUBLE), 1) ELSE 0.0::DOUBLE END AS social_score,
+  max(epoch_us(ts) / 1000000.0::DOUBLE) AS latest_timestamp FROM events GROUP BY user_id""")
+def stream_rollup(spark, d):
+    return _drained(I.rollups(_events_stream(spark, d)), "complete")

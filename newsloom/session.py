@@ -12,11 +12,15 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it, and see that checkpoints have a place.
+    """Let Python workers import this package from where the driver has it, see that checkpoints have a place, and set
+    a batch size for Arrow where the session has the default.
 
     On a cluster whose nodes do not share the repository, ship it with --py-files as usual.  The folder for
     checkpoints is the session's spark.checkpoint.dir; only where that is unset, as in tests, it is local.
     """
+    # rows are whole documents: small batches keep what Arrow and Python workers hold at once to a few MB
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)
     sc = spark.sparkContext
     path = sc.environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
