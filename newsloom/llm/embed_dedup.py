@@ -70,8 +70,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
 
     Returns id_col, n_links (long: other vectors linked directly), component_id (long: smallest id that links reach,
     itself included) and kept (boolean: the id is its component's).  Vectors that are null, zero, of odd length or hold
-    null or non-finite components, and those of null label, link with nothing; ids are distinct integers.  Equal
-    vectors of a label are one class that is compared once.  Other columns are not read; an empty table gives
+    null or non-finite components, and those of null label or id, link with nothing; ids are distinct integers, and a
+    repeated row gets what its id gets.  Equal vectors of a label are one class that is compared once.  Other columns are not read; an empty table gives
     an empty result.
 
     The classes of a label stand in the order of their first principal coordinate, in tiles of TILE_ROWS.  Unit
@@ -89,7 +89,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             ok[np.flatnonzero(ok)[~live]] = False
             yield batch.filter(pa.array(ok))
 
-    good = vectors.filter("label is not null").mapInArrow(usable, vectors.schema)
+    good = vectors.filter("label is not null and id is not null").mapInArrow(usable, vectors.schema)
     axes = np.linalg.eigh(_second_moment(good, dim))[1][:, ::-1]
 
     @F.arrow_udf("double")
@@ -97,7 +97,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         ok, x = matrix(column, dim)
         return pa.array(_unit(x) @ axes[:, 0] if len(x) else np.zeros(0), pa.float64())
 
-    classes = good.groupBy("label", "embedding").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = good.groupBy("label", "embedding").agg(F.min("id").alias("first"), F.countDistinct("id").alias("copies"))
     classes = classes.withColumn("x", first_coordinate("embedding")).checkpoint()
     # tiles: equal-frequency ranges of x in each label, from counts by fine slots of x
     slots = 1 << 16
@@ -152,7 +152,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     reached = components(found.select(F.col("root").alias("u"), F.col("first").alias("v"))).withColumnsRenamed({"node": "first", "component": "reached"})
     per = classes.select("label", "embedding", "first", "copies").join(counted, "first", "left").join(reached, "first", "left")
     per = per.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("reached", "first").alias("c"))
-    linked = good.join(per, ["label", "embedding"]).select("id", "n", "c")
+    linked = good.join(per, ["label", "embedding"]).groupBy("id").agg(F.max("n").alias("n"), F.min("c").alias("c"))
     out = vectors.select("id").join(linked, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"))
     return out.withColumn("kept", F.col("id") == F.col("component_id")).withColumnRenamed("id", id_col)
 

@@ -69,13 +69,13 @@ def curriculum_mix(
     Returns id, size, source_size (long), target (double), taken (long), words (array<long>: of each copy) and
     positions (array<double>, null where nothing is taken), ordered by the first position over range partitions.
     A null source is a source; null and empty texts have size 0 and take nothing.  Ties of md5 go by id, repeated
-    rows are further documents in no set order, other columns are not read; an empty table gives an empty result.
+    rows and rows of null id are further documents in no set order, other columns are not read; an empty table gives an empty result.
     """
     sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).checkpoint()
     digits = max(1, math.ceil(math.log(max(sizes.count() / ROWS_PER_BUCKET, 1), 16)))
     targets = source_targets(sizes, weights, share, repeats)
     placed = sizes.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    placed = placed.withColumn("key", F.md5(F.col("id").cast("string").cast("binary"))).withColumn("bucket", F.substring("key", 1, digits))
+    placed = placed.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("key", 1, digits))
     sums = placed.groupBy("rank", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = sums.select("rank", "bucket", (F.sum("in_bucket").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("in_bucket")).alias("before"))
     inside = F.sum("size").over(Window.partitionBy("rank", "bucket").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")

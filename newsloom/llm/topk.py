@@ -90,7 +90,7 @@ def top_inner_products(vectors: DataFrame, k: int = 5, scale: int = 256, every:
 
     A component x becomes floor(scale * x); scores are exact (below 2**53).  A query's own row is no candidate; ties go
     to the smaller id; a query gets all candidates if they are fewer than k.  Vectors that are null, of odd length or hold
-    null or non-finite components take no part; ids are distinct integers.  Other columns are not read; an empty
+    null or non-finite components, and rows of null id, take no part; ids are distinct integers, a repeated row counts once.  Other columns are not read; an empty
     table gives an empty result.  Returns query_id (long), rank (int, from 1), vec_id and score (long).
 
     Queries and data are indexed together: both go to the nearest of PIVOTS sampled rows, whose balls are the top level;
@@ -100,6 +100,7 @@ def top_inner_products(vectors: DataFrame, k: int = 5, scale: int = 256, every:
     """
     vectors = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding"))
 
+    vectors = vectors.filter("id is not null").dropDuplicates(["id"])
     dim = dimension(vectors, "embedding")
 
     def whole(batches):

@@ -153,6 +153,15 @@ def test_mixing(docs, corpus, empty):
     assert mixing.curriculum_mix(empty).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    x = spark.createDataFrame([(None, "a b", None, "s"), (None, "a b", None, "s"), (1, "c d e", "en", None), (1, "c d e", "en", None)], "doc_id long, text string, lang string, source string")
+    got = mixing.curriculum_mix(x).collect()
+    assert len(got) == 4 and sum(r.taken for r in got) == 15
+    assert sorted(r.n_removed for r in substring.remove_repeats(x, window=2).collect()) == [2, 2, 3, 3]
+    assert sorted(r.n_tokens for r in lm.suffix_tree_scores(x, F.lit(True)).collect()) == [3, 3, 4, 4]
+    assert langid.identify(x, F.lit(True)).count() == 4
+
+
 def train(r, parts, rest):
     return zlib.crc32(str(r).encode()) % parts != rest
 

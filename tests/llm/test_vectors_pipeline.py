@@ -65,6 +65,13 @@ def test_top_inner_products(spark, rows, monkeypatch, piece, block):
     assert {tuple(r)[:3] for r in topk.top_inner_products(few).collect()} >= {(0, 1, 1)} or topk.top_inner_products(few).count() == 2
 
 
+def test_vectors_of_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (0, [1.0, 0.001], 1), (None, [1.0, 0.0], 1)], VECTOR)
+    got = sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id) for r in embed_dedup.embedding_links(df).collect())
+    assert got == [(False, 0, 1, 0), (False, 1, 1, 0), (False, 1, 1, 0), (True, 0, 0, None)]
+    assert [tuple(r) for r in topk.top_inner_products(df).collect()] == [(0, 1, 1, 65536)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (60, 40), (60, 70), (80, 80)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
