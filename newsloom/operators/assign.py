@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import DUPLICATE, dedup_score, entity_jaccard, simhash_column, simhash_similarity
 from ..functions.text import strip_urls, text_of
+from .vectors import assign
 
-NEAR, SIZE_MOST = 0.85, 50
+NEAR, CENTROID, SIZE_MOST = 0.85, 0.78, 50
 RECENT_HEADLINES, RECENT_EVENTS, LONGEST = 500, 50, 5
 
 
@@ -37,11 +38,12 @@ def entity_candidates(articles: DataFrame, events: DataFrame, now: DataFrame, se
     return met.withColumn("__r", rank).filter(F.col("__r") <= limit).select("id", "cluster_id", "shared")
 
 
-def assign_articles(articles: DataFrame, events: DataFrame, now: DataFrame) -> DataFrame:
+def assign_articles(articles: DataFrame, events: DataFrame, now: DataFrame, centres: DataFrame | None = None) -> DataFrame:
     """(id, cluster_id, how): the event of each article by the first rule that gives one; null if none does.
 
     articles: id, title, text, entities.  events: cluster_id, headline, summary, entities, latest_timestamp, source_count.
-    Rules: equal headline; fingerprint over 0.85 alike with one of the 500 newest; a weighted score over 0.70 with an
+    Rules: equal headline; fingerprint over 0.85 alike with one of the 500 newest; where `centres` (cluster_id, centroid) and
+    an embedding of the article are given, a centroid of cosine over 0.78 of an event of under 50; a weighted score over 0.70 with an
     event that shares an entity, or with one of the 50 newest.  The newest events are few by their limit and broadcast.
     """
     key = lambda c: F.lower(F.trim(strip_urls(c)))
@@ -61,9 +63,14 @@ def assign_articles(articles: DataFrame, events: DataFrame, now: DataFrame) -> D
     recent = left.crossJoin(F.broadcast(right(newest(RECENT_EVENTS).filter(F.col("source_count") < SIZE_MOST))))
     recent = _best(recent.filter(score > DUPLICATE), score, "recent")
     out = articles.select("id")
-    for rule in (exact, near, shared, recent):
+    rules = {"exact": exact, "near": near}
+    if centres is not None:
+        small = centres.join(open_.select("cluster_id"), "cluster_id", "left_semi")
+        rules["centroid"] = assign(articles.filter("embedding is not null").select("id", "embedding"), small, CENTROID).select("id", F.col("cluster_id").alias("centroid"))
+    rules |= {"shared": shared, "recent": recent}
+    for rule in rules.values():
         out = out.join(rule, "id", "left")
-    names = ("exact", "near", "shared", "recent")
+    names = list(rules)
     how = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in names])
     return out.select("id", F.coalesce(*names).alias("cluster_id"), how.alias("how"))
 

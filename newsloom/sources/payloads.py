@@ -117,3 +117,14 @@ def kalshi(raw: DataFrame, json: str = "json") -> DataFrame:
     n = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     question = F.coalesce(F.nullif(F.col("m.title"), F.lit("")), F.col("m.subtitle"), F.lit(""))
     return _market(m, question, price, n("m.volume"), n("m.volume_24h"), text_of("m.rules_primary"), text_of("m.ticker"), F.coalesce("m.close_time", "m.expiration_time", F.lit("")), F.lit("kalshi"))
+
+
+def mirrored_social(raw: DataFrame, as_of: float, instance: str, account: str, xml: str = "xml") -> DataFrame:
+    """Posts of an account from a mirror's RSS: links point to the original site, the publisher is the account."""
+    x = rss(raw, as_of, xml, "social")
+    return x.withColumn("url", F.replace("url", F.lit(instance.rstrip("/")), F.lit("https://x.com"))).withColumn("publisher", F.lit(f"Twitter/X/@{account}"))
+
+
+def bridged_social(raw: DataFrame, as_of: float, publisher: str, limit: int, xml: str = "xml") -> DataFrame:
+    """The first items of a bridge's RSS under one publisher, coverage 0."""
+    return rss(raw, as_of, xml, "social").withColumn("publisher", F.lit(publisher)).orderBy(F.col("timestamp").desc(), "url").limit(limit)
