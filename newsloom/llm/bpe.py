@@ -18,8 +18,8 @@ from .textbytes import _byte_values, _powers, _sums, mix, slices, string_buffers
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NONE = np.uint32(0xFFFFFFFF)
-CELLS = 1 << 19  # cells of one padded matrix
-KEPT = 300_000  # pre-tokens whose ids a worker keeps between batches
+CELLS = 1 << 17  # cells of one padded matrix
+KEPT = 150_000  # pre-tokens whose ids a worker keeps between batches
 
 
 def read_vocabulary(path: str) -> bytes:

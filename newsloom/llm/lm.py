@@ -19,6 +19,8 @@ LEAST = 100  # occurrences that a context needs to be a candidate
 GAIN = 3.0  # nats that a context must gain over its suffix, each occurrence predicted without itself
 SMOOTHING = (5.0, 50.0, 500.0, 5000.0)  # weights of the shorter context's distribution, in occurrences; each context takes its best
 FLUSH = 2_000_000
+CHUNK_BYTES = 8 << 20  # text in a chunk: the larger, the fewer n-grams are sent twice
+HASH_BYTES = 6  # of each hash that are sent, besides its bucket
 
 
 def _combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,9 +78,23 @@ class Tokens:
         return which, distinct, at
 
 
+def _short(hashes: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """A binary column with the low HASH_BYTES of hashes[edge[i]:edge[i + 1]] in row i."""
+    low = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * HASH_BYTES).astype(np.int32)), pa.py_buffer(low)])
+
+
+def _long(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(low bytes as numbers, row boundaries)."""
+    data, offsets = string_buffers(column)
+    out = np.zeros((len(data) // HASH_BYTES, 8), dtype=np.uint8)
+    out[:, :HASH_BYTES] = data.reshape(-1, HASH_BYTES)
+    return out.view("<u8").ravel(), offsets // HASH_BYTES
+
+
 def _sent(chunk: int, hashes: np.ndarray, values: np.ndarray, n_buckets: int) -> pa.Table:
     bucket, edge = cuts(hashes, n_buckets)
-    return pa.table({"chunk": pa.array([chunk] * len(bucket), pa.int64()), "bucket": pa.array(bucket, pa.int32()), "hashes": packed(hashes, edge), "values": packed(values, edge)})
+    return pa.table({"chunk": pa.array([chunk] * len(bucket), pa.int64()), "bucket": pa.array(bucket, pa.int32()), "hashes": _short(hashes, edge), "values": packed(values, edge)})
 
 
 SENT = "chunk long, bucket int, hashes binary, values binary"
@@ -88,7 +104,7 @@ def _totals(sent: DataFrame, kind: int, dtype) -> DataFrame:
     """(chunk, kind, bucket, values): for each hash that a chunk sent, the sum of what all chunks sent with it."""
 
     def add(table: pa.Table) -> pa.Table:
-        h, edge = unpacked(table["hashes"], np.uint64)
+        h, edge = _long(table["hashes"])
         distinct, at = np.unique(h, return_inverse=True)
         total = np.zeros(len(distinct), dtype=dtype)
         np.add.at(total, at, unpacked(table["values"], dtype)[0])
@@ -110,28 +126,30 @@ def _answered(answers: pa.Table, kind: int, hashes: np.ndarray, n_buckets: int,
 def _vocabulary(learn: DataFrame, n_buckets: int) -> tuple[int, int]:
     """(tokens, distinct tokens) of the training texts: two sums over hash buckets come back."""
 
+    def rows(keys: np.ndarray, n: int) -> pa.RecordBatch:
+        bucket, edge = cuts(keys, n_buckets)
+        tokens = np.zeros(len(bucket), np.int64)
+        tokens[:1] = n
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "hashes": _short(keys, edge), "tokens": pa.array(tokens)})
+
     def gather(batches):
-        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, n = np.zeros(0, np.uint64), 0
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
-            for i, j in slices(offsets):
-                new, count = np.unique(_with_ends(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))[1], return_counts=True)
-                both, many = np.concatenate((keys, new)), np.concatenate((n, count))
-                order = np.argsort(both, kind="stable")
-                both = both[order]
-                first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-                keys, n = both[first], np.add.reduceat(many[order], first)
+            for i, j in slices(offsets, CHUNK_BYTES // 2):
+                token = _with_ends(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))[1]
+                keys, n = np.union1d(keys, token), n + len(token)
                 if len(keys) > FLUSH:
-                    yield _sent(0, keys, n, n_buckets).to_batches()[0]
-                    keys, n = keys[:0], n[:0]
-        if len(keys):
-            yield _sent(0, keys, n, n_buckets).to_batches()[0]
+                    yield rows(keys, n)
+                    keys, n = keys[:0], 0
+        if n:
+            yield rows(keys, n)
 
     def count(table: pa.Table) -> pa.Table:
-        distinct = len(np.unique(unpacked(table["hashes"], np.uint64)[0]))
-        return pa.table({"n": pa.array([int(unpacked(table["values"], np.int64)[0].sum())]), "v": pa.array([distinct])})
+        return pa.table({"n": pa.array([int(table["tokens"].to_numpy().sum())]), "v": pa.array([len(np.unique(_long(table["hashes"])[0]))])})
 
-    got = learn.select("text").mapInArrow(gather, SENT).groupBy("bucket").applyInArrow(count, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    sent = learn.select("text").mapInArrow(gather, "bucket int, hashes binary, tokens long")
+    got = sent.groupBy("bucket").applyInArrow(count, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     return got[0] or 0, got[1] or 0
 
 
@@ -156,7 +174,7 @@ def suffix_tree_scores(docs: DataFrame, train: Column, least: int = LEAST, gain:
     n_buckets = buckets_for(total, 16)
     n_train, n_distinct = _vocabulary(base.filter("train"), n_buckets)
     norm = n_train + 0.1 * (n_distinct + 1)
-    chunks = base.withColumn(CHUNK, chunk_key("id", "text", total))
+    chunks = base.withColumn(CHUNK, chunk_key("id", "text", total, CHUNK_BYTES))
 
     def known(table: pa.Table, answers: pa.Table | None, levels: int) -> Tokens:
         t = Tokens(table)

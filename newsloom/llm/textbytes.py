@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20  # text handled at once; a longer text is handled alone
+SLICE_BYTES = 1 << 18  # text handled at once; a longer text is handled alone
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so invertible modulo 2**64
 

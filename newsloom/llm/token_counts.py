@@ -16,7 +16,7 @@ from .bpe import VOCABULARY, read_vocabulary, spans_hash
 from .pretokens import boundaries
 from .textbytes import _byte_values, _powers, _sums, mix, slices, string_buffers
 
-TRIE_BYTES = 2 << 20  # text whose distinct pre-tokens share one trie
+TRIE_BYTES = 1 << 20  # text whose distinct pre-tokens share one trie
 STEP = 1 << 20  # a cost counts in units of this, the tokens in the rest, so equal costs go to fewer tokens
 
 
