@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import CHUNK, buckets_for, chunk_key, cuts, each_slice, packed, text_bytes, unpacked
+from .chunks import CHUNK, buckets_for, chunk_key, cuts, each_slice, text_bytes
 from .quality import held_out
 from .textbytes import mix, slices, string_buffers, Words
 
@@ -92,9 +90,19 @@ def _long(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return out.view("<u8").ravel(), offsets // HASH_BYTES
 
 
+def _planes(values: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """A binary column with values[edge[i]:edge[i + 1]] in row i: all first bytes, all second bytes and so on, as runs of equal bytes shrink in a shuffle."""
+    b = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize)
+    return pa.array([b[i:j].T.tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+
+
+def _of_planes(row: bytes, dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(row, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 def _sent(chunk: int, hashes: np.ndarray, values: np.ndarray, n_buckets: int) -> pa.Table:
     bucket, edge = cuts(hashes, n_buckets)
-    return pa.table({"chunk": pa.array([chunk] * len(bucket), pa.int64()), "bucket": pa.array(bucket, pa.int32()), "hashes": _short(hashes, edge), "values": packed(values, edge)})
+    return pa.table({"chunk": pa.array([chunk] * len(bucket), pa.int64()), "bucket": pa.array(bucket, pa.int32()), "hashes": _short(hashes, edge), "values": _planes(values, edge)})
 
 
 SENT = "chunk long, bucket int, hashes binary, values binary"
@@ -107,8 +115,8 @@ def _totals(sent: DataFrame, kind: int, dtype) -> DataFrame:
         h, edge = _long(table["hashes"])
         distinct, at = np.unique(h, return_inverse=True)
         total = np.zeros(len(distinct), dtype=dtype)
-        np.add.at(total, at, unpacked(table["values"], dtype)[0])
-        return pa.table({"chunk": table["chunk"], "kind": pa.array([kind] * table.num_rows, pa.int32()), "bucket": table["bucket"], "values": packed(total[at], edge)})
+        np.add.at(total, at, np.concatenate([_of_planes(row, dtype) for row in table["values"].to_pylist()]))
+        return pa.table({"chunk": table["chunk"], "kind": pa.array([kind] * table.num_rows, pa.int32()), "bucket": table["bucket"], "values": _planes(total[at], edge)})
 
     return sent.groupBy("bucket").applyInArrow(add, "chunk long, kind int, bucket int, values binary")
 
@@ -119,7 +127,7 @@ def _answered(answers: pa.Table, kind: int, hashes: np.ndarray, n_buckets: int,
     mine = answers.filter(pa.array(answers["kind"].to_numpy() == kind)) if answers.num_rows else answers
     place = np.searchsorted(bucket, mine["bucket"].to_numpy())
     for at, values in zip(place, mine["values"].to_pylist(), strict=True):
-        out[edge[at] : edge[at + 1]] = np.frombuffer(values, dtype)
+        out[edge[at] : edge[at + 1]] = _of_planes(values, dtype)
     return out
 
 
