@@ -82,13 +82,20 @@ def platform_stats(arts: DataFrame, events: DataFrame, claims: DataFrame) -> Dat
     return a.crossJoin(e).crossJoin(claims.agg(F.count(F.lit(1)).alias("claim_count")))  # single rows
 
 
+def rounded_mean(column: str, digits: int) -> Column:
+    """Mean of scores of 0 or more, each taken to 9 digits, rounded half up to `digits`: in whole numbers, so the order of rows does not matter."""
+    n, unit = F.nullif(F.count(F.col(column)), F.lit(0)), 10 ** (9 - digits)
+    doubled = 2 * F.sum(F.round(F.col(column) * 1e9).cast("long")) + n * unit
+    return (doubled - F.pmod(doubled, 2 * n * unit)) / (2 * n * unit) / F.lit(10.0**digits)
+
+
 def publisher_stats(arts: DataFrame) -> DataFrame:
     """Per publisher: articles, newest, oldest, mean scores and the newest article's kind."""
     agg = arts.filter("publisher <> ''").groupBy("publisher").agg(
         F.count(F.lit(1)).alias("article_count"), F.max("ts").alias("latest_article"), F.min("ts").alias("earliest_article"),
-        F.avg("sensationalism_score").alias("s"), F.avg("fact_density").alias("f"), F.max_by("source_type", F.struct("ts", "ingest_seq")).alias("source_type"),
+        rounded_mean("sensationalism_score", 3).alias("s"), rounded_mean("fact_density", 4).alias("f"), F.max_by("source_type", F.struct("ts", "ingest_seq")).alias("source_type"),
     )
-    return agg.select("publisher", "article_count", "latest_article", "earliest_article", F.round(F.coalesce("s", F.lit(0.0)), 3).alias("avg_sensationalism"), F.round(F.coalesce("f", F.lit(0.0)), 4).alias("avg_fact_density"), F.coalesce("source_type", F.lit("rss")).alias("source_type"))
+    return agg.select("publisher", "article_count", "latest_article", "earliest_article", F.coalesce("s", F.lit(0.0)).alias("avg_sensationalism"), F.coalesce("f", F.lit(0.0)).alias("avg_fact_density"), F.coalesce("source_type", F.lit("rss")).alias("source_type"))
 
 
 def social_publisher_stats(arts: DataFrame) -> DataFrame:
@@ -100,9 +107,9 @@ def publisher_bias(arts: DataFrame, window_s: float = 3600.0) -> DataFrame:
     """Per event and publisher: mean sensationalism, articles, kinds, and whether it was among the first."""
     first = F.min("ts").over(Window.partitionBy("cluster_id"))
     agg = arts.withColumn("__first", first).groupBy("cluster_id", "publisher").agg(
-        F.avg("sensationalism_score").alias("s"), F.count(F.lit(1)).alias("article_count"), (F.min("ts") <= F.min("__first") + window_s).alias("is_primary"), F.countDistinct("source_type").alias("source_types")
+        rounded_mean("sensationalism_score", 3).alias("avg_sensationalism"), F.count(F.lit(1)).alias("article_count"), (F.min("ts") <= F.min("__first") + window_s).alias("is_primary"), F.countDistinct("source_type").alias("source_types")
     )
-    return agg.select("cluster_id", "publisher", F.round("s", 3).alias("avg_sensationalism"), "article_count", "is_primary", "source_types")
+    return agg.select("cluster_id", "publisher", "avg_sensationalism", "article_count", "is_primary", "source_types")
 
 
 def narrative_evolution(arts: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def platform_stats(spark, d):
     return V.platform_stats(arts, clusters, A.claims(spark, d))
 
 
-@query("publisher_stats", _with(ART) + """SELECT publisher, count(*) AS article_count, max(ts) AS latest_article, min(ts) AS earliest_article, round(avg(sensationalism_score), 3) AS avg_sensationalism, round(avg(fact_density), 4) AS avg_fact_density,
+@query("publisher_stats", _with(ART) + """SELECT publisher, count(*) AS article_count, max(ts) AS latest_article, min(ts) AS earliest_article, CAST((2 * sum(CAST(round(sensationalism_score * 1e9) AS BIGINT)) + count(sensationalism_score) * 1000000) // (2 * count(sensationalism_score) * 1000000) AS BIGINT) / 1000.0::DOUBLE AS avg_sensationalism, CAST((2 * sum(CAST(round(fact_density * 1e9) AS BIGINT)) + count(fact_density) * 100000) // (2 * count(fact_density) * 100000) AS BIGINT) / 10000.0::DOUBLE AS avg_fact_density,
   arg_max(source_type, ts) AS source_type FROM articles WHERE publisher <> '' GROUP BY publisher""")
 def publisher_stats(spark, d):
     return V.publisher_stats(A.articles(spark, d))
@@ -99,7 +99,7 @@ def social_publisher_stats(spark, d):
     return V.social_publisher_stats(A.articles(spark, d))
 
 
-@query("publisher_bias", _with(ART) + """SELECT cluster_id, publisher, round(avg(sensationalism_score), 3) AS avg_sensationalism, count(*) AS article_count, min(ts) <= min(f) + 3600 AS is_primary, count(DISTINCT source_type) AS source_types
+@query("publisher_bias", _with(ART) + """SELECT cluster_id, publisher, CAST((2 * sum(CAST(round(sensationalism_score * 1e9) AS BIGINT)) + count(sensationalism_score) * 1000000) // (2 * count(sensationalism_score) * 1000000) AS BIGINT) / 1000.0::DOUBLE AS avg_sensationalism, count(*) AS article_count, min(ts) <= min(f) + 3600 AS is_primary, count(DISTINCT source_type) AS source_types
   FROM (SELECT *, min(ts) OVER (PARTITION BY cluster_id) AS f FROM articles) GROUP BY cluster_id, publisher""")
 def publisher_bias(spark, d):
     return V.publisher_bias(A.articles(spark, d))
