@@ -18,7 +18,7 @@ GAIN = 3.0  # nats that a context must gain over its suffix, each occurrence pre
 SMOOTHING = (5.0, 50.0, 500.0, 5000.0)  # weights of the shorter context's distribution, in occurrences; each context takes its best
 FLUSH = 2_000_000
 CHUNK_BYTES = 8 << 20  # text in a chunk: the larger, the fewer n-grams are sent twice
-HASH_BYTES = 6  # of each hash that are sent, besides its bucket
+HASH_BYTES = 5  # of each hash that are sent, besides its bucket: in a bucket of 300,000 n-grams two are confused with a chance of 4 %
 
 
 def _combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,8 +91,8 @@ def _long(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _planes(values: np.ndarray, edge: np.ndarray) -> pa.Array:
-    """A binary column with values[edge[i]:edge[i + 1]] in row i: all first bytes, all second bytes and so on, as runs of equal bytes shrink in a shuffle."""
-    b = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize)
+    """A binary column with values[edge[i]:edge[i + 1]], of one or more numbers each, in row i: all first bytes, all second bytes and so on, as runs of equal bytes shrink in a shuffle."""
+    b, edge = np.ascontiguousarray(values).view(np.uint8).reshape(values.size, values.dtype.itemsize), edge * (values.size // max(1, len(values)))
     return pa.array([b[i:j].T.tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
 
 
@@ -118,7 +118,22 @@ def _totals(sent: DataFrame, kind: int, dtype) -> DataFrame:
         np.add.at(total, at, np.concatenate([_of_planes(row, dtype) for row in table["values"].to_pylist()]))
         return pa.table({"chunk": table["chunk"], "kind": pa.array([kind] * table.num_rows, pa.int32()), "bucket": table["bucket"], "values": _planes(total[at], edge)})
 
-    return sent.groupBy("bucket").applyInArrow(add, "chunk long, kind int, bucket int, values binary")
+    return sent.groupBy("bucket").applyInArrow(add, "chunk long, kind int, bucket int, values binary").repartition("chunk")  # once: unions of these keep the partitioning
+
+
+def _choices(sent: DataFrame, kind: int, n: int, gain: float) -> DataFrame:
+    """(chunk, kind, bucket, values): for each context that a chunk sent, a byte: 1 + which of the `n` sums is largest, or 0 if none exceeds `gain`."""
+
+    def choose(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")  # so that sums do not depend on the order of arrival
+        h, edge = _long(table["hashes"])
+        distinct, at = np.unique(h, return_inverse=True)
+        total = np.zeros((len(distinct), n))
+        np.add.at(total, at, np.concatenate([_of_planes(row, np.float32) for row in table["values"].to_pylist()]).reshape(-1, n))
+        choice = np.where(total.max(axis=1) > gain, 1 + total.argmax(axis=1), 0).astype(np.uint8)
+        return pa.table({"chunk": table["chunk"], "kind": pa.array([kind] * table.num_rows, pa.int32()), "bucket": table["bucket"], "values": _planes(choice[at], edge)})
+
+    return sent.groupBy("bucket").applyInArrow(choose, "chunk long, kind int, bucket int, values binary").repartition("chunk")  # once: unions of these keep the partitioning
 
 
 def _answered(answers: pa.Table, kind: int, hashes: np.ndarray, n_buckets: int, dtype) -> np.ndarray:
@@ -206,9 +221,9 @@ def suffix_tree_scores(docs: DataFrame, train: Column, least: int = LEAST, gain:
         seen = np.maximum(t.occurrences(level) - without, 0)
         return np.where(t.asked(level, least), (np.maximum(t.count[level] - without, 0) + weight * shorter) / (seen + weight), shorter)
 
-    def names(contexts: np.ndarray, level: int) -> list[np.ndarray]:
-        """Hashes under which the gains of contexts are added up, one for each weight."""
-        return [_combined(contexts, np.uint64(level * len(smoothing) + i)) for i in range(len(smoothing))]
+    def names(contexts: np.ndarray, level: int) -> np.ndarray:
+        """Hashes under which the gains of contexts are added up."""
+        return _combined(contexts, np.uint64(level))
 
     def gains(left: pa.Table, right: pa.Table) -> pa.Table:
         t = known(left, right, DEPTH + 1)
@@ -217,26 +232,25 @@ def suffix_tree_scores(docs: DataFrame, train: Column, least: int = LEAST, gain:
             which = np.flatnonzero(t.asked(level, least))
             distinct, at = np.unique(t.context[level][which], return_inverse=True)
             each = [predicted(t, level, shorter, weight, 1) for weight in smoothing]
-            hashes += names(distinct, level)
-            values += [np.bincount(at, weights=np.where(t.train[which], np.log(p[which] / shorter[which]), 0.0), minlength=len(distinct)) for p in each]
+            hashes.append(names(distinct, level))
+            values.append(np.stack([np.bincount(at, weights=np.where(t.train[which], np.log(p[which] / shorter[which]), 0.0), minlength=len(distinct)) for p in each], axis=1))
             shorter = each[-2]
         h, v = np.concatenate(hashes), np.concatenate(values)
         order = np.argsort(h)
-        return _sent(left[CHUNK][0].as_py(), h[order], v[order], n_buckets)
+        return _sent(left[CHUNK][0].as_py(), h[order], v[order].astype(np.float32), n_buckets)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         t, n = known(left, right, DEPTH + 1), left.num_rows
         sets = [np.unique(t.context[level][t.asked(level, least)]) for level in range(1, DEPTH + 1)]
-        h = np.sort(np.concatenate([x for level, s in enumerate(sets, 1) for x in names(s, level)]))
-        gained = _answered(right, DEPTH + 1, h, n_buckets, np.float64)
+        h = np.sort(np.concatenate([names(s, level) for level, s in enumerate(sets, 1)]))
+        choice = _answered(right, DEPTH + 1, h, n_buckets, np.uint8)
         root = (t.count[0] + 0.1) / norm
         best = root.copy()
         for level, s in enumerate(sets, 1):
             which = np.flatnonzero(t.asked(level, least))
             if not len(which):
                 continue
-            total_gain = np.stack([gained[np.searchsorted(h, x)] for x in names(s, level)], axis=1)
-            weight = np.where(total_gain.max(axis=1) > gain, np.array(smoothing)[total_gain.argmax(axis=1)], np.inf)
+            weight = np.array([np.inf, *smoothing])[choice[np.searchsorted(h, names(s, level))]]
             weight = weight[np.searchsorted(s, t.context[level][which])]
             which, weight = which[np.isfinite(weight)], weight[np.isfinite(weight)]
             best[which] = (t.count[level][which] + weight * best[which]) / (t.occurrences(level)[which] + weight)
@@ -253,7 +267,7 @@ def suffix_tree_scores(docs: DataFrame, train: Column, least: int = LEAST, gain:
         sent = words.cogroup(answers.groupBy("chunk")).applyInArrow(sender(level), SENT)
         answers = answers.unionByName(_totals(sent, level, np.int64))
     sent = words.cogroup(answers.groupBy("chunk")).applyInArrow(gains, SENT)
-    answers = answers.unionByName(_totals(sent, DEPTH + 1, np.float64))
+    answers = answers.unionByName(_choices(sent, DEPTH + 1, len(smoothing), gain))
     kind = docs.schema[id_col].dataType.simpleString()
     out = words.cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
