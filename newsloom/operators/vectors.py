@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import cosine
 
 TABLES, BITS, SEED = 8, 10, 42
+PROBE = 3  # bits of a bucket number that a candidate may differ in: recall of the top 5 is 0.98 on sf0.1, 0.82 with 2, 0.09 with 0
+EXACT_BELOW = 200  # rows of a table that is always searched in full
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -24,25 +28,41 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float) ->
 
 
 def bucket_columns(vector: Column, dim: int, seed: int = SEED) -> Column:
-    """Array of TABLES bucket numbers: the signs of BITS random projections each."""
-    rng, out = random.Random(seed), []
-    for t in range(TABLES):
-        value = F.lit(t << BITS)
-        for b in range(BITS):
-            plane = F.array(*[F.lit(rng.gauss(0, 1)) for _ in range(dim)])
-            side = F.aggregate(F.zip_with(vector, plane, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) > 0
-            value = value + F.when(side, 1 << b).otherwise(0)
-        out.append(value)
-    return F.array(*out)
-
-
-def nearest_lsh(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
-    """Approximate k nearest by cosine: candidates share a bucket in one of the tables, then are ranked exactly."""
-    x = vectors.select("id", "embedding", F.explode(bucket_columns(F.col("embedding"), dim)).alias("bucket"))
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.explode(bucket_columns(F.col("embedding"), dim)).alias("bucket"))
-    found = x.join(q, "bucket").filter("id <> query_id").dropDuplicates(["query_id", "id"]).withColumn("c", cosine("q", "embedding"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("c").desc(), "id"))
-    return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.round("c", 6).alias("similarity"))
+    """Array of TABLES bucket numbers: the signs of BITS random projections each; null for a vector of another length."""
+    rng = random.Random(seed)
+    planes = np.array([[rng.gauss(0, 1) for _ in range(dim)] for _ in range(TABLES * BITS)]).T
+
+    @F.pandas_udf("array<int>")
+    def buckets(vectors: pd.Series) -> pd.Series:
+        fits = [v is not None and len(v) == dim for v in vectors]
+        out = pd.Series([None] * len(vectors), dtype=object)
+        if any(fits):
+            sides = np.stack([np.asarray(v, dtype=float) for v, ok in zip(vectors, fits, strict=True) if ok]) @ planes > 0
+            numbers = sides.reshape(-1, TABLES, BITS) @ (1 << np.arange(BITS)) + (np.arange(TABLES) << BITS)
+            out[np.flatnonzero(fits)] = list(numbers.astype(np.int32))
+        return out
+
+    return buckets(vector)
+
+
+def nearest_lsh(vectors: DataFrame, queries: DataFrame, k: int, dim: int, probe: int = PROBE) -> DataFrame:
+    """Approximate k nearest by cosine: candidates are within `probe` bits of the query's bucket in one of the tables, then are ranked exactly.
+
+    All rows are searched for a query of fewer than 3k candidates, and for every query of a table under EXACT_BELOW rows.
+    Buckets are compared in one pass, as a radius of 3 bits reaches most of them.  Rows without a vector take no part.
+    """
+    rows, asked = vectors.filter("embedding is not null"), queries.filter("embedding is not null")
+    x = rows.select("id", "embedding", bucket_columns(F.col("embedding"), dim).alias("b"))
+    q = asked.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), bucket_columns(F.col("embedding"), dim).alias("qb"))
+    apart = F.least(*[F.bit_count(F.col("b")[t].bitwiseXOR(F.col("qb")[t])) for t in range(TABLES)])
+    found = x.join(q, (F.col("id") != F.col("query_id")) & (apart <= probe)).withColumn("c", cosine("q", "embedding"))
+    by_query = Window.partitionBy("query_id")
+    best = found.withColumn("rank", F.row_number().over(by_query.orderBy(F.col("c").desc(), "id")).cast("long")).filter(F.col("rank") <= 3 * k)
+    size = rows.agg(F.count(F.lit(1)).alias("size"))
+    enough = best.withColumn("n", F.count(F.lit(1)).over(by_query)).filter(F.col("n") >= 3 * k).join(F.broadcast(size), F.col("size") >= EXACT_BELOW)
+    few = asked.join(enough.select(F.col("query_id").alias("id")).distinct(), "id", "left_anti")
+    near = enough.filter(F.col("rank") <= k).select("query_id", "rank", "id", F.round("c", 6).alias("similarity"))
+    return near.unionByName(nearest(rows, few, k, -2.0))
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
