@@ -340,6 +340,13 @@ def simhash(spark, d):
     f" OR (((a.simhash >> {8 * i}) & 255) = ((b.simhash >> {8 * i}) & 255) AND (SELECT count(*) FROM simhash c WHERE ((c.simhash >> {8 * i}) & 255) = ((a.simhash >> {8 * i}) & 255)) <= 100)" for i in range(1, 8)
 ) + ")) SELECT id_a, id_b, CAST(distance AS INTEGER) AS distance FROM k WHERE distance <= 9")
 def simhash_pairs(spark, d):
+    """With the original's cap on buckets, as its SQL; `simhash_pairs_all` leaves none out."""
+    return D.banded_pairs(simhash(spark, d), "doc_id", "simhash", 9, cap=D.BUCKET_MOST)
+
+
+@query("simhash_pairs_all", "WITH " + SIMHASH + """ SELECT a.doc_id AS id_a, b.doc_id AS id_b, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance FROM simhash a JOIN simhash b ON a.doc_id < b.doc_id
+WHERE bit_count(xor(a.simhash, b.simhash)) <= 9 AND (""" + " OR ".join(f"((a.simhash >> {8 * i}) & 255) = ((b.simhash >> {8 * i}) & 255)" for i in range(8)) + ")")
+def simhash_pairs_all(spark, d):
     return D.banded_pairs(simhash(spark, d), "doc_id", "simhash", 9)
 
 

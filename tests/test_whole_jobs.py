@@ -1,5 +1,7 @@
 """Cases that an operator once left out."""
 
+import random
+
 from pyspark.sql import functions as F
 
 
@@ -29,3 +31,35 @@ def test_lsh_searches_all_rows_where_candidates_are_few(spark):
         want = sorted(map(tuple, E.nearest(v.filter("embedding is not null"), q.filter("embedding is not null"), 3, -2.0).collect()))
         got = sorted(map(tuple, E.nearest_lsh(v, q, 3, 2, probe=0).collect()))
         assert [r for r in got if r[0] == 900] == [r for r in want if r[0] == 900] and len(got) == len(want) == 9
+
+
+def _share_a_band(x):
+    return any((x >> 8 * i) & 255 == 0 for i in range(8))
+
+
+def test_pairs_of_common_bands_are_found(spark):
+    from newsloom.operators import dedup as D
+
+    rng = random.Random(1)
+    hashes = [rng.getrandbits(64) for _ in range(2)]
+    rows = [hashes[i % 2] for i in range(30)]  # equal ones
+    while len(rows) < 300:
+        rows.append(hashes[len(rows) % 2] ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))))
+    signed = [(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(rows)]
+    want = {(i, j, (rows[i] ^ rows[j]).bit_count()) for j in range(300) for i in range(j) if (rows[i] ^ rows[j]).bit_count() <= 9 and _share_a_band(rows[i] ^ rows[j])}
+    got = [tuple(r) for r in D.banded_pairs(spark.createDataFrame(signed, "id long, h long"), "id", "h", 9).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_events_of_common_headlines_merge(spark):
+    from newsloom.functions.similarity import simhash_column
+    from newsloom.operators import dedup as D
+
+    text = "storm nears the northern coast as thousands leave their homes and ports close for the week while ships wait"
+    events = spark.createDataFrame([(f"e{i:03}", f"{text} item{i // 2} {'again' if i % 2 else ''}", float(i * 7 % 300), 1000.0) for i in range(300)], "cluster_id string, headline string, earliest_timestamp double, latest_timestamp double")
+    now = spark.createDataFrame([(1000.0,)], "as_of double")
+    h = [(r.t, r.cluster_id, r.h & (2**64 - 1)) for r in events.select(F.col("earliest_timestamp").alias("t"), "cluster_id", simhash_column(F.lower(F.trim("headline"))).alias("h")).collect()]
+    close = lambda a, b: (a ^ b).bit_count() <= 9 and _share_a_band(a ^ b)
+    want = {e[1]: min(x for x in h if x < e and close(x[2], e[2]))[1] for e in h if any(x < e and close(x[2], e[2]) for x in h)}
+    assert len(want) > 250
+    assert {r.cluster_id: r.primary_id for r in D.merge_map(events, now).collect()} == want
