@@ -13,7 +13,7 @@ from .textbytes import mix, slices, string_buffers, Words
 
 END = np.uint64(0x9AE16A3B2F90404F)  # stands for the end of a text
 DEPTH = 2  # longest context in words
-LEAST = 100  # occurrences that a context needs to be a candidate
+LEAST = 2  # occurrences that a context needs to be a candidate: one alone, left out of its own prediction, gains nothing
 GAIN = 3.0  # nats that a context must gain over its suffix, each occurrence predicted without itself
 SMOOTHING = (5.0, 50.0, 500.0, 5000.0)  # weights of the shorter context's distribution, in occurrences; each context takes its best
 FLUSH = 2_000_000

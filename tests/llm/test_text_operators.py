@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -253,3 +254,13 @@ def test_quality(spark, empty):
     assert len(scores) == 4 and all(0 <= s <= 1 for s in scores)
     assert {r.score for r in quality.quality_scores(x, labels.limit(0)).collect()} == {0.5}
     assert quality.quality_scores(empty, labels).count() == 0
+
+
+def test_lm_learns_contexts_of_few_occurrences(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(400)}"
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(200)] + [passage] * 4
+    docs = spark.createDataFrame([(i, x, i != 0 and i != 203) for i, x in enumerate(texts)], "doc_id long, text string, train boolean")
+    out = {r.doc_id: r for r in lm.suffix_tree_scores(docs, F.col("train")).collect()}  # with the parameters of op8
+    assert out[203].score > out[203].base_score + 20 and abs(out[0].score - out[0].base_score) < 20
