@@ -34,6 +34,15 @@ def chunk_key(id_col: str, text_col: str, total_bytes: int, chunk_bytes: int = C
     return F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n))
 
 
+def copy_numbers(hashes: np.ndarray, seen: dict[int, int]) -> np.ndarray:
+    """How often each hash came before in this task; `seen` has the counts so far."""
+    out = np.zeros(len(hashes), np.int64)
+    for i, h in enumerate(hashes.tolist()):
+        out[i] = n = seen.get(h, 0)
+        seen[h] = n + 1
+    return out
+
+
 def buckets_for(total_bytes: int, bytes_each: int, bytes_per_item: float = 6.0) -> int:
     """Buckets that hold about BUCKET_BYTES each if every `bytes_per_item` bytes of text send one item."""
     return max(1, math.ceil(total_bytes / bytes_per_item * bytes_each / BUCKET_BYTES))

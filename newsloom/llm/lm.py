@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import CHUNK, buckets_for, chunk_key, cuts, each_slice, text_bytes
+from .chunks import copy_numbers, cuts, text_bytes
 from .quality import held_out
-from .textbytes import mix, slices, string_buffers, Words
+from .textbytes import Words, mix, slices, string_buffers
 
 END = np.uint64(0x9AE16A3B2F90404F)  # stands for the end of a text
 DEPTH = 2  # longest context in words
 LEAST = 2  # occurrences that a context needs to be a candidate: one alone, left out of its own prediction, gains nothing
 GAIN = 3.0  # nats that a context must gain over its suffix, each occurrence predicted without itself
 SMOOTHING = (5.0, 50.0, 500.0, 5000.0)  # weights of the shorter context's distribution, in occurrences; each context takes its best
-FLUSH = 2_000_000
 CHUNK_BYTES = 8 << 20  # text in a chunk: the larger, the fewer n-grams are sent twice
-HASH_BYTES = 5  # of each hash that are sent, besides its bucket: in a bucket of 300,000 n-grams two are confused with a chance of 4 %
+PACK_BYTES = 32 << 20  # text that a task holds while it packs
+BUCKET_TOKENS, BUCKET_ENTRIES = 38_000_000, 9_000_000  # bytes of text whose words, and whose n-grams of one length, fill a bucket
+HOT = 500_000  # occurrences above which the next words of a context are dealt to several buckets
+NATS = 256  # steps in a nat of what a bucket is told about the shorter context's prediction
 
 
 def _combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -36,241 +41,347 @@ def _with_ends(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(w.rows), length), token
 
 
-class Tokens:
-    """Tokens of a chunk with the hashes of their contexts and n-grams, and what the buckets answered about them."""
-
-    def __init__(self, table: pa.Table):
-        rows, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for i, _, w in each_slice(table["text"]):
-            row, token = _with_ends(w)
-            rows.append(row + i)
-            tokens.append(token)
-        self.row, token = np.concatenate(rows), np.concatenate(tokens)
-        self.train = table["train"].to_numpy(zero_copy_only=False).astype(bool)[self.row]
-        n = len(token)
-        self.context, self.has = [np.zeros(n, np.uint64)], [np.ones(n, dtype=bool)]
-        for length in range(1, DEPTH + 1):
-            context, has = np.zeros(n, np.uint64), np.zeros(n, dtype=bool)
-            has[length:] = self.row[length:] == self.row[:-length]
-            before = token[:-1] if n else token
-            context[1:] = before if length == 1 else _combined(self.context[-1][:-1], before)
-            self.context.append(context)
-            self.has.append(has)
-        self.gram = [token] + [_combined(c, token) ^ np.uint64(length + 1) for length, c in enumerate(self.context[1:], 1)]
-        self.count: list[np.ndarray] = []  # of each token's n-gram, by length; 0 where it is not asked for
-
-    def asked(self, level: int, least: int) -> np.ndarray:
-        """Tokens whose n-gram of level + 1 words counts: those after a context with enough occurrences."""
-        return self.has[level] & (self.occurrences(level) >= least) if level else self.has[0]
-
-    def occurrences(self, level: int) -> np.ndarray:
-        """Of the context of `level` words before each token: the count of that n-gram where it ended."""
-        out = np.zeros(len(self.row), np.int64)
-        out[1:] = self.count[level - 1][:-1]
-        return np.where(self.has[level], out, 0)
-
-    def ask(self, level: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(which tokens, distinct sorted n-grams, place of each token's)."""
-        which = np.flatnonzero(self.asked(level, least))
-        distinct, at = np.unique(self.gram[level][which], return_inverse=True)
-        return which, distinct, at
-
-
-def _short(hashes: np.ndarray, edge: np.ndarray) -> pa.Array:
-    """A binary column with the low HASH_BYTES of hashes[edge[i]:edge[i + 1]] in row i."""
-    low = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
-    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * HASH_BYTES).astype(np.int32)), pa.py_buffer(low)])
-
-
-def _long(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(low bytes as numbers, row boundaries)."""
-    data, offsets = string_buffers(column)
-    out = np.zeros((len(data) // HASH_BYTES, 8), dtype=np.uint8)
-    out[:, :HASH_BYTES] = data.reshape(-1, HASH_BYTES)
-    return out.view("<u8").ravel(), offsets // HASH_BYTES
-
-
-def _planes(values: np.ndarray, edge: np.ndarray) -> pa.Array:
-    """A binary column with values[edge[i]:edge[i + 1]], of one or more numbers each, in row i: all first bytes, all second bytes and so on, as runs of equal bytes shrink in a shuffle."""
-    b, edge = np.ascontiguousarray(values).view(np.uint8).reshape(values.size, values.dtype.itemsize), edge * (values.size // max(1, len(values)))
-    return pa.array([b[i:j].T.tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-
-
-def _of_planes(row: bytes, dtype) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(row, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
-
-
-def _sent(chunk: int, hashes: np.ndarray, values: np.ndarray, n_buckets: int) -> pa.Table:
-    bucket, edge = cuts(hashes, n_buckets)
-    return pa.table({"chunk": pa.array([chunk] * len(bucket), pa.int64()), "bucket": pa.array(bucket, pa.int32()), "hashes": _short(hashes, edge), "values": _planes(values, edge)})
-
-
-SENT = "chunk long, bucket int, hashes binary, values binary"
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string: of each all first bytes, then all second bytes and so on, as small numbers leave most of these zero."""
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes() for x in arrays if len(x)]
+    return zstandard.compress(b"".join(planes), 1)
 
 
-def _totals(sent: DataFrame, kind: int, dtype) -> DataFrame:
-    """(chunk, kind, bucket, values): for each hash that a chunk sent, the sum of what all chunks sent with it."""
-
-    def add(table: pa.Table) -> pa.Table:
-        h, edge = _long(table["hashes"])
-        distinct, at = np.unique(h, return_inverse=True)
-        total = np.zeros(len(distinct), dtype=dtype)
-        np.add.at(total, at, np.concatenate([_of_planes(row, dtype) for row in table["values"].to_pylist()]))
-        return pa.table({"chunk": table["chunk"], "kind": pa.array([kind] * table.num_rows, pa.int32()), "bucket": table["bucket"], "values": _planes(total[at], edge)})
-
-    return sent.groupBy("bucket").applyInArrow(add, "chunk long, kind int, bucket int, values binary").repartition("chunk")  # once: unions of these keep the partitioning
-
-
-def _choices(sent: DataFrame, kind: int, n: int, gain: float) -> DataFrame:
-    """(chunk, kind, bucket, values): for each context that a chunk sent, a byte: 1 + which of the `n` sums is largest, or 0 if none exceeds `gain`."""
-
-    def choose(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")  # so that sums do not depend on the order of arrival
-        h, edge = _long(table["hashes"])
-        distinct, at = np.unique(h, return_inverse=True)
-        total = np.zeros((len(distinct), n))
-        np.add.at(total, at, np.concatenate([_of_planes(row, np.float32) for row in table["values"].to_pylist()]).reshape(-1, n))
-        choice = np.where(total.max(axis=1) > gain, 1 + total.argmax(axis=1), 0).astype(np.uint8)
-        return pa.table({"chunk": table["chunk"], "kind": pa.array([kind] * table.num_rows, pa.int32()), "bucket": table["bucket"], "values": _planes(choice[at], edge)})
-
-    return sent.groupBy("bucket").applyInArrow(choose, "chunk long, kind int, bucket int, values binary").repartition("chunk")  # once: unions of these keep the partitioning
+def _spread(data: bytes, *parts: tuple[int, type]) -> list[np.ndarray]:
+    """The arrays of _squeezed, given their lengths and types."""
+    raw, at, out = np.frombuffer(zstandard.decompress(data) if data else b"", np.uint8), 0, []
+    for n, kind in parts:
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
 
 
-def _answered(answers: pa.Table, kind: int, hashes: np.ndarray, n_buckets: int, dtype) -> np.ndarray:
-    bucket, edge = cuts(hashes, n_buckets)
-    out = np.zeros(len(hashes), dtype=dtype)
-    mine = answers.filter(pa.array(answers["kind"].to_numpy() == kind)) if answers.num_rows else answers
-    place = np.searchsorted(bucket, mine["bucket"].to_numpy())
-    for at, values in zip(place, mine["values"].to_pylist(), strict=True):
-        out[edge[at] : edge[at + 1]] = _of_planes(values, dtype)
-    return out
+PACKED = "chunk long, ids array<{kind}>, train binary, sizes binary, text binary"
 
 
-def _vocabulary(learn: DataFrame, n_buckets: int) -> tuple[int, int]:
-    """(tokens, distinct tokens) of the training texts: two sums over hash buckets come back."""
+def _packed(docs: DataFrame, n_chunks: int, kind: str) -> DataFrame:
+    """Texts dealt to chunks, compressed a chunk at a time.  Copies of one row go to chunks one after another."""
 
-    def rows(keys: np.ndarray, n: int) -> pa.RecordBatch:
-        bucket, edge = cuts(keys, n_buckets)
-        tokens = np.zeros(len(bucket), np.int64)
-        tokens[:1] = n
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "hashes": _short(keys, edge), "tokens": pa.array(tokens)})
+    def pieces(rows: pa.Table):
+        rows = rows.sort_by("chunk")
+        chunk = rows["chunk"].to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1], [True])))
+        data, offsets = string_buffers(rows["text"])
+        ids, train = rows["id"].combine_chunks(), rows["train"].to_numpy().astype(np.uint8)
+        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            yield pa.RecordBatch.from_pydict({
+                "chunk": pa.array([chunk[i]], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids[i:j]), "train": pa.array([train[i:j].tobytes()], pa.binary()),
+                "sizes": pa.array([np.diff(offsets[i : j + 1]).tobytes()], pa.binary()), "text": pa.array([zstandard.compress(data[offsets[i] : offsets[j]].tobytes(), 1)], pa.binary()),
+            })
 
-    def gather(batches):
-        keys, n = np.zeros(0, np.uint64), 0
+    def pack(batches):
+        held, size, seen = [], 0, {}
         for batch in batches:
-            data, offsets = string_buffers(batch.column("text"))
-            for i, j in slices(offsets, CHUNK_BYTES // 2):
-                token = _with_ends(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))[1]
-                keys, n = np.union1d(keys, token), n + len(token)
-                if len(keys) > FLUSH:
-                    yield rows(keys, n)
-                    keys, n = keys[:0], 0
-        if n:
-            yield rows(keys, n)
+            h = batch.column("h").to_numpy()
+            chunk = (h + copy_numbers(h, seen)) % n_chunks
+            held.append(pa.table({"id": batch.column("id"), "text": batch.column("text"), "train": batch.column("train"), "chunk": pa.array(chunk, pa.int64())}))
+            size += batch.nbytes
+            if size > PACK_BYTES:
+                yield from pieces(pa.concat_tables(held))
+                held, size = [], 0
+        if held:
+            yield from pieces(pa.concat_tables(held))
+
+    return docs.select("id", "text", "train", F.xxhash64("id", "text").alias("h")).mapInArrow(pack, PACKED.format(kind=kind))
+
+
+class Model:
+    """What tasks need to know: sizes, candidates, test and weights."""
+
+    def __init__(self, total: int, n_chunks: int, depth: int, least: int, gain: float, smoothing: tuple[float, ...]):
+        self.depth, self.least, self.gain, self.weights = depth, least, gain, np.array([np.inf, *smoothing])
+        self.word_buckets, self.buckets = max(1, math.ceil(total / BUCKET_TOKENS)), max(1, math.ceil(total / BUCKET_ENTRIES))
+        self.hot = max(HOT, n_chunks)
+
+
+class Level:
+    """Distinct n-grams of one length in a chunk, in pieces by the bucket that they are sent to."""
+
+    def __init__(self, which: np.ndarray, key: np.ndarray, context: np.ndarray | None, occ: np.ndarray | None, model: Model):
+        self.which = which
+        distinct, self.first, at = np.unique(key, return_index=True, return_inverse=True)
+        n = len(distinct)
+        part, asks = np.zeros(n, np.int32), []
+        if context is None:
+            bucket = (((distinct >> np.uint64(32)) * np.uint64(model.word_buckets)) >> np.uint64(32)).astype(np.int64)
+            order = np.arange(n)
+        else:
+            self.context = context[self.first]
+            bucket = (((self.context >> np.uint64(32)) * np.uint64(model.buckets)) >> np.uint64(32)).astype(np.int64)
+            parts = -(-occ[self.first] // model.hot)
+            hot = np.flatnonzero(parts > 1)
+            bucket[hot] = -1 - (self.context[hot] >> np.uint64(1)).astype(np.int64)
+            part[hot] = ((distinct[hot] & np.uint64(0xFFFFFFFF)) * parts[hot].astype(np.uint64)) >> np.uint64(32)
+            order = np.concatenate((np.flatnonzero(parts <= 1), hot[np.lexsort((distinct[hot], part[hot], bucket[hot]))]))
+            # a hot context's gain is the sum over all parts: parts without an n-gram of this chunk are asked too
+            for b, i in zip(*np.unique(bucket[hot], return_index=True), strict=True):
+                n_parts = parts[hot[i]]
+                asks += [(b, p) for p in np.setdiff1d(np.arange(n_parts), part[hot][bucket[hot] == b])]
+        bucket, part = bucket[order], part[order]
+        self.edge = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]), [True]))) if n else np.zeros(1, np.int64)
+        self.bucket, self.part = bucket[self.edge[:-1]], part[self.edge[:-1]]
+        self.order, self.asks = order, asks
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        self.at = back[at]  # place of each asked token's n-gram in the order sent
+
+    def runs(self, i: int, j: int) -> np.ndarray:
+        """Where contexts begin among the n-grams i to j in the order sent, and j."""
+        c = self.context[self.order[i:j]]
+        return np.append(i + np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))), j)
 
-    def count(table: pa.Table) -> pa.Table:
-        return pa.table({"n": pa.array([int(table["tokens"].to_numpy().sum())]), "v": pa.array([len(np.unique(_long(table["hashes"])[0]))])})
 
-    sent = learn.select("text").mapInArrow(gather, "bucket int, hashes binary, tokens long")
-    got = sent.groupBy("bucket").applyInArrow(count, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    return got[0] or 0, got[1] or 0
+class Tokens:
+    """Tokens of a chunk and what the buckets have answered about them so far."""
+
+    def __init__(self, table: pa.Table, answers: pa.Table | None, levels: int, model: Model):
+        rows, tokens, train, upto, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], 0, []
+        for piece in table.select(["train", "sizes", "text"]).to_pylist():
+            data = np.frombuffer(zstandard.decompress(piece["text"]) if piece["text"] else b"", np.uint8)
+            offsets = np.concatenate(([0], np.cumsum(np.frombuffer(piece["sizes"], np.int64))))
+            for i, j in slices(offsets):
+                row, token = _with_ends(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                rows.append(row + i + upto)
+                tokens.append(token)
+            train.append(np.frombuffer(piece["train"], np.uint8))
+            upto += len(offsets) - 1
+        self.rows, self.row, self.token = upto, np.concatenate(rows), np.concatenate(tokens)
+        self.train_row = np.concatenate(train).astype(bool)
+        self.train = self.train_row[self.row]
+        self.model, n = model, len(self.row)
+        self.levels = [Level(np.arange(n), self.token, None, None, model)]
+        if levels == 0:
+            return
+        self.trained = int(answers["n"].to_numpy().max())
+        self.norm = self.trained + 0.1 * (int(answers["v"].to_numpy().max()) + 1)
+        level, bucket, part = answers["level"].to_numpy(), answers["bucket"].to_numpy(), answers["part"].to_numpy()
+        replies = {(a, b, c): d for a, b, c, d in zip(level.tolist(), bucket.tolist(), part.tolist(), answers["data"].to_pylist(), strict=True)}
+        words = self.levels[0]
+        count, code = np.zeros(len(words.order), np.int64), np.zeros(len(words.order), np.int64)
+        for b, i, j in zip(words.bucket.tolist(), words.edge[:-1], words.edge[1:], strict=True):
+            rank, count[i:j] = _spread(replies[0, b, 0], (j - i, np.int64), (j - i, np.int64))
+            code[i:j] = rank * model.word_buckets + b
+        self.code, self.count = code[words.at], count[words.at]
+        # of the model so far: each token's prediction, and the same without the token itself
+        self.root = (self.count + 0.1) / self.norm
+        self.p, self.without = self.root.copy(), (np.maximum(self.count - 1, 0) + 0.1) / max(self.norm - 1, 0.1)
+        self.known = self.count > 0
+        self.context = np.zeros(n, np.uint64)
+        for length in range(1, levels + 1):
+            self._ask(length)
+            if length < levels:
+                self._learn(length, replies)
+
+    def _ask(self, length: int) -> None:
+        """The n-grams after contexts of `length` words that have enough occurrences."""
+        n = len(self.row)
+        context, occ = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        context[1:] = _combined(self.context[:-1] if length > 1 else np.full(max(n - 1, 0), length, np.uint64), self.code[:-1].view(np.uint64))
+        occ[1:] = self.count[:-1]
+        has = np.zeros(n, dtype=bool)
+        has[length:] = self.row[length:] == self.row[:-length]
+        self.context, self.occ = context, occ
+        which = np.flatnonzero(has & (occ >= self.model.least))
+        high = np.uint64(0xFFFFFFFF00000000)
+        key = (context[which] & high) | (mix(self.code[which].view(np.uint64) + np.uint64(1)) >> np.uint64(32))
+        self.levels.append(Level(which, key, context[which], occ[which], self.model))
+
+    def _learn(self, length: int, replies: dict) -> None:
+        level, model = self.levels[length], self.model
+        count, choice, gains = np.zeros(len(level.order), np.int64), np.zeros(len(level.order), np.uint8), {}
+        for b, p in level.asks:
+            gains[b] = gains.get(b, 0) + np.frombuffer(replies[length, int(b), int(p)], np.float64)
+        for b, p, i, j in zip(level.bucket.tolist(), level.part.tolist(), level.edge[:-1], level.edge[1:], strict=True):
+            if b >= 0:
+                run = level.runs(i, j)
+                count[i:j], each = _spread(replies[length, b, p], (j - i, np.int64), (len(run) - 1, np.uint8))
+                choice[i:j] = np.repeat(each, np.diff(run))
+            else:
+                reply, width = replies[length, b, p], 8 * (len(model.weights) - 1)
+                gains[b] = gains.get(b, 0) + np.frombuffer(reply[:width], np.float64)
+                count[i:j] = _spread(reply[width:], (j - i, np.int64))[0]
+        for b, p, i, j in zip(level.bucket.tolist(), level.part.tolist(), level.edge[:-1], level.edge[1:], strict=True):
+            if b < 0:
+                choice[i:j] = _choice(gains[b][None, :], model.gain)[0]
+        which, weight = level.which, model.weights[choice[level.at]]
+        self.count = np.zeros(len(self.row), np.int64)
+        self.count[which] = count[level.at]
+        kept = which[np.isfinite(weight)]
+        weight = weight[np.isfinite(weight)]
+        c, occ = self.count[kept], self.occ[kept]
+        self.p[kept] = (c + weight * self.p[kept]) / (occ + weight)
+        self.without[kept] = (np.maximum(c - 1, 0) + weight * self.without[kept]) / (np.maximum(occ - 1, 0) + weight)
+
+    def sent(self, chunk: int, length: int) -> pa.Table:
+        """Rows for the buckets: of each distinct n-gram its words, occurrences in training texts, and how its last word is predicted so far."""
+        level = self.levels[length]
+        n = np.bincount(level.at, weights=self.train[level.which], minlength=len(level.order)).astype(np.int64)
+        token = level.which[level.first][level.order]  # one place of each n-gram
+        out = {"entries": [], "runs": [], "occ": [], "data": []}
+        if length:
+            q = np.clip(np.rint(-NATS * np.log(self.without[token])), 0, 65535).astype(np.uint16)
+        for b, i, j in zip(level.bucket.tolist(), level.edge[:-1], level.edge[1:], strict=True):
+            out["entries"].append(j - i)
+            out["occ"].append(int(self.occ[token[i]]) if b < 0 else 0)
+            if length == 0:
+                out["runs"].append(0)
+                out["data"].append(np.ascontiguousarray(self.token[token[i:j]]).tobytes() + _squeezed(n[i:j]))
+                continue
+            run = level.runs(i, j)
+            out["runs"].append(len(run) - 1)
+            words = [self.code[token[run[:-1]] - length + k] for k in range(length)]
+            out["data"].append(_squeezed(*words, np.diff(run).astype(np.int32), self.code[token[i:j]], n[i:j], q[i:j]))
+        bucket, part = [*level.bucket.tolist(), *(b for b, _ in level.asks)], [*level.part.tolist(), *(p for _, p in level.asks)]
+        blank = [0] * len(level.asks)
+        return pa.table({
+            "chunk": pa.array([chunk] * len(bucket), pa.int64()), "bucket": pa.array(bucket, pa.int64()), "part": pa.array(part, pa.int32()), "entries": pa.array(out["entries"] + blank, pa.int32()),
+            "runs": pa.array(out["runs"] + blank, pa.int32()), "occ": pa.array(out["occ"] + blank, pa.int64()), "data": pa.array(out["data"] + [b""] * len(blank), pa.binary()),
+        })
 
 
-def suffix_tree_scores(docs: DataFrame, train: Column, least: int = LEAST, gain: float = GAIN, smoothing: tuple[float, ...] = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+SENT = "chunk long, bucket long, part int, entries int, runs int, occ long, data binary"
+REPLY = "chunk long, level int, bucket long, part int, data binary"
+
+
+def _choice(gains: np.ndarray, least: float) -> np.ndarray:
+    """1 + which weight gains most, or 0 where none gains more than `least`."""
+    return np.where(gains.max(axis=1) > least, 1 + gains.argmax(axis=1), 0).astype(np.uint8)
+
+
+def _replies(table: pa.Table, level: int, data: list[bytes]) -> pa.Table:
+    return pa.table({"chunk": table["chunk"], "level": pa.array([level] * table.num_rows, pa.int32()), "bucket": table["bucket"], "part": table["part"], "data": pa.array(data, pa.binary())})
+
+
+def _words_of_bucket(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct tokens, their counts in training texts, place of each one sent)."""
+    n = [np.zeros(0, np.int64)]
+    h = [np.zeros(0, np.uint64)]
+    for entries, data in zip(table["entries"].to_pylist(), table["data"].to_pylist(), strict=True):
+        h.append(np.frombuffer(data[: 8 * entries], np.uint64))
+        n += _spread(data[8 * entries :], (entries, np.int64))
+    distinct, at = np.unique(np.concatenate(h), return_inverse=True)
+    count = np.zeros(len(distinct), np.int64)
+    np.add.at(count, at, np.concatenate(n))
+    return distinct, count, at
+
+
+def _answer_words(table: pa.Table) -> pa.Table:
+    """Count of each token, and its rank by count in the bucket, which with the bucket names it from here on."""
+    distinct, count, at = _words_of_bucket(table)
+    rank = np.empty(len(distinct), np.int64)
+    rank[np.lexsort((distinct, -count))] = np.arange(len(distinct))
+    data, i = [], 0
+    for entries in table["entries"].to_pylist():
+        mine = at[i : i + entries]
+        data.append(_squeezed(rank[mine], count[mine]))
+        i += entries
+    return _replies(table, 0, data)
+
+
+def _size_of_bucket(table: pa.Table) -> pa.Table:
+    _, count, _ = _words_of_bucket(table)
+    return pa.table({"n": pa.array([int(count.sum())]), "v": pa.array([int((count > 0).sum())])})
+
+
+def _answer_contexts(table: pa.Table, length: int, model: Model) -> pa.Table:
+    """Counts of the n-grams sent, and the divergence test of their contexts."""
+    runs, entries, occs = table["runs"].to_pylist(), table["entries"].to_pylist(), table["occ"].to_numpy()
+    columns: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]]
+    for r, e, data in zip(runs, entries, table["data"].to_pylist(), strict=True):
+        *words, span, token, n, q = _spread(data, *[(r, np.int64)] * length, (r, np.int32), (e, np.int64), (e, np.int64), (e, np.uint16))
+        context = np.full(r, 1, np.uint64)
+        for w in words:
+            context = _combined(context, w.view(np.uint64))
+        for column, x in zip(columns, (np.repeat(context, span), token, n, q), strict=True):
+            column.append(x)
+    context, token, n, q = (np.concatenate(x) for x in columns)
+    gram, first, at = np.unique(_combined(context, token.view(np.uint64)), return_index=True, return_inverse=True)
+    count = np.bincount(at, weights=n, minlength=len(gram)).astype(np.int64)
+    distinct, of = np.unique(context[first], return_inverse=True)
+    hot = bool(len(occs) and table["bucket"][0].as_py() < 0)
+    occ = np.full(len(distinct), occs.max()) if hot else np.bincount(of, weights=count, minlength=len(distinct))
+    p = np.exp(-q[first].astype(np.float64) / NATS)
+    gains = np.zeros((len(distinct), len(model.weights) - 1))
+    live = np.flatnonzero(count)
+    for i, w in enumerate(model.weights[1:]):
+        each = count[live] * np.log((count[live] - 1 + w * p[live]) / ((occ[of[live]] - 1 + w) * p[live]))
+        gains[:, i] = np.bincount(of[live], weights=each, minlength=len(distinct))
+    choice = _choice(gains, model.gain) if len(gains) else np.zeros(0, np.uint8)
+    total = gains.sum(axis=0).tobytes()  # of a hot context's part: it holds one context only
+    data, i = [], 0
+    for r, e in zip(runs, entries, strict=True):
+        mine = at[i : i + e]
+        if hot:
+            data.append(total + (_squeezed(count[mine]) if e else b""))
+        else:
+            c = context[i : i + e]
+            begin = np.concatenate(([True], c[1:] != c[:-1])) if e else np.zeros(0, bool)
+            data.append(_squeezed(count[mine], choice[of[mine[begin]]]))
+        i += e
+    return _replies(table, length, data)
+
+
+def suffix_tree_scores(
+    docs: DataFrame, train: Column, least: int = LEAST, gain: float = GAIN, smoothing: tuple[float, ...] = SMOOTHING, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Score whole texts by a suffix tree over words, learned from all rows for which `train` holds.
 
     Tokens are words (runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased) and one end for each text.  The root
-    predicts a token of count c by (c + 0.1) / (N + 0.1 (V + 1)).  A context of one or two words that occurs
-    `least` times is kept if its smoothed next-token distribution, each occurrence predicted without itself, gains
-    `gain` nats over that of its suffix.  A kept context predicts (count + weight * shorter context's) / (occurrences +
-    weight), with the weight of `smoothing` that gains most; each token is predicted by the longest kept context before it.
+    predicts a token of count c by (c + 0.1) / (N + 0.1 (V + 1)).  A context of one to `depth` words that occurs
+    `least` times is kept if its smoothed next-token distribution gains `gain` nats over that of the longest kept suffix,
+    each occurrence being predicted without itself by both.  A kept context predicts (count + weight * shorter
+    context's) / (occurrences + weight), with the weight of `smoothing` that gains most (ties go to the first); each token is
+    predicted by the longest kept context before it.
 
     Returns id_col, train (boolean), n_tokens, n_known, train_tokens (long), base_score (root only) and score (double, log10).
     A null or empty text is its end alone; repeated rows each count and are each returned; null ids are allowed; without
     training rows every token is unknown.  Other columns are not read; an empty table gives an empty result.
 
-    Counts, sums of the gains and scores are exchanged by hash buckets between chunks of text (see chunks.py), so a
-    frequent word is sent once a chunk; the tree is never in one place.
+    Texts are packed into chunks (see chunks.py), which ask hash buckets about their distinct words once and then, one
+    context length after another, about their distinct n-grams.  Words are counted by whole 64-bit hashes; from
+    then on a word is a number that its bucket gave it, so n-grams are compared exactly and take 2 to 3 bytes.  A bucket
+    sees all next words of a context and takes the test; those of a context of over HOT occurrences are dealt to
+    several buckets, and each chunk adds up their parts of the gain.  The tree is never in one place.
     """
     total = text_bytes(docs, text_col)
+    n_chunks = max(1, math.ceil(total / CHUNK_BYTES))
+    model = Model(total, n_chunks, depth, least, gain, tuple(smoothing))
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    n_buckets = buckets_for(total, 16)
-    n_train, n_distinct = _vocabulary(base.filter("train"), n_buckets)
-    norm = n_train + 0.1 * (n_distinct + 1)
-    chunks = base.withColumn(CHUNK, chunk_key("id", "text", total, CHUNK_BYTES))
-
-    def known(table: pa.Table, answers: pa.Table | None, levels: int) -> Tokens:
-        t = Tokens(table)
-        for level in range(levels):
-            which, distinct, at = t.ask(level, least)
-            count = np.zeros(len(t.row), np.int64)
-            count[which] = _answered(answers, level, distinct, n_buckets, np.int64)[at]
-            t.count.append(count)
-        return t
-
-    def sender(level: int):
-        def send(left: pa.Table, right: pa.Table | None) -> pa.Table:
-            t = known(left, right, level)
-            which, distinct, at = t.ask(level, least)
-            return _sent(left[CHUNK][0].as_py(), distinct, np.bincount(at, weights=t.train[which], minlength=len(distinct)).astype(np.int64), n_buckets)
-
-        return send
-
-    def predicted(t: Tokens, level: int, shorter: np.ndarray, weight, without: int) -> np.ndarray:
-        """P(token | context of `level` words), smoothed by the shorter context's; `without` 1 leaves the token itself out."""
-        seen = np.maximum(t.occurrences(level) - without, 0)
-        return np.where(t.asked(level, least), (np.maximum(t.count[level] - without, 0) + weight * shorter) / (seen + weight), shorter)
-
-    def names(contexts: np.ndarray, level: int) -> np.ndarray:
-        """Hashes under which the gains of contexts are added up."""
-        return _combined(contexts, np.uint64(level))
-
-    def gains(left: pa.Table, right: pa.Table) -> pa.Table:
-        t = known(left, right, DEPTH + 1)
-        shorter, hashes, values = (t.count[0] + 0.1) / norm, [], []
-        for level in range(1, DEPTH + 1):
-            which = np.flatnonzero(t.asked(level, least))
-            distinct, at = np.unique(t.context[level][which], return_inverse=True)
-            each = [predicted(t, level, shorter, weight, 1) for weight in smoothing]
-            hashes.append(names(distinct, level))
-            values.append(np.stack([np.bincount(at, weights=np.where(t.train[which], np.log(p[which] / shorter[which]), 0.0), minlength=len(distinct)) for p in each], axis=1))
-            shorter = each[-2]
-        h, v = np.concatenate(hashes), np.concatenate(values)
-        order = np.argsort(h)
-        return _sent(left[CHUNK][0].as_py(), h[order], v[order].astype(np.float32), n_buckets)
+    kind = docs.schema[id_col].dataType.simpleString()
+    words = _packed(base, n_chunks, kind).groupBy("chunk")
+
+    def ask(length: int):
+        return lambda left, right: Tokens(left, right, length, model).sent(left["chunk"][0].as_py(), length)
+
+    def answer(length: int):
+        return lambda table: _answer_contexts(table, length, model)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        t, n = known(left, right, DEPTH + 1), left.num_rows
-        sets = [np.unique(t.context[level][t.asked(level, least)]) for level in range(1, DEPTH + 1)]
-        h = np.sort(np.concatenate([names(s, level) for level, s in enumerate(sets, 1)]))
-        choice = _answered(right, DEPTH + 1, h, n_buckets, np.uint8)
-        root = (t.count[0] + 0.1) / norm
-        best = root.copy()
-        for level, s in enumerate(sets, 1):
-            which = np.flatnonzero(t.asked(level, least))
-            if not len(which):
-                continue
-            weight = np.array([np.inf, *smoothing])[choice[np.searchsorted(h, names(s, level))]]
-            weight = weight[np.searchsorted(s, t.context[level][which])]
-            which, weight = which[np.isfinite(weight)], weight[np.isfinite(weight)]
-            best[which] = (t.count[level][which] + weight * best[which]) / (t.occurrences(level)[which] + weight)
-        sums = lambda x: np.bincount(t.row, weights=x, minlength=n)
+        t = Tokens(left, right, depth + 1, model)
+        n = np.bincount(t.row, minlength=t.rows)
+        sums = lambda x: np.bincount(t.row, weights=x, minlength=t.rows)
         return pa.table({
-            "id": left["id"], "train": left["train"], "n_tokens": pa.array(sums(np.ones(len(t.row))).astype(np.int64)), "n_known": pa.array(sums(t.count[0] > 0).astype(np.int64)),
-            "base_score": pa.array(sums(np.log10(root))), "score": pa.array(sums(np.log10(best))),
+            "id": pa.chunked_array([c.flatten() for c in left["ids"].chunks]),
+            "train": pa.array(t.train_row), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(sums(t.known).astype(np.int64)), "train_tokens": pa.array(np.full(t.rows, t.trained), pa.int64()),
+            "base_score": pa.array(sums(np.log10(t.root))), "score": pa.array(sums(np.log10(t.p))),
         })
 
-    words = chunks.groupBy(CHUNK)
-    first = sender(0)
-    answers = _totals(words.applyInArrow(lambda table: first(table, None), SENT), 0, np.int64)
-    for level in range(1, DEPTH + 1):
-        sent = words.cogroup(answers.groupBy("chunk")).applyInArrow(sender(level), SENT)
-        answers = answers.unionByName(_totals(sent, level, np.int64))
-    sent = words.cogroup(answers.groupBy("chunk")).applyInArrow(gains, SENT)
-    answers = answers.unionByName(_choices(sent, DEPTH + 1, len(smoothing), gain))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = words.cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+    first = words.applyInArrow(lambda table: Tokens(table, None, 0, model).sent(table["chunk"][0].as_py(), 0), SENT).groupBy("bucket", "part")
+    size = first.applyInArrow(_size_of_bucket, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
+    answers = first.applyInArrow(_answer_words, REPLY).crossJoin(F.broadcast(size)).repartition("chunk")  # one row of two numbers; dealt once: unions keep the partitioning
+    for length in range(1, depth + 1):
+        asked = words.cogroup(answers.groupBy("chunk")).applyInArrow(ask(length), SENT).groupBy("bucket", "part")
+        replies = asked.applyInArrow(answer(length), REPLY)
+        answers = answers.unionByName(replies.select("*", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("v")).repartition("chunk"))
+    schema = f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return words.cogroup(answers.groupBy("chunk")).applyInArrow(score, schema).withColumnRenamed("id", id_col)
 
 
 def op8_lm(spark, sf_dir: str) -> DataFrame:

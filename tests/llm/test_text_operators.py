@@ -180,45 +180,67 @@ def test_lm_base_scores_and_gain(docs, corpus, empty):
     assert lm.suffix_tree_scores(empty, F.lit(True)).count() == 0
 
 
-def test_lm_matches_a_plain_tree(spark):
-    texts = ["a b a b a c"] * 4 + ["b a b c", "a c c", "z a b", ""]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r.doc_id: r.score for r in lm.suffix_tree_scores(docs, F.lit(True), least=3, gain=0.2, smoothing=(2.0, 8.0)).collect()}
-    seqs = [[*t.split(), "$"] for t in texts]
-    uni, n = Counter(t for s in seqs for t in s), sum(map(len, seqs))
-    root = lambda t: (uni[t] + 0.1) / (n + 0.1 * (len(uni) + 1))
-    counts = [None, Counter(), Counter()]
-    for s in seqs:
-        for i in range(len(s)):
-            for k in (1, 2):
-                if i >= k:
-                    counts[k][tuple(s[i - k : i + 1])] += 1
-    times = lambda c: uni[c[0]] if len(c) == 1 else counts[1][c]
-    open_ = lambda c: times(c) >= 3
-    loo = lambda k, c, t, p, w, less: (counts[k][(*c, t)] - less + w * p) / (times(c) - less + w)
-    gain = defaultdict(float)
-    for s in seqs:
-        for i, t in enumerate(s):
-            p = root(t)
-            for k in (1, 2):
-                c = tuple(s[i - k : i]) if i >= k else None
-                if c and open_(c):
-                    each = [loo(k, c, t, p, w, 1) for w in (2.0, 8.0)]
-                    for w, q in zip((2.0, 8.0), each, strict=True):
-                        gain[c, w] += math.log(q / p)
-                    p = each[-2]
+@pytest.mark.parametrize("depth, hot", [(1, 500_000), (2, 500_000), (3, 500_000), (2, 5)])
+def test_lm_matches_a_plain_tree(spark, monkeypatch, depth, hot):
+    """Against a tree in dictionaries, over several chunks and buckets, with contexts dealt to several buckets or not."""
+    for name, value in (("HOT", hot), ("CHUNK_BYTES", 60), ("BUCKET_TOKENS", 80), ("BUCKET_ENTRIES", 40)):
+        monkeypatch.setattr(lm, name, value)
+    rng = random.Random(2)
+    texts = ["a b a b a c"] * 4 + ["b a b c", "a c c", "z a b", "", "Zz " * 9 + "end"] + [" ".join(rng.choice("abcdez") for _ in range(rng.randrange(12))) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, i % 7 != 3) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    weights = (2.0, 8.0, 32.0)
+    out = {r.doc_id: r.score for r in lm.suffix_tree_scores(docs, F.col("train"), least=3, gain=0.2, smoothing=weights, depth=depth).collect()}
+    seqs = [[*lower(t).split(), "$"] for t in texts]
+    learn = [s for i, s in enumerate(seqs) if i % 7 != 3]
+    grams = Counter(tuple(s[i : i + k]) for s in learn for k in range(1, depth + 2) for i in range(len(s) - k + 1))
+    n, v = sum(map(len, learn)), len({t for s in learn for t in s})
+    kept = {}  # context: weight
+
+    def chance(past, t, less):
+        p = (max(grams[t,] - less, 0) + 0.1) / (n + 0.1 * (v + 1) - less)
+        for k in range(1, min(depth, len(past)) + 1):
+            c = tuple(past[-k:])
+            if c in kept:
+                p = (max(grams[*c, t] - less, 0) + kept[c] * p) / (max(grams[c] - less, 0) + kept[c])
+        return p
+
+    for k in range(1, depth + 1):
+        gain = defaultdict(lambda: [0.0] * len(weights))
+        for s in learn:
+            for i in range(k, len(s)):
+                c, p = tuple(s[i - k : i]), chance(s[:i], s[i], 1)
+                if grams[c] >= 3:
+                    for j, w in enumerate(weights):
+                        gain[c][j] += math.log((grams[*c, s[i]] - 1 + w * p) / (grams[c] - 1 + w) / p)
+        kept |= {c: weights[g.index(max(g))] for c, g in gain.items() if max(g) > 0.2}
+    assert kept
     for d, s in enumerate(seqs):
-        want = 0.0
-        for i, t in enumerate(s):
-            p = root(t)
-            for k in (1, 2):
-                c = tuple(s[i - k : i]) if i >= k else None
-                if c and open_(c):
-                    w = max((2.0, 8.0), key=lambda x: gain[c, x])
-                    if gain[c, w] > 0.2:
-                        p = loo(k, c, t, p, w, 0)
-            want += math.log10(p)
-        assert out[d] == pytest.approx(want)
+        assert out[d] == pytest.approx(sum(math.log10(chance(s[:i], t, 0)) for i, t in enumerate(s)), rel=1e-6)
+
+
+def test_lm_edges(spark):
+    rows = [(1, "a b", True)] * 3 + [(None, None, True), (2, "a b", None), (3, "\t ", False), (4, "x" * 300_000 + " " + "y z " * 60_000, True)]
+    x = spark.createDataFrame(rows, "doc_id long, text string, train boolean").withColumn("chunk", F.lit("c")).withColumn("id", F.lit(0)).withColumn("score", F.lit("s")).withColumn("n", F.lit(1))
+    got = sorted(((r.doc_id or 0, r.train, r.n_tokens) for r in lm.suffix_tree_scores(x, F.col("train")).collect()))
+    assert got == [(0, True, 1), (1, True, 3), (1, True, 3), (1, True, 3), (2, False, 3), (3, False, 1), (4, True, 120_002)]
+    assert all(r.base_score == 0 and r.score == 0 and r.train_tokens == 0 for r in lm.suffix_tree_scores(x.limit(3), F.lit(False)).collect())
+
+
+def test_lm_held_out_documents_of_the_tables(spark):
+    """With the parameters of op8: documents outside training are predicted better than by the root, and base scores equal a plain count."""
+    from newsloom.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: [*WORD.findall(lower(r.text)), None] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    count = Counter(t for i, ts in texts.items() if train(i, 10, 0) for t in ts)
+    n, v = sum(count.values()), len(count)
+    out = QUERIES["op8_lm"](spark, d).collect()
+    for r in out:
+        ts = texts[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not train(r.doc_id, 10, 0), len(ts), sum(count[t] > 0 for t in ts), n)
+        assert r.base_score == pytest.approx(sum(math.log10((count[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts))
+    held = [r for r in out if r.held_out]
+    assert held and sum(r.score for r in held) > 0.95 * sum(r.base_score for r in held)
 
 
 def test_langid(spark):
