@@ -13,8 +13,11 @@ from .graph import components
 from .textbytes import Words, mix, unique_sorted
 
 KEYS = 2  # independent min-hash keys that bring similar documents into one block
-BLOCK_ROWS = 512  # documents in one block of the product; larger blocks are salted
+BLOCK_ROWS = 512  # documents in one block of the product
+BLOCK_BYTES = 4 << 20  # and bytes of their shingles' hashes
 ROWS_AT_ONCE = 16  # rows of the left factor multiplied at once
+PRODUCTS = 1 << 18  # products that are added up at once
+HOT_COLUMN = 64  # components above which a shingle's list is dealt to several keys
 
 
 def _shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,37 +50,51 @@ def _needed(size_a, size_b, percent: int):
     return -((-percent * (size_a + size_b)) // (100 + percent))
 
 
+def overlaps(left: np.ndarray, columns: np.ndarray, lists: np.ndarray, rows_of: np.ndarray, m: int, n: int) -> np.ndarray:
+    """Rows of the product of two incidence matrices: overlap counts of n left rows with m right ones.
+
+    The left factor has ones at (left, columns); column c of the right one holds the rows rows_of[lists[c]:lists[c + 1]].
+    Counts accumulate over blocks of columns of at most PRODUCTS products, so memory does not grow with the factors.
+    """
+    out = np.zeros(n * m, np.int32)
+    length = lists[columns + 1] - lists[columns]
+    upto = np.concatenate(([0], np.cumsum(length)))
+    i = 0
+    while i < len(columns):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + PRODUCTS, side="right")) - 1)
+        some = length[i:j]
+        at = np.repeat(lists[columns[i:j]] - (upto[i:j] - upto[i]), some) + np.arange(upto[j] - upto[i])
+        out += np.bincount(np.repeat(left[i:j] * m, some) + rows_of[at], minlength=n * m).astype(np.int32)
+        i = j
+    return out.reshape(n, m)
+
+
 def linked_in_block(hashes: np.ndarray, edges: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Component label (smallest row) of each row of a block, by a blocked sparse product.
 
     Row i of the incidence matrix has a one in each column of hashes[edges[i]:edges[i + 1]].  A few rows at a
     time are multiplied with all rows that have no label yet: overlap counts accumulate over the shared columns,
     pairs below the bound that their sizes give are discarded, and the rest take the label and come next.
-    Rows that have a label are not multiplied again, as their component is known.
+    Rows that have a label are not multiplied again, as their component is known, and leave the columns.
     """
     m = len(sizes)
     row = np.repeat(np.arange(m), np.diff(edges))
     column = np.unique(hashes, return_inverse=True)[1]
     order = np.argsort(column, kind="stable")
-    by_column, lists = row[order], np.concatenate(([0], np.cumsum(np.bincount(column))))
-    label, free = np.full(m, -1), np.ones(m, dtype=bool)
+    rows_of, lists = row[order], np.concatenate(([0], np.cumsum(np.bincount(column))))
+    label, free, held = np.full(m, -1), np.ones(m, dtype=bool), m
     for start in range(m):
         if not free[start]:
             continue
         free[start], label[start], front = False, start, [start]
-        while front and free.any():
+        while front and (left := int(free.sum())):
+            if left <= held // 2:  # rows with a label leave the right factor
+                stay = free[rows_of]
+                rows_of, lists, held = rows_of[stay], np.concatenate(([0], np.cumsum(stay)))[lists], left
             rows, front = front[:ROWS_AT_ONCE], front[ROWS_AT_ONCE:]
             cols = [column[edges[r] : edges[r + 1]] for r in rows]
-            left = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
-            cols = np.concatenate(cols)
-            lengths = lists[cols + 1] - lists[cols]
-            if not lengths.sum():
-                continue
-            at = np.repeat(lists[cols] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-            right = by_column[at]
-            left = np.repeat(left, lengths)
-            open_ = free[right]
-            overlap = np.bincount(left[open_] * m + right[open_], minlength=len(rows) * m).reshape(len(rows), m)
+            of = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
+            overlap = overlaps(of, np.concatenate(cols), lists, rows_of, m, len(rows))
             bound = _needed(sizes[rows][:, None], sizes[None, :], percent)
             new = np.flatnonzero(((overlap >= bound) & (overlap > 0)).any(axis=0) & free)
             free[new], label[new] = False, start
@@ -85,6 +102,22 @@ def linked_in_block(hashes: np.ndarray, edges: np.ndarray, sizes: np.ndarray, pe
     return label
 
 
+def products_of_pairs(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    """The product's entries at given pairs: the overlap of row i of `a` with row i of `b`, over blocks of pairs of bounded size."""
+    (x, ex), (y, ey) = unpacked(a, np.uint64), unpacked(b, np.uint64)
+    out = np.zeros(len(ex) - 1, np.int64)
+    upto, i = ex + ey, 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + PRODUCTS, side="right")) - 1)
+        pair = np.concatenate((np.repeat(np.arange(i, j), np.diff(ex[i : j + 1])), np.repeat(np.arange(i, j), np.diff(ey[i : j + 1]))))
+        value = np.concatenate((x[ex[i] : ex[j]], y[ey[i] : ey[j]]))
+        order = np.lexsort((value, pair))
+        pair, value = pair[order], value[order]
+        out[i:j] = np.bincount(pair[1:][(value[1:] == value[:-1]) & (pair[1:] == pair[:-1])] - i, minlength=j - i)
+        i = j
+    return out
+
+
 def _class_and_sets(chunks: DataFrame, id_col: str, text_col: str, total: int, k: int, percent: int) -> DataFrame:
     """Per document its shingle count and, if it can have a link at all, its set's fingerprint and shared shingles.
 
@@ -157,30 +190,48 @@ def _masked(column: pa.Array, null: np.ndarray) -> pa.Array:
 
 
 def _block_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v), one fewer than members for each component found inside a block of equal min-hash."""
-    slim = sets.select("id", F.posexplode("keys").alias("k", "key"))
-    shared = slim.groupBy("k", "key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    salt = F.pmod(F.xxhash64("id", "k"), F.ceil(F.col("rows") / BLOCK_ROWS))
-    dealt = slim.join(shared, ["k", "key"]).select("id", "k", "key", salt.alias("salt"))
-
-    def multiply(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids, sizes = table["id"].to_numpy(), table["n"].to_numpy()
-        hashes, edges = unpacked(table["shared"], np.uint64)
-        label = linked_in_block(hashes, edges, sizes, percent)
-        far = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"u": pa.array(ids[label[far]]), "v": pa.array(ids[far])})
+    """Links (u, v), one fewer than members for each component found inside a block of equal min-hash.
 
-    blocks = dealt.join(sets.select("id", "n", "shared"), "id")
-    return blocks.groupBy("k", "key", "salt").applyInArrow(multiply, "u long, v long")
+    Sets are range-sorted by key and a hash of the id; a block is what stands together under one key, up to BLOCK_ROWS rows
+    or BLOCK_BYTES.  A key with a third of all rows is thus many blocks in many tasks, other ones under each min-hash.
+    """
+    keyed = sets.select("id", "n", "shared", F.posexplode("keys").alias("k", "key"))
+    keyed = keyed.withColumn("salt", F.xxhash64("id", "k")).repartitionByRange("k", "key", "salt").sortWithinPartitions("k", "key", "salt", "id")
+
+    def links(rows: list[tuple]) -> pa.RecordBatch | None:
+        if len(rows) < 2:
+            return None
+        rows.sort(key=lambda r: r[0])
+        ids, sizes = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        edges = np.concatenate(([0], np.cumsum([len(r[2]) // 8 for r in rows])))
+        label = linked_in_block(np.frombuffer(b"".join(r[2] for r in rows), np.uint64), edges, sizes, percent)
+        far = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_pydict({"u": pa.array(ids[label[far]], pa.int64()), "v": pa.array(ids[far], pa.int64())}) if len(far) else None
+
+    def multiply(batches):
+        block, at, size = [], None, 0
+        for batch in batches:
+            columns = [batch.column(c) for c in ("id", "n", "shared", "k", "key")]
+            for i in range(batch.num_rows):
+                id_, n, shared, k, key = (c[i].as_py() for c in columns)
+                if (k, key) != at or len(block) >= BLOCK_ROWS or size + len(shared) > BLOCK_BYTES:
+                    if (found := links(block)) is not None:
+                        yield found
+                    block, at, size = [], (k, key), 0
+                block.append((id_, n, shared))
+                size += len(shared)
+        if (found := links(block)) is not None:
+            yield found
+
+    return keyed.mapInArrow(multiply, "u long, v long")
 
 
 def _remaining_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links between documents of different components so far: no link is missed.
+    """(u, v): pairs of the components so far between which there is a link; no link is missed.
 
     Two linked sets share a shingle among the first n_shared - ceil(percent * n) + 1 of each (any fewer and the
     rest could not hold enough).  Lists of documents by such a shingle are compared between components only; the
-    positions in both lists and the sizes bound the overlap, and what stays is counted exactly.
+    positions in both lists and the sizes bound the overlap, and of what stays the product is taken at these pairs.
     """
     held = F.floor(F.octet_length("shared") / 8)
     least = F.ceil(F.lit(percent) * F.col("n") / 100)
@@ -203,21 +254,25 @@ def _remaining_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFr
         others = lists.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("n0"), F.max("most").alias("m1")).filter("c0 < c1")
         lists = lists.join(others, "h").filter("n <= m1 and most >= n0").select("h", "component", "id", "n", "rest", "most")
     sides = lists.groupBy("h", "component").agg(F.min("n").alias("n"), F.max("most").alias("most"))
-    between = sides.alias("a").join(sides.alias("b"), "h").filter("a.component < b.component and a.n <= b.most and b.n <= a.most")
+    # a column of many components is dealt to several keys: one factor once to each, the other one to one of them
+    hot = sides.groupBy("h").agg(F.floor(F.count(F.lit(1)) / HOT_COLUMN).cast("int").alias("parts")).filter("parts > 0")
+    sides = sides.join(hot, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
+    one = sides.withColumn("part", F.pmod(F.xxhash64("component"), F.col("parts") + 1).cast("int"))
+    all_ = sides.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts"))))
+    between = one.alias("a").join(all_.alias("b"), ["h", "part"]).filter("a.component < b.component and a.n <= b.most and b.n <= a.most")
     between = between.select("h", F.col("a.component").alias("ca"), F.col("b.component").alias("cb"))
     a = lists.select("h", F.col("component").alias("ca"), F.col("id").alias("u"), F.col("n").alias("nu"), F.col("rest").alias("ru"))
     b = lists.select("h", F.col("component").alias("cb"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("rest").alias("rv"))
     enough = F.least("ru", "rv") * (100 + percent) >= percent * (F.col("nu") + F.col("nv"))
-    pairs = between.join(a, ["h", "ca"]).join(b, ["h", "cb"]).filter(enough).select("u", "v", "nu", "nv").distinct()
+    pairs = between.join(a, ["h", "ca"]).join(b, ["h", "cb"]).filter(enough).select("u", "v", "nu", "nv", F.col("ca").alias("cu"), F.col("cb").alias("cv")).distinct()
 
     @F.arrow_udf("long")
     def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
-        (x, ex), (y, ey) = unpacked(pa.chunked_array([a]), np.uint64), unpacked(pa.chunked_array([b]), np.uint64)
-        return pa.array([len(np.intersect1d(x[ex[i] : ex[i + 1]], y[ey[i] : ey[i + 1]], assume_unique=True)) for i in range(len(a))], pa.int64())
+        return pa.array(products_of_pairs(pa.chunked_array([a]), pa.chunked_array([b])))
 
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shared").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("shared").alias("sv")), "v")
     counted = both.withColumn("o", overlap("su", "sv"))
-    return counted.filter(F.col("o") * (100 + percent) >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
+    return counted.filter(F.col("o") * (100 + percent) >= percent * (F.col("nu") + F.col("nv"))).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +285,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     order, equal texts are one class, other columns are not read, and an empty table gives an empty result.
 
     Equal sets are joined by fingerprint.  Blocks of equal min-hash then find most links by a blocked sparse
-    product, and a join by rare shingles finds every link that is left between the components so far.
+    product.  For the rest, columns of rare shingles pick the pairs of rows in different components at which the
+    product is taken, so every link between components is found.
     """
     total = text_bytes(docs, text_col)
     chunks = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn(CHUNK, chunk_key("id", "text", total))
@@ -240,10 +296,12 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     equal = live.select("id", "f1", "f2", "n", F.col("shared").isNotNull().alias("carries")).join(classes, ["f1", "f2", "n"]).select("id", "first", "carries")
     sets = live.filter("shared is not null").select("id", "n", "shared", "keys")
     links = _block_links(sets, percent).unionByName(equal.filter("carries and id <> first").select(F.col("first").alias("u"), F.col("id").alias("v"))).checkpoint()
-    labels = components(links)
-    more = _remaining_links(sets, labels, percent)
-    joined = components(links.unionByName(more)).withColumnsRenamed({"node": "first", "component": "reached"})
-    member_of = equal.join(joined, "first", "left").select("id", F.coalesce("reached", "first").alias("component_id")).groupBy("id").agg(F.min("component_id").alias("component_id"))
+    labels = components(links).checkpoint()
+    # links that blocks missed join components, so the second search is over these alone
+    more = components(_remaining_links(sets, labels, percent)).select(F.col("node").alias("component"), F.col("component").alias("further"))
+    joined = labels.join(more, "component", "left").select(F.col("node").alias("first"), F.coalesce("further", "component").alias("reached"))
+    alone = more.join(labels, more["component"] == labels["node"], "left_anti").select(F.col("component").alias("first"), F.col("further").alias("reached"))
+    member_of = equal.join(joined.unionByName(alone), "first", "left").select("id", F.coalesce("reached", "first").alias("component_id")).groupBy("id").agg(F.min("component_id").alias("component_id"))
     out = info.select("id", "n").join(member_of, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 

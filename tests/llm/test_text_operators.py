@@ -9,6 +9,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -48,13 +49,39 @@ def test_ngram_components(docs, corpus):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs).collect()} == want
 
 
-def test_ngram_exact_pass_alone_finds_all(docs, corpus, monkeypatch):
-    """Without blocks, the join by rare shingles must find every link by itself."""
+@pytest.mark.parametrize("hot", [64, 2])
+def test_ngram_pass_between_components_alone_finds_all(docs, corpus, monkeypatch, hot):
+    """Without blocks, the products at pairs that rare shingles pick must find every link by themselves."""
     want = sorted(map(tuple, ngram_join.ngram_components(docs).collect()))
+    monkeypatch.setattr(ngram_join, "HOT_COLUMN", hot)
     monkeypatch.setattr(ngram_join, "_block_links", lambda sets, percent: sets.sparkSession.createDataFrame([], "u long, v long"))
     assert sorted(map(tuple, ngram_join.ngram_components(docs).collect())) == want
 
 
+def test_ngram_small_blocks_and_products(docs, monkeypatch):
+    """Blocks of a few rows and products of a few columns at once give the same components."""
+    want = sorted(map(tuple, ngram_join.ngram_components(docs).collect()))
+    for name, value in (("BLOCK_ROWS", 3), ("PRODUCTS", 50), ("ROWS_AT_ONCE", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert sorted(map(tuple, ngram_join.ngram_components(docs).collect())) == want
+
+
+def test_ngram_block_of_long_near_copies_within_memory():
+    """512 rows of 4,000 shingles each, 97 % of them common: components are right and memory stays bounded."""
+    import tracemalloc
+
+    rng = random.Random(9)
+    common = [rng.getrandbits(63) for _ in range(3_880)]
+    rows = [sorted(common + [rng.getrandbits(63) for _ in range(120)]) for _ in range(500)] + [sorted(rng.getrandbits(63) for _ in range(4_000)) for _ in range(12)]
+    hashes = np.array([h for r in rows for h in r], np.uint64)
+    edges = np.cumsum([0] + [len(r) for r in rows])
+    tracemalloc.start()
+    label = ngram_join.linked_in_block(hashes, edges, np.diff(edges), 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert label.tolist() == [0] * 500 + list(range(500, 512)) and peak < 250 << 20
+
+
 def test_ngram_repeated_rows_nulls_and_clashing_columns(spark, docs, empty):
     x = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string").withColumn("id", F.lit("x")).withColumn("__chunk", F.lit(1))
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.ngram_components(x).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1)]
