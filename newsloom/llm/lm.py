@@ -30,6 +30,17 @@ def _combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0x2545F4914F6CDD1D)))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, a place of each, index of each value among the distinct ones)."""
+    order = x.argsort()
+    sorted_ = x[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return sorted_[new], order[new], at
+
+
 def _with_ends(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(row, token) of each text's words followed by one end."""
     length = np.diff(w.first) + 1
@@ -106,7 +117,7 @@ class Level:
 
     def __init__(self, which: np.ndarray, key: np.ndarray, context: np.ndarray | None, occ: np.ndarray | None, model: Model):
         self.which = which
-        distinct, self.first, at = np.unique(key, return_index=True, return_inverse=True)
+        distinct, self.first, at = _distinct(key)
         n = len(distinct)
         part, asks = np.zeros(n, np.int32), []
         if context is None:
@@ -189,8 +200,8 @@ class Tokens:
         has[length:] = self.row[length:] == self.row[:-length]
         self.context, self.occ = context, occ
         which = np.flatnonzero(has & (occ >= self.model.least))
-        high = np.uint64(0xFFFFFFFF00000000)
-        key = (context[which] & high) | (mix(self.code[which].view(np.uint64) + np.uint64(1)) >> np.uint64(32))
+        # sorted by context; the low half depends on the whole n-gram
+        key = (context[which] & np.uint64(0xFFFFFFFF00000000)) | (_combined(context[which], self.code[which].view(np.uint64)) >> np.uint64(32))
         self.levels.append(Level(which, key, context[which], occ[which], self.model))
 
     def _learn(self, length: int, replies: dict) -> None:
@@ -266,7 +277,7 @@ def _words_of_bucket(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for entries, data in zip(table["entries"].to_pylist(), table["data"].to_pylist(), strict=True):
         h.append(np.frombuffer(data[: 8 * entries], np.uint64))
         n += _spread(data[8 * entries :], (entries, np.int64))
-    distinct, at = np.unique(np.concatenate(h), return_inverse=True)
+    distinct, _, at = _distinct(np.concatenate(h))
     count = np.zeros(len(distinct), np.int64)
     np.add.at(count, at, np.concatenate(n))
     return distinct, count, at
@@ -302,9 +313,9 @@ def _answer_contexts(table: pa.Table, length: int, model: Model) -> pa.Table:
         for column, x in zip(columns, (np.repeat(context, span), token, n, q), strict=True):
             column.append(x)
     context, token, n, q = (np.concatenate(x) for x in columns)
-    gram, first, at = np.unique(_combined(context, token.view(np.uint64)), return_index=True, return_inverse=True)
+    gram, first, at = _distinct(_combined(context, token.view(np.uint64)))
     count = np.bincount(at, weights=n, minlength=len(gram)).astype(np.int64)
-    distinct, of = np.unique(context[first], return_inverse=True)
+    distinct, _, of = _distinct(context[first])
     hot = bool(len(occs) and table["bucket"][0].as_py() < 0)
     occ = np.full(len(distinct), occs.max()) if hot else np.bincount(of, weights=count, minlength=len(distinct))
     p = np.exp(-q[first].astype(np.float64) / NATS)

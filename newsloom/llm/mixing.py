@@ -14,6 +14,7 @@ from .chunks import each_slice
 from .textbytes import Words, string_buffers
 
 ROWS_PER_BUCKET = 4096
+OUTPUT = ("size", "source_size", "target", "taken", "words", "positions")
 
 
 @F.arrow_udf(T.LongType())
@@ -57,8 +58,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, rep
 
 
 def curriculum_mix(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, ramp: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
-) -> DataFrame:
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, ramp: float = 0.5,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (),
+) -> DataFrame:
     """Take words of each source up to its target and place every copy of a document on the training axis 0 to 1.
 
     A source's weight runs over training time t as weight * (1 + a * (2t - 1)), a being +ramp and -ramp in turn, so
@@ -66,19 +68,28 @@ def curriculum_mix(
     md5(id), up to `repeats` times over; a copy that begins after x words of its source gets the time at which the
     demand reaches x.  A copy takes all its words, but the one at which the target is reached takes what is left.
 
-    Returns id, size, source_size (long), target (double), taken (long), words (array<long>: of each copy) and
-    positions (array<double>, null where nothing is taken), ordered by the first position over range partitions.
-    A null source is a source; null and empty texts have size 0 and take nothing.  Ties of md5 go by id, repeated
-    rows and rows of null id are further documents in no set order, other columns are not read; an empty table gives an empty result.
+    Returns the columns of `docs` named by `carry`, id, size, source_size (long), target (double), taken (long), words (array<long>: of
+    each copy) and positions (array<double>, null where nothing is taken), ordered by the first position over range partitions.
+    A null source is a source; null and empty texts have size 0 and take nothing.  Ties of md5 go by id, size and text; rows of
+    null id stand in the order of their texts' hashes.  Repeated rows are further documents, each with its own plan, told apart by nothing.
+    Other columns are not read; a carried column that has the name of another output is left out; an empty table gives an empty result.
     """
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).checkpoint()
+    others = [c for c in dict.fromkeys(carry) if c not in (id_col, *OUTPUT)]
+    row = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"), *(F.col(c).alias(f"__carry{i}") for i, c in enumerate(others))]
+    sizes = docs.select(*row[:4]).checkpoint()
     digits = max(1, math.ceil(math.log(max(sizes.count() / ROWS_PER_BUCKET, 1), 16)))
+    key = F.md5(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null "), F.col("tie").cast("string"))).cast("binary"))
     targets = source_targets(sizes, weights, share, repeats)
-    placed = sizes.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    placed = placed.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("key", 1, digits))
-    sums = placed.groupBy("rank", "bucket").agg(F.sum("size").alias("in_bucket"))
+
+    def in_buckets(rows: DataFrame) -> DataFrame:
+        known = rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+        return known.withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
+
+    # the carried columns, whole texts perhaps, are read again instead of being kept
+    placed = in_buckets(docs.select(*row) if others else sizes)
+    sums = in_buckets(sizes).groupBy("rank", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = sums.select("rank", "bucket", (F.sum("in_bucket").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("in_bucket")).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("rank", "bucket").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    inside = F.sum("size").over(Window.partitionBy("rank", "bucket").orderBy("key", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     start = placed.withColumn("inside", inside).join(before, ["rank", "bucket"]).withColumn("start", F.col("before") + F.col("inside"))
     whole = F.floor("target")
     begin = [F.col("start") + F.lit(p) * F.col("source_size") for p in range(repeats)]
@@ -88,7 +99,7 @@ def curriculum_mix(
     timed = start.withColumn("words", words)
     positions = F.array(*[F.when(F.col("words")[p] > 0, t) for p, t in enumerate(time)])
     out = timed.withColumn("positions", positions).withColumn("taken", F.aggregate("words", F.lit(0).cast("long"), lambda s, x: s + x))
-    out = out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "words", "positions")
+    out = out.select(*(F.col(f"__carry{i}").alias(c) for i, c in enumerate(others)), F.col("id").alias(id_col), "size", "source_size", "target", "taken", "words", "positions")
     return out.orderBy(F.col("positions")[0].asc_nulls_last(), id_col)
 
 

@@ -134,7 +134,7 @@ def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
 def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, shrinkage: float = 0.3, penalty: float = 2e-3, seed: int = 7) -> tuple[float, list[tuple[Rule, float]]]:
     """(intercept, weighted rules): paths of boosted trees, weighted by logistic regression under an L1 penalty.
 
-    Without rows of both classes there are no rules and the intercept is that of a chance of (ones + 1) / (rows + 2).
+    Without rows of both classes, or with too few to split, there are no rules and the intercept is that of a chance of (ones + 1) / (rows + 2).
     """
     rate = (y.sum() + 1) / (len(y) + 2)
     base = float(np.log(rate / (1 - rate)))
@@ -158,6 +158,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, shr
     rules = sorted(rules)
     alike = {np.packbits(holds(r, x)).tobytes(): r for r in reversed(rules)}  # rules alike on all rows are one
     rules = sorted(alike.values())
+    if not rules:
+        return base, []
     z = np.stack([holds(r, x) for r in rules], axis=1).astype(np.float64)
     # accelerated proximal gradient
     w, b, v, c, t = np.zeros(z.shape[1]), base, np.zeros(z.shape[1]), base, 1.0
@@ -190,19 +192,18 @@ def quality_scores(
     """The columns of `docs` with score (double, 0 to 1: chance of label 1) and predicted (int: score >= threshold).
 
     The model learns from labelled documents that are not `held_out` (a condition on the id column), from at most
-    about `training_rows` of them, picked by a hash of the id; everything else covers all rows.  Inputs of a score are
+    `training_rows` of them, picked by a hash of the id; everything else covers all rows.  Inputs of a score are
     statistics of the whole text alone.  Null and empty texts are scored on zeros.  A document with several labels
-    counts by their mean, a null label not at all; if no label is left, every score is the prior 0.5.  Columns of `docs` named score or
+    counts by their mean, one with several texts is learned by the smallest, a null label not at all; if no label is left, every score is the prior 0.5.  Columns of `docs` named score or
     predicted are replaced; repeated rows are scored alike; an empty table gives an empty result.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("double").alias("__label"))
     if held_out is not None:
         known = known.filter(~held_out)
-    rows = known.count()
-    share = min(1.0, training_rows / max(rows, 1))
-    picked = known.filter(F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
-    # `picked` has about training_rows rows of 17 bytes at most: small enough to send to every task
-    learn = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select("__label", statistics(F.col(text_col)).alias("s"), id_col)
+    # at most training_rows rows of 17 bytes: small enough to send to every task
+    picked = known.orderBy(F.xxhash64(id_col, F.lit(11)), id_col).limit(training_rows)
+    learn = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).groupBy(id_col, "__label").agg(F.min(text_col).alias("text"))
+    learn = learn.select("__label", statistics(F.col("text")).alias("s"), id_col)
     sample = learn.orderBy(id_col).toArrow()
     s = sample["s"].combine_chunks()
     x = np.stack([s.field(i).to_numpy() for i in range(len(STATISTICS))], axis=1) if len(sample) else np.zeros((0, len(STATISTICS)))
