@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -16,7 +17,8 @@ def ready(spark: SparkSession) -> SparkSession:
     a batch size for Arrow where the session has the default.
 
     On a cluster whose nodes do not share the repository, ship it with --py-files as usual.  The folder for
-    checkpoints is the session's spark.checkpoint.dir; only where that is unset, as in tests, it is local.
+    checkpoints is the session's spark.checkpoint.dir; only where that is unset and everything runs in one process, as in
+    tests, it is a local one.
     """
     # rows are whole documents: small batches keep what Arrow and Python workers hold at once to a few MB
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
@@ -26,5 +28,8 @@ def ready(spark: SparkSession) -> SparkSession:
     if ROOT not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="newsloom-checkpoint-"))
     return spark
