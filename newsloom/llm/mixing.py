@@ -31,6 +31,9 @@ def first_words(text: pa.Array, n: pa.Array) -> pa.Array:
     out = []
     for i, limit in enumerate(n.to_pylist()):
         raw = data[offsets[i] : offsets[i + 1]]
+        if not len(raw):
+            out.append("")
+            continue
         words = Words(raw, np.array([0, len(raw)]))
         out.append(bytes(raw if limit is None or limit >= len(words.end) else raw[: words.end[limit - 1] if limit > 0 else 0]).decode("utf-8"))
     return pa.array(out, pa.string())
