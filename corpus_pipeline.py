@@ -95,10 +95,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str, aside: dict
     whole = docs.withColumnRenamed("source", "__source").withColumn("source", F.col("__source"))
     mix = curriculum_mix(whole, carry=("text", "lang", "__source", *aside.values())).withColumn("c", F.explode(F.arrays_zip("words", "positions")))
     taken = mix.filter("c.words > 0").withColumnRenamed("__source", "source")
-    columns = [c for c in docs.columns]
-    short = taken.filter("c.words < size").withColumn("text", first_words("text", F.col("c.words")))
-    taken = _counted(taken.filter("c.words = size").unionByName(short), aside)
-    return _back(taken.orderBy("c.positions", "doc_id", F.xxhash64("text")), aside, columns)
+    cut = F.col("c.words") < F.col("size")
+    text = F.when(cut, first_words(F.when(cut, F.col("text")), F.col("c.words"))).otherwise(F.col("text"))  # whole texts do not pass through Python
+    taken = _counted(taken.withColumn("text", text), aside)
+    return _back(taken.orderBy("c.positions", "doc_id", F.xxhash64("text")), aside, docs.columns)
 
 
 @_stage

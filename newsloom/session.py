@@ -27,6 +27,9 @@ def ready(spark: SparkSession) -> SparkSession:
     path = sc.environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
+    # arrays that a Python worker frees go back to the system: workers wait for further tasks, many to an executor
+    for name, value in (("MALLOC_MMAP_THRESHOLD_", 4 << 20), ("MALLOC_TRIM_THRESHOLD_", 16 << 20), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        sc.environment.setdefault(name, str(value))
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
