@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .vectors import dimension, matrix
+from .vectors import dimension, matrix, ragged, usable
 
 TILE_ROWS = 512
+COORDINATES = 3  # principal coordinates by which tiles are told apart
+CELL_LEAST = 0.05  # width of a cell of a coordinate, if links reach less far
 STEPS = (8, 16, 32)  # leading dimensions after which pairs are given up
 SLACK = 1e-9  # rounding of the rotated coordinates; the decision itself is taken on the given components
 
 
-def _second_moment(vectors: DataFrame, dim: int) -> np.ndarray:
-    """Mean outer product of all unit vectors: partial sums in tasks, added up in Spark; dim * dim numbers come back."""
+def _axes(vectors: DataFrame, dim: int) -> np.ndarray:
+    """Principal axes of the unit vectors of the commonest length about their mean, most spread first.
+
+    Partial sums in tasks are added up in Spark; (dim + 1) ** 2 numbers come back.
+    """
 
     def part(batches):
         total = None
@@ -24,14 +29,18 @@ def _second_moment(vectors: DataFrame, dim: int) -> np.ndarray:
             _, x = matrix(batch.column("embedding"), dim)
             x = x[(x != 0).any(axis=1)]
             if len(x):
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x = np.concatenate((_unit(x), np.ones((len(x), 1))), axis=1)
                 s = x.T @ x
                 total = s if total is None else total + s
         if total is not None:
             yield pa.RecordBatch.from_pydict({"at": np.arange(total.size), "x": total.ravel()})
 
     sums = vectors.select("embedding").mapInArrow(part, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
-    return np.array([r["x"] for r in sums]).reshape(dim, dim) if sums else np.zeros((dim, dim))
+    if not sums:
+        return np.eye(dim)
+    m = np.array([r["x"] for r in sums]).reshape(dim + 1, dim + 1)
+    mean = m[dim, :dim] / m[dim, dim]
+    return np.linalg.eigh(m[:dim, :dim] / m[dim, dim] - np.outer(mean, mean))[1][:, ::-1]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -69,67 +78,81 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     """Near-duplicate vectors of equal label: cosine >= threshold in double precision.
 
     Returns id_col, n_links (long: other vectors linked directly), component_id (long: smallest id that links reach,
-    itself included) and kept (boolean: the id is its component's).  Vectors that are null, zero, of odd length or hold
-    null or non-finite components, and those of null label or id, link with nothing; ids are distinct integers, and a
-    repeated row gets what its id gets.  Equal vectors of a label are one class that is compared once.  Other columns are not read; an empty table gives
-    an empty result.
-
-    The classes of a label stand in the order of their first principal coordinate, in tiles of TILE_ROWS.  Unit
-    vectors with cosine >= t differ by at most sqrt(2 - 2t) in any coordinate, so a tile meets only tiles whose range
-    lies that near; each pair of tiles is one group of bounded size.
+    itself included) and kept (boolean: the id is its component's).  Vectors that are null, empty, zero or hold null or
+    non-finite components, and those of null label or id, link with nothing; vectors of different lengths have no cosine and do
+    not link.  Ids are distinct integers, and a repeated row gets what its id gets.  Equal vectors of a label are one class that is
+    compared once.  Other columns are not read; an empty table gives an empty result.
+
+    The classes of a label and length stand in tiles of TILE_ROWS by the order of their first principal coordinate, apart by cells of
+    the next two.  Unit vectors with cosine >= t differ by at most sqrt(2 - 2t) in any coordinate, so a tile meets only
+    tiles of the same or a neighbouring cell, and of these the ones whose ranges lie that near; each pair of tiles is
+    one group of bounded size.  Axes are fitted for the commonest length; others keep their own components as coordinates.
     """
     vectors = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
 
-    dim = dimension(vectors, "embedding")
-
-    def usable(batches):
+    def live(batches):
         for batch in batches:
-            ok, x = matrix(batch.column("embedding"), dim)
-            live = (x != 0).any(axis=1)
-            ok[np.flatnonzero(ok)[~live]] = False
-            yield batch.filter(pa.array(ok))
-
-    good = vectors.filter("label is not null and id is not null").mapInArrow(usable, vectors.schema)
-    axes = np.linalg.eigh(_second_moment(good, dim))[1][:, ::-1]
-
-    @F.arrow_udf("double")
-    def first_coordinate(column: pa.Array) -> pa.Array:
-        ok, x = matrix(column, dim)
-        return pa.array(_unit(x) @ axes[:, 0] if len(x) else np.zeros(0), pa.float64())
+            fine, some = usable(batch.column("embedding"))
+            yield batch.filter(pa.array(fine & some))
+
+    good = vectors.filter("label is not null and id is not null").mapInArrow(live, vectors.schema)
+    dim = dimension(good, "embedding")
+    axes = _axes(good, dim) if dim else np.eye(1)
+
+    def rotated(x: np.ndarray) -> np.ndarray:
+        return x @ axes if x.shape[1] == dim else x
+
+    @F.arrow_udf("array<double>")
+    def coordinates(column: pa.Array) -> pa.Array:
+        values, edges = ragged(column)
+        out, length = np.zeros((len(edges) - 1, COORDINATES)), np.diff(edges)
+        for n in np.unique(length[length > 0]):
+            rows = np.flatnonzero(length == n)
+            x = rotated(_unit(values[edges[rows][:, None] + np.arange(n)[None, :]]))[:, :COORDINATES]
+            out[rows, : x.shape[1]] = x
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, COORDINATES), pa.int32()), pa.array(out.ravel()))
 
     classes = good.groupBy("label", "embedding").agg(F.min("id").alias("first"), F.countDistinct("id").alias("copies"))
-    classes = classes.withColumn("x", first_coordinate("embedding")).checkpoint()
-    # tiles: equal-frequency ranges of x in each label, from counts by fine slots of x
+    classes = classes.withColumn("length", F.size("embedding")).withColumn("x", coordinates("embedding")).checkpoint()
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    width = max(reach, CELL_LEAST)
+    cell = lambda c: F.floor(c / width).cast("int")
+    at = ["label", "length", "y", "z"]
     slots = 1 << 16
-    slot = F.floor((F.col("x") + 1.0) / 2.0 * slots).cast("long")
-    classes = classes.withColumn("slot", slot)
-    by_slot = classes.groupBy("label", "slot").agg(F.count(F.lit(1)).alias("rows"))
-    upto = F.sum("rows").over(Window.partitionBy("label").orderBy("slot")) - F.col("rows")
+    classes = classes.withColumn("y", cell(F.col("x")[1])).withColumn("z", cell(F.col("x")[2])).withColumn("slot", F.floor((F.col("x")[0] + 1.0) / 2.0 * slots).cast("long"))
+    # tiles: equal-frequency ranges of the first coordinate, from counts by its fine slots
+    by_slot = classes.groupBy(*at, "slot").agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy(*at).orderBy("slot")) - F.col("rows")
     # a slot may hold more rows than a tile: its tiles are parts dealt by hash
     tiles = by_slot.withColumn("tile", F.floor(upto / TILE_ROWS)).withColumn("parts", F.ceil(F.col("rows") / TILE_ROWS))
-    dealt = classes.join(tiles.drop("rows"), ["label", "slot"]).withColumn("part", F.pmod(F.xxhash64("first"), F.col("parts")))
-    ranges = dealt.groupBy("label", "tile", "part").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    a, b = ranges.alias("a"), ranges.alias("b")
-    near = (
-        (F.col("a.label") == F.col("b.label"))
-        & (F.struct("a.tile", "a.part") <= F.struct("b.tile", "b.part"))
-        & (F.col("b.lo") - F.col("a.hi") <= reach)
-        & (F.col("a.lo") - F.col("b.hi") <= reach)
-    )
-    pairs = a.join(b, near).select("a.label", F.col("a.tile").alias("ta"), F.col("a.part").alias("pa"), F.col("b.tile").alias("tb"), F.col("b.part").alias("pb"))
-    sides = pairs.select("*", F.explode(F.expr("case when ta = tb and pa = pb then array(0) else array(0, 1) end")).alias("side"))
-    sides = sides.withColumn("tile", F.expr("if(side = 0, ta, tb)")).withColumn("part", F.expr("if(side = 0, pa, pb)"))
-    blocks = sides.join(dealt.select("label", "tile", "part", "first", "copies", "embedding"), ["label", "tile", "part"])
+    dealt = classes.join(tiles.drop("rows"), [*at, "slot"]).withColumn("part", F.pmod(F.xxhash64("first"), F.col("parts")))
+    key = [*at, "tile", "part"]
+    ends = [F.min(F.col("x")[i]).alias(f"lo{i}") for i in range(COORDINATES)] + [F.max(F.col("x")[i]).alias(f"hi{i}") for i in range(COORDINATES)]
+    ranges = dealt.groupBy(*key).agg(*ends).withColumn("c0", cell(F.col("lo0"))).withColumn("c1", cell(F.col("hi0")))
+    # tiles meet by cells of all three coordinates; of the cells that two have in common the first one counts
+    a = ranges.select(*(F.col(c).alias(f"a_{c}") for c in ranges.columns), "label", "length", F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)).alias("c"))
+    for c in ("y", "z"):
+        a = a.withColumn(c, F.explode(F.sequence(F.col(f"a_{c}") - 1, F.col(f"a_{c}") + 1)))
+    b = ranges.select(*(F.col(c).alias(f"b_{c}") for c in ranges.columns), *at, F.explode(F.sequence("c0", "c1")).alias("c"))
+    near = (F.col("c") == F.greatest(F.col("a_c0") - 1, F.col("b_c0"))) & (F.struct(*(f"a_{c}" for c in key[2:])) <= F.struct(*(f"b_{c}" for c in key[2:])))
+    for i in range(COORDINATES):
+        near = near & (F.col(f"b_lo{i}") - F.col(f"a_hi{i}") <= reach) & (F.col(f"a_lo{i}") - F.col(f"b_hi{i}") <= reach)
+    pairs = a.join(b, [*at, "c"]).filter(near).select("label", "length", *(f"{s}_{c}" for s in "ab" for c in key[2:]))
+    one = F.struct(F.lit(0).alias("side"), *(F.col(f"a_{c}").alias(c) for c in key[2:]))
+    two = F.struct(F.lit(1).alias("side"), *(F.col(f"b_{c}").alias(c) for c in key[2:]))
+    same_tile = F.struct(*(f"a_{c}" for c in key[2:])) == F.struct(*(f"b_{c}" for c in key[2:]))
+    sides = pairs.select("*", F.explode(F.when(same_tile, F.array(one)).otherwise(F.array(one, two))).alias("s"))
+    sides = sides.select("label", "length", *(f"{s}_{c}" for s in "ab" for c in key[2:]), "s.*")
+    blocks = sides.join(dealt.select(*key, "first", "copies", "embedding"), key)
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("first")
         side = table["side"].to_numpy()
         same = not side.any()
         first, copies = table["first"].to_numpy(), table["copies"].to_numpy()
-        x = _unit(matrix(table["embedding"], dim)[1])
+        x = _unit(matrix(table["embedding"], table["length"][0].as_py())[1])
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
-        r = x @ axes
+        r = rotated(x)
         i, j = tile_links(x[left], x[right], r[left], r[right], threshold, same)
         i, j = left[i], right[j]
         links = np.bincount(i, weights=copies[j], minlength=len(first)) + np.bincount(j, weights=copies[i], minlength=len(first))
@@ -147,7 +170,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         some = links > 0
         return pa.table({"first": pa.array(first[some]), "links": pa.array(links[some].astype(np.int64)), "root": pa.array(first[root[some]])})
 
-    found = blocks.groupBy("label", "ta", "pa", "tb", "pb").applyInArrow(compare, "first long, links long, root long").checkpoint()
+    found = blocks.groupBy("label", "length", *(f"{s}_{c}" for s in "ab" for c in key[2:])).applyInArrow(compare, "first long, links long, root long").checkpoint()
     counted = found.groupBy("first").agg(F.sum("links").alias("links"))
     reached = components(found.select(F.col("root").alias("u"), F.col("first").alias("v"))).withColumnsRenamed({"node": "first", "component": "reached"})
     per = classes.select("label", "embedding", "first", "copies").join(counted, "first", "left").join(reached, "first", "left")

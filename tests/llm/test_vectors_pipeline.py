@@ -65,6 +65,47 @@ def test_top_inner_products(spark, rows, monkeypatch, piece, block):
     assert {tuple(r)[:3] for r in topk.top_inner_products(few).collect()} >= {(0, 1, 1)} or topk.top_inner_products(few).count() == 2
 
 
+def test_vectors_of_several_lengths(spark):
+    """Vectors meet those of their own length only, whichever length is commonest."""
+    rows = [(i, [1.0, i / 100.0], 1) for i in range(40)] + [(50, [0.5, 0.5, 0.25], 1), (51, [0.5, 0.5, 0.25001], 1), (52, [0.5, 0.5, 0.25], 2), (100, [2.0], 1), (101, [0.0, 0.0, 0.0], 1), (102, [], 1), (150, [1.0] * 3 + [float("inf")], 1)]
+    df = spark.createDataFrame(rows, VECTOR).withColumn("query_id", F.lit("clash")).withColumn("score", F.lit(0))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.embedding_links(df).collect()}
+    assert [got[i] for i in (50, 51, 52, 100, 101, 102, 150)] == [(1, 50), (1, 50), (0, 52), (0, 100), (0, 101), (0, 102), (0, 150)] and got[0][0] > 5
+    top = sorted(map(tuple, topk.top_inner_products(df).collect()))
+    assert [t[:3] for t in top if t[0] == 50] == [(50, 1, 51), (50, 2, 52), (50, 3, 101)] and [t[2] for t in top if t[0] == 0] == [1, 2, 3, 4, 5]
+    assert not [t for t in top if t[0] in (100, 150)]
+
+
+def test_tiles_meet_neighbours_only(monkeypatch):
+    """Of clustered vectors hardly any pair is multiplied to the end, and none with a high cosine is lost."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 32))
+    x = embed_dedup._unit(centres[rng.integers(0, 20, 400)] + rng.normal(size=(400, 32)) * 0.05)
+    axes = np.linalg.eigh(np.cov(x.T))[1][:, ::-1]
+    i, j = embed_dedup.tile_links(x, x, x @ axes, x @ axes, 0.98, True)
+    want = np.argwhere(np.triu(x @ x.T >= 0.98, 1))
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
+
+
+def test_cover_tree_invariants(monkeypatch):
+    monkeypatch.setattr(topk, "LEAF_ROWS", 4)
+    x = np.random.default_rng(4).normal(size=(500, 6)) * 100
+
+    def check(node):
+        away = lambda a, b: np.sqrt(((a - b) ** 2).sum(axis=-1))
+        assert (away(x[node.rows], node.center) <= 2.0**node.level + 1e-9).all()
+        if node.children:
+            centres = np.array([c.center for c in node.children])
+            apart = away(centres[:, None, :], centres[None, :, :])
+            assert apart[np.triu_indices(len(centres), 1)].min() > 2.0 ** (node.level - 1)
+            assert all(c.radius <= 2.0 ** (node.level - 1) and c.level < node.level for c in node.children)
+            assert sorted(np.concatenate([c.rows for c in node.children]).tolist()) == sorted(node.rows.tolist())
+            for c in node.children:
+                check(c)
+
+    check(topk.Node(x, np.arange(500)))
+
+
 def test_vectors_of_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (0, [1.0, 0.001], 1), (None, [1.0, 0.0], 1)], VECTOR)
     got = sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id) for r in embed_dedup.embedding_links(df).collect())
