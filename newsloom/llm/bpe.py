@@ -19,6 +19,7 @@ from .textbytes import _byte_values, _powers, _sums, mix, slices, string_buffers
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NONE = np.uint32(0xFFFFFFFF)
 CELLS = 1 << 17  # cells of one padded matrix
+LONG = 2048  # bytes above which a pre-token is a row of its own, whose equal pairs merge together
 KEPT = 150_000  # pre-tokens whose ids a worker keeps between batches
 
 
@@ -142,6 +143,32 @@ class Vocabulary:
         count[live] = length
         return out, count
 
+    def merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """Encode one long row of byte ids: a round merges all places of the least rank, from the left.
+
+        That is what merging the leftmost one again and again does, up to the first place whose merge makes a pair
+        of that rank or a lower one with a neighbour; there the round ends.  Ranks of pairs are kept and only those next to
+        a merge are looked up again, so the cost is that of one pass over the row for each distinct rank.
+        """
+        pair = self.rank(ids[:-1], ids[1:])
+        while len(pair) and (least := pair.min()) != NONE:
+            at = np.flatnonzero(pair == least)
+            begin = np.concatenate(([True], np.diff(at) != 1))
+            at = at[(at - np.maximum.accumulate(np.where(begin, at, 0))) % 2 == 0]  # places overlap in a run: every second one
+            ends_here = np.concatenate(([False], at[1:] == at[:-1] + 2))
+            left = np.where(ends_here, least, ids[np.maximum(at - 1, 0)])
+            right = ids[np.minimum(at + 2, len(ids) - 1)]
+            merged = np.full(len(at), least, dtype=ids.dtype)
+            made = np.minimum(np.where(at > 0, self.rank(left, merged), NONE), np.where(at + 2 < len(ids), self.rank(merged, right), NONE))
+            early = np.flatnonzero(made <= least)
+            at = at[: early[0] + 1] if len(early) else at
+            ids[at] = least
+            ids, pair = np.delete(ids, at + 1), np.delete(pair, at)
+            new = at - np.arange(len(at))
+            for i in (new[new > 0] - 1, new[new < len(pair)]):
+                pair[i] = self.rank(ids[i], ids[i + 1])
+        return ids
+
     def encode_spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, boundaries) of byte strings data[start:end]; one that is a token itself is that token."""
         n = len(start)
@@ -151,7 +178,11 @@ class Vocabulary:
         whole = self.whole[at] == hashes
         size = np.ones(n, dtype=np.int64)
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        todo = np.flatnonzero(~whole)
+        for i in np.flatnonzero(~whole & (length > LONG)):
+            ids = self.merge_long(self.byte_id[data[start[i] : end[i]]])
+            size[i] = len(ids)
+            parts.append((np.array([i]), ids, np.array([len(ids)])))
+        todo = np.flatnonzero(~whole & (length <= LONG))
         bucket = np.ceil(np.log2(np.maximum(length[todo], 2))).astype(np.int64)
         for b in np.unique(bucket):
             members, width = todo[bucket == b], 1 << int(b)
@@ -252,7 +283,7 @@ def bpe_round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFr
     """The columns of `docs` with ids (binary, little-endian unsigned 32-bit) and decoded (binary).
 
     Every match of the public pre-token pattern in a whole text is encoded separately by the ranks in `path`, without
-    special tokens; a null or empty text has no ids and decodes to nothing.  No row moves between tasks, so skew of
+    special tokens; a null or empty text has no ids and decodes to nothing; repeated rows are each encoded.  No row moves between tasks, so skew of
     any key does not matter; a column of `docs` named ids or decoded is replaced; an empty table gives an empty result.
     """
     raw = read_vocabulary(path)

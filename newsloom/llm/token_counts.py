@@ -17,6 +17,8 @@ from .pretokens import boundaries
 from .textbytes import _byte_values, _powers, _sums, mix, slices, string_buffers
 
 TRIE_BYTES = 1 << 20  # text whose distinct pre-tokens share one trie
+LONG = 512  # bytes above which a pre-token shares no trie: a line without branches gains nothing by levels
+POSITIONS = 1 << 16  # of a long pre-token whose tokens are looked up at once
 STEP = 1 << 20  # a cost counts in units of this, the tokens in the rest, so equal costs go to fewer tokens
 
 
@@ -53,7 +55,10 @@ class Unigram:
         computed once, and a pre-token's cost is that of its terminal node.
         """
         out, length = np.zeros(len(start), dtype=np.int64), end - start
-        live, node = np.arange(len(start)), np.zeros(len(start), dtype=np.int64)
+        for i in np.flatnonzero(length > LONG):
+            out[i] = self._of_long(int(start[i]), int(end[i]))
+        live = np.flatnonzero(length <= LONG)
+        node = np.zeros(len(live), dtype=np.int64)
         forward, window, depth = np.zeros((1, 1), dtype=np.int64), 1, 0  # forward costs of the last `longest` ancestors of each node
         while len(live):
             more = length[live] > depth
@@ -74,6 +79,24 @@ class Unigram:
             window, node = forward.shape[1], inverse
         return out
 
+    def _of_long(self, start: int, end: int) -> int:
+        """Least cost of one long pre-token: all tokens in it by where they end, then one step for each."""
+        forward = [0] + [1 << 62] * (end - start)
+        for low in range(start, end, POSITIONS):
+            stops, lengths, costs = [], [], []
+            for k in self.by_length:
+                stop = np.arange(max(low + 1, start + k), min(low + POSITIONS, end) + 1)
+                hit, cost = self.costs(k, spans_hash_at(self.sums, stop - k, stop))
+                stops.append(stop[hit] - start)
+                lengths.append(np.full(len(hit), k))
+                costs.append(cost)
+            stop, length, cost = map(np.concatenate, (stops, lengths, costs))
+            order = np.argsort(stop, kind="stable")
+            for at, k, c in zip(stop[order].tolist(), length[order].tolist(), cost[order].tolist(), strict=True):
+                if forward[at - k] + c < forward[at]:
+                    forward[at] = forward[at - k] + c
+        return forward[-1]
+
     def of_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pre-tokens, tokens, cost in thousandths) of each text."""
         start, first = boundaries(data, offsets)
@@ -106,7 +129,7 @@ def unigram_token_counts(docs: DataFrame, path: str, text_col: str = "text") ->
 
     A whole text is split by the public pre-token pattern; each pre-token takes its likeliest segmentation into tokens
     of the rank file at `path`, whose chances fall with rank by Zipf's law (all single bytes are tokens, so there always
-    is one; equal chances go to fewer tokens).  Null and empty texts have 0, 0 and 0.0.  No row moves between tasks.
+    is one; equal chances go to fewer tokens).  Null and empty texts have 0, 0 and 0.0; repeated rows are each counted.  No row moves between tasks.
     Columns of `docs` of these names are replaced; an empty table gives an empty result.
     """
     raw = read_vocabulary(path)

@@ -154,6 +154,41 @@ def test_token_counts(docs, corpus, empty):
     assert token_counts.unigram_token_counts(empty, PATH).count() == 0
 
 
+def test_bpe_long_pretokens_against_tiktoken():
+    """Rows over and under the limit of length: runs of one letter, of few letters (merges that make lower ranks) and of many."""
+    enc, _ = encoding()
+    rng, model = random.Random(8), bpe.Vocabulary(bpe.read_vocabulary(PATH))
+    pieces = ["a" * 5_001, "ab" * 2_000, "the" * 1_500] + ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "aeiostrn", "abcdefghijklmnopqrstuvwxyz") for n in (100, 2_049, 6_000)]
+    for piece in pieces:
+        data = np.frombuffer(piece.encode(), np.uint8)
+        assert model.merge_long(model.byte_id[data].copy()).tolist() == enc.encode_ordinary(piece)
+
+
+def test_long_pretokens_in_seconds(spark):
+    import time
+
+    rng = random.Random(8)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    x = spark.createDataFrame([(1, run), (1, run), (2, "ordinary words")], "doc_id long, text string").withColumn("n_tokens", F.lit("old"))
+    began = time.monotonic()
+    rows = bpe.bpe_round_trip(x, PATH).collect()
+    assert all(bytes(r.decoded).decode() == r.text for r in rows) and rows[0].ids == rows[1].ids
+    counts = token_counts.unigram_token_counts(x, PATH).collect()
+    assert counts[0].log_prob == counts[1].log_prob and 0 < counts[0].n_tokens <= len(rows[0].ids) / 4 * 1.2
+    assert time.monotonic() - began < 60
+
+
+def test_token_counts_of_long_pretokens_equal_the_trie(monkeypatch):
+    model = token_counts.Unigram(bpe.read_vocabulary(PATH))
+    rng = random.Random(6)
+    texts = [("".join(rng.choice("aeiostrnlm") for _ in range(n)) + " ").encode() for n in (600, 1_100, 30)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    monkeypatch.setattr(token_counts, "POSITIONS", 100)
+    by_table = [x.tolist() for x in model.of_texts(data, offsets)]
+    monkeypatch.setattr(token_counts, "LONG", 10_000)
+    assert [x.tolist() for x in model.of_texts(data, offsets)] == by_table
+
+
 def test_mixing(docs, corpus, empty):
     got = {r.doc_id: r for r in mixing.curriculum_mix(docs).collect()}
     size = {r[0]: len(WORD.findall(r[1] or "")) for r in corpus}
