@@ -31,7 +31,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     words: 0, 0, '' and an empty array.  Repeated rows count as further documents.  A column of `docs` that
     has the name of an output column is replaced.  An empty table gives an empty result.
     """
-    carried = [c for c in docs.columns if c not in OUTPUT or c in (id_col, text_col)]
+    names = [c for c in docs.columns if c not in OUTPUT or c in (id_col, text_col)]
+    # columns go by number inside, so a name of the caller's cannot clash with one of ours
+    docs = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    carried, id_col, text_col = docs.columns, f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     total = text_bytes(docs, text_col)
     chunks = docs.select(*carried, chunk_key(id_col, text_col, total).alias(CHUNK))
 
@@ -83,7 +86,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
     made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", T.ArrayType(span))]
     schema = T.StructType([docs.schema[c] for c in carried] + made)
-    return chunks.groupBy(CHUNK).cogroup(found.groupBy("chunk")).applyInArrow(cut, schema)
+    out = chunks.groupBy(CHUNK).cogroup(found.groupBy("chunk")).applyInArrow(cut, schema)
+    return out.select(*(F.col(c).alias(name) for c, name in zip(carried, names, strict=True)), *OUTPUT)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -317,6 +317,113 @@ def test_langid(spark):
     assert langid.identify(docs.limit(0), F.lit(True)).count() == 0
 
 
+def plain_grams(text):
+    out, data = bytearray(b" "), (text or "").encode()
+    for i, b in enumerate(data):
+        if b < 0x80:
+            b = ord(chr(b).lower()) if chr(b).isalpha() else 0x20
+        elif i and data[i - 1] == 0xC3 and 0x80 <= b <= 0x9E and b != 0x97:
+            b += 0x20
+        if b != 0x20 or out[-1] != 0x20:
+            out.append(b)
+    if out[-1] != 0x20:
+        out.append(0x20)
+    return [bytes(out[i : i + 4]) for i in range(len(out) - 3)]
+
+
+def test_langid_matches_plain_filters(spark):
+    """The query against counters, sets of slots and loops."""
+    from newsloom.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").collect()
+    grams = {r.doc_id: plain_grams(r.text) for r in docs}
+    counts = defaultdict(Counter)
+    for r in docs:
+        if train(r.doc_id, 4, 2) and r.lang is not None:
+            counts[r.lang].update(grams[r.doc_id])
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    share = {x: {g: n / total[x] for g, n in c.items()} for x, c in counts.items()}
+    top = Counter()
+    for s in share.values():
+        for g, v in s.items():
+            top[g] = max(top[g], v)
+
+    def slots(g):
+        x = int.from_bytes(g, "big") * 0x9E3779B97F4A7C15 % 2**64
+        x ^= x >> 29
+        x = x * 0xBF58476D1CE4E5B9 % 2**64
+        return [x >> i * langid.SLOT_BITS & (1 << langid.SLOT_BITS) - 1 for i in range(langid.PROBES)]
+
+    filters = {x: {s for g, v in own.items() if v >= langid.RARE and v >= langid.TYPICAL * top[g] for s in slots(g)} for x, own in share.items()}
+    false = {x: (len(f) / 2**langid.SLOT_BITS) ** langid.PROBES for x, f in filters.items()}
+    got = {r.doc_id: r for r in QUERIES["op9_langid"](spark, d).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        x = got[r.doc_id]
+        assert x.held_out == (not train(r.doc_id, 4, 2))
+        if not regex.search(r"\p{L}", r.text or ""):
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        each = {}
+        for lang, f in filters.items():
+            hits = sum(all(s in f for s in slots(g)) for g in grams[r.doc_id])
+            each[lang] = min(1.0, max(0.0, (hits / max(len(grams[r.doc_id]), 1) - false[lang]) / (1 - false[lang])))
+        assert x.score == pytest.approx(max(each.values()), abs=1e-9) and each[x.lang_pred] == pytest.approx(x.score, abs=1e-9)
+
+
+def plain_statistics(text):
+    data = (text or "").encode()
+    letter = lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80
+    upper, punctuation = (lambda b: 0x41 <= b <= 0x5A), (lambda b: 0x21 <= b <= 0x7E and not chr(b).isalnum())
+    symbol = lambda b: punctuation(b) and chr(b) not in ".,;:?'\"()-"
+    lines = [x.split() for x in data.split(b"\n")]
+    lines = [w for w in lines if w]
+    raw = [w for line in lines for w in line]
+    words = [lower(w.decode()) for w in raw]
+    n, size, pairs = max(len(words), 1), max(len(data), 1), max(len(words) - 1, 1)
+    number = lambda f: sum(map(f, data))
+    alike = [tuple(sorted(lower(w.decode()) for w in line)) for line in lines]
+    return (
+        len(words), sum(map(len, raw)) / n, number(upper) / max(number(letter), 1), number(lambda b: 0x30 <= b <= 0x39) / size, number(punctuation) / size, number(symbol) / size,
+        sum(any(map(symbol, w)) for w in raw) / n, sum(sum(map(upper, w)) == sum(map(letter, w)) for w in raw) / n, sum(not any(map(letter, w)) for w in raw) / n,
+        len(set(words)) / n, max(Counter(words).values(), default=0) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / pairs, len(set(zip(words, words[1:], strict=False))) / pairs,
+        len(lines), len(words) / max(len(lines), 1), (len(lines) - len(set(alike))) / max(len(lines), 1), sum(w[-1:] in b".!?" for w in raw) / n, number(lambda b: b < 0x20 and b not in (9, 10, 13) or b == 0x7F) / size,
+    )
+
+
+def test_quality_matches_plain_rules(spark, monkeypatch):
+    """Every statistic and every score of a whole table against loops over bytes and rules."""
+    from newsloom.llm.queries import QUERIES
+
+    fitted, fit = [], quality.fit_rules
+    monkeypatch.setattr(quality, "fit_rules", lambda x, y: fitted.append(fit(x, y)) or fitted[-1])
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op10_quality"](spark, d).collect()}
+    intercept, rules = fitted[0]
+    assert rules
+    for r in docs.select("doc_id", "text", quality.statistics("text").alias("s")).collect():
+        want = plain_statistics(r.text)
+        assert tuple(r.s) == pytest.approx(want)
+        inside = lambda rule: all((r.s[f] > cut) == above for f, above, cut in rule)  # noqa: B023, E731
+        score = 1 / (1 + math.exp(-intercept - sum(w for rule, w in rules if inside(rule))))
+        x = got[r.doc_id]
+        assert (x.held_out, x.predicted) == (not train(r.doc_id, 5, 0), int(x.score >= 0.3)) and x.score == pytest.approx(score)
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    """Operators 1, 6, 9 and 10 on a text of a million words, and rows that repeat."""
+    long = " ".join(f"w{i % 7919}x{i}" for i in range(300_000))
+    rows = [(1, long, "en"), (2, long, "en"), (3, "a b c", "de"), (3, "a b c", "de"), (4, None, None)]
+    x = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("old")).withColumn("__chunk", F.lit(0)).withColumn("predicted", F.lit(7))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(x).collect()) == [(1, 299_996, 1), (2, 299_996, 1), (3, 1, 3), (3, 1, 3), (4, 0, 4)]
+    assert sorted((r.doc_id, r.n_removed) for r in substring.remove_repeats(x).collect()) == [(1, 300_000), (2, 300_000), (3, 0), (3, 0), (4, 0)]
+    assert sorted((r.doc_id, r.lang_pred) for r in langid.identify(x, F.lit(True)).collect()) == [(1, "en"), (2, "en"), (3, "de"), (3, "de"), (4, "und")]
+    scored = quality.quality_scores(x, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")).collect()
+    assert len(scored) == 5 and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in scored)
+
+
 def test_langid_held_out_accuracy(spark):
     from newsloom.llm.queries import QUERIES
 
