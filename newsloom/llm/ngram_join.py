@@ -252,7 +252,8 @@ def _remaining_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFr
     lists = lists.withColumn("rest", F.col("held") - F.col("at")).withColumn("most", F.floor((F.col("rest") * (100 + percent)) / percent - F.col("n")))
     for _ in range(2):
         others = lists.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("n0"), F.max("most").alias("m1")).filter("c0 < c1")
-        lists = lists.join(others, "h").filter("n <= m1 and most >= n0").select("h", "component", "id", "n", "rest", "most")
+        # what is left is few, and is read several times from here on
+        lists = lists.join(others, "h").filter("n <= m1 and most >= n0").select("h", "component", "id", "n", "rest", "most").checkpoint()
     sides = lists.groupBy("h", "component").agg(F.min("n").alias("n"), F.max("most").alias("most"))
     # a column of many components is dealt to several keys: one factor once to each, the other one to one of them
     hot = sides.groupBy("h").agg(F.floor(F.count(F.lit(1)) / HOT_COLUMN).cast("int").alias("parts")).filter("parts > 0")
