@@ -1,5 +1,7 @@
 """Word lists, patterns and thresholds that results depend on."""
 
+import calendar
+
 # Words of the sensationalism score.
 EMOTIONAL = (
     "shocking terrifying horrifying devastating explosive bombshell outrage fury chaos crisis panic nightmare catastrophe catastrophic "
@@ -68,7 +70,7 @@ BOILERPLATE = (
 # Elements that hold no article text.
 NON_CONTENT = ("script", "style", "nav", "header", "footer", "aside", "iframe", "noscript", "svg", "form")
 
-# The HTML entities that are decoded.
+# The HTML entities that the queries' SQL decodes; the functions decode all.
 HTML_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 # Keywords of the impact score, and titles that are digests and no events.
@@ -140,15 +142,23 @@ AI_COMPANIES = ("openai", "anthropic", "deepmind", "hugging face", "huggingface"
 AI_PRODUCTS = ("chatgpt", "gpt-4", "gpt-5", "github copilot")
 AI_CONTEXT = ("model", "training", "data", "algorithm", "robot", "automat", "compute", "gpu", "inference", "deploy", "tech", "startup", "regulation", "bias", "ethics", "research", "lab")
 
-# Capitalised words that name nothing.  A longer list can be passed to the extractor.
+# Capitalised words that name nothing; days and months come from the calendar.  Another list can be passed to the extractor.
 ENTITY_STOPWORDS = (
-    "The This That These Those Here There When Where What Which Who How Why Its Their Some Many Most Each Every Both Such Other And But Or Not Nor For So If As At By To In On Of "
-    "Up No An With Just Also Still Even More Less Much Very Only Already Again Yet Now Then Well About After Before Between During Since Until While Hold Apart According However "
-    "Meanwhile Furthermore Moreover Nevertheless Although Despite Related High Low New Old Big Top Read Watch Click Sign View Share Open Close Free Live Breaking Update Report "
-    "Source Sources Photo Video Image Audio Exclusive Opinion Analysis Editorial Says Said Gets Got Has Had Was Were Are Been Being Having Does Did Make Made Take Took Give Gave "
-    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December RSS API URL HTTP HTTPS HTML CSS "
-    "PDF FAQ EST PST GMT UTC ETF IPO CEO CFO COO"
-).split()
+    "The", "This", "That", "These", "Those", "Here", "There", "When", "Where", "What", "Which", "Who", "How", "Why", "Its", "Their", "Some", "Many", "Most", "Each", "Every", "Both", "Such",
+    "Other", "And", "But", "Or", "Not", "Nor", "For", "So", "If", "As", "At", "By", "To", "In", "On", "Of", "Up", "No", "An", "With",
+    "Just", "Also", "Still", "Even", "More", "Less", "Much", "Very", "Only", "Already", "Again", "Yet", "Now", "Then", "Well", "About", "After", "Before", "Between", "During", "Since", "Until",
+    "While", "Hold", "Apart", "According", "However", "Meanwhile", "Furthermore", "Moreover", "Nevertheless", "Although", "Despite", "Related", "High", "Low", "New", "Old", "Big", "Top", "Read",
+    "Watch", "Click", "Sign", "View", "Share", "Open", "Close", "Free", "Live", "Breaking", "Update", "Report", "Source", "Sources", "Photo", "Video", "Image", "Audio", "Exclusive", "Opinion",
+    "Analysis", "Editorial", "Repo", "Companies", "Workers", "People", "Markets", "Stocks", "Shares",
+    "Eventually", "Importantly", "Therefore", "Because", "Elsewhere", "Considering", "Especially", "Additionally", "Consequently", "Regardless", "Apparently", "Presumably", "Certainly",
+    "Essentially", "Generally", "Recently", "Previously", "Currently", "Initially", "Finally", "Says", "Said", "Gets", "Got", "Has", "Had", "Was", "Were", "Are", "Been", "Being", "Having", "Does",
+    "Did", "Make", "Made", "Take", "Took", "Give", "Gave", "Come", "Came", "Goes", "Gone", "Went",
+    "Fears", "Hundreds", "Thousands", "Millions", "Billions", "Heavy", "Several", "Various", "Potential", "Possible", "Likely", "Unlikely", "Major", "Minor", "Significant", "Critical", "Key",
+    "Really", "Quite", "Rather", "Fairly", "Nearly", "Almost", "Whats", "Heres", "Thats", *calendar.day_name, *calendar.month_name[1:],
+    "See", "Will", "Hike", "Spike", "Hit", "Rise", "Fall", "Drop", "Jump", "Surge", "Slide", "Slip", "Gain", "Lose", "Cut", "Set", "Prices", "Rates", "Over", "Under", "Lower", "Higher",
+    "Highest", "Lowest", "Trending", "Topics", "Searches", "Recent", "Latest",
+    "RSS", "API", "URL", "HTTP", "HTTPS", "HTML", "CSS", "PDF", "FAQ", "EST", "PST", "GMT", "UTC", "ETF", "IPO", "CEO", "CFO", "COO",
+)
 
 # Left parts of a publisher's name that say nothing, and titles by which a question is recognised.
 GENERIC_PUBLISHERS = ("news", "latest articles", "rss feed", "feed", "all releases", "press release", "press releases", "top stories", "headlines")

@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import col, words
 
 
+WORDS_AT_ONCE = 1 << 18
+
+
 def token_hash(token: Column | str) -> Column:
     """64 bits of md5, as the BIGINT of the same bit pattern."""
     return F.conv(F.substring(F.md5(col(token).cast("binary")), 1, 16), 16, -10).cast("long")
 
 
+@F.arrow_udf(T.LongType())
+def _majority_of_words(words_: pa.Array) -> pa.Array:
+    """Bits that most words of each row have set; each distinct word of a batch is hashed once."""
+    length = np.asarray(words_.value_lengths().fill_null(0))
+    edge = np.concatenate(([0], np.cumsum(length)))
+    coded = words_.flatten().dictionary_encode()
+    hashes = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big") for w in coded.dictionary.to_pylist()], dtype=">u8")
+    bits, at = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), coded.indices.to_numpy()
+    out = np.zeros(len(length), np.int64)
+    rows = np.flatnonzero(length)
+    while len(rows):  # a bounded number of words at once, one row at least
+        n = max(1, int(np.searchsorted(edge[rows + 1], edge[rows[0]] + WORDS_AT_ONCE, side="right")))
+        some, rows = rows[:n], rows[n:]
+        ones = np.add.reduceat(bits[at[edge[some[0]] : edge[some[-1] + 1]]], edge[some] - edge[some[0]], axis=0, dtype=np.int32)
+        out[some] = np.packbits(ones * 2 > length[some][:, None], axis=1).view(">i8").ravel()
+    return pa.array(out)
+
+
 def simhash_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, simhash): bit i is set if more word occurrences have it set than not; 0 without words.
 
-    One exploded row a word and a partial aggregate of 64 sums: occurrences never meet in one place.
+    One row in, one row out: nothing is shuffled.  Repeated rows and rows of null id are each answered.
     """
-    hashed = docs.select(F.col(id_col), F.explode(words(text_col)).alias("__w")).groupBy(id_col, "__w").agg(F.count(F.lit(1)).alias("__n"))
-    hashed = hashed.withColumn("__h", token_hash("__w"))
-    bits = [F.sum(F.shiftrightunsigned("__h", i).bitwiseAND(F.lit(1)) * F.col("__n")).alias(f"__b{i}") for i in range(64)]
-    counted = hashed.groupBy(id_col).agg(F.sum("__n").alias("__t"), *bits)
-    value = F.lit(0).cast("long")
-    for i in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"__b{i}") * 2 > F.col("__t"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    hashes = counted.select(id_col, value.alias("simhash"))
-    return docs.select(id_col).distinct().join(hashes, id_col, "left").select(id_col, F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
+    return docs.select(F.col(id_col), _majority_of_words(words(text_col)).alias("simhash"))
 
 
 def simhash_column(text: Column | str) -> Column:

@@ -1,11 +1,14 @@
-"""Text functions as column expressions: everything stays in the JVM."""
+"""Text functions as column expressions; only character references of HTML are decoded in Arrow batches, where there are any."""
 
 from __future__ import annotations
 
+import html
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import lexicons as L
 
@@ -42,15 +45,31 @@ def strip_urls(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text_of(x), r"https?://\S+", ""), r"\s{2,}", " "))
 
 
+def _encoded(x: Column) -> Column:
+    """Form encoding; '~' stays and '*' does not, unlike in Java."""
+    return F.replace(F.replace(F.url_encode(x), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
 def strip_tracking(url: Column | str, names=L.TRACKING) -> Column:
-    """The link without tracking parameters and parameters of no value; the fragment stays."""
+    """The link without tracking parameters and parameters of no value; the fragment stays.
+
+    Names and values are decoded and encoded again, repeated names come together at the first one's place; what cannot be
+    decoded stays as it is.
+    """
     u = text_of(url)
     base = F.regexp_extract(u, r"^([^?#]*)", 1)
     query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
     fragment = F.regexp_extract(u, r"(#.*)$", 1)
-    drop = "^(?i:" + "|".join(names) + ")="
-    kept = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]+=.+") & ~p.rlike(drop))
-    return F.concat(base, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""), fragment)
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    named = F.transform(
+        F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=.+")),
+        lambda p: F.struct(decoded(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")),
+    )
+    kept = F.filter(named, lambda p: ~F.lower(p["k"]).isin(*names))
+    keys = F.transform(kept, lambda p: p["k"])
+    placed = F.array_sort(F.transform(kept, lambda p, i: F.struct(F.array_position(keys, p["k"]).alias("at"), i.alias("i"), p["k"].alias("k"), p["v"].alias("v"))))
+    pairs = F.transform(placed, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"])))
+    return F.concat(base, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(""), fragment)
 
 
 def url_host(url: Column | str) -> Column:
@@ -58,19 +77,35 @@ def url_host(url: Column | str) -> Column:
     return F.replace(F.lower(F.regexp_extract(text_of(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("www."), F.lit(""))
 
 
-def _unescape(x: Column) -> Column:
-    for entity, char in L.HTML_ENTITIES:
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return x
+def feed_host(url: Column | str) -> Column:
+    """Host of a feed's address, without 'feeds.' and 'rss.' too."""
+    return F.replace(F.replace(url_host(url), F.lit("feeds."), F.lit("")), F.lit("rss."), F.lit(""))
 
 
-def clean_html(x: Column | str) -> Column:
-    """Text of a piece of HTML: no scripts, styles or tags, common entities decoded, blanks collapsed."""
-    t = text_of(x)
+@F.arrow_udf(T.StringType())
+def _unescaped(x: pa.Array) -> pa.Array:
+    return pa.array([v if v is None else html.unescape(v) for v in x.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _each_unescaped(x: pa.Array) -> pa.Array:
+    return pa.array([v if v is None else [html.unescape(t) for t in v] for v in x.to_pylist()], pa.list_(pa.string()))
+
+
+def _without_tags(x: Column) -> Column:
     for tag in ("script", "style"):
-        t = F.regexp_replace(t, rf"(?is)<{tag}[^>]*>.*?</{tag}>", "")
-    t = _unescape(F.regexp_replace(t, r"<[^>]+>", " "))
-    return F.trim(F.regexp_replace(t, r"[\s ]+", " "))
+        x = F.regexp_replace(x, rf"(?is)<{tag}[^>]*>.*?</{tag}>", "")
+    return F.regexp_replace(x, r"<[^>]+>", " ")
+
+
+def _one_blank(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+
+
+def clean_html(x: Column | str) -> Column:
+    """Text of a piece of HTML: no scripts, styles or tags, character references decoded, blanks collapsed."""
+    t = _without_tags(text_of(x))
+    return _one_blank(F.coalesce(_unescaped(F.when(F.contains(t, F.lit("&")), t)), t))
 
 
 def strip_boilerplate(x: Column | str) -> Column:
@@ -86,7 +121,10 @@ def article_body(html: Column | str, least_words: int = 5, least_total: int = 30
     for tag in L.NON_CONTENT:
         t = F.regexp_replace(t, rf"(?is)<{tag}[^>]*>.*?</{tag}>", "")
     paragraphs = F.regexp_extract_all(t, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1))
-    clean = F.filter(F.transform(paragraphs, lambda p: strip_boilerplate(clean_html(p))), lambda p: word_count(p) >= least_words)
+    plain = F.transform(paragraphs, _without_tags)
+    some = F.exists(plain, lambda p: F.contains(p, F.lit("&")))
+    plain = F.coalesce(_each_unescaped(F.when(some, plain)), plain)
+    clean = F.filter(F.transform(plain, lambda p: strip_boilerplate(_one_blank(p))), lambda p: word_count(p) >= least_words)
     body = F.array_join(clean, " ")
     return F.when(word_count(body) >= least_total, body)
 
@@ -199,12 +237,40 @@ def display_headline(neutral: Column | str, headline: Column | str) -> Column:
 
 
 def short_publisher(x: Column | str) -> Column:
-    """A feed's publisher of over 50 characters cut to the part before its first separator."""
+    """A feed's publisher of over 50 characters cut to the part before its first separator, and to 60 characters."""
     p = col(x)
     out = p
     for sep in reversed((" - ", " -- ", " | ", ": ")):
         out = F.when(F.contains(p, F.lit(sep)), F.trim(F.get(F.split(p, re.escape(sep), 2), F.lit(0)))).otherwise(out)
-    return F.when(F.length(p) > 50, out).otherwise(p)
+    cut = F.when(F.length(out) > 60, F.concat(F.substring(out, 1, 57), F.lit("..."))).otherwise(out)
+    return F.when(F.length(p) > 50, cut).otherwise(p)
+
+
+def joined_list(x: Column | str) -> Column:
+    """A list as one string with '; ' between its entries; '' for null or an empty list."""
+    return F.coalesce(F.array_join(col(x), "; "), F.lit(""))
+
+
+def relative_time(ts: Column | str, as_of: Column | float) -> Column:
+    """How long ago a time was: 'just now', '5m ago', '3h ago' or '2d ago'; '' for null."""
+    age = F.floor((as_of if isinstance(as_of, Column) else F.lit(float(as_of))) - col(ts))
+    ago = lambda unit, name: F.concat(F.floor(age / unit).cast("string"), F.lit(f"{name} ago"))
+    label = F.when(age < 60, "just now").when(age < 3600, ago(60, "m")).when(age < 86400, ago(3600, "h")).otherwise(ago(86400, "d"))
+    return F.when(age.isNull() | F.isnan(col(ts)), "").otherwise(label)
+
+
+def clean_entities(entities: Column | str, stopwords=L.ENTITY_STOPWORDS) -> Column:
+    """Stored names without fragments of sentences: of up to three words, outer stop-words cut, and over half of the rest no stop-words."""
+    stop = F.array(*[F.lit(w) for w in stopwords])
+    named = lambda w: ~F.array_contains(stop, w)
+
+    def cut(name: Column) -> Column:
+        w = F.filter(F.split(F.trim(name), r"\s+"), lambda v: v != "")
+        at = F.filter(F.transform(w, lambda v, i: F.when(named(v), i)), lambda i: i.isNotNull())
+        kept = F.slice(w, F.array_min(at) + 1, F.array_max(at) - F.array_min(at) + 1)
+        return F.when((F.size(w) <= 3) & (F.size(at) > 0), F.when(F.size(F.filter(kept, named)) * 2 > F.size(kept), F.array_join(kept, " ")))
+
+    return F.filter(F.transform(col(entities), cut), lambda e: e.isNotNull())
 
 
 def volume_text(x: Column | str) -> Column:

@@ -175,7 +175,7 @@ def in_time_range(ts: Column | str, now: Column, name: str = "24h") -> Column:
     return t >= now - float(L.TIME_RANGES.get(name, 86400))
 
 
-def feed_filter(events: DataFrame, now: DataFrame, time_range="24h", impact=None, min_sources=1, keyword=None, market_moving=False, topic=None, start=None, end=None) -> DataFrame:
+def feed_filter(events: DataFrame, now: DataFrame, time_range="24h", impact=None, min_sources=1, keyword=None, market_moving=False, topic=None, start=None, end=None, geography=None) -> DataFrame:
     """Events of a time range with the feed's filters; a custom range needs a start."""
     x = events
     if time_range == "custom" and start is not None:
@@ -196,6 +196,8 @@ def feed_filter(events: DataFrame, now: DataFrame, time_range="24h", impact=None
         x = x.filter(cond)
     if market_moving:
         x = x.filter("market_odds is not null")
+    if geography:
+        x = x.filter(F.col("geography") == geography)
     if topic == "Market & Economy":
         x = x.filter("topic = 'Economy' or market_odds is not null")
     elif topic:

@@ -12,9 +12,10 @@ QUESTION_WORD = r"(?<![\p{L}\p{N}_])[a-z][\p{L}\p{N}_]{2,}"
 
 
 def with_flags(markets: DataFrame) -> DataFrame:
-    """Slug cleaned, invalid ones dropped, and what is unusual."""
+    """Slug cleaned, invalid ones dropped, and what is unusual; a column previous_volume_24h lets spikes count."""
     x = markets.withColumn("slug", clean_slug("slug")).filter(valid_slug("slug"))
-    x = x.withColumn("unusual_reason", unusual_reason("volume", "volume_24h", "probability"))
+    previous = "previous_volume_24h" if "previous_volume_24h" in markets.columns else None
+    x = x.withColumn("unusual_reason", unusual_reason("volume", "volume_24h", "probability", previous))
     return x.withColumn("is_unusual", F.col("unusual_reason") != "")
 
 
@@ -29,6 +30,15 @@ def market_page(markets: DataFrame, as_of: float, limit: int, unusual: bool) ->
     return live.orderBy(*order).limit(limit)
 
 
+def sorted_page(markets: DataFrame, by: str) -> DataFrame:
+    """A page's markets by volume, probability, end date (blank ones last) or daily share of volume."""
+    order = {
+        "volume": F.col("volume").desc(), "probability": F.col("probability").desc(), "end_date": F.coalesce(F.nullif("end_date", F.lit("")), F.lit("z")).asc(),
+        "spike": F.coalesce(F.try_divide("volume_24h", "volume"), F.lit(0.0)).desc(),
+    }
+    return markets.orderBy(order[by], "id")
+
+
 def categories(markets: DataFrame) -> DataFrame:
     return markets.groupBy(market_category("question").alias("category")).agg(F.count(F.lit(1)).alias("markets"))
 

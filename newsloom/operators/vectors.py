@@ -77,5 +77,16 @@ def assign(vectors: DataFrame, centres: DataFrame, threshold: float = 0.75) -> D
     """Most similar centroid of each vector, if over `threshold`; ties go to the smaller cluster id."""
     c = centres.select("cluster_id", "centroid")
     s = vectors.select("id", "embedding").crossJoin(c).withColumn("s", cosine("embedding", "centroid")).filter(F.col("s") > threshold)
-    best = s.groupBy("id").agg(F.max_by("cluster_id", "s").alias("cluster_id"), F.max("s").alias("similarity"))
-    return best
+    # of equal similarities the smaller cluster id: the least of (-s, id)
+    best = s.groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("s"), "cluster_id")).alias("b"))
+    return best.select("id", "b.cluster_id", (-F.col("b.s")).alias("similarity"))
+
+
+def consolidated(vectors: DataFrame) -> DataFrame:
+    """Centroids made anew from the vectors that are there: clusters without any leave."""
+    return centroids(vectors.filter("embedding is not null and cluster_id is not null"))
+
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """Write the vector table in place of what was there; the job's commit makes the new files visible at once."""
+    vectors.write.mode("overwrite").parquet(path)

@@ -12,6 +12,7 @@ from ..operators import assign as N
 from ..operators import claims as C
 from ..operators import coverage as V
 from ..operators import dedup as D
+from ..operators import lookups as U
 from ..operators import maintenance as W
 from ..operators import markets as K
 from ..operators import vectors as E
@@ -335,13 +336,18 @@ def simhash(spark, d):
     return M.simhash_table(A.read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-@query("simhash_pairs", "WITH " + SIMHASH + """, k AS (SELECT DISTINCT a.doc_id AS id_a, b.doc_id AS id_b, bit_count(xor(a.simhash, b.simhash)) AS distance FROM simhash a JOIN simhash b ON a.doc_id < b.doc_id
-  AND (((a.simhash & 255) = (b.simhash & 255) AND (SELECT count(*) FROM simhash c WHERE (c.simhash & 255) = (a.simhash & 255)) <= 100)""" + "".join(
-    f" OR (((a.simhash >> {8 * i}) & 255) = ((b.simhash >> {8 * i}) & 255) AND (SELECT count(*) FROM simhash c WHERE ((c.simhash >> {8 * i}) & 255) = ((a.simhash >> {8 * i}) & 255)) <= 100)" for i in range(1, 8)
-) + ")) SELECT id_a, id_b, CAST(distance AS INTEGER) AS distance FROM k WHERE distance <= 9")
+@query("simhash_classes", "WITH " + SIMHASH + " SELECT doc_id, min(doc_id) OVER (PARTITION BY simhash) AS class_id, simhash FROM simhash")
+def simhash_classes(spark, d):
+    return D.hash_classes(simhash(spark, d), "doc_id", "simhash")
+
+
+@query("simhash_pairs", "WITH " + SIMHASH + """, r AS (SELECT min(doc_id) AS id, simhash FROM simhash GROUP BY simhash)
+SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance FROM r a JOIN r b ON a.simhash < b.simhash
+WHERE bit_count(xor(a.simhash, b.simhash)) <= 9 AND (""" + " OR ".join(f"((a.simhash >> {8 * i}) & 255) = ((b.simhash >> {8 * i}) & 255)" for i in range(8)) + ")")
 def simhash_pairs(spark, d):
-    """With the original's cap on buckets, as its SQL; `simhash_pairs_all` leaves none out."""
-    return D.banded_pairs(simhash(spark, d), "doc_id", "simhash", 9, cap=D.BUCKET_MOST)
+    """Pairs between the representatives of classes of equal hash, whose members `simhash_classes` names; no bucket is left out."""
+    representatives = simhash(spark, d).groupBy("simhash").agg(F.min("doc_id").alias("doc_id"))
+    return D.banded_pairs(representatives, "doc_id", "simhash", 9)
 
 
 @query("simhash_pairs_all", "WITH " + SIMHASH + """ SELECT a.doc_id AS id_a, b.doc_id AS id_b, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance FROM simhash a JOIN simhash b ON a.doc_id < b.doc_id
@@ -379,12 +385,12 @@ def dedup_score(spark, d):
 VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)"
 
 
-@query("knn_exact", f"WITH {VEC}" + """, s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, list_cosine_similarity(q.e, x.e) AS c FROM v q, v x WHERE q.vec_id < 10 AND q.vec_id <> x.vec_id)
+@query("knn_exact", f"WITH {VEC}" + """, s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, list_cosine_similarity(q.e, x.e) AS c FROM v q, v x WHERE q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id)
 SELECT query_id, rank, id, round(c, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM s WHERE c >= 0.1) WHERE rank <= 5""")
 def knn_exact(spark, d):
-    """The search form: a stated query set of ten vectors against all rows."""
+    """The search form: every vector whose id is divisible by 100 against all rows."""
     v = A.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return E.nearest(v, v.filter("id < 10"), 5, 0.1)
+    return E.nearest(v, v.filter("id % 100 = 0"), 5, 0.1)
 
 
 @query("centroids", f"WITH {VEC}, x AS (SELECT label, i, e[i] AS x FROM v, range(1, 65) r(i)) SELECT CAST(label AS VARCHAR) AS cluster_id, CAST(i - 1 AS INTEGER) AS pos, round(avg(x), 6) AS mean FROM x GROUP BY ALL")
@@ -407,7 +413,7 @@ def _vectors(spark, d):
 @query("knn_lsh")
 def knn_lsh(spark, d):
     v = A.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return E.nearest_lsh(v, v.filter("id < 10"), 5, 64)
+    return E.nearest_lsh(v, v.filter("id % 100 = 0"), 5, 64)
 
 
 # ---- pages
@@ -466,12 +472,14 @@ TITLES = [
     ("t4", "BREAKING: Senator slams rival", "A radical, historic crisis!"), ("t5", "", ""), ("t6", "OpenAI ships a new model", "The AI system and machine learning research."), ("t7", "Paris climate talks begin", "European ministers discuss emission and carbon policy."), ("t8", "China chip makers rally", "Semiconductor stock gains in Taiwan and Japan."),
     ("t9", "The AI lab hires", "A data algorithm."), ("t10", "[P] Storm erupts | Evening Show 03/09/2020", "Hurricane and flood"),
 ]
-_T = f"WITH t(id, title, body) AS (VALUES {_values(TITLES)})"
+_T = "WITH " + ART + f", t AS (SELECT * FROM (VALUES {_values(TITLES)}) x(id, title, body) UNION ALL SELECT id, coalesce(title, ''), coalesce(text, '') FROM articles)"
 _HAS = lambda x, terms: "(" + " + ".join(f"CAST(contains({x}, '{t.replace(chr(39), chr(39) * 2)}') AS INTEGER)" for t in terms) + ")"
 
 
-def _titles(spark):
-    return spark.createDataFrame(TITLES, "id string, title string, body string")
+def _titles(spark, d):
+    """All articles, and a few titles with what the tables lack."""
+    own = A.articles(spark, d).select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("body"))
+    return spark.createDataFrame(TITLES, "id string, title string, body string").unionByName(own)
 
 
 def _sql_hits(lexicon) -> str:
@@ -486,7 +494,7 @@ SELECT id, CASE WHEN len(ws) = 0 THEN 0.0::DOUBLE ELSE round(least(1.0::DOUBLE,
 
 @query("sensationalism", _SENS)
 def sensationalism(spark, d):
-    return _titles(spark).select("id", X.sensationalism("title", "body").alias("score"))
+    return _titles(spark, d).select("id", X.sensationalism("title", "body").alias("score"))
 
 
 def _sql_label(table) -> str:
@@ -498,12 +506,12 @@ def _sql_label(table) -> str:
 
 @query("topics", _T + f" SELECT id, {_sql_label(L.TOPICS)} AS topic FROM t")
 def topics(spark, d):
-    return _titles(spark).select("id", S.topic(F.array().cast("array<string>"), F.concat_ws(" ", "title", "body")).alias("topic"))
+    return _titles(spark, d).select("id", S.topic(F.array().cast("array<string>"), F.concat_ws(" ", "title", "body")).alias("topic"))
 
 
 @query("geography", _T + f" SELECT id, {_sql_label(L.GEOGRAPHIES)} AS geography FROM t")
 def geography(spark, d):
-    return _titles(spark).select("id", S.geography(F.array().cast("array<string>"), F.concat_ws(" ", "title", "body")).alias("geography"))
+    return _titles(spark, d).select("id", S.geography(F.array().cast("array<string>"), F.concat_ws(" ", "title", "body")).alias("geography"))
 
 
 _H, _B = "lower(title)", "lower(title || ' ' || body)"
@@ -512,12 +520,12 @@ _H, _B = "lower(title)", "lower(title || ' ' || body)"
 @query("ai_relevance", _T + f""" SELECT id, {_HAS(_H, L.AI_STRONG + L.AI_COMPANIES + L.AI_PRODUCTS)} > 0 OR (regexp_matches({_H}, '\\bai\\b') AND length(title) < 200 AND {_HAS(_B, L.AI_CONTEXT)} > 0)
   OR {_HAS(_B, L.AI_STRONG)} >= 2 OR ({_HAS(_B, L.AI_STRONG)} >= 1 AND {_HAS(_B, L.AI_COMPANIES)} > 0) AS relevant FROM t""".replace("\\\\", "\\"))
 def ai_relevance(spark, d):
-    return _titles(spark).select("id", S.ai_relevant("title", "body").alias("relevant"))
+    return _titles(spark, d).select("id", S.ai_relevant("title", "body").alias("relevant"))
 
 
-@query("neutral_headline", f"WITH e(id, neutral) AS (VALUES {_values([('t1', 'Shocking collapse: markets in decline..'), ('t2', 'Council approves budget'), ('t3', 'Will the Fed cut rates?'), ('t4', 'Senator criticizes rival'), ('t5', ''), ('t6', 'OpenAI ships a new model'), ('t7', 'Paris climate talks begin'), ('t8', 'China chip makers rally'), ('t9', 'The AI lab hires'), ('t10', 'Storm emerges')])}) SELECT id, neutral FROM e")
+@query("neutral_headline")
 def neutral_headline(spark, d):
-    return _titles(spark).select("id", X.neutral_headline("title").alias("neutral"))
+    return _titles(spark, d).select("id", X.neutral_headline("title").alias("neutral"))
 
 
 @query("key_sentences")
@@ -557,6 +565,48 @@ def impact_label(spark, d):
     return _scored(spark).select("id", S.impact_label("score", 0.0, "source_count").alias("label"))
 
 
+@query("rescored_events", _with(ART, CLU, NOW) + f""", e AS (SELECT cluster_id, headline, '' AS summary, source_count, confidence, social_score, market_odds, CAST(NULL AS DOUBLE) AS market_volume, 0 AS n, 0 AS q, 0 AS t, 0 AS k, latest_timestamp AS latest, as_of FROM clusters, now),
+s AS (SELECT cluster_id, source_count, {_IMPACT.replace("(100000 - latest)", "(as_of - latest)")} AS impact_score FROM e)
+SELECT cluster_id, impact_score, CASE WHEN impact_score >= 60 AND source_count >= 3 THEN 'high' WHEN impact_score >= 32 THEN 'medium' ELSE 'low' END AS impact FROM s""")
+def rescored_events(spark, d):
+    _, clusters, now = _events(spark, d)
+    return W.rescored(clusters, now).select("cluster_id", "impact_score", "impact")
+
+
+@query("event_details", _with(ART, CLU, CLA) + """, a AS (SELECT cluster_id, count(*) AS articles, count(DISTINCT publisher) AS publishers, min_by(url, (ts, ingest_seq)) FILTER (url <> '') AS u FROM articles GROUP BY cluster_id),
+c AS (SELECT cluster_id, count(*) AS claims FROM claims GROUP BY cluster_id)
+SELECT e.cluster_id, headline, coalesce(articles, 0) AS articles, coalesce(publishers, 0) AS publishers, coalesce(claims, 0) AS claims, coalesce(u, '') AS source_url FROM clusters e LEFT JOIN a USING (cluster_id) LEFT JOIN c USING (cluster_id)""")
+def event_details(spark, d):
+    arts, clusters, _ = _events(spark, d)
+    return U.event_details(clusters, arts, A.claims(spark, d)).select("cluster_id", "headline", "articles", "publishers", "claims", "source_url")
+
+
+@query("duplicate_scores")
+def duplicate_scores(spark, d):
+    """Scores of all articles against the event that they were filed under, with true titles, texts and names."""
+    arts, clusters, _ = _events(spark, d)
+    e = clusters.select("cluster_id", F.col("headline").alias("title2"), F.lit("").alias("text2"), X.entities("headline").alias("entities2"))
+    a = arts.select("id", "cluster_id", F.col("title").alias("title1"), F.col("text").alias("text1"), X.entities("title").alias("entities1"))
+    return U.duplicate_scores(a.join(e, "cluster_id")).select("id", "cluster_id", "title_similarity", "content_similarity", "entity_similarity", F.round("overall", 6).alias("overall"), "is_duplicate")
+
+
+@query("known_clusters", f"WITH {VEC} SELECT CAST(label AS VARCHAR) AS cluster_id, count(*) AS vectors FROM v GROUP BY 1")
+def known_clusters(spark, d):
+    return U.known_clusters(_vectors(spark, d))
+
+
+@query("grouped_ai_feed")
+def grouped_ai_feed(spark, d):
+    """The AI feed's page with like stories grouped, by impact and time."""
+    from pyspark.sql import Window
+
+    arts, clusters, now = _events(spark, d)
+    events = clusters.withColumn("summary", F.lit("machine learning")).withColumn("neutral_headline", F.lit("")).withColumn("ai_relevant", F.lit(True)).withColumn("entities", X.entities("headline"))
+    page = V.ai_feed(events, now, time_range="7d")
+    place = F.row_number().over(Window.orderBy(F.col("latest_timestamp").desc(), "cluster_id"))  # one page
+    return D.grouped_feed(page.withColumn("place", place), by_impact=True)
+
+
 @query("grouped_feed")
 def grouped_feed(spark, d):
     _, clusters, now = _events(spark, d)
@@ -588,16 +638,15 @@ def ai_feed(spark, d):
     return V.ai_feed(s, spark.createDataFrame([(100000.0,)], "as_of double")).select("cluster_id", "headline")
 
 
-@query("entity_candidates", _with(ART, CLU, NOW) + r""", a AS (SELECT id, list_distinct(regexp_extract_all(title, '[A-Za-z]+')) AS ws FROM articles WHERE ingest_seq < 50),
+@query("entity_candidates", _with(ART, CLU, NOW) + r""", a AS (SELECT id, list_distinct(regexp_extract_all(title, '[A-Za-z]+')) AS ws FROM articles),
 l AS (SELECT id, w FROM (SELECT id, w, row_number() OVER (PARTITION BY id ORDER BY length(w) DESC, i) AS n FROM (SELECT id, ws[i] AS w, i FROM a, unnest(range(1, len(ws) + 1)) t(i))) WHERE n <= 5),
 e AS (SELECT cluster_id, latest_timestamp, unnest(list_distinct(regexp_extract_all(headline, '[A-Za-z]+'))) AS w FROM clusters, now WHERE latest_timestamp >= as_of - 86400),
 m AS (SELECT id, cluster_id, latest_timestamp, count(*) AS shared FROM l JOIN e USING (w) GROUP BY ALL)
 SELECT id, cluster_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY latest_timestamp DESC, cluster_id) AS r FROM m) WHERE r <= 20""".replace("list_distinct(regexp_extract_all(title, '[A-Za-z]+'))", "regexp_extract_all(title, '[A-Za-z]+')").replace("(SELECT id, ws[i] AS w, i FROM a", "(SELECT id, ws[i] AS w, min(i) AS i FROM a").replace("t(i))) WHERE n", "t(i) GROUP BY ALL)) WHERE n"))
 def entity_candidates(spark, d):
-    """A stated set of fifty articles against all events."""
     arts, clusters, now = _events(spark, d)
     found = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)))
-    return N.entity_candidates(arts.filter("ingest_seq < 50").withColumn("entities", found("title")), clusters.withColumn("entities", found("headline")), now)
+    return N.entity_candidates(arts.withColumn("entities", found("title")), clusters.withColumn("entities", found("headline")), now)
 
 
 @query("assign_articles")
@@ -686,16 +735,16 @@ def purge_expired(spark, d):
     return W.purge_expired(A.markets(spark, d), AS_OF).select("id")
 
 
-@query("insert_articles", _with(ART) + ", k AS (SELECT url FROM articles WHERE ingest_seq % 3 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN url <> '' THEN url ELSE '#' || id END ORDER BY ingest_seq) AS r FROM articles WHERE ingest_seq % 2 = 0) SELECT id FROM n WHERE r = 1 AND (url = '' OR url NOT IN (SELECT url FROM k WHERE url <> ''))")
+@query("insert_articles", _with(ART) + ", k AS (SELECT url FROM articles WHERE ingest_seq % 3 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN url <> '' THEN url ELSE '#' || id END ORDER BY ingest_seq) AS r FROM articles WHERE ingest_seq % 3 <> 0 OR ingest_seq % 2 = 0) SELECT id FROM n WHERE r = 1 AND (url = '' OR url NOT IN (SELECT url FROM k WHERE url <> ''))")
 def insert_articles(spark, d):
     arts = A.articles(spark, d)
-    return W.insert_articles(arts.filter("ingest_seq % 3 = 0"), arts.filter("ingest_seq % 2 = 0")).select("id")
+    return W.insert_articles(arts.filter("ingest_seq % 3 = 0"), arts.filter("ingest_seq % 3 <> 0 or ingest_seq % 2 = 0")).select("id")
 
 
-@query("upsert_markets", _with(MAR) + ", m AS (SELECT *, CAST(id AS BIGINT) AS k FROM markets) SELECT id, slug, volume + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS volume FROM m WHERE k % 3 <> 0 OR k % 2 = 0")
+@query("upsert_markets", _with(MAR) + ", m AS (SELECT *, CAST(id AS BIGINT) AS k FROM markets) SELECT id, slug, volume + CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN 1 ELSE 0 END AS volume FROM m")
 def upsert_markets(spark, d):
     m = A.markets(spark, d).withColumn("question", F.concat("question", F.lit(" "), F.col("id"))).withColumn("ts", F.lit(1.0))
-    table, new = m.filter("cast(id as bigint) % 3 <> 0"), m.filter("cast(id as bigint) % 2 = 0").withColumn("volume", F.col("volume") + 1).withColumn("ts", F.lit(2.0))
+    table, new = m.filter("cast(id as bigint) % 3 <> 0"), m.filter("cast(id as bigint) % 2 = 0 or cast(id as bigint) % 3 = 0").withColumn("volume", F.col("volume") + 1).withColumn("ts", F.lit(2.0))
     return W.upsert_markets(table, new).select("id", "slug", "volume")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import http.client
 import urllib.request
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 
 class Address(InputPartition):
@@ -14,7 +15,7 @@ class Address(InputPartition):
 
 class WebReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.urls = [u.strip() for u in options.get("urls", "").split(",") if u.strip()]
+        self.urls = options.get("urls", "").split()
         self.timeout = float(options.get("timeout", "15"))
 
     def partitions(self):
@@ -27,12 +28,29 @@ class WebReader(DataSourceReader):
             with urllib.request.urlopen(partition.url, timeout=self.timeout) as answer:
                 if getattr(answer, "status", 200) in (200, None):
                     yield partition.url, answer.read().decode("utf-8", "replace")
-        except OSError:
+        except (OSError, ValueError, http.client.HTTPException):
             return
 
 
+class WebPolls(SimpleDataSourceStreamReader):
+    """All addresses once a trigger: the offset counts polls."""
+
+    def __init__(self, options: dict):
+        self.reader = WebReader(options)
+
+    def initialOffset(self) -> dict:
+        return {"polls": 0}
+
+    def read(self, start: dict):
+        rows = [row for p in self.reader.partitions() for row in self.reader.read(p)]
+        return iter(rows), {"polls": start["polls"] + 1}
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        return iter([row for p in self.reader.partitions() for row in self.reader.read(p)])
+
+
 class WebSource(DataSource):
-    """spark.read.format("newsloom_web").option("urls", "a,b").load(): columns url, body."""
+    """spark.read or spark.readStream.format("newsloom_web").option("urls", "a b").load(): columns url, body.  Addresses stand apart by blanks."""
 
     @classmethod
     def name(cls) -> str:
@@ -44,6 +62,9 @@ class WebSource(DataSource):
     def reader(self, schema) -> WebReader:
         return WebReader(self.options)
 
+    def simpleStreamReader(self, schema) -> WebPolls:
+        return WebPolls(self.options)
+
 
 def register(spark) -> None:
     spark.dataSource.register(WebSource)

@@ -62,4 +62,81 @@ def test_events_of_common_headlines_merge(spark):
     close = lambda a, b: (a ^ b).bit_count() <= 9 and _share_a_band(a ^ b)
     want = {e[1]: min(x for x in h if x < e and close(x[2], e[2]))[1] for e in h if any(x < e and close(x[2], e[2]) for x in h)}
     assert len(want) > 250
+    end = lambda x: end(want[x]) if x in want else x
+    want = {x: end(x) for x in want}
+    assert not set(want) & set(want.values())
     assert {r.cluster_id: r.primary_id for r in D.merge_map(events, now).collect()} == want
+
+
+def test_events_are_inserted_rescored_and_looked_up(spark):
+    from newsloom.operators import lookups as U
+    from newsloom.operators import maintenance as W
+    from newsloom.sources import configured as C
+
+    now = spark.createDataFrame([(4_000.0,)], "as_of double")
+    seeds = C.seed_events(spark)
+    empty = spark.createDataFrame([], "cluster_id string")
+    rows = W.insert_events(empty, seeds.unionByName(seeds), now)
+    assert rows.count() == 3 and W.insert_events(rows, seeds, now).count() == 0
+    assert all(0 < r.impact_score <= 100 and r.impact in ("low", "medium", "high") and r.neutral_headline for r in rows.collect())
+    assert U.event(rows, "seed-2").count() == 1 and U.event(rows, "none").count() == 0
+    assert W.rescored(rows.limit(0), now).count() == 0
+    try:
+        W.add_columns(rows, {"x": "string"}, ("y",))
+        raise AssertionError("a column that is not allowed was added")
+    except ValueError:
+        pass
+    assert W.add_columns(rows, {"y": "string"}, ("y",)).columns[-1] == "y"
+
+
+def test_pairs_of_articles_are_scored(spark):
+    from newsloom.operators import lookups as U
+
+    rows = [("storm nears coast", "storm nears coast", ["Coast"], [1.0, 0.0]), ("storm nears coast", "bridge reopens", ["Bridge"], None), ("", "", None, None)]
+    x = spark.createDataFrame([(a, b, e, v) for a, b, e, v in rows], "title1 string, title2 string, entities1 array<string>, embedding1 array<double>")
+    x = x.selectExpr("*", "'' AS text1", "'' AS text2", "array('coast') AS entities2", "array(1.0D, 0.0D) AS embedding2")
+    got = U.duplicate_scores(x).collect()
+    assert got[0].overall > 0.99 and got[0].is_duplicate and not got[1].is_duplicate and got[2].entity_similarity == 0
+
+
+def test_links_feeds_and_live_markets(spark):
+    from newsloom.sources import configured as C
+
+    assert [r.url for r in C.feeds(spark, " a , b,", ("c",)).collect()] == ["a", "b"] and C.feeds(spark, "", ("c",)).count() == 1
+    assert C.callsheet_markets(spark).count() == 0
+    m = spark.createDataFrame([("1", "good"), ("2", "bad"), ("3", None)], "id string, url string")
+    assert [r.id for r in C.live_links(m, check=lambda u, t: u == "good").collect()] == ["1"]
+
+
+def test_text_helpers(spark):
+    from newsloom.functions import text as X
+
+    row = spark.createDataFrame([("https://www.feeds.a.org/x?b=1&utm_source=q&c=d%20e*&b=2&bad=%zz&n=", ["Traders Now See Chance Today", "The Harbor", "Oil Prices", "Ann Lee"], "&eacute;&#233;&hellip; <b>x</b>", "x" * 70)], "u string, e array<string>, h string, p string")
+    got = row.select(X.strip_tracking("u").alias("u"), X.feed_host("u").alias("f"), X.clean_entities("e").alias("e"), X.clean_html("h").alias("h"), X.short_publisher("p").alias("p"), X.joined_list("e").alias("j"), X.relative_time(F.lit(100.0), 4000.0).alias("r")).first()
+    assert got.u == "https://www.feeds.a.org/x?b=1&b=2&c=d+e%2A&bad=%25zz" and got.f == "a.org"
+    assert got.e == ["Harbor", "Oil", "Ann Lee"] and got.h == "éé… x" and len(got.p) == 60 and got.j.startswith("Traders Now") and got.r == "1h ago"
+
+
+def test_stream_assigns_articles_and_opens_events(spark, tmp_path):
+    from newsloom.streaming import ingest as I
+
+    kinds = "id string, title string, text string, entities array<string>, ts double"
+    rows = [("1", "Harbor bridge reopens", "t", ["Harbor"], 1.0), ("2", "harbor bridge reopens ", "t", ["Harbor"], 2.0), ("3", "Copper exports rise", "t", ["Copper"], 3.0)]
+    spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(str(tmp_path / "in"))
+    run = lambda: I.assign_stream(spark.readStream.schema(kinds).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    run()
+    spark.createDataFrame([("4", "Copper exports rise", "t", ["Copper"], 9.0), ("5", "", "t", [], 10.0)], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    got = {r.id: r.cluster_id for r in spark.read.parquet(str(tmp_path / "out" / "articles")).collect()}
+    assert got == {"1": "event-1", "2": "event-1", "3": "event-3", "4": "event-3", "5": "event-5"}
+    assert sorted(r.cluster_id for r in spark.read.parquet(str(tmp_path / "out" / "events")).collect()) == ["event-1", "event-3", "event-5"]
+
+
+def test_addresses_that_fail_give_no_row(spark):
+    from newsloom.sources import web
+
+    web.register(spark)
+    assert spark.read.format("newsloom_web").option("urls", "http:// not-an-address http://127.0.0.1:9/x").option("timeout", "1").load().count() == 0
+    polls = web.WebPolls({"urls": "junk"})
+    rows, end = polls.read(polls.initialOffset())
+    assert list(rows) == [] and end == {"polls": 1}
