@@ -62,7 +62,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, rep
 
 def curriculum_mix(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, ramp: float = 0.5,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (),
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), ordered: bool = True,
 ) -> DataFrame:
     """Take words of each source up to its target and place every copy of a document on the training axis 0 to 1.
 
@@ -72,7 +72,7 @@ def curriculum_mix(
     demand reaches x.  A copy takes all its words, but the one at which the target is reached takes what is left.
 
     Returns the columns of `docs` named by `carry`, id, size, source_size (long), target (double), taken (long), words (array<long>: of
-    each copy) and positions (array<double>, null where nothing is taken), ordered by the first position over range partitions.
+    each copy) and positions (array<double>, null where nothing is taken), ordered by the first position over range partitions unless the caller orders the copies (`ordered` false).
     A null source is a source; null and empty texts have size 0 and take nothing.  Ties of md5 go by id, size and text; rows of
     null id stand in the order of their texts' hashes.  Repeated rows are further documents, each with its own plan, told apart by nothing.
     Other columns are not read; a carried column that has the name of another output is left out; an empty table gives an empty result.
@@ -103,7 +103,7 @@ def curriculum_mix(
     positions = F.array(*[F.when(F.col("words")[p] > 0, t) for p, t in enumerate(time)])
     out = timed.withColumn("positions", positions).withColumn("taken", F.aggregate("words", F.lit(0).cast("long"), lambda s, x: s + x))
     out = out.select(*(F.col(f"__carry{i}").alias(c) for i, c in enumerate(others)), F.col("id").alias(id_col), "size", "source_size", "target", "taken", "words", "positions")
-    return out.orderBy(F.col("positions")[0].asc_nulls_last(), id_col)
+    return out.orderBy(F.col("positions")[0].asc_nulls_last(), id_col) if ordered else out
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
