@@ -93,7 +93,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str, aside: dict
     plans of their own; extra columns come back as they are; an empty table gives an empty one.
     """
     whole = docs.withColumnRenamed("source", "__source").withColumn("source", F.col("__source"))
-    mix = curriculum_mix(whole, carry=("text", "lang", "__source", *aside.values())).withColumn("c", F.explode(F.arrays_zip("words", "positions")))
+    mix = curriculum_mix(whole, carry=("text", "lang", "__source", *aside.values()), ordered=False).withColumn("c", F.explode(F.arrays_zip("words", "positions")))
     taken = mix.filter("c.words > 0").withColumnRenamed("__source", "source")
     cut = F.col("c.words") < F.col("size")
     text = F.when(cut, first_words(F.when(cut, F.col("text")), F.col("c.words"))).otherwise(F.col("text"))  # whole texts do not pass through Python
