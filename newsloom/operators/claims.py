@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,3 +44,20 @@ def disputed_claims(claims: DataFrame) -> DataFrame:
     a, b = x.alias("a"), x.select("cluster_id", "pair", (1 - F.col("side")).alias("side"), F.col("seq").alias("earlier_seq"), F.col("what").alias("earlier")).alias("b")
     met = a.join(b, ["cluster_id", "pair", "side"]).filter("earlier_seq < seq")
     return met.select("cluster_id", "seq", "earlier_seq", F.col("what").alias("claim"), F.concat(F.lit("Contradicted by: "), F.col("earlier")).alias("contradiction")).distinct()
+
+
+def first_disputes(claims: DataFrame) -> DataFrame:
+    """(cluster_id, doc_id, seq, claim, contradiction): each claim that an earlier one of its event contradicts, with the first that does.
+
+    For tables whose events hold many claims: an event's first claim with each side of an antonym pair is all that is kept, so one
+    row an event meets its claims and no pairs of claims arise.  Order is by doc_id and seq; blank and null claims take no part.
+    """
+    text = F.lower(F.trim("what"))
+    has = {w: F.contains(text, F.lit(w)) for p in L.ANTONYMS for w in p}
+    x = claims.filter((F.trim("what") != "") & reduce(or_, has.values())).select("cluster_id", "doc_id", "seq", "what")
+    me = F.struct("doc_id", "seq", "what")
+    names = {w: f"__first{i}" for i, w in enumerate(has)}
+    first = x.groupBy("cluster_id").agg(*[F.min(F.when(has[w], me)).alias(c) for w, c in names.items()])
+    against = F.array(*[F.when(has[w], F.col(names[o])) for a, b in L.ANTONYMS for w, o in ((a, b), (b, a))])
+    met = x.join(first, "cluster_id").withColumn("by", F.array_min(F.filter(against, lambda o: o.isNotNull() & ((o["doc_id"] < F.col("doc_id")) | ((o["doc_id"] == F.col("doc_id")) & (o["seq"] < F.col("seq")))))))
+    return met.filter("by is not null").select("cluster_id", "doc_id", "seq", F.col("what").alias("claim"), F.concat(F.lit("Contradicted by: "), F.col("by.what")).alias("contradiction"))

@@ -70,17 +70,24 @@ def volume_spikes(observations: DataFrame) -> DataFrame:
 def match_events(markets: DataFrame, events: DataFrame) -> DataFrame:
     """Best event for each market question by shared words; entities of an event count double.
 
-    Question words meet words of headlines and entities in an equi-join and are counted, so only pairs that share a
-    word arise.  Ties go to the event of the lower position.
+    A match shares three tenths of the question's n words at least, so it shares one of the n - 0.3 n + 1 words that fewest events
+    have: these alone meet words of headlines and entities in an equi-join, and each pair found is scored once with all its
+    words.  Ties go to the event of the lower position.  Questions of under two words and null ones match nothing.
     """
     stop = F.array(*[F.lit(w) for w in L.QUESTION_STOPWORDS])
     found = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(QUESTION_WORD), F.lit(0)))
     q = markets.select("id", F.array_except(found(F.col("question")), stop).alias("w")).filter(F.size("w") >= 2)
-    q = q.select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    named = found(F.array_join("entities", " "))
-    e = events.select("position", F.explode(F.array_union(found(F.col("headline")), named)).alias("word"), named.alias("named"))
-    e = e.select("position", "word", F.array_contains("named", F.col("word")).alias("is_entity"))
-    pair = q.join(e, "word").groupBy("id", "n", "position").agg(F.count(F.lit(1)).alias("shared"), F.count_if("is_entity").alias("hits"))
-    share = F.col("shared") / F.col("n")
-    ok = pair.filter(((F.col("hits") >= 1) & (share >= 0.3)) | (share >= 0.6)).withColumn("score", share + F.col("hits") * 0.2)
+    named = F.coalesce(found(F.array_join("entities", " ")), F.array().cast("array<string>"))
+    e = events.select("position", F.array_union(F.coalesce(found(F.col("headline")), F.array().cast("array<string>")), named).alias("words"), named.alias("named"))
+    held = e.select("position", F.explode("words").alias("word"))
+    common = held.groupBy("word").agg(F.count(F.lit(1)).alias("events"))
+    # a word that no event has counts as the rarest
+    ranked = q.select("id", "w", F.explode("w").alias("word")).join(common, "word", "left")
+    by_rarity = ranked.groupBy("id", "w").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("events", F.lit(0)).alias("events"), "word"))).alias("r"))
+    least = F.ceil(F.size("r") * F.lit(0.3) - F.lit(1e-9))
+    asked = by_rarity.select("id", F.explode(F.slice("r", F.lit(1), (F.size("r") - least + 1).cast("int"))).alias("r")).filter("r.events > 0").select("id", F.col("r.word").alias("word"))
+    pair = asked.join(held, "word").select("id", "position").distinct().join(q, "id").join(e, "position")
+    share = F.size(F.array_intersect("w", "words")) / F.size("w")
+    scored = pair.select("id", "position", share.alias("share"), F.size(F.array_intersect("w", "named")).alias("hits"))
+    ok = scored.filter(((F.col("hits") >= 1) & (F.col("share") >= 0.3)) | (F.col("share") >= 0.6)).withColumn("score", F.col("share") + F.col("hits") * 0.2)
     return ok.groupBy("id").agg(F.max_by("position", F.struct("score", -F.col("position"))).alias("position"), F.max("score").alias("score"))

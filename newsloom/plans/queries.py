@@ -245,6 +245,17 @@ def disputed_claims(spark, d):
     return C.disputed_claims(spark.createDataFrame(DISPUTES, "cluster_id string, seq long, what string"))
 
 
+@query("first_disputes", _with(ART, CLU, CLA) + f", p(a, b) AS (SELECT a, b FROM (VALUES {_PAIRS}) x(a, b) UNION ALL SELECT b, a FROM (VALUES {_PAIRS}) x(a, b)), c AS (SELECT cluster_id, doc_id, seq, what FROM claims UNION ALL SELECT c, s, s, w FROM (VALUES {_values(DISPUTES)}) x(c, s, w))," + """
+s AS (SELECT cluster_id, doc_id, seq, what, a, b FROM c, p WHERE trim(what) <> '' AND contains(lower(trim(what)), a)),
+f AS (SELECT cluster_id, a AS w, min((doc_id, seq)) AS at, arg_min(what, (doc_id, seq)) AS what FROM s GROUP BY ALL),
+m AS (SELECT s.cluster_id, s.doc_id, s.seq, s.what AS claim, arg_min(f.what, f.at) AS against FROM s JOIN f ON f.cluster_id = s.cluster_id AND f.w = s.b WHERE f.at < (s.doc_id, s.seq) GROUP BY ALL)
+SELECT cluster_id, doc_id, seq, claim, 'Contradicted by: ' || against AS contradiction FROM m""")
+def first_disputes(spark, d):
+    """Every claim of the tables, and of a few typed in with what the tables lack, that an earlier one of its event contradicts."""
+    own = spark.createDataFrame(DISPUTES, "cluster_id string, seq long, what string").withColumn("doc_id", F.col("seq"))
+    return C.first_disputes(A.claims(spark, d).select("cluster_id", "doc_id", "seq", "what").unionByName(own))
+
+
 # ---- markets
 
 REASON = """concat_ws('; ', CASE WHEN volume > 5000000 THEN printf('High total volume: $%.1fM', volume / 1000000) END, CASE WHEN volume_24h > 500000 THEN printf('High 24h volume: $%.1fM', volume_24h / 1000000) END,
@@ -322,6 +333,22 @@ def market_event_match(spark, d):
     return K.match_events(m, e).withColumn("score", F.round("score", 6))
 
 
+_LETTER_WORDS = lambda c: _WORDS(c).replace("[a-z0-9_]+", r"[\p{L}\p{N}_]+")
+
+
+@query("headline_match", _with(ART, CLU) + f""",
+q AS (SELECT id, list_filter({_LETTER_WORDS("coalesce(title, '')")}, lambda w: w NOT IN ({", ".join(f"'{w}'" for w in L.QUESTION_STOPWORDS)})) AS ws FROM articles),
+h AS (SELECT CAST(cluster_id AS BIGINT) AS position, {_LETTER_WORDS("coalesce(headline, '')")} AS hw, {_LETTER_WORDS("regexp_extract(coalesce(headline, ''), '[A-Za-z]+')")} AS ew FROM clusters),
+s AS (SELECT id, position, len(list_intersect(ws, list_distinct(list_concat(hw, ew)))) / len(ws)::DOUBLE AS share, len(list_intersect(ws, ew)) AS hits FROM q, h WHERE len(ws) >= 2),
+r AS (SELECT *, share + hits * 0.2::DOUBLE AS score FROM s WHERE (hits >= 1 AND share >= 0.3) OR share >= 0.6)
+SELECT id, position, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, position) AS n FROM r) WHERE n = 1""")
+def headline_match(spark, d):
+    """Market matching over the tables: every article's title as a question, against every event."""
+    arts, clusters, _ = _events(spark, d)
+    e = clusters.select(F.col("cluster_id").cast("long").alias("position"), "headline", F.array(F.regexp_extract(F.coalesce("headline", F.lit("")), "[A-Za-z]+", 0)).alias("entities"))
+    return K.match_events(arts.select("id", F.col("title").alias("question")), e).withColumn("score", F.round("score", 6))
+
+
 # ---- similarity
 
 SIMHASH = """t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS w FROM documents),

@@ -140,3 +140,40 @@ def test_addresses_that_fail_give_no_row(spark):
     polls = web.WebPolls({"urls": "junk"})
     rows, end = polls.read(polls.initialOffset())
     assert list(rows) == [] and end == {"polls": 1}
+
+
+def test_first_disputes_are_the_first_of_all(spark):
+    from newsloom.operators import claims as C
+
+    rng = random.Random(3)
+    words = ["Exports rise", "exports fall", "profit growth", "a decline", "support", "oppose the plan", "nothing new", "", "  ", None]
+    rows = [(rng.choice("ab"), rng.randrange(20), i, rng.choice(words)) for i in range(80)]
+    claims = spark.createDataFrame(rows + rows[:5], "cluster_id string, doc_id long, seq long, what string")
+    pairs = C.disputed_claims(claims.selectExpr("cluster_id", "doc_id * 1000 + seq AS seq", "what")).collect()
+    want = {}
+    for r in pairs:
+        want[r.cluster_id, r.seq] = min(want.get((r.cluster_id, r.seq), (r.earlier_seq, "")), (r.earlier_seq, r.contradiction))
+    got = {(r.cluster_id, r.doc_id * 1000 + r.seq): r.contradiction for r in C.first_disputes(claims).collect()}
+    assert got and got == {k: v[1] or next(r.contradiction for r in pairs if (r.cluster_id, r.seq, r.earlier_seq) == (*k, v[0])) for k, v in want.items()}
+    assert C.first_disputes(claims.limit(0)).count() == 0
+
+
+def test_questions_match_as_all_against_all_would(spark):
+    from newsloom.functions.lexicons import QUESTION_STOPWORDS
+    from newsloom.operators import markets as K
+
+    rng = random.Random(4)
+    vocabulary = [f"word{c}" for c in "abcdefghijklmnop"]
+    line = lambda n: " ".join(rng.choice(vocabulary[: rng.choice((3, 16))]) for _ in range(n))
+    asked = [(f"m{i}", line(rng.randrange(9))) for i in range(60)] + [("null", None), ("empty", "")]
+    events = [(i, line(rng.randrange(7)), [line(1)] if i % 3 else None) for i in range(40)] + [(40, None, None), (41, "", [])]
+    got = {r.id: (r.position, round(r.score, 9)) for r in K.match_events(spark.createDataFrame(asked, "id string, question string"), spark.createDataFrame(events, "position long, headline string, entities array<string>")).collect()}
+    want = {}
+    for name, question in asked:
+        q = set((question or "").split()) - set(QUESTION_STOPWORDS)
+        for position, headline, names in events if len(q) >= 2 else ():
+            e = set(names or [])
+            share, hits = len(q & (e | set((headline or "").split()))) / len(q), len(q & e)
+            if (hits >= 1 and share >= 0.3) or share >= 0.6:
+                want[name] = max(want.get(name, (-1, 0)), (share + hits * 0.2, -position))
+    assert len(want) > 20 and got == {k: (-p, round(s, 9)) for k, (s, p) in want.items()}
