@@ -15,7 +15,7 @@ from .quality import held_out
 from .textbytes import Words, mix, slices, string_buffers
 
 END = np.uint64(0x9AE16A3B2F90404F)  # stands for the end of a text
-DEPTH = 2  # longest context in words
+DEPTH = 3  # longest context in words
 LEAST = 2  # occurrences that a context needs to be a candidate: one alone, left out of its own prediction, gains nothing
 GAIN = 3.0  # nats that a context must gain over its suffix, each occurrence predicted without itself
 SMOOTHING = (5.0, 50.0, 500.0, 5000.0)  # weights of the shorter context's distribution, in occurrences; each context takes its best
@@ -106,8 +106,8 @@ def _packed(docs: DataFrame, n_chunks: int, kind: str) -> DataFrame:
 class Model:
     """What tasks need to know: sizes, candidates, test and weights."""
 
-    def __init__(self, total: int, n_chunks: int, depth: int, least: int, gain: float, smoothing: tuple[float, ...]):
-        self.depth, self.least, self.gain, self.weights = depth, least, gain, np.array([np.inf, *smoothing])
+    def __init__(self, total: int, n_chunks: int, depth: int, least: int, gain: float, smoothing: tuple[float, ...], skip_equal: bool):
+        self.depth, self.least, self.gain, self.weights, self.skip_equal = depth, least, gain, np.array([np.inf, *smoothing]), skip_equal
         self.word_buckets, self.buckets = max(1, math.ceil(total / BUCKET_TOKENS)), max(1, math.ceil(total / BUCKET_ENTRIES))
         self.hot = max(HOT, n_chunks)
 
@@ -184,7 +184,7 @@ class Tokens:
         self.root = (self.count + 0.1) / self.norm
         self.p, self.without = self.root.copy(), (np.maximum(self.count - 1, 0) + 0.1) / max(self.norm - 1, 0.1)
         self.known = self.count > 0
-        self.context = np.zeros(n, np.uint64)
+        self.context, self.occ = np.zeros(n, np.uint64), np.zeros(n, np.int64)
         for length in range(1, levels + 1):
             self._ask(length)
             if length < levels:
@@ -198,8 +198,10 @@ class Tokens:
         occ[1:] = self.count[:-1]
         has = np.zeros(n, dtype=bool)
         has[length:] = self.row[length:] == self.row[:-length]
+        # a context that stands wherever its suffix stands has the same next words: nothing to tell apart
+        self.same = has & (occ == self.occ) & (length > 1 and self.model.skip_equal)
         self.context, self.occ = context, occ
-        which = np.flatnonzero(has & (occ >= self.model.least))
+        which = np.flatnonzero(has & (occ >= self.model.least) & ~self.same)
         # sorted by context; the low half depends on the whole n-gram
         key = (context[which] & np.uint64(0xFFFFFFFF00000000)) | (_combined(context[which], self.code[which].view(np.uint64)) >> np.uint64(32))
         self.levels.append(Level(which, key, context[which], occ[which], self.model))
@@ -222,7 +224,7 @@ class Tokens:
             if b < 0:
                 choice[i:j] = _choice(gains[b][None, :], model.gain)[0]
         which, weight = level.which, model.weights[choice[level.at]]
-        self.count = np.zeros(len(self.row), np.int64)
+        self.count = np.where(self.same, self.count, 0)
         self.count[which] = count[level.at]
         kept = which[np.isfinite(weight)]
         weight = weight[np.isfinite(weight)]
@@ -340,14 +342,16 @@ def _answer_contexts(table: pa.Table, length: int, model: Model) -> pa.Table:
 
 
 def suffix_tree_scores(
-    docs: DataFrame, train: Column, least: int = LEAST, gain: float = GAIN, smoothing: tuple[float, ...] = SMOOTHING, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, train: Column, least: int = LEAST, gain: float = GAIN, smoothing: tuple[float, ...] = SMOOTHING, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text",
+    skip_equal: bool = True,
+) -> DataFrame:
     """Score whole texts by a suffix tree over words, learned from all rows for which `train` holds.
 
     Tokens are words (runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased) and one end for each text.  The root
     predicts a token of count c by (c + 0.1) / (N + 0.1 (V + 1)).  A context of one to `depth` words that occurs
     `least` times is kept if its smoothed next-token distribution gains `gain` nats over that of the longest kept suffix,
-    each occurrence being predicted without itself by both.  A kept context predicts (count + weight * shorter
+    each occurrence being predicted without itself by both.  A context of as many occurrences as its suffix of one word less has the same
+    next tokens and no divergence; it is not tested unless `skip_equal` is false.  A kept context predicts (count + weight * shorter
     context's) / (occurrences + weight), with the weight of `smoothing` that gains most (ties go to the first); each token is
     predicted by the longest kept context before it.
 
@@ -363,7 +367,7 @@ def suffix_tree_scores(
     """
     total = text_bytes(docs, text_col)
     n_chunks = max(1, math.ceil(total / CHUNK_BYTES))
-    model = Model(total, n_chunks, depth, least, gain, tuple(smoothing))
+    model = Model(total, n_chunks, depth, least, gain, tuple(smoothing), skip_equal)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = docs.schema[id_col].dataType.simpleString()
     words = _packed(base, n_chunks, kind).groupBy("chunk")
