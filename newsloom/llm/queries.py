@@ -5,6 +5,8 @@ from __future__ import annotations
 from corpus_pipeline import run as pipeline
 
 from .bpe import op4_bpe
+from .chat import OP11_SQL, op11_chat_format
+from .codes import OP13_SQL, op13_vector_codes
 from .embed_dedup import OP2_SQL, op2_embedding_dedup
 from .langid import op9_langid
 from .lm import op8_lm
@@ -14,6 +16,7 @@ from .quality import op10_quality
 from .substring import OP6_SQL, op6_substring_dedup
 from .token_counts import op3_token_counts
 from .topk import OP7_SQL, op7_topk
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
+    "op11_chat_format": op11_chat_format,
+    "op12_whitening": op12_whitening,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": pipeline,
 }
 
@@ -35,4 +41,6 @@ ORACLE_SQL = {
     "op5_mixing": OP5_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op7_topk": OP7_SQL,
+    "op11_chat_format": OP11_SQL,
+    "op13_vector_codes": OP13_SQL,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,17 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np
     ok = np.isfinite(rows).all(axis=1)
     fine[np.flatnonzero(fine)[~ok]] = False
     return fine, rows[ok]
+
+
+def finite(column: str) -> Column:
+    """Whether a vector is there, not empty, and holds neither null nor non-finite components."""
+    good = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    return F.coalesce((F.size(column) > 0) & F.forall(F.col(column), good), F.lit(False))
+
+
+def shape(vectors: DataFrame, column: str) -> tuple[int, int, float]:
+    """(commonest length, rows of that length, largest absolute component) of vectors that are `finite`; zeros if there are none."""
+    peak = F.max(F.array_max(F.transform(column, lambda c: F.abs(c.cast("double")))))
+    sizes = vectors.groupBy(F.size(column).alias("n")).agg(F.count(F.lit(1)).alias("rows"), peak.alias("peak"))
+    best = sizes.orderBy(F.col("rows").desc(), "n").first()
+    return (best["n"], best["rows"], best["peak"]) if best else (0, 0, 0.0)
