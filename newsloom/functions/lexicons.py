@@ -1,15 +1,20 @@
 """Word lists, patterns and thresholds that results depend on."""
 
-import calendar
-
 # Words of the sensationalism score.
 EMOTIONAL = (
-    "shocking terrifying horrifying devastating explosive bombshell outrage fury chaos crisis panic nightmare catastrophe catastrophic "
-    "disastrous dire alarming staggering jaw-dropping mind-blowing insane unbelievable incredible outrageous scandalous slam slams blasts rips "
-    "destroys eviscerate demolish skyrocket plummet freefall collapse meltdown erupts rages firestorm backlash uproar"
-).split()
-ABSOLUTE = "always never everyone nobody nothing everything completely totally absolutely entirely utterly all none worst best ever".split()
-LOADED = "massive huge enormous tiny pathetic laughable brilliant genius stupid idiotic radical extreme unprecedented historic groundbreaking revolutionary".split()
+    "shocking", "terrifying", "horrifying", "devastating", "explosive", "bombshell", "outrage", "fury", "chaos", "crisis", "panic", "nightmare",
+    "catastrophe", "catastrophic", "disastrous", "dire", "alarming", "staggering", "jaw-dropping", "mind-blowing", "insane", "unbelievable",
+    "incredible", "outrageous", "scandalous", "slam", "slams", "blasts", "rips", "destroys", "eviscerate", "demolish", "skyrocket", "plummet",
+    "freefall", "collapse", "meltdown", "erupts", "rages", "firestorm", "backlash", "uproar",
+)
+ABSOLUTE = (
+    "always", "never", "everyone", "nobody", "nothing", "everything", "completely", "totally", "absolutely", "entirely", "utterly", "all", "none",
+    "worst", "best", "ever",
+)
+LOADED = (
+    "massive", "huge", "enormous", "tiny", "pathetic", "laughable", "brilliant", "genius", "stupid", "idiotic", "radical", "extreme", "unprecedented",
+    "historic", "groundbreaking", "revolutionary",
+)
 BAIT = (
     r"\?$",
     r"^(will|could|should|is|are|does|did|has|can|would)\s",
@@ -37,20 +42,34 @@ NEUTRAL = (
     (r"\bbombshell\b", "development"),
 )
 
+# Emoji, labels, show names and dates that neutral headlines lose.
+EMOJI = r"[\x{1F300}-\x{1F9FF}\x{1FA00}-\x{1FAFF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}\x{FE00}-\x{FE0F}\x{200D}]+"
+HEADLINE_LABELS = (r"^(BREAKING|JUST IN|EXCLUSIVE|URGENT|ALERT|WATCH|LISTEN):\s*", r"^You won't believe:?\s*", r"^\[.*?\]\s*", r"^\s*")
+HEADLINE_DATES = (r"\s*\|\s*[\p{L}\p{N}_\s]+\d{2}/\d{2}/\d{2,4}\s*$", r"\s+\d{2}/\d{2}/\d{2,4}\s*$")
+
+# What separates the parts of a publisher's name, and what it may end in.
+PUBLISHER_SEPARATORS = (" - ", " -- ", " | ", ": ")
+PUBLISHER_ENDING = r" (?:RSS|Feed|rss|feed)$"
+
 # Words that count for nothing when headlines are compared.
 HEADLINE_STOPWORDS = (
-    "the a an in on at to for of is as and or but by with from its has have had are was were be been will it that this s after over about into than not no so "
-    "up out just how what when where who why which could would should may might can do does did new says said following amid during between"
-).split()
+    "the", "a", "an", "in", "on", "at", "to", "for", "of", "is", "as", "and", "or", "but", "by", "with", "from", "its", "has", "have", "had", "are",
+    "was", "were", "be", "been", "will", "it", "that", "this", "s", "after", "over", "about", "into", "than", "not", "no", "so", "up", "out", "just",
+    "how", "what", "when", "where", "who", "why", "which", "could", "would", "should", "may", "might", "can", "do", "does", "did", "new", "says",
+    "said", "following", "amid", "during", "between",
+)
 
 # Words that count for nothing when a market question is matched to events.
 QUESTION_STOPWORDS = (
-    "will the and for that this with from have been are was were not but what before after about into than more most win over under end year next any may one "
-    "two new can how who when where which does did its all would could should between during through hit by"
-).split()
+    "will", "the", "and", "for", "that", "this", "with", "from", "have", "been", "are", "was", "were", "not", "but", "what", "before", "after",
+    "about", "into", "than", "more", "most", "win", "over", "under", "end", "year", "next", "any", "may", "one", "two", "new", "can", "how", "who",
+    "when", "where", "which", "does", "did", "its", "all", "would", "could", "should", "between", "during", "through", "hit", "by",
+)
 
 # Parameters dropped from links.
-TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid ref source mc_cid mc_eid".split()
+TRACKING = (
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source", "mc_cid", "mc_eid",
+)
 
 # Chrome removed from article bodies.
 BOILERPLATE = (
@@ -142,7 +161,7 @@ AI_COMPANIES = ("openai", "anthropic", "deepmind", "hugging face", "huggingface"
 AI_PRODUCTS = ("chatgpt", "gpt-4", "gpt-5", "github copilot")
 AI_CONTEXT = ("model", "training", "data", "algorithm", "robot", "automat", "compute", "gpu", "inference", "deploy", "tech", "startup", "regulation", "bias", "ethics", "research", "lab")
 
-# Capitalised words that name nothing; days and months come from the calendar.  Another list can be passed to the extractor.
+# Capitalised words that name nothing.  Another list can be passed to the extractor.
 ENTITY_STOPWORDS = (
     "The", "This", "That", "These", "Those", "Here", "There", "When", "Where", "What", "Which", "Who", "How", "Why", "Its", "Their", "Some", "Many", "Most", "Each", "Every", "Both", "Such",
     "Other", "And", "But", "Or", "Not", "Nor", "For", "So", "If", "As", "At", "By", "To", "In", "On", "Of", "Up", "No", "An", "With",
@@ -154,7 +173,9 @@ ENTITY_STOPWORDS = (
     "Essentially", "Generally", "Recently", "Previously", "Currently", "Initially", "Finally", "Says", "Said", "Gets", "Got", "Has", "Had", "Was", "Were", "Are", "Been", "Being", "Having", "Does",
     "Did", "Make", "Made", "Take", "Took", "Give", "Gave", "Come", "Came", "Goes", "Gone", "Went",
     "Fears", "Hundreds", "Thousands", "Millions", "Billions", "Heavy", "Several", "Various", "Potential", "Possible", "Likely", "Unlikely", "Major", "Minor", "Significant", "Critical", "Key",
-    "Really", "Quite", "Rather", "Fairly", "Nearly", "Almost", "Whats", "Heres", "Thats", *calendar.day_name, *calendar.month_name[1:],
+    "Really", "Quite", "Rather", "Fairly", "Nearly", "Almost", "Whats", "Heres", "Thats",
+    "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday",
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December",
     "See", "Will", "Hike", "Spike", "Hit", "Rise", "Fall", "Drop", "Jump", "Surge", "Slide", "Slip", "Gain", "Lose", "Cut", "Set", "Prices", "Rates", "Over", "Under", "Lower", "Higher",
     "Highest", "Lowest", "Trending", "Topics", "Searches", "Recent", "Latest",
     "RSS", "API", "URL", "HTTP", "HTTPS", "HTML", "CSS", "PDF", "FAQ", "EST", "PST", "GMT", "UTC", "ETF", "IPO", "CEO", "CFO", "COO",

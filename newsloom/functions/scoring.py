@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .text import col, text_of
+from .text import col, edged, text_of
 
 
 def _hits(text: Column, terms) -> Column:
@@ -75,7 +75,7 @@ def ai_relevant(headline: Column | str, summary: Column | str) -> Column:
     """Whether a story is about AI: terms, companies or products in the headline, else the word with context, else two signals."""
     h = F.lower(text_of(headline))
     both = F.lower(F.concat(text_of(headline), F.lit(" "), text_of(summary)))
-    word = h.rlike(r"\bai\b") & (F.length(h) < 200) & _any(both, L.AI_CONTEXT)
+    word = h.rlike(edged(r"\bai\b")) & (F.length(h) < 200) & _any(both, L.AI_CONTEXT)
     signals = _hits(both, L.AI_STRONG)
     return _any(h, L.AI_STRONG) | _any(h, L.AI_COMPANIES) | _any(h, L.AI_PRODUCTS) | word | (signals >= 2) | ((signals >= 1) & _any(both, L.AI_COMPANIES))
 

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from . import lexicons as L
 
 WORD = r"[\p{L}\p{N}_]+"  # Unicode words; Java's own \w is ASCII
+# The edge of a Unicode word, the same on all versions of Java; its own \b is ASCII from 19 on.
+EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
 
 
 def col(x: Column | str) -> Column:
@@ -24,6 +26,11 @@ def text_of(x: Column | str) -> Column:
     return F.coalesce(col(x), F.lit(""))
 
 
+def edged(pattern: str) -> str:
+    """A pattern with the edges of Unicode words for its \\b."""
+    return pattern.replace(r"\b", EDGE)
+
+
 def words(x: Column | str) -> Column:
     """Lower-cased words in order, with repeats."""
     return F.regexp_extract_all(F.lower(text_of(x)), F.lit(WORD), F.lit(0))
@@ -137,16 +144,15 @@ def is_title_case(x: Column | str) -> Column:
 
 def neutral_headline(title: Column | str) -> Column:
     """Headline without emoji, shouting, labels, show names, dates and loaded verbs."""
-    emoji = r"[\x{1F300}-\x{1F9FF}\x{1FA00}-\x{1FAFF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}\x{FE00}-\x{FE0F}\x{200D}]+"
-    t = F.replace(F.regexp_replace(text_of(title), emoji, ""), F.lit("!"), F.lit("."))
-    pieces = F.regexp_extract_all(t, F.lit(r"\b[A-Z]{5,}\b|(?s:.)"), F.lit(0))
+    t = F.replace(F.regexp_replace(text_of(title), L.EMOJI, ""), F.lit("!"), F.lit("."))
+    pieces = F.regexp_extract_all(t, F.lit(edged(r"\b[A-Z]{5,}\b|(?s:.)")), F.lit(0))
     t = F.array_join(F.transform(pieces, lambda p: F.when(F.length(p) > 1, F.initcap(p)).otherwise(p)), "")
-    for pattern in (r"^(BREAKING|JUST IN|EXCLUSIVE|URGENT|ALERT|WATCH|LISTEN):\s*", r"^You won't believe:?\s*", r"^\[.*?\]\s*", r"^\s*"):
+    for pattern in L.HEADLINE_LABELS:
         t = F.regexp_replace(t, "(?i)" + pattern, "")
-    t = F.regexp_replace(t, r"\s*\|\s*[\p{L}\p{N}_\s]+\d{2}/\d{2}/\d{2,4}\s*$", "")
-    t = F.regexp_replace(t, r"\s+\d{2}/\d{2}/\d{2,4}\s*$", "")
+    for pattern in L.HEADLINE_DATES:
+        t = F.regexp_replace(t, pattern, "")
     for pattern, word in L.NEUTRAL:
-        t = F.regexp_replace(t, "(?i)" + pattern, word)
+        t = F.regexp_replace(t, "(?i)" + edged(pattern), word)
     return F.trim(F.regexp_replace(t, r"\s{2,}", " "))
 
 
@@ -158,7 +164,7 @@ def key_sentences(text: Column | str, k: int = 5) -> Column:
         n = F.size(F.split(F.trim(s), r"\s+"))
         place = F.when(i == 0, 2.0).when(i == F.size(parts) - 1, 1.0).otherwise(0.0)
         length = F.when(n < 5, -1.0).when(n > 50, -0.5).otherwise(0.0)
-        found = lambda p: F.size(F.regexp_extract_all(s, F.lit(p), F.lit(0)))
+        found = lambda p: F.size(F.regexp_extract_all(s, F.lit(edged(p)), F.lit(0)))
         return place + found(r"\b\d[\d,.%$]+\b") * 0.5 + found(r'"[^"]{10,}"') * 1.5 + found(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+") * 0.3 + length
 
     ranked = F.array_sort(F.transform(parts, lambda s, i: F.struct((-score(s, i)).alias("s"), i.alias("i"), s.alias("t"))))
@@ -185,9 +191,9 @@ def entities(text: Column | str, stopwords=L.ENTITY_STOPWORDS, most: int = 20) -
         enough = F.size(F.filter(kept, named)) * 2 >= F.size(kept)
         return F.when((F.size(w) <= 3) & (F.size(at) > 0), F.when(enough, F.array_join(kept, " ")))
 
-    multi = F.transform(F.regexp_extract_all(body, F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"), F.lit(1)), trimmed)
+    multi = F.transform(F.regexp_extract_all(body, F.lit(edged(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b")), F.lit(1)), trimmed)
     single = F.filter(F.regexp_extract_all(body, F.lit(r"(?<=[.!?]\s)([A-Z][a-z]{2,})"), F.lit(1)), named)
-    acronyms = F.filter(F.regexp_extract_all(F.array_join(lines, " "), F.lit(r"\b([A-Z]{3,})\b"), F.lit(1)), named)
+    acronyms = F.filter(F.regexp_extract_all(F.array_join(lines, " "), F.lit(edged(r"\b([A-Z]{3,})\b")), F.lit(1)), named)
     found = F.filter(F.concat(multi, single, acronyms), lambda e: e.isNotNull() & (e != ""))
     return F.slice(F.sort_array(F.array_distinct(found)), 1, most)
 
@@ -199,7 +205,7 @@ def sensationalism(title: Column | str, text: Column | str) -> Column:
     tokens = F.array_distinct(words(both))
     hits = lambda lexicon: F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in lexicon])))
     bait = sum((F.lower(t).rlike(p).cast("int") for p in L.BAIT), F.lit(0))
-    caps = F.size(F.regexp_extract_all(both, F.lit(r"\b[A-Z]{4,}\b"), F.lit(0)))
+    caps = F.size(F.regexp_extract_all(both, F.lit(edged(r"\b[A-Z]{4,}\b")), F.lit(0)))
     marks = F.length(F.concat(t, x)) - F.length(F.replace(F.concat(t, x), F.lit("!"), F.lit("")))
     part = lambda n, full, weight: F.least(n / full, F.lit(1.0)) * weight
     total = part(hits(L.EMOTIONAL), 3.0, 0.3) + part(hits(L.ABSOLUTE), 3.0, 0.15) + part(hits(L.LOADED), 3.0, 0.15) + part(bait, 2.0, 0.15) + part(caps, 3.0, 0.1) + part(marks, 2.0, 0.15)
@@ -215,12 +221,12 @@ def publisher_name(x: Column | str) -> Column:
     """A long publisher's name cut to the part that says who it is."""
     p = col(x)
     parted = p
-    for sep in reversed((" - ", " -- ", " | ", ": ")):
+    for sep in reversed(L.PUBLISHER_SEPARATORS):
         halves = F.split(p, re.escape(sep), 2)
         left, right = F.trim(F.get(halves, F.lit(0))), F.trim(F.get(halves, F.lit(1)))
         generic = F.lower(left).isin(*L.GENERIC_PUBLISHERS) | F.lower(left).startswith("frb")
         parted = F.when(F.contains(p, F.lit(sep)), F.when(generic, right).otherwise(left)).otherwise(parted)
-    parted = F.trim(F.regexp_replace(parted, r" (?:RSS|Feed|rss|feed)$", ""))
+    parted = F.trim(F.regexp_replace(parted, L.PUBLISHER_ENDING, ""))
     cut = F.when(F.length(parted) > 60, F.concat(F.substring(parted, 1, 57), F.lit("..."))).otherwise(parted)
     return F.when(F.length(p) > 40, cut).otherwise(p)
 
@@ -240,7 +246,7 @@ def short_publisher(x: Column | str) -> Column:
     """A feed's publisher of over 50 characters cut to the part before its first separator, and to 60 characters."""
     p = col(x)
     out = p
-    for sep in reversed((" - ", " -- ", " | ", ": ")):
+    for sep in reversed(L.PUBLISHER_SEPARATORS):
         out = F.when(F.contains(p, F.lit(sep)), F.trim(F.get(F.split(p, re.escape(sep), 2), F.lit(0)))).otherwise(out)
     cut = F.when(F.length(out) > 60, F.concat(F.substring(out, 1, 57), F.lit("..."))).otherwise(out)
     return F.when(F.length(p) > 50, cut).otherwise(p)

@@ -516,7 +516,7 @@ def _sql_hits(lexicon) -> str:
 _SENS = _T + r", w AS (SELECT *, list_distinct(regexp_extract_all(lower(title || ' ' || body), '[\p{L}\p{N}_]+')) AS ws FROM t)" + f"""
 SELECT id, CASE WHEN len(ws) = 0 THEN 0.0::DOUBLE ELSE round(least(1.0::DOUBLE, least({_sql_hits(L.EMOTIONAL)} / 3.0::DOUBLE, 1) * 0.3::DOUBLE + least({_sql_hits(L.ABSOLUTE)} / 3.0::DOUBLE, 1) * 0.15::DOUBLE + least({_sql_hits(L.LOADED)} / 3.0::DOUBLE, 1) * 0.15::DOUBLE
   + least(({" + ".join(f"CAST(regexp_matches(lower(title), '{p.replace(chr(39), chr(39) * 2)}') AS INTEGER)" for p in L.BAIT)}) / 2.0::DOUBLE, 1) * 0.15::DOUBLE
-  + least(len(regexp_extract_all(title || ' ' || body, '\\b[A-Z]{{4,}}\\b')) / 3.0::DOUBLE, 1) * 0.1::DOUBLE + least((length(title || body) - length(replace(title || body, '!', ''))) / 2.0::DOUBLE, 1) * 0.15::DOUBLE), 3) END AS score FROM w"""
+  + least(len(list_filter(regexp_extract_all(title || ' ' || body, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z]{{4,}}'))) / 3.0::DOUBLE, 1) * 0.1::DOUBLE + least((length(title || body) - length(replace(title || body, '!', ''))) / 2.0::DOUBLE, 1) * 0.15::DOUBLE), 3) END AS score FROM w"""
 
 
 @query("sensationalism", _SENS)
@@ -544,7 +544,7 @@ def geography(spark, d):
 _H, _B = "lower(title)", "lower(title || ' ' || body)"
 
 
-@query("ai_relevance", _T + f""" SELECT id, {_HAS(_H, L.AI_STRONG + L.AI_COMPANIES + L.AI_PRODUCTS)} > 0 OR (regexp_matches({_H}, '\\bai\\b') AND length(title) < 200 AND {_HAS(_B, L.AI_CONTEXT)} > 0)
+@query("ai_relevance", _T + f""" SELECT id, {_HAS(_H, L.AI_STRONG + L.AI_COMPANIES + L.AI_PRODUCTS)} > 0 OR (list_contains(regexp_extract_all({_H}, '[\\p{{L}}\\p{{N}}_]+'), 'ai') AND length(title) < 200 AND {_HAS(_B, L.AI_CONTEXT)} > 0)
   OR {_HAS(_B, L.AI_STRONG)} >= 2 OR ({_HAS(_B, L.AI_STRONG)} >= 1 AND {_HAS(_B, L.AI_COMPANIES)} > 0) AS relevant FROM t""".replace("\\\\", "\\"))
 def ai_relevance(spark, d):
     return _titles(spark, d).select("id", S.ai_relevant("title", "body").alias("relevant"))

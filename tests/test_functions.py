@@ -110,3 +110,10 @@ def test_simhash_matches_a_plain_definition(spark):
 def test_cosine_edges(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0]), ([1.0, 2.0], [2.0, 4.0]), ([], []), ([1.0], [1.0, 2.0]), ([0.0], [0.0])], "a array<double>, b array<double>")
     assert [round(r.c, 6) for r in df.select(M.cosine("a", "b").alias("c")).collect()] == [0.0, 1.0, 0.0, 0.0, 0.0]
+
+
+def test_edges_of_words_are_those_of_unicode(spark):
+    """Capitals beside letters that are not ASCII are no word of capitals, on any version of Java."""
+    row = spark.createDataFrame([("CIÓNCIEZ!! CIÓNIEAR!! NASA", "ÉCOLE éCOLES ABCDE_ ABCDÉ PLAIN word", "l'ÉAI aié", "Éslams slams it")], "a string, b string, c string, d string")
+    got = row.select(X.sensationalism("a", F.lit("")).alias("s"), X.neutral_headline("b").alias("n"), S.ai_relevant("c", F.lit("model training")).alias("r"), X.neutral_headline("d").alias("d"), X.entities("a").alias("e")).first()
+    assert got.s == 0.183 and got.n == "ÉCOLE éCOLES ABCDE_ ABCDÉ Plain word" and not got.r and got.d == "Éslams criticizes it" and got.e == ["NASA"]

@@ -5,18 +5,27 @@ import pytest
 
 from newsloom.plans.queries import ORACLE_SQL, QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "customer documents embeddings events lineitem nation orders pages part region supplier".split()
 
 
-@pytest.fixture(scope="module")
-def duck():
+def connected(data):
     c = duckdb.connect()
     for t in TABLES:
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     return c
 
 
+@pytest.fixture(scope="module")
+def duck():
+    return connected(DATA)
+
+
+@pytest.fixture(scope="module")
+def larger():
+    return connected(LARGER)
+
+
 def rows(frame, columns):
     return sorted(map(repr, frame[columns].astype(object).where(frame[columns].notna(), None).itertuples(index=False, name=None)))
 
@@ -28,6 +37,12 @@ def test_equals_sql(spark, duck, name):
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
 
 
+@pytest.mark.parametrize("name", ["sensationalism", "ai_relevance", "topics", "geography", "extract_body", "clean_html", "article_word_counts", "word_sets", "headline_match", "first_disputes"])
+def test_text_queries_equal_sql_on_more_text(spark, larger, name):
+    got, want = QUERIES[name](spark, LARGER).toPandas(), larger.sql(ORACLE_SQL[name]).df()
+    assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
 def test_lsh_finds_most_of_the_exact_neighbours(spark):
     exact = {(r.query_id, r.id) for r in QUERIES["knn_exact"](spark, DATA).collect()}
     near = {(r.query_id, r.id) for r in QUERIES["knn_lsh"](spark, DATA).collect()}
