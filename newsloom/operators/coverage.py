@@ -28,14 +28,19 @@ def cluster_rollup(arts: DataFrame) -> DataFrame:
     )
 
 
+def timeline_entry() -> Column:
+    """An article as the text of a timeline's entry."""
+    publisher = F.when(text_of("publisher") != "", F.concat(F.lit("["), F.col("publisher"), F.lit("] "))).otherwise("")
+    return F.concat(publisher, F.when(text_of("title") == "", "New source added").otherwise(F.substring("title", 1, 120)))
+
+
 def timeline(arts: DataFrame, most: int = 50) -> DataFrame:
     """(cluster_id, ts, ingest_seq, entry): the newest `most` articles of each event, as text entries.
 
     A ranked window keeps a bounded number of rows for each event, so no event's articles are collected whole.
     """
-    text = F.concat(F.when(text_of("publisher") != "", F.concat(F.lit("["), F.col("publisher"), F.lit("] "))).otherwise(""), F.when(text_of("title") == "", "New source added").otherwise(F.substring("title", 1, 120)))
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("ts").desc(), F.col("ingest_seq").desc()))
-    return arts.withColumn("__r", rank).filter(F.col("__r") <= most).select("cluster_id", "ts", "ingest_seq", text.alias("entry"))
+    return arts.withColumn("__r", rank).filter(F.col("__r") <= most).select("cluster_id", "ts", "ingest_seq", timeline_entry().alias("entry"))
 
 
 def coverage_gaps(arts: DataFrame, events: DataFrame, now: DataFrame, limit: int = 20, look_back: float = 172800.0) -> DataFrame:
