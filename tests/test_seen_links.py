@@ -1,0 +1,33 @@
+"""Links are taken once while they are remembered; late ones are kept, evicted ones taken again."""
+
+import time
+
+from newsloom.streaming import seen as S
+
+KINDS = "id string, url string, ts double, title string, n long"
+
+
+def test_late_links_are_kept_and_old_ones_evicted(spark, tmp_path):
+    known = spark.createDataFrame([("u0", 5.0), ("u0", 7.0), ("", 1.0)], "url string, ts double")
+    out, memory = str(tmp_path / "out"), 12.0
+
+    def run(rows):
+        spark.createDataFrame(rows, KINDS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(KINDS).parquet(str(tmp_path / "in"))
+        query = S.run_seen(S.seen_once(stream, memory, known), out, str(tmp_path / "cp"))
+        query.awaitTermination()
+        return {r.id for r in spark.read.parquet(out).collect()}, query.lastProgress
+
+    begun = time.time()
+    got, progress = run([("a", "u1", 1e9, "t", 1), ("b", "u1", 2.0, None, None), ("c", "u0", 3.0, "t", 1), ("d", "", 3.0, "t", 1), ("e", None, 3.0, "t", 1), ("f", "u2", None, "t", 1)])
+    assert got == {"b", "f"}  # of a batch the earliest; u0 is known from the start
+    assert {tuple(r)[:5] for r in spark.read.parquet(out).collect()} == {("b", "u1", 2.0, None, None), ("f", "u2", None, "t", 1)}
+    got, _ = run([("g", "u3", 1.0, "late", 2), ("h", "u1", 3e9, "again", 2)])  # far behind the newest time seen, but new
+    assert got == {"b", "f", "g"} and time.time() - begun < 60
+    time.sleep(memory + 1)
+    got, progress = run([("i", "u9", 5.0, "t", 1)])
+    assert got == {"b", "f", "g", "i"}
+    got, progress = run([("j", "u1", 6.0, "t", 1), ("k", "u2", 6.0, "t", 1)])
+    assert got == {"b", "f", "g", "i", "j", "k"}  # not remembered any more
+    rows = [s["numRowsTotal"] for s in progress["stateOperators"]]
+    assert sum(rows) <= 4 * 5, rows  # state and timers of the links of the last seconds, not of all that came
