@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -36,3 +38,26 @@ def ready(spark: SparkSession) -> SparkSession:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="newsloom-checkpoint-"))
     return spark
+
+
+class Rounds:
+    """The state of a loop, written as a table of the checkpoint folder each round, the one before removed.
+
+    checkpoint() would carry the size estimates of its plan along, which joins multiply: after some rounds of several
+    joins they are numbers of millions of digits.  A table has its own size.  The last table stays, as results read it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.last = spark, f"{spark.sparkContext.getCheckpointDir()}/rounds-{uuid.uuid4().hex}", None
+
+    def write(self, state: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        state.write.parquet(path)
+        if self.last:
+            try:
+                files, old = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", self.last))
+                files.delete_dir(old)
+            except (OSError, ValueError):  # a store that only Spark reaches: the tables go with the checkpoint folder
+                pass
+        self.last = path
+        return self.spark.read.schema(state.schema).parquet(path)
