@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import DUPLICATE, dedup_score, entity_jaccard, simhash_column, simhash_similarity
-from ..functions.text import strip_urls, text_of
+from ..functions.text import neutral_headline, strip_urls, text_of
+from .containment import containing, without_case
 from .vectors import assign
 
 NEAR, CENTROID, SIZE_MOST = 0.85, 0.78, 50
@@ -38,18 +39,34 @@ def entity_candidates(articles: DataFrame, events: DataFrame, now: DataFrame, se
     return met.withColumn("__r", rank).filter(F.col("__r") <= limit).select("id", "cluster_id", "shared")
 
 
+def contained_candidates(articles: DataFrame, events: DataFrame, now: DataFrame, seconds: float = 86400.0, limit: int = 20) -> DataFrame:
+    """(id, cluster_id, shared): recent events one of whose names contains one of an article's five longest names, newest first.
+
+    shared counts these names of the article; A-Z compare without case; ties of time go to the smaller event id.  Distinct names are compared,
+    whoever has them; articles and events without names have no candidates.
+    """
+    recent = events.join(F.broadcast(now), F.col("latest_timestamp") >= F.col("as_of") - seconds)  # one row
+    a = articles.select("id", F.explode(longest_entities("entities", LONGEST)).alias("name")).select("id", without_case("name").alias("pattern")).distinct()
+    b = recent.select("cluster_id", "latest_timestamp", F.explode("entities").alias("name")).select("cluster_id", "latest_timestamp", without_case("name").alias("text")).distinct()
+    met = a.join(containing(a, b), "pattern").join(b, "text").groupBy("id", "cluster_id", "latest_timestamp").agg(F.countDistinct("pattern").alias("shared"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("latest_timestamp").desc(), "cluster_id"))
+    return met.withColumn("__r", rank).filter(F.col("__r") <= limit).select("id", "cluster_id", "shared")
+
+
 def assign_articles(articles: DataFrame, events: DataFrame, now: DataFrame, centres: DataFrame | None = None) -> DataFrame:
     """(id, cluster_id, how): the event of each article by the first rule that gives one; null if none does.
 
     articles: id, title, text, entities.  events: cluster_id, headline, summary, entities, latest_timestamp, source_count.
-    Rules: equal headline; fingerprint over 0.85 alike with one of the 500 newest; where `centres` (cluster_id, centroid) and
+    Rules: equal headline, as it is or neutral; fingerprint over 0.85 alike with one of the 500 newest; where `centres` (cluster_id, centroid) and
     an embedding of the article are given, a centroid of cosine over 0.78 of an event of under 50; a weighted score over 0.70 with an
     event that shares an entity, or with one of the 50 newest.  The newest events are few by their limit and broadcast.
     """
     key = lambda c: F.lower(F.trim(strip_urls(c)))
     open_ = events.filter(F.col("source_count") < SIZE_MOST)
     newest = lambda n: events.orderBy(F.col("latest_timestamp").desc(), "cluster_id").limit(n)
-    exact = articles.select("id", key("title").alias("k")).filter("k <> ''").join(events.select("cluster_id", key("headline").alias("k")), "k")
+    given = F.col("neutral_headline") if "neutral_headline" in events.columns else neutral_headline("headline")
+    headlines = events.select("cluster_id", F.explode(F.array_distinct(F.array(key("headline"), key(given)))).alias("k"))
+    exact = articles.select("id", key("title").alias("k")).filter("k <> ''").join(headlines, "k")
     exact = exact.groupBy("id").agg(F.min("cluster_id").alias("exact"))
     h = articles.select("id", simhash_column(key("title")).alias("ha"))
     near = h.crossJoin(F.broadcast(newest(RECENT_HEADLINES).select("cluster_id", simhash_column(key("headline")).alias("hb"))))
@@ -78,10 +95,13 @@ def assign_articles(articles: DataFrame, events: DataFrame, now: DataFrame, cent
 def feed_publishers(feeds: DataFrame, hosts: DataFrame) -> DataFrame:
     """(feed, publisher): by equal host, else by a host that contains the other's; ties go to the host's name.
 
-    Feeds are a configured list and hosts one row a site; only feeds without an equal host go to the second step.
+    Only feeds without an equal host go to the second step, in which hosts meet at a run of characters that both have.
     """
     exact = feeds.join(hosts.select("host", "publisher"), "host", "left")
     rest = exact.filter("publisher is null and host <> ''").select("feed", "host")
     h = hosts.select(F.col("host").alias("h"), F.col("publisher").alias("p"))
-    part = rest.join(h, F.contains("host", F.col("h")) | F.contains(F.col("h"), F.col("host"))).groupBy("feed").agg(F.min_by("p", "h").alias("p"))
+    within = containing(h.select(F.col("h").alias("pattern")), rest.select(F.col("host").alias("text"))).select(F.col("pattern").alias("h"), F.col("text").alias("host"))
+    around = containing(rest.select(F.col("host").alias("pattern")), h.select(F.col("h").alias("text"))).select(F.col("text").alias("h"), F.col("pattern").alias("host"))
+    met = within.unionByName(around).distinct()
+    part = rest.join(met, "host").join(h, "h").groupBy("feed").agg(F.min_by("p", "h").alias("p"))
     return exact.join(part, "feed", "left").select("feed", F.coalesce("publisher", "p").alias("publisher"))

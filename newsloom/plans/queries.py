@@ -676,6 +676,18 @@ def entity_candidates(spark, d):
     return N.entity_candidates(arts.withColumn("entities", found("title")), clusters.withColumn("entities", found("headline")), now)
 
 
+# names that contain an article's: the same words, met by contains() instead of equality
+_CONTAINED = ORACLE_SQL["entity_candidates"].replace("unnest(list_distinct(regexp_extract_all(headline, '[A-Za-z]+'))) AS w", "unnest(list_distinct(regexp_extract_all(lower(headline), '[a-z]+'))) AS v")
+_CONTAINED = _CONTAINED.replace("m AS (SELECT id, cluster_id, latest_timestamp, count(*) AS shared FROM l JOIN e USING (w) GROUP BY ALL)", "m AS (SELECT id, cluster_id, latest_timestamp, count(DISTINCT lower(w)) AS shared FROM l JOIN e ON contains(v, lower(w)) GROUP BY ALL)")
+
+
+@query("contained_candidates", _CONTAINED)
+def contained_candidates(spark, d):
+    arts, clusters, now = _events(spark, d)
+    found = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)))
+    return N.contained_candidates(arts.withColumn("entities", found("title")), clusters.withColumn("entities", found("headline")), now)
+
+
 @query("assign_articles")
 def assign_articles(spark, d):
     arts, clusters, now = _events(spark, d)
