@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.scoring import clean_slug, expired, market_category, market_url, unusual_reason, valid_slug
+from ..functions.scoring import clean_slug, divergence, expired, market_category, market_url, unusual_reason, valid_slug
 
 QUESTION_WORD = r"(?<![\p{L}\p{N}_])[a-z][\p{L}\p{N}_]{2,}"
 
@@ -91,3 +91,15 @@ def match_events(markets: DataFrame, events: DataFrame) -> DataFrame:
     scored = pair.select("id", "position", share.alias("share"), F.size(F.array_intersect("w", "named")).alias("hits"))
     ok = scored.filter(((F.col("hits") >= 1) & (F.col("share") >= 0.3)) | (F.col("share") >= 0.6)).withColumn("score", F.col("share") + F.col("hits") * 0.2)
     return ok.groupBy("id").agg(F.max_by("position", F.struct("score", -F.col("position"))).alias("position"), F.max("score").alias("score"))
+
+
+def market_view(events: DataFrame, history: DataFrame, now: DataFrame) -> DataFrame:
+    """(cluster_id, market_odds, points, shift, is_significant, direction, divergent, reason): an event's market beside its news.
+
+    The shift is that of the last 24 hours of its price points (none: 0, flat); events without odds have no market.
+    """
+    listed = events.filter("market_odds is not null").select("cluster_id", "market_odds", "impact", "impact_score")
+    shifts = price_shift(history.join(listed.select("cluster_id"), "cluster_id", "left_semi"), now)
+    x = listed.join(shifts, "cluster_id", "left").withColumn("reason", divergence("impact", "impact_score", "market_odds"))
+    filled = {"points": F.lit(0).cast("long"), "shift": F.lit(0.0), "is_significant": F.lit(False), "direction": F.lit("flat")}
+    return x.select("cluster_id", "market_odds", *[F.coalesce(c, v).alias(c) for c, v in filled.items()], (F.col("reason") != "").alias("divergent"), "reason")

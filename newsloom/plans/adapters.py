@@ -17,9 +17,9 @@ def epoch(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast({ts} as timestamp_ntz)) / 1000000.0D")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents joined with events: one article for each document that has an event."""
-    d, e = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars"), read(spark, sf_dir, "events")
+def articles(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """documents joined with events: one article for each document that has an event; `events` may be a stream."""
+    d, e = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars"), read(spark, sf_dir, "events") if events is None else events
     kind = F.when(F.col("event_type").isin("click", "view", "purchase"), "social").when(F.col("event_type") == "signup", "rss").otherwise("api")
     p = read(spark, sf_dir, "pages").select("page_id", "url")
     joined = d.join(e.select("event_id", "ts", "user_id", "event_type", "value"), F.col("event_id") == F.col("doc_id")).join(p, F.col("page_id") == F.col("doc_id"), "left")
@@ -66,9 +66,9 @@ clusters AS (
   FROM (SELECT *, (source_count * 7 + social_score) % 100 AS s FROM rolled2))"""
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One claim a line of text, with its article's cluster."""
-    d, e = read(spark, sf_dir, "documents"), read(spark, sf_dir, "events")
+def claims(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """One claim a line of text, with its article's cluster; `events` may be a stream."""
+    d, e = read(spark, sf_dir, "documents"), read(spark, sf_dir, "events") if events is None else events
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "what")).join(e.select("event_id", "user_id"), F.col("event_id") == F.col("doc_id"))
     return lines.select(F.col("user_id").cast("string").alias("cluster_id"), F.col("doc_id").cast("string").alias("source_article_id"), F.col("doc_id"), F.col("seq").cast("long").alias("seq"), "what")
 

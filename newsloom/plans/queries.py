@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -9,15 +12,21 @@ from ..functions import scoring as S
 from ..functions import similarity as M
 from ..functions import text as X
 from ..operators import assign as N
+from ..operators import centroid_state as CS
 from ..operators import claims as C
 from ..operators import coverage as V
 from ..operators import dedup as D
+from ..operators import leaders as G
 from ..operators import lookups as U
 from ..operators import maintenance as W
 from ..operators import markets as K
+from ..operators import merging as MG
 from ..operators import vectors as E
 from ..sources import payloads as P
 from ..streaming import ingest as I
+from ..streaming import seen as SN
+from ..streaming import state as ST
+from ..streaming import status as SU
 from . import adapters as A
 
 QUERIES: dict = {}
@@ -853,3 +862,95 @@ def stream_dedup(spark, d):
   max(epoch_us(ts) / 1000000.0::DOUBLE) AS latest_timestamp FROM events GROUP BY user_id""")
 def stream_rollup(spark, d):
     return _drained(I.rollups(_events_stream(spark, d)), "complete")
+
+
+def _folder(spark, name):
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def _kept_events(spark, d):
+    """The views' folder after a stream over all events with their articles and claims."""
+    schema = A.read(spark, d, "events").schema
+    events = lambda: spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    folder = _folder(spark, "kept")
+    ST.keep_events(ST.entries(A.articles(spark, d, events()), A.claims(spark, d, events())), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    return f"{folder}/out"
+
+
+@query("event_state_rollup", ORACLE_SQL["cluster_rollup"])
+def event_state_rollup(spark, d):
+    return ST.kept_rollup(spark, _kept_events(spark, d)).drop("timeline")
+
+
+@query("event_state_claims", _with(CLA) + """SELECT cluster_id, arg_min(what, (doc_id, seq)) AS what, CAST(min(doc_id) AS BIGINT) AS doc_id, min(coalesce(nullif(source_article_id, ''), 'unknown')) = max(coalesce(nullif(source_article_id, ''), 'unknown')) AS novel
+FROM (SELECT *, regexp_replace(lower(trim(what)), '\\s+', ' ', 'g') AS key FROM claims WHERE what <> '') GROUP BY cluster_id, key""".replace("\\\\", "\\"))
+def event_state_claims(spark, d):
+    return ST.kept_claims(spark, _kept_events(spark, d)).select("cluster_id", "what", "doc_id", "novel")
+
+
+@query("seen_links", ORACLE_SQL["stream_dedup"])
+def seen_links(spark, d):
+    folder = _folder(spark, "seen")
+    SN.run_seen(SN.seen_once(_events_stream(spark, d), 86400.0).select("url"), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("ingestion_status", "SELECT 'events' AS name, CAST(count(*) AS BIGINT) AS rows, count(DISTINCT event_id % 500) AS links, CAST(NULL AS VARCHAR) AS error FROM events")
+def ingestion_status(spark, d):
+    """What the stream of all events read and how many links its state holds, from its kept progress."""
+    folder = _folder(spark, "status")
+    stream = SN.seen_once(_events_stream(spark, d), 86400.0).select("url")
+    run = SN.run_seen(stream, f"{folder}/out", f"{folder}/cp", name="events")
+    run.awaitTermination()
+    log = SU.ProgressLog(f"{folder}/log")
+    for progress in run.recentProgress:
+        log.keep(json.loads(progress.json))
+    links = spark.read.parquet(f"{folder}/out").agg(F.count(F.lit(1)).alias("links"))
+    return SU.ingestion_status(spark, f"{folder}/log").select("name", "rows", "error").crossJoin(F.broadcast(links))  # one row each
+
+
+# ---- jobs that the parts above compose
+
+
+@query("led_articles")
+def led_articles(spark, d):
+    """All articles led to events from none, in the order of their time."""
+    arts = A.articles(spark, d).select("id", "title", "text", X.entities("title").alias("entities"), "ts")
+    none = spark.createDataFrame([], I.EVENT_KINDS + ", latest_timestamp double, source_count long")
+    return G.led_articles(arts, none)
+
+
+@query("merged_events")
+def merged_events(spark, d):
+    """Events after duplicates went into others, with counts and times made anew and orphans removed."""
+    arts, clusters, now = _events(spark, d)
+    events = clusters.select("cluster_id", "headline", "earliest_timestamp", "latest_timestamp", "source_count")
+    markets = spark.createDataFrame([], "id string, linked_cluster_id string")
+    return MG.merged(events, {"articles": arts, "markets": markets}, D.merge_map(events, now))[0]
+
+
+@query("article_places", _with(ART) + "SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY ts, id) - 1 AS position, id FROM articles")
+def article_places(spark, d):
+    return MG.article_places(A.articles(spark, d))
+
+
+@query("kept_centroids", ORACLE_SQL["centroids"])
+def kept_centroids(spark, d):
+    """Centroids from a state that saw a third of the vectors under other labels first, then their moves, then another third go and come back."""
+    v = _vectors(spark, d)
+    third = lambda n: v.filter(F.col("id") % 3 == n)
+    early = v.withColumn("cluster_id", F.when(F.col("id") % 3 == 0, F.lit("elsewhere")).otherwise(F.col("cluster_id")))
+    moved, left = CS.changes_of(early.filter("id % 3 = 0"), third(0))
+    state = CS.changed(CS.summed(early), moved, left)
+    state = CS.changed(CS.changed(state, v.limit(0), third(1)), third(1), v.limit(0))
+    return CS.means(state).select("cluster_id", F.posexplode("centroid").alias("pos", "x")).select("cluster_id", "pos", F.round("x", 6).alias("mean"))
+
+
+@query("event_market", _with(ART, CLU, HIS).rstrip() + f""", n AS (SELECT max(ts) AS as_of FROM history), r AS (SELECT h.*, ts >= as_of - 86400 AS recent FROM history h, n),
+g AS (SELECT cluster_id, count(*) AS points, first(probability ORDER BY ts DESC, seq DESC) FILTER (recent) AS newest, first(probability ORDER BY ts, seq) FILTER (recent) AS oldest FROM r GROUP BY cluster_id),
+s AS (SELECT cluster_id, points, CASE WHEN points >= 2 AND newest IS NOT NULL THEN round(newest - oldest, 4) ELSE 0.0::DOUBLE END AS shift FROM g)
+SELECT c.cluster_id, market_odds, coalesce(points, 0) AS points, coalesce(shift, 0.0::DOUBLE) AS shift, coalesce(abs(shift) >= 0.10, false) AS is_significant, CASE WHEN shift > 0 THEN 'up' WHEN shift < 0 THEN 'down' ELSE 'flat' END AS direction,
+  {_DIVERGE} <> '' AS divergent, {_DIVERGE} AS reason FROM clusters c LEFT JOIN s ON s.cluster_id = c.cluster_id WHERE market_odds IS NOT NULL""")
+def event_market(spark, d):
+    h = A.history(spark, d)
+    return K.market_view(_events(spark, d)[1], h, h.agg(F.max("ts").alias("as_of")))

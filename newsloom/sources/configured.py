@@ -46,3 +46,35 @@ def live_links(markets: DataFrame, timeout: float = 5.0, check=_answers) -> Data
 
     asked = markets.select("url").filter("url is not null").distinct().mapInPandas(ask, "url string, live boolean")
     return markets.join(asked.filter("live").select("url"), "url", "left_semi")
+
+
+VERDICTS = "url string, live boolean, until double"
+
+
+def _verdict(url: str, timeout: float) -> bool | None:
+    """Whether an address answers; null where the network failed, so that nothing is known of it."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, method="HEAD"), timeout=timeout) as got:
+            return 200 <= got.status < 400
+    except urllib.error.HTTPError:
+        return False
+    except (OSError, ValueError):
+        return None
+
+
+def checked_links(markets: DataFrame, verdicts: DataFrame, as_of: float, keep: float = 86400.0, timeout: float = 5.0, check=_verdict) -> tuple[DataFrame, DataFrame]:
+    """(rows whose `url` answers, verdicts to keep): only addresses without a verdict that still holds are asked, in tasks.
+
+    verdicts: url, live, until.  New answers hold for `keep` seconds; a failure of the network is not kept and counts as dead this time, as do null addresses.
+    """
+    valid = verdicts.filter(F.col("until") > float(as_of)).groupBy("url").agg(F.max_by("live", "until").alias("live"), F.max("until").alias("until"))
+    unknown = markets.select("url").filter("url is not null").distinct().join(valid, "url", "left_anti")
+
+    def ask(frames):
+        for frame in frames:
+            answers = [check(u, timeout) for u in frame["url"]]
+            yield pd.DataFrame({"url": frame["url"], "live": pd.array(answers, dtype="boolean"), "until": float(as_of) + keep})
+
+    asked = unknown.mapInPandas(ask, VERDICTS).checkpoint()  # an address is asked once, whoever reads the answer
+    kept = valid.select("url", "live", "until").unionByName(asked.filter("live is not null"))
+    return markets.join(kept.filter("live").select("url"), "url", "left_semi"), kept

@@ -78,7 +78,7 @@ def seen_once(stream: DataFrame, memory_seconds: float, known: DataFrame | None
     return rows.groupBy("url_hash").transformWithStateInPandas(statefulProcessor=processor, outputStructType=rows.schema, outputMode="Append", timeMode="ProcessingTime", initialState=start)
 
 
-def run_seen(articles: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None):
+def run_seen(articles: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None, name: str | None = None):
     """Write what seen_once() passes on to Parquet, to the end of what is there or by another trigger."""
     spark = articles.sparkSession
     # timers are looked at with each batch; batches for timers alone would never end where all that is there is read
@@ -87,7 +87,8 @@ def run_seen(articles: DataFrame, folder: str, checkpoint: str, trigger: dict |
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        return articles.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        writer = articles.writeStream.queryName(name) if name else articles.writeStream
+        return writer.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
