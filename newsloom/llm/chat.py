@@ -51,20 +51,25 @@ def _unescaped(text: str, rules) -> str:
 
 
 def _turns(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """(conv_id, turn, role, text, hash) with nulls of role and text as empty strings."""
-    role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
-    whole = F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text)
-    return rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), F.substring(F.sha2(whole, 256), 1, 32).alias("hash"))
+    """(conv_id, turn, role, text) with nulls of role and text as empty strings."""
+    named = {"role": F.coalesce(F.col(role_col), F.lit("")), "text": F.coalesce(F.col(text_col), F.lit(""))}
+    return rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), *[x.alias(c) for c, x in named.items()])
+
+
+def _hash() -> Column:
+    """128 bits of role and text, as 32 digits; computed where it is needed rather than sent along with texts."""
+    whole = F.concat(F.octet_length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text"))
+    return F.substring(F.sha2(whole, 256), 1, 32)
 
 
 def paths(turns: DataFrame) -> DataFrame:
     """(conv_id, path, sizes, leaf): the hashes of a conversation's turns in order as one string, the characters of each, and the
     hash of the path.  A conversation takes about 100 bytes a turn here, whatever its texts."""
     size = (F.char_length("role") + F.char_length("text") + F.lit(TURN_CHARS)).cast("int")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "hash", size.alias("size"))))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", _hash().alias("hash"), size.alias("size"))))
     out = turns.groupBy("conv_id").agg(ordered.alias("turns"))
     out = out.select("conv_id", F.array_join("turns.hash", "").alias("path"), F.col("turns.size").alias("sizes"))
-    return out.withColumn("leaf", F.unhex(F.sha2("path", 256)))
+    return out.withColumn("leaf", F.unhex(F.substring(F.sha2("path", 256), 1, 32)))
 
 
 def _common(a: str, b: str) -> int:
@@ -209,7 +214,7 @@ def chat_trees(
     ordered = distinct.repartitionByRange("path").sortWithinPartitions("path")
     packs = ordered.mapInArrow(_cut_to_packs(pack_chars), f"conv_id {kind}, leaf binary, pack long, place int, common int, keep array<int>, turns int").checkpoint()
     texts = turns.join(packs.withColumnRenamed("conv_id", "__conv"), F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv", "conv_id")
-    texts = texts.repartition("pack").sortWithinPartitions("pack", "place", "turn", "role", "hash")
+    texts = texts.repartition("pack").withColumn("hash", _hash()).sortWithinPartitions("pack", "place", "turn", "role", "hash")
     nodes = texts.select("pack", "place", "common", "turns", "leaf", "keep", "role", "text").mapInArrow(_nodes(read_vocabulary(vocabulary)), NODES)
     return nodes, hashed.select("conv_id", "leaf")
 
