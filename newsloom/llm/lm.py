@@ -41,6 +41,22 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sorted_[new], order[new], at
 
 
+def _distinct_pairs(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct pair (a, b), index of each pair among the distinct ones), in the order of `key`, a number made from the pair.
+
+    Where different pairs have one key, which is seen here, the pairs themselves are sorted instead.
+    """
+    _, first, at = _distinct(key)
+    if (a[first][at] == a).all() and (b[first][at] == b).all():
+        return first, at
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at
+
+
 def _with_ends(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(row, token) of each text's words followed by one end."""
     length = np.diff(w.first) + 1
@@ -115,22 +131,27 @@ class Model:
 class Level:
     """Distinct n-grams of one length in a chunk, in pieces by the bucket that they are sent to."""
 
-    def __init__(self, which: np.ndarray, key: np.ndarray, context: np.ndarray | None, occ: np.ndarray | None, model: Model):
+    def __init__(self, which: np.ndarray, code: np.ndarray, context: np.ndarray | None, occ: np.ndarray | None, model: Model):
+        """`code` names the last words: whole hashes before any bucket has answered, then the numbers that buckets gave them."""
         self.which = which
-        distinct, self.first, at = _distinct(key)
-        n = len(distinct)
+        if context is None:
+            distinct, self.first, at = _distinct(code)
+        else:
+            # by context, then by number, which makes the numbers of a context rise
+            self.first, at = _distinct_pairs((context & np.uint64(0xFFFFFFFF00000000)) | (code.view(np.uint64) & np.uint64(0xFFFFFFFF)), context, code)
+        n = len(self.first)
         part, asks = np.zeros(n, np.int32), []
         if context is None:
             bucket = (((distinct >> np.uint64(32)) * np.uint64(model.word_buckets)) >> np.uint64(32)).astype(np.int64)
             order = np.arange(n)
         else:
-            self.context = context[self.first]
+            self.context, number = context[self.first], code[self.first]
             bucket = (((self.context >> np.uint64(32)) * np.uint64(model.buckets)) >> np.uint64(32)).astype(np.int64)
             parts = -(-occ[self.first] // model.hot)
             hot = np.flatnonzero(parts > 1)
             bucket[hot] = -1 - (self.context[hot] >> np.uint64(1)).astype(np.int64)
-            part[hot] = ((distinct[hot] & np.uint64(0xFFFFFFFF)) * parts[hot].astype(np.uint64)) >> np.uint64(32)
-            order = np.concatenate((np.flatnonzero(parts <= 1), hot[np.lexsort((distinct[hot], part[hot], bucket[hot]))]))
+            part[hot] = ((_combined(self.context[hot], number[hot].view(np.uint64)) >> np.uint64(32)) * parts[hot].astype(np.uint64)) >> np.uint64(32)
+            order = np.concatenate((np.flatnonzero(parts <= 1), hot[np.lexsort((number[hot], part[hot], bucket[hot]))]))
             # a hot context's gain is the sum over all parts: parts without an n-gram of this chunk are asked too
             for b, i in zip(*np.unique(bucket[hot], return_index=True), strict=True):
                 n_parts = parts[hot[i]]
@@ -202,9 +223,7 @@ class Tokens:
         self.same = has & (occ == self.occ) & (length > 1 and self.model.skip_equal)
         self.context, self.occ = context, occ
         which = np.flatnonzero(has & (occ >= self.model.least) & ~self.same)
-        # sorted by context; the low half depends on the whole n-gram
-        key = (context[which] & np.uint64(0xFFFFFFFF00000000)) | (_combined(context[which], self.code[which].view(np.uint64)) >> np.uint64(32))
-        self.levels.append(Level(which, key, context[which], occ[which], self.model))
+        self.levels.append(Level(which, self.code[which], context[which], occ[which], self.model))
 
     def _learn(self, length: int, replies: dict) -> None:
         level, model = self.levels[length], self.model
@@ -250,7 +269,10 @@ class Tokens:
             run = level.runs(i, j)
             out["runs"].append(len(run) - 1)
             words = [self.code[token[run[:-1]] - length + k] for k in range(length)]
-            out["data"].append(_squeezed(*words, np.diff(run).astype(np.int32), self.code[token[i:j]], n[i:j], q[i:j]))
+            last = self.code[token[i:j]]
+            rise = np.diff(last, prepend=0)  # numbers rise inside a context: steps are smaller
+            rise[run[:-1] - i] = last[run[:-1] - i]
+            out["data"].append(_squeezed(*words, np.diff(run).astype(np.int32), rise, n[i:j], q[i:j]))
         bucket, part = [*level.bucket.tolist(), *(b for b, _ in level.asks)], [*level.part.tolist(), *(p for _, p in level.asks)]
         blank = [0] * len(level.asks)
         return pa.table({
@@ -308,15 +330,17 @@ def _answer_contexts(table: pa.Table, length: int, model: Model) -> pa.Table:
     runs, entries, occs = table["runs"].to_pylist(), table["entries"].to_pylist(), table["occ"].to_numpy()
     columns: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]]
     for r, e, data in zip(runs, entries, table["data"].to_pylist(), strict=True):
-        *words, span, token, n, q = _spread(data, *[(r, np.int64)] * length, (r, np.int32), (e, np.int64), (e, np.int64), (e, np.uint16))
+        *words, span, rise, n, q = _spread(data, *[(r, np.int64)] * length, (r, np.int32), (e, np.int64), (e, np.int64), (e, np.uint16))
         context = np.full(r, 1, np.uint64)
         for w in words:
             context = _combined(context, w.view(np.uint64))
+        begin, upto = np.cumsum(span) - span, np.cumsum(rise)
+        token = upto - np.repeat(upto[begin] - rise[begin], span)
         for column, x in zip(columns, (np.repeat(context, span), token, n, q), strict=True):
             column.append(x)
     context, token, n, q = (np.concatenate(x) for x in columns)
-    gram, first, at = _distinct(_combined(context, token.view(np.uint64)))
-    count = np.bincount(at, weights=n, minlength=len(gram)).astype(np.int64)
+    first, at = _distinct_pairs(_combined(context, token.view(np.uint64)), context, token)
+    count = np.bincount(at, weights=n, minlength=len(first)).astype(np.int64)
     distinct, _, of = _distinct(context[first])
     hot = bool(len(occs) and table["bucket"][0].as_py() < 0)
     occ = np.full(len(distinct), occs.max()) if hot else np.bincount(of, weights=count, minlength=len(distinct))
@@ -361,7 +385,8 @@ def suffix_tree_scores(
 
     Texts are packed into chunks (see chunks.py), which ask hash buckets about their distinct words once and then, one
     context length after another, about their distinct n-grams.  Words are counted by whole 64-bit hashes; from
-    then on a word is a number that its bucket gave it, so n-grams are compared exactly and take 2 to 3 bytes.  A bucket
+    then on a word is a number that its bucket gave it.  A context is named by 64 bits made from its words' numbers, and the next words of a
+    context are compared by their numbers, so no count goes to another word.  A bucket
     sees all next words of a context and takes the test; those of a context of over HOT occurrences are dealt to
     several buckets, and each chunk adds up their parts of the gain.  The tree is never in one place.
     """
