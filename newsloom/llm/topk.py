@@ -16,34 +16,42 @@ PIVOTS = (16, 1024)  # top-level nodes: the square root of the number of rows, w
 PIECE_ROWS = 4096  # rows of one part of a top-level node
 BLOCK_QUERIES = 2048  # queries that meet a part in one group
 LEAF_ROWS = 64
+LEAF_QUERIES = 8  # fewer than rows: a group is pruned by its worst kth score and its radius
+FANOUT = 16  # children of a node of a tree
 
 
 class Node:
     """A node of a cover tree: `rows` (indices, the centre first) lie within 2 ** level of the centre.
 
     Children are one level down or further: their centres are more than 2 ** (level - 1) apart and every row lies within
-    that of its child's centre.  A node of few rows is a leaf.
+    that of its child's centre.  Levels are numbers between whole ones where distances lie close together, as in many dimensions: a node
+    takes the level at which FANOUT centres cover it, so it has that many children at most and building costs FANOUT passes a generation.
+    A node of few rows is a leaf.
     """
 
-    def __init__(self, x: np.ndarray, rows: np.ndarray):
+    def __init__(self, x: np.ndarray, rows: np.ndarray, leaf: int | None = None):
+        leaf = LEAF_ROWS if leaf is None else leaf
         self.rows, self.center = rows, x[rows[0]]
         away = np.sqrt(((x[rows] - self.center) ** 2).sum(axis=1))
         self.radius, self.norm, self.children = float(away.max()), float(np.sqrt((self.center**2).sum())), []
         self.level = math.ceil(math.log2(self.radius)) if self.radius else -1
-        if len(rows) <= LEAF_ROWS or self.radius == 0:
+        if len(rows) <= leaf or self.radius == 0:
             return
-        # farthest-first centres until the next level's radius covers all
+        # farthest-first centres until the next level's radius covers all, or there are enough of them
         owner, nearest, centres = np.zeros(len(rows), dtype=np.int64), away, 1
-        while nearest.max() > 2.0 ** (self.level - 1):
+        while nearest.max() > 2.0 ** (self.level - 1) and centres < FANOUT:
             far = int(nearest.argmax())
             d = np.sqrt(((x[rows] - x[rows[far]]) ** 2).sum(axis=1))
             closer = d < nearest
             owner[closer], nearest[closer] = centres, d[closer]
             owner[far] = centres
             centres += 1
+        cover = float(nearest.max())
+        if cover > 2.0 ** (self.level - 1):  # over half the radius: all rows lie within twice of it
+            self.level = 1 + math.log2(cover * (1 + 1e-12))
         for c in range(centres):
             mine = np.flatnonzero(owner == c)
-            self.children.append(Node(x, rows[mine[np.argsort(nearest[mine], kind="stable")]]))  # the centre first
+            self.children.append(Node(x, rows[mine[np.argsort(nearest[mine], kind="stable")]], leaf))  # the centre first
 
 
 def bound(q_center_dot, q_norm, q_radius, d_norm, d_radius):
@@ -63,7 +71,7 @@ class Search:
     def run(self, groups: np.ndarray) -> None:
         data = Node(self.x, np.arange(len(self.x)))
         for g in np.unique(groups):
-            self._pair(Node(self.q, np.flatnonzero(groups == g)), data)
+            self._pair(Node(self.q, np.flatnonzero(groups == g), LEAF_QUERIES), data)
 
     def _pair(self, a: Node, b: Node) -> None:
         if bound(float(a.center @ b.center), a.norm, a.radius, b.norm, b.radius) < self.kth[a.rows].min():
