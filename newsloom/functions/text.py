@@ -158,7 +158,7 @@ def neutral_headline(title: Column | str) -> Column:
 
 def key_sentences(text: Column | str, k: int = 5) -> Column:
     """The k sentences of most numbers, quotes and names, in the order of the text; all if there are no more than k."""
-    parts = F.filter(F.transform(F.split(F.trim(text_of(text)), r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) > 20)
+    parts = F.filter(F.transform(F.split(F.trim(text_of(text)), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) > 20)
 
     def score(s: Column, i: Column) -> Column:
         n = F.size(F.split(F.trim(s), r"\s+"))
@@ -178,7 +178,7 @@ def entities(text: Column | str, stopwords=L.ENTITY_STOPWORDS, most: int = 20) -
     Lines in title case give acronyms only, unless the whole text is such lines.
     """
     stop = F.array(*[F.lit(w) for w in stopwords])
-    lines = F.filter(F.transform(F.split(text_of(text), "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(text_of(text), "\n"), lambda s: F.trim(s)), lambda s: s != "")
     plain = F.filter(lines, lambda s: ~is_title_case(s))
     body = F.array_join(F.when(F.size(plain) > 0, plain).otherwise(lines), " ")
     named = lambda w: ~F.array_contains(stop, w)

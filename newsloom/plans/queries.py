@@ -637,7 +637,12 @@ def grouped_ai_feed(spark, d):
     from pyspark.sql import Window
 
     arts, clusters, now = _events(spark, d)
-    events = clusters.withColumn("summary", F.lit("machine learning")).withColumn("neutral_headline", F.lit("")).withColumn("ai_relevant", F.lit(True)).withColumn("entities", X.entities("headline"))
+    first = arts.groupBy("cluster_id").agg(F.min_by(F.substring("text", 1, 300), F.struct("ts", "ingest_seq")).alias("summary"))  # as an event gets it from the article that opens it
+    # the tables have no such stories: a third of the events get text that makes them relevant, a third a keyword alone
+    kind = F.col("cluster_id").cast("long") % 3
+    told = F.concat(F.when(kind == 0, "openai on machine learning. ").when(kind == 1, "machine learning. ").otherwise(""), "summary")
+    verdict = F.when(S.ai_relevant("headline", "summary"), F.lit(True))
+    events = clusters.join(first, "cluster_id").withColumn("summary", told).withColumn("neutral_headline", F.lit("")).withColumn("ai_relevant", verdict).withColumn("entities", X.entities("headline"))
     page = V.ai_feed(events, now, time_range="7d")
     place = F.row_number().over(Window.orderBy(F.col("latest_timestamp").desc(), "cluster_id"))  # one page
     return D.grouped_feed(page.withColumn("place", place), by_impact=True)
@@ -754,12 +759,15 @@ def article_word_counts(spark, d):
 NAMES = [("News - The Gazette of the Long Northern Coast and Hills",), ("Daily Harbour Messenger of the East | Politics and People RSS",), ("Short - name",), ("FRB: Releases of the Regional Bank of the Long Northern Coast",), ("X" * 70,)]
 
 
-@query("publisher_names", f"WITH n(name) AS (VALUES {_values(NAMES)})" + r""", p AS (SELECT name, CASE WHEN contains(name, ' - ') THEN ' - ' WHEN contains(name, ' -- ') THEN ' -- ' WHEN contains(name, ' | ') THEN ' | ' WHEN contains(name, ': ') THEN ': ' END AS sep FROM n),
+@query("publisher_names", f"WITH n(name) AS (VALUES {_values(NAMES)} UNION SELECT DISTINCT p_name || ' - ' || p_type || ' Feed' FROM part UNION SELECT DISTINCT 'Latest Articles: ' || p_name || ' of ' || p_type FROM part)" + r""", p AS (SELECT name, CASE WHEN contains(name, ' - ') THEN ' - ' WHEN contains(name, ' -- ') THEN ' -- ' WHEN contains(name, ' | ') THEN ' | ' WHEN contains(name, ': ') THEN ': ' END AS sep FROM n),
 h AS (SELECT name, sep, trim(split_part(name, sep, 1)) AS l, trim(substr(name, strpos(name, sep) + length(sep))) AS r FROM p),
 c AS (SELECT name, regexp_replace(CASE WHEN sep IS NULL THEN name WHEN lower(l) IN (""" + ", ".join(f"'{g}'" for g in L.GENERIC_PUBLISHERS) + r""") OR starts_with(lower(l), 'frb') THEN r ELSE l END, ' (RSS|Feed|rss|feed)$', '') AS s FROM h)
 SELECT name, CASE WHEN length(name) > 40 THEN CASE WHEN length(s) > 60 THEN substr(s, 1, 57) || '...' ELSE s END ELSE name END AS display FROM c""")
 def publisher_names(spark, d):
-    return spark.createDataFrame(NAMES, "name string").select("name", X.publisher_name("name").alias("display"))
+    part = A.read(spark, d, "part")
+    made = (F.concat("p_name", F.lit(" - "), "p_type", F.lit(" Feed")), F.concat(F.lit("Latest Articles: "), "p_name", F.lit(" of "), "p_type"))
+    names = spark.createDataFrame(NAMES, "name string").unionByName(part.select(made[0].alias("name"))).unionByName(part.select(made[1].alias("name"))).distinct()
+    return names.select("name", X.publisher_name("name").alias("display"))
 
 
 @query("market_order", _with(MAR) + "SELECT id, row_number() OVER (ORDER BY volume DESC, id) AS by_volume, row_number() OVER (ORDER BY volume_24h / volume DESC, id) AS by_spike, row_number() OVER (ORDER BY end_date, id) AS by_end FROM (SELECT * FROM markets ORDER BY volume DESC, id LIMIT 50)")
@@ -801,7 +809,7 @@ def claim_cascade(spark, d):
     return W.cascade_claims(A.claims(spark, d), A.articles(spark, d).filter("source_type = 'social'")).select("source_article_id", "seq")
 
 
-# ---- wire payloads: both engines read the same literals
+# ---- wire payloads: one is made from each row of a table, besides a typed-in one, and is read back
 
 _RSS = "<rss><channel><title>Coast Daily</title><item><title>Storm nears</title><link>https://c.org/a?utm_source=x</link><description>Wind rises.</description><pubDate>Mon, 06 Nov 2023 10:00:00 GMT</pubDate></item><item><title> </title></item></channel></rss>"
 _EXPECTED = "title, author, publisher, timestamp, url, text, source_type, social_coverage"
@@ -811,25 +819,49 @@ def _literal(*rows) -> str:
     return f"SELECT title, author, publisher, CAST(ts AS DOUBLE) AS timestamp, url, text, source_type, CAST(c AS BIGINT) AS social_coverage FROM (VALUES {_values(rows)}) t(title, author, publisher, ts, url, text, source_type, c)"
 
 
-@query("rss_items", _literal(("Storm nears", "", "Coast Daily", 1699264800.0, "https://c.org/a", "Wind rises.", "rss", 0)))
+@query("rss_items", _with(ART) + _literal(("Storm nears", "", "Coast Daily", 1699264800.0, "https://c.org/a", "Wind rises.", "rss", 0)) + """
+UNION ALL SELECT 'Story ' || id, '', trim(coalesce(publisher, '')), CAST(floor(ts) AS DOUBLE), 'https://n.org/' || id || '?a=1', 'Wind rises & falls at ' || id || '.', 'rss', 0 FROM articles""")
 def rss_items(spark, d):
-    return P.rss(spark.createDataFrame([(_RSS,), ("<broken",)], "xml string"), AS_OF)
+    """A feed for each article, with a tracked link, marked-up text and a date with its zone, and two typed-in feeds."""
+    arts = A.articles(spark, d)
+    name = F.coalesce("publisher", F.lit(""))
+    for plain, code in (("&", "&amp;"), ("<", "&lt;")):
+        name = F.replace(name, F.lit(plain), F.lit(code))
+    date = F.date_format(F.timestamp_seconds(F.floor("ts")), "EEE, dd MMM yyyy HH:mm:ss Z")
+    item = "</title><link>https://n.org/", "?utm_source=x&amp;a=1</link><description>Wind &lt;b&gt;rises&lt;/b&gt; &amp;amp; falls at ", ".</description><pubDate>"
+    made = F.concat(F.lit("<rss><channel><title>"), name, F.lit("</title><item><title>Story "), "id", F.lit(item[0]), "id", F.lit(item[1]), "id", F.lit(item[2]), date, F.lit("</pubDate></item><item><title> </title></item></channel></rss>"))
+    return P.rss(spark.createDataFrame([(_RSS,), ("<broken",)], "xml string").unionByName(arts.select(made.alias("xml"))), AS_OF)
 
 
 _HN = [('{"id": 7, "type": "story", "title": "A", "score": 5, "descendants": 2, "by": "u", "time": 9}',), ('{"id": 8, "type": "job", "title": "B"}',), ("junk",)]
 
 
-@query("hacker_news_items", _literal(("A", "u", "Hacker News", 9.0, "https://news.ycombinator.com/item?id=7", "HN discussion: A", "social", 7)))
+@query("hacker_news_items", _literal(("A", "u", "Hacker News", 9.0, "https://news.ycombinator.com/item?id=7", "HN discussion: A", "social", 7)) + """
+UNION ALL SELECT 'Item ' || event_id, 'user ' || user_id, 'Hacker News', CAST(floor(epoch_us(ts) / 1000000.0::DOUBLE) AS DOUBLE), CASE WHEN event_id % 2 = 0 THEN 'https://n.org/' || event_id ELSE 'https://news.ycombinator.com/item?id=' || event_id END,
+  CASE WHEN event_id % 3 = 0 THEN 'about ' || event_id ELSE 'HN discussion: Item ' || event_id END, 'social', CAST(floor(value) AS BIGINT) + event_id % 7 FROM events WHERE event_type <> 'purchase'""")
 def hacker_news_items(spark, d):
-    return P.hacker_news(spark.createDataFrame(_HN, "json string"))
+    """An item for each event, of which purchases are no stories, and the typed-in ones."""
+    id_, nothing = F.col("event_id").cast("string"), F.lit(None).cast("string")
+    item = F.struct(
+        F.col("event_id").alias("id"), F.when(F.col("event_type") == "purchase", "job").otherwise("story").alias("type"), F.concat(F.lit(" Item "), id_).alias("title"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("by"),
+        F.floor(A.epoch("ts")).alias("time"), F.floor("value").alias("score"), (F.col("event_id") % 7).alias("descendants"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("https://n.org/"), id_, F.lit("?ref=x"))).alias("url"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("<p>about "), id_, F.lit("</p>"))).otherwise(nothing).alias("text"),
+    )
+    return P.hacker_news(spark.createDataFrame(_HN, "json string").unionByName(A.read(spark, d, "events").select(F.to_json(item).alias("json"))))
 
 
 _POLY = [('[{"slug": "s", "endDate": "e", "description": "d", "markets": [{"question": "Q?", "outcomePrices": "[\\"0.4\\", \\"0.6\\"]", "volume": 5.0}, {"question": "Sure?", "outcomePrices": "[\\"0.99\\"]"}]}]',)]
 
 
-@query("polymarket_markets", "SELECT 'Q?' AS question, 0.4::DOUBLE AS probability, 5.0::DOUBLE AS volume, 0.0::DOUBLE AS volume_24h, 'd' AS resolution_criteria, 's' AS slug, 'e' AS end_date, 'polymarket' AS source")
+@query("polymarket_markets", _with(MAR) + "SELECT 'Q?' AS question, 0.4::DOUBLE AS probability, 5.0::DOUBLE AS volume, 0.0::DOUBLE AS volume_24h, 'd' AS resolution_criteria, 's' AS slug, 'e' AS end_date, 'polymarket' AS source"
+    + " UNION ALL SELECT question, probability, volume, volume_24h, 'about ' || id, slug, end_date, 'polymarket' FROM markets WHERE probability > 0.05 AND probability < 0.95")
 def polymarket_markets(spark, d):
-    return P.polymarket(spark.createDataFrame(_POLY, "json string"))
+    """An event list for each market of the tables, and a typed-in one."""
+    prices = F.to_json(F.array(F.col("probability").cast("string"), (1 - F.col("probability")).cast("string")))
+    market = F.struct("question", prices.alias("outcomePrices"), "volume", F.col("volume_24h").alias("volume24hr"), F.lit("never read").alias("description"))
+    event = F.struct("slug", F.col("end_date").alias("endDate"), F.concat(F.lit("about "), "id").alias("description"), F.array(market).alias("markets"))
+    made = A.markets(spark, d).select(F.to_json(F.array(event)).alias("json"))
+    return P.polymarket(spark.createDataFrame(_POLY, "json string").unionByName(made))
 
 
 # ---- streams: run to the end of what is there, equal to the batch answer

@@ -1,0 +1,103 @@
+"""Text queries that SQL cannot express equal plain Python over whole tables and awkward texts."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom.functions import lexicons as L
+from newsloom.functions import text as X
+
+S = r"[ \t\n\x0b\f\r]"  # white space as Java sees it
+DATA = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    own = [
+        None, "", " ", "BREAKING: SENATOR Slams Rival!! 😀", "[Podcast] You won't believe: Markets PLUMMET | Evening Show 03/09/2020", "Storm 01/02/21", "The Harbor Council met Ann Lee. Later Oslo agreed with NASA and OPEC! However Nobody Came.",
+        'He said "this is a long quotation indeed" on Monday. It cost 1,200.50 or 35% of all. Short. And then Harbor Council Board of the North came to Lima with 12 ships. One more sentence that is long enough here. The last one of the text is here.',
+        "All Words Are Title Case Here\nplain line with Ann Lee Smith Jones inside it. Paris is here", "CIÓN ÉCOLE ABCDE NASA's éNASA _NASA", "chaos Chaos CHAOS shock stunning BOMBSHELL", "a b  c",
+    ]
+    rows = [(i, t) for i, t in enumerate(own)]
+    docs = spark.read.parquet(DATA).select((F.col("doc_id") + 1000).alias("i"), F.col("text").alias("t"))
+    return spark.createDataFrame(rows, "i long, t string").unionByName(docs).persist()
+
+
+def same(texts, column, twin):
+    got = {r.i: (r.t, r.v) for r in texts.select("i", "t", column.alias("v")).collect()}
+    assert len(got) > 900
+    bad = [(t, v, twin(t or "")) for t, v in got.values() if v != twin(t or "")]
+    assert not bad, bad[:2]
+    return [v for _, v in got.values()]
+
+
+def test_neutral_headline(texts):
+    def twin(t):
+        t = re.sub("[\U0001f300-\U0001f9ff\U0001fa00-\U0001faff✂-➰Ⓜ-\U0001f251︀-️‍]+", "", t).replace("!", ".")
+        t = re.sub(r"\b[A-Z]{5,}\b", lambda m: m[0].capitalize(), t)
+        for p in L.HEADLINE_LABELS:
+            t = re.sub(p.replace(r"\s", S), "", t, flags=re.I)
+        t = re.sub(rf"{S}*\|{S}*(?:\w|{S})+[0-9]{{2}}/[0-9]{{2}}/[0-9]{{2,4}}{S}*$", "", t)
+        t = re.sub(rf"{S}+[0-9]{{2}}/[0-9]{{2}}/[0-9]{{2,4}}{S}*$", "", t)
+        for p, word in L.NEUTRAL:
+            t = re.sub(p, word, t, flags=re.I)
+        return re.sub(S + "{2,}", " ", t).strip(" ")
+
+    head = texts.withColumn("t", F.substring("t", 1, 200))
+    same(head, X.neutral_headline("t"), twin)
+
+
+def test_key_sentences(texts):
+    def twin(t):
+        parts = [p for p in (s.strip(" ") for s in re.split(rf"(?<=[.!?]){S}+", t.strip(" "))) if len(p) > 20]
+        scored = []
+        for i, s in enumerate(parts):
+            n = len(re.split(S + "+", s))
+            place = 2.0 if i == 0 else 1.0 if i == len(parts) - 1 else 0.0
+            numbers, quotes = len(re.findall(r"\b[0-9][0-9,.%$]+\b", s)), len(re.findall(r'"[^"]{10,}"', s))
+            names = len(re.findall(rf"[A-Z][a-z]+(?:{S}+[A-Z][a-z]+)+", s))
+            scored.append((-(place + numbers * 0.5 + quotes * 1.5 + names * 0.3 + (-1.0 if n < 5 else -0.5 if n > 50 else 0.0)), i, s))
+        return parts if len(parts) <= 5 else [s for _, s in sorted((i, s) for _, i, s in sorted(scored)[:5])]
+
+    assert max(map(len, same(texts, X.key_sentences("t"), twin))) == 5
+
+
+def test_entities(texts):
+    stop = set(L.ENTITY_STOPWORDS)
+
+    def title_case(line):
+        w = re.split(S + "+", line.strip(" "))
+        return len(w) >= 3 and sum(bool(re.match(r"[^\W\d_]", x)) and x[0].isupper() for x in w) / len(w) > 0.6
+
+    def trimmed(phrase):
+        w = re.split(S + "+", phrase)
+        at = [i for i, x in enumerate(w) if x not in stop]
+        if len(w) > 3 or not at:
+            return None
+        kept = w[at[0] : at[-1] + 1]
+        return " ".join(kept) if 2 * sum(x not in stop for x in kept) >= len(kept) else None
+
+    def twin(t):
+        lines = [x for x in (x.strip(" ") for x in t.split("\n")) if x]
+        plain = [x for x in lines if not title_case(x)]
+        body = " ".join(plain or lines)
+        found = [trimmed(m) for m in re.findall(rf"\b([A-Z][a-z]+(?:{S}+[A-Z][a-z]+)+)\b", body)]
+        found += [m for m in re.findall(rf"(?<=[.!?]{S})([A-Z][a-z]{{2,}})", body) if m not in stop]
+        found += [m for m in re.findall(r"\b([A-Z]{3,})\b", " ".join(lines)) if m not in stop]
+        return sorted({x for x in found if x})[:20]
+
+    assert max(map(len, same(texts, X.entities("t"), twin))) > 3
+
+
+def test_small_text_helpers(spark):
+    rows = [(2, 100, 1_500_000.0, '["a", "b"]'), (0, 0, 999.0, "junk"), (3, 7, 0.0, None)]
+    df = spark.createDataFrame(rows, "claims int, n int, v double, j string")
+    assert [r.d for r in df.select(X.fact_density("claims", "n").alias("d")).collect()] == [0.02, 0.0, 0.4286]
+
+
+def test_lines_and_sentences_keep_their_digits(spark):
+    """A sentence is trimmed of blanks alone."""
+    row = spark.createDataFrame([("  Prices fell by more than 2020. 1 in ten rose by 101 of them all. ", " \n Oslo NASA \n")], "a string, b string")
+    got = row.select(X.key_sentences("a").alias("k"), X.entities("b").alias("e")).first()
+    assert got.k == ["Prices fell by more than 2020.", "1 in ten rose by 101 of them all."] and got.e == ["NASA"]
