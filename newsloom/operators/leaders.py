@@ -181,7 +181,9 @@ def led_articles(articles: DataFrame, events: DataFrame, local: int = LOCAL) ->
     x = state.filter("place.rank = 1 and not opens").select("place", "key", "h")
     exact = x.join(_by_key(opener, "p"), "key").filter("p < place").select("place", F.struct(F.lit(0).alias("rule"), F.lit(0.0).alias("far"), "p").alias("best"))
     heads = opener.filter("key <> ''").select(F.col("h").alias("other"), F.col("place").alias("p"), "seen")
-    near = x.filter("key <> ''").join(hashes, "h").join(heads, "other").filter((F.col("p") < F.col("place")) & (F.col("seen") >= F.col("place.ts") - RECENT))
+    # openers lie apart, so few are near a hash, however many hashes are near each other
+    heads = hashes.join(heads, "other").select("h", "distance", "p", "seen")
+    near = x.filter("key <> ''").join(heads, "h").filter((F.col("p") < F.col("place")) & (F.col("seen") >= F.col("place.ts") - RECENT))
     near = near.select("place", F.struct(F.lit(1).alias("rule"), F.col("distance").cast("double").alias("far"), "p").alias("best"))
     scored = pairs.join(opener.select(F.col("place").alias("earlier")), "earlier", "left_semi").select("place", F.struct(F.lit(2).alias("rule"), (-F.col("score")).alias("far"), F.col("earlier").alias("p")).alias("best"))
     best = exact.unionByName(near).unionByName(scored).groupBy("place").agg(F.min("best").alias("best"))
