@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,6 +28,13 @@ def with_page_bodies(articles: DataFrame, pages: DataFrame, least: int = SHORT)
     return x.withColumn("source_type", kind).withColumn("text", F.when(F.col("__use"), F.col("body")).otherwise(F.col("text"))).select(*articles.columns)
 
 
+def scraped(articles: DataFrame, fetch: Callable[[DataFrame], DataFrame], least: int = SHORT) -> DataFrame:
+    """Short articles with the bodies of their pages, fetched now: `fetch` gives (url, html) of links, as sources.web.fetched_pages does."""
+    short = (word_count("text") < least) & (F.coalesce("url", F.lit("")) != "")
+    pages = fetch(articles.filter(short).select("url")).checkpoint()  # a page is fetched once, whoever reads it
+    return with_page_bodies(articles, pages, least)
+
+
 def with_market_prices(events: DataFrame, matches: DataFrame, markets: DataFrame, as_of: float) -> DataFrame:
     """Events with the odds, volume and question of their matched market and one more price point.
 
@@ -80,3 +88,52 @@ def with_provider(articles: DataFrame, provider: Callable[[list[str]], list[str]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rule.schema) + ", neutral_title string"
     return rule.mapInPandas(ask, schema).withColumn("neutral_title", F.coalesce("neutral_title", "__rule")).drop("__rule")
+
+
+FAILURES, PAUSE = 3, 60.0  # failures in a row after which a task asks nobody for that many seconds
+
+
+def answered(texts: DataFrame, column: str, provider: Callable[[str], str], limit: int | None = None, order: str | None = None, clock: Callable[[], float] = time.monotonic) -> DataFrame:
+    """`texts` with the column reply: a provider's answer to the first REPLY_CHARS characters of each text, null where there is none.
+
+    It is asked by tasks, one text after another.  After FAILURES failures in a row a task leaves PAUSE seconds of its texts unasked, then
+    tries again.  With `limit`, only that many rows, first by `order`, are asked; the others have no answer, as null and blank texts.
+    """
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed, until = 0, float("-inf")
+        for frame in frames:
+            replies = []
+            for text, wanted in zip(frame[column], frame["__ask"], strict=True):
+                reply = None
+                if wanted and isinstance(text, str) and text.strip() and clock() >= until:
+                    try:
+                        reply, failed = provider(text[:REPLY_CHARS]), 0
+                    except Exception:  # a provider is outside this engine: whatever it raises, there is no answer
+                        failed += 1
+                        if failed >= FAILURES:
+                            failed, until = 0, clock() + PAUSE
+                replies.append(reply)
+            yield frame.drop(columns="__ask").assign(reply=pd.Series(replies, index=frame.index, dtype=object))
+
+    if limit is None:
+        x = texts.withColumn("__ask", F.lit(True))
+    else:
+        first = texts.orderBy(order).limit(limit).select(F.col(order).alias("__o")).distinct()
+        x = texts.join(first.withColumn("__ask", F.lit(True)), F.col(order).eqNullSafe(F.col("__o")), "left").drop("__o").withColumn("__ask", F.coalesce("__ask", F.lit(False)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema) + ", reply string"
+    return x.mapInPandas(ask, schema)
+
+
+def provided_claims(articles: DataFrame, provider: Callable[[str], str]) -> DataFrame:
+    """(id, seq, who, what): claims that a provider finds in each article's text, as JSON in its reply; replies that are none give no rows."""
+    replies = answered(articles.select("id", "text"), "text", provider)
+    return replies.select("id", F.posexplode(parse_reply("reply")).alias("seq", "c")).select("id", "seq", "c.who", "c.what").filter("coalesce(what, '') <> ''")
+
+
+def provided_verdicts(events: DataFrame, provider: Callable[[str], str], limit: int = 100) -> DataFrame:
+    """Events with ai_relevant filled by a provider ("yes" or "no") where it is null, for `limit` of these at most, by cluster_id; other replies leave it null."""
+    open_ = events.filter("ai_relevant is null").select("cluster_id", F.concat_ws("\n", "headline", "summary").alias("told"))
+    told = answered(open_, "told", provider, limit, "cluster_id").select("cluster_id", F.lower(F.trim("reply")).alias("r"))
+    verdict = F.when(F.col("r").startswith("yes"), F.lit(True)).when(F.col("r").startswith("no"), F.lit(False))
+    return events.join(told, "cluster_id", "left").withColumn("ai_relevant", F.coalesce("ai_relevant", verdict)).drop("r").select(*events.columns)

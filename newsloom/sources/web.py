@@ -11,9 +11,12 @@ import http.client
 import json
 import urllib.request
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.errors import PySparkNotImplementedError
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 
@@ -168,3 +171,14 @@ class WebSource(DataSource):
 
 def register(spark) -> None:
     spark.dataSource.register(WebSource)
+
+
+def fetched_pages(links: DataFrame, timeout: float = 15.0, fetch: Callable[[str, float], tuple[str, str] | None] = fetched) -> DataFrame:
+    """(url, html) of the distinct links (url) that answer, each fetched once by a task; links that fail give no row."""
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            pages = [(u, fetch(u, timeout)) for u in frame["url"]]
+            yield pd.DataFrame([(u, page[1]) for u, page in pages if page], columns=["url", "html"], dtype=object)
+
+    return links.select("url").filter("url <> ''").distinct().mapInPandas(ask, "url string, html string")
