@@ -44,17 +44,29 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _distinct_pairs(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a place of each distinct pair (a, b), index of each pair among the distinct ones), in the order of `key`, a number made from the pair.
 
-    Where different pairs have one key, which is seen here, the pairs themselves are sorted instead.
+    Where different pairs have one key, which is seen here, the pairs of that key are sorted among themselves.
     """
-    _, first, at = _distinct(key)
-    if (a[first][at] == a).all() and (b[first][at] == b).all():
+    distinct, first, at = _distinct(key)
+    other = (a[first][at] != a) | (b[first][at] != b)
+    if not other.any():
         return first, at
-    order = np.lexsort((b, a))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    at = np.empty(len(order), np.int64)
-    at[order] = np.cumsum(new) - 1
-    return order[new], at
+    mixed = np.zeros(len(distinct), dtype=bool)
+    mixed[at[other]] = True
+    some = np.flatnonzero(mixed[at])
+    some = some[np.lexsort((b[some], a[some], at[some]))]
+    new = np.ones(len(some), dtype=bool)
+    new[1:] = (at[some][1:] != at[some][:-1]) | (a[some][1:] != a[some][:-1]) | (b[some][1:] != b[some][:-1])
+    more = np.bincount(at[some[new]], minlength=len(distinct)) - mixed  # pairs of a key besides its first
+    moved = np.arange(len(distinct)) + np.cumsum(more) - more
+    out = np.empty(len(distinct) + int(more.sum()), np.int64)
+    out[moved[~mixed]] = first[~mixed]
+    at = moved[at]
+    begin = np.flatnonzero(new)
+    key_of = at[some[begin]]
+    nth = np.arange(len(begin)) - np.searchsorted(key_of, key_of)
+    out[key_of + nth] = some[begin]
+    at[some] += nth[np.cumsum(new) - 1]
+    return out, at
 
 
 def _with_ends(w: Words) -> tuple[np.ndarray, np.ndarray]:
