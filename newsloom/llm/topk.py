@@ -16,7 +16,8 @@ PIVOTS = (16, 1024)  # top-level nodes: the square root of the number of rows, w
 PIECE_ROWS = 4096  # rows of one part of a top-level node
 BLOCK_QUERIES = 2048  # queries that meet a part in one group
 LEAF_ROWS = 64
-LEAF_QUERIES = 8  # fewer than rows: a group is pruned by its worst kth score and its radius
+LEAF_QUERIES = 12  # fewer than rows: a group is pruned by its worst kth score and its radius
+BULK = 256  # rows of a node that are evaluated at once where no child of it is pruned
 FANOUT = 16  # children of a node of a tree
 
 
@@ -82,7 +83,11 @@ class Search:
             # all children are bounded at once: only those that may hold a better row are gone into, the best first
             dot, norm, radius = np.array([c.center for c in b.children]) @ a.center, np.array([c.norm for c in b.children]), np.array([c.radius for c in b.children])
             top = bound(dot, a.norm, a.radius, norm, radius)
-            open_ = np.flatnonzero(top >= self.kth[a.rows].min())
+            worst = self.kth[a.rows].min()
+            open_ = np.flatnonzero(top >= worst)
+            if len(open_) == len(b.children) and len(b.rows) <= BULK and np.isfinite(worst):
+                # bounds tell these apart no more: one product costs less than going down
+                return self._scores(a.rows, b.rows)
             leaves = [i for i in open_ if not b.children[i].children]
             if leaves and not a.children:
                 self._scores(a.rows, np.concatenate([b.children[i].rows for i in leaves]))
