@@ -41,15 +41,27 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sorted_[new], order[new], at
 
 
-def _distinct_pairs(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct_pairs(key: np.ndarray, a: np.ndarray, b: np.ndarray, check_b: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(a place of each distinct pair (a, b), index of each pair among the distinct ones), in the order of `key`, a number made from the pair.
 
-    Where different pairs have one key, which is seen here, the pairs of that key are sorted among themselves.
+    Where different pairs have one key, which is seen here, the pairs of that key are sorted among themselves; without check_b, pairs of one key
+    that differ do so in a.
     """
-    distinct, first, at = _distinct(key)
-    other = (a[first][at] != a) | (b[first][at] != b)
+    order = key.argsort()
+    in_order, ordered = key[order], a[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = in_order[1:] != in_order[:-1]
+    other = np.zeros(len(key), dtype=bool)
+    other[1:] = ordered[1:] != ordered[:-1]
+    if check_b:
+        ordered = b[order]
+        other[1:] |= ordered[1:] != ordered[:-1]
+    other &= ~new
+    first, at = order[new], np.empty(len(key), np.int64)
+    at[order] = np.cumsum(new) - 1
     if not other.any():
         return first, at
+    distinct, other = first, order[other]
     mixed = np.zeros(len(distinct), dtype=bool)
     mixed[at[other]] = True
     some = np.flatnonzero(mixed[at])
@@ -150,7 +162,7 @@ class Level:
             distinct, self.first, at = _distinct(code)
         else:
             # by context, then by number, which makes the numbers of a context rise
-            self.first, at = _distinct_pairs((context & np.uint64(0xFFFFFFFF00000000)) | (code.view(np.uint64) & np.uint64(0xFFFFFFFF)), context, code)
+            self.first, at = _distinct_pairs((context & np.uint64(0xFFFFFFFF00000000)) | (code.view(np.uint64) & np.uint64(0xFFFFFFFF)), context, code, bool((code >> 32).any()))
         n = len(self.first)
         part, asks = np.zeros(n, np.int32), []
         if context is None:
