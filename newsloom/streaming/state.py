@@ -1,8 +1,8 @@
 """State of each event, kept up to date article by article: rollup, last entries, claims, novelty and contradictions.
 
-One keyed processor holds per event its counts, its last entries, the first claim and the sources of every claim text, and the first
-claim with each side of an antonym pair.  A batch reads and writes the state of the events that it touches, and gives the rows of the
-views that it changed; the newest row of each key is the view.  Claims are entries of a map, so no event's claims are held at once.
+Counts and the first of equal claims are streaming aggregations.  What is none, the last entries of an event and which claims contradict
+one another, is kept by a keyed processor that sees articles and claims with a side of an antonym pair alone.  Each part gives the rows of
+its view that a batch touched; the newest row of each key is the view.  No event's claims are held at once.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions import lexicons as L
 from ..functions.scoring import social_score
@@ -23,9 +23,10 @@ LAST = 50
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OPPOSITE = {w: o for a, b in L.ANTONYMS for w, o in ((a, b), (b, a))}
 CHANGES = (
-    "cluster_id string, part string, key string, source_count long, coverage long, social long, latest_timestamp double, "
-    "timeline array<struct<ts:double,ingest_seq:long,entry:string>>, doc_id long, seq long, what string, first_what string, novel boolean, contradiction string"
+    "cluster_id string, part string, key string, "
+    "timeline array<struct<ts:double,ingest_seq:long,entry:string>>, doc_id long, seq long, what string, contradiction string"
 )
+PARTS = ("rollup", "claim", "entry")
 COLUMNS = [c.split()[0] for c in CHANGES.replace("array<struct<ts:double,ingest_seq:long,entry:string>>", "x").split(", ")]
 
 
@@ -42,42 +43,25 @@ def entries(articles: DataFrame, claims: DataFrame) -> DataFrame:
 def _frame(event: str, rows: list[dict]) -> pd.DataFrame:
     """Rows of CHANGES, with None for what a part lacks."""
     columns = {c: [event if c == "cluster_id" else r.get(c) for r in rows] for c in COLUMNS}
-    kinds = {"source_count": "Int64", "coverage": "Int64", "social": "Int64", "doc_id": "Int64", "seq": "Int64", "latest_timestamp": "Float64", "novel": "boolean"}
+    kinds = {"doc_id": "Int64", "seq": "Int64"}
     return pd.DataFrame({c: pd.Series(v, dtype=kinds.get(c, object)) for c, v in columns.items()})
 
 
 class EventState(StatefulProcessor):
+    """Last entries and contradictions of each event."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        claim = "doc_id long, seq long, what string"
-        self.rollup = handle.getValueState("rollup", "n long, coverage long, social long, latest double")
         self.recent = handle.getValueState("recent", "ts array<double>, seq array<long>, entry array<string>")
-        self.claims = handle.getMapState("claims", "key string", claim + ", trimmed string, lo string, hi string")
         self.sides = handle.getValueState("sides", ", ".join(f"d{i} long, s{i} long, w{i} string" for i in range(len(OPPOSITE))))
         self.contrary = handle.getMapState("contrary", "doc_id long, seq long", "what string, words string")
 
     def _articles(self, rows: pd.DataFrame) -> dict:
-        n, coverage, social, latest = self.rollup.get() or (0, 0, 0, None)
-        is_social = rows["social"].astype(bool)
-        times = [t for t in [latest, *rows["ts"].dropna()] if t is not None]
-        now = (n + len(rows), coverage + int(rows["social_coverage"].where(is_social).fillna(0).sum()), social + int(is_social.sum()), max(times, default=None))
-        self.rollup.update(now)
         kept = list(zip(*(self.recent.get() or ([], [], [])), strict=True))
         kept += [(None if pd.isna(t) else t, s, e) for t, s, e in zip(rows["ts"], rows["ingest_seq"].astype("int64"), rows["entry"], strict=True)]
         kept = sorted(kept, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))[-LAST:]
         self.recent.update(tuple([list(c) for c in zip(*kept, strict=True)]))
         line = [{"ts": t, "ingest_seq": int(s), "entry": e} for t, s, e in kept]
-        return {"part": "rollup", "key": "", "source_count": now[0], "coverage": now[1], "social": now[2], "latest_timestamp": now[3], "timeline": line}
-
-    def _claims(self, rows: pd.DataFrame) -> Iterator[dict]:
-        for key, same in rows.groupby("key"):
-            place = same.sort_values(["doc_id", "seq", "what"]).iloc[0]
-            first = (int(place["doc_id"]), int(place["seq"]), place["what"], place["trimmed"], min(same["source"]), max(same["source"]))
-            known = self.claims.getValue((key,))
-            if known is not None:
-                first = (*(tuple(known)[:4] if tuple(known)[:3] <= first[:3] else first[:4]), min(known[4], first[4]), max(known[5], first[5]))
-            if known is None or tuple(known) != first:
-                self.claims.updateValue((key,), first)
-                yield {"part": "claim", "key": key, "doc_id": first[0], "seq": first[1], "what": first[2], "first_what": first[3], "novel": first[4] == first[5]}
+        return {"part": "timeline", "key": "", "timeline": line}
 
     def _disputes(self, rows: pd.DataFrame) -> Iterator[dict]:
         words = list(OPPOSITE)
@@ -109,11 +93,7 @@ class EventState(StatefulProcessor):
             if not is_claim.all():
                 out.append(self._articles(frame[~is_claim]))
             if is_claim.any():
-                claims = frame[is_claim]
-                out += self._claims(claims)
-                sided = claims[(claims["trimmed"] != "") & (claims["words"].map(len) > 0)]
-                if len(sided):
-                    out += self._disputes(sided)
+                out += self._disputes(frame[is_claim])
             if out:
                 yield _frame(event, out)
 
@@ -122,41 +102,86 @@ class EventState(StatefulProcessor):
 
 
 def event_changes(stream: DataFrame) -> DataFrame:
-    """What each batch of entries() changes in the views of the events that it touches."""
-    return stream.groupBy("cluster_id").transformWithStateInPandas(statefulProcessor=EventState(), outputStructType=CHANGES, outputMode="Update", timeMode="None")
+    """What each batch of entries() changes in the last entries and contradictions of the events that it touches."""
+    seen = stream.filter("key is null or (trimmed <> '' and size(words) > 0)")
+    return seen.groupBy("cluster_id").transformWithStateInPandas(statefulProcessor=EventState(), outputStructType=CHANGES, outputMode="Update", timeMode="None")
+
+
+def rollup_changes(stream: DataFrame) -> DataFrame:
+    """Counts of the events that a batch of entries() touches."""
+    return stream.filter("key is null").groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("source_count"), F.sum(F.coalesce(F.when(F.col("social"), F.col("social_coverage")), F.lit(0))).alias("coverage"), F.count_if("social").alias("social"), F.max("ts").alias("latest_timestamp")
+    )
+
+
+def claim_changes(stream: DataFrame) -> DataFrame:
+    """The first of equal claims and the least and greatest source of all of them, of the claims that a batch of entries() touches.
+
+    Claims are told apart by 128 bits of their texts, so that state and shuffles hold each text once.
+    """
+    keyed = stream.filter("key is not null").withColumn("key", F.md5(F.col("key").cast("binary")))
+    return keyed.groupBy("cluster_id", "key").agg(F.min(F.struct("doc_id", "seq", "what")).alias("first"), F.min("source").alias("lo"), F.max("source").alias("hi"))
+
 
+class Kept:
+    """The queries that keep the parts of a state."""
 
-def keep_events(stream: DataFrame, folder: str, checkpoint: str):
-    """Run to the end of what is there: batch n writes what it changed under batch=n, in place of what an earlier try left there."""
+    def __init__(self, queries: list[StreamingQuery]):
+        self.queries = queries
+
+    def awaitTermination(self) -> None:  # noqa: N802
+        for query in self.queries:
+            query.awaitTermination()
+
+
+def keep_events(stream: DataFrame, folder: str, checkpoint: str, parts: tuple[str, ...] = PARTS) -> Kept:
+    """Run to the end of what is there: batch n writes what it changed in a part under part/batch=n, in place of what an earlier try left there."""
     spark = stream.sparkSession
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+
+    def start(part: str) -> StreamingQuery:
+        changes = {"rollup": rollup_changes, "claim": claim_changes, "entry": event_changes}[part](stream)
+        write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/{part}/batch={n}")
+        return changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{checkpoint}/{part}").trigger(availableNow=True).start()
+
     try:
-        write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")
-        return event_changes(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return Kept([start(part) for part in parts])
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
-def _newest(spark: SparkSession, folder: str, part: str) -> DataFrame:
-    """The last row written for each key of a view; a batch may write a key more than once, an event's articles and claims only grow."""
-    rows = spark.read.schema(CHANGES + ", batch long").parquet(folder).filter(F.col("part") == part)
-    last = Window.partitionBy("cluster_id", "key").orderBy(F.col("batch").desc(), F.col("source_count").desc(), "doc_id", "seq", "novel")
+def _newest(rows: DataFrame, *keys: str) -> DataFrame:
+    """The last row written for each key of a view."""
+    last = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
     return rows.withColumn("__r", F.row_number().over(last)).filter("__r = 1")
 
 
-def kept_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """(cluster_id, source_count, confidence, social_score, latest_timestamp, timeline) as of the last batch."""
-    x = _newest(spark, folder, "rollup")
-    return x.select("cluster_id", "source_count", F.least(F.lit(1.0), F.col("source_count") * 0.1 + 0.5).alias("confidence"), social_score("coverage", "social").alias("social_score"), "latest_timestamp", "timeline")
+def _changes(spark: SparkSession, folder: str, part: str) -> DataFrame:
+    return spark.read.schema(CHANGES + ", batch long").parquet(f"{folder}/entry").filter(F.col("part") == part)
+
+
+def kept_rollup(spark: SparkSession, folder: str, timeline: bool = True) -> DataFrame:
+    """(cluster_id, source_count, confidence, social_score, latest_timestamp, timeline) as of the last batch; `timeline` needs the part "entry"."""
+    kinds = "cluster_id string, source_count long, coverage long, social long, latest_timestamp double, batch long"
+    x = _newest(spark.read.schema(kinds).parquet(f"{folder}/rollup"), "cluster_id")
+    x = x.select("cluster_id", "source_count", F.least(F.lit(1.0), F.col("source_count") * 0.1 + 0.5).alias("confidence"), social_score("coverage", "social").alias("social_score"), "latest_timestamp")
+    if not timeline:
+        return x
+    # of one batch an event may have more rows than one: its entries only grow, or later ones take the place of earlier ones
+    rows = _changes(spark, folder, "timeline").withColumn("last", F.struct("batch", F.size("timeline"), F.transform(F.reverse("timeline"), lambda e: F.struct(e["ts"], e["ingest_seq"]))))
+    lines = rows.groupBy("cluster_id").agg(F.max_by("timeline", "last").alias("timeline")).withColumnRenamed("cluster_id", "event")
+    return x.join(lines, F.col("cluster_id").eqNullSafe(F.col("event"))).drop("event")
 
 
 def kept_claims(spark: SparkSession, folder: str) -> DataFrame:
     """(cluster_id, doc_id, seq, what, novel, first_what): the first of equal claims of an event, and whether one source alone makes it."""
-    return _newest(spark, folder, "claim").select("cluster_id", "doc_id", "seq", "what", "novel", "first_what")
+    kinds = "cluster_id string, key string, first struct<doc_id:long,seq:long,what:string>, lo string, hi string, batch long"
+    x = _newest(spark.read.schema(kinds).parquet(f"{folder}/claim"), "cluster_id", "key")
+    return x.select("cluster_id", "first.doc_id", "first.seq", "first.what", (F.col("lo") == F.col("hi")).alias("novel"), F.trim("first.what").alias("first_what"))
 
 
 def kept_disputes(spark: SparkSession, folder: str) -> DataFrame:
     """(cluster_id, doc_id, seq, claim, contradiction) as of the last batch."""
-    rows = spark.read.schema(CHANGES + ", batch long").parquet(folder).filter("part = 'dispute'")
+    rows = _changes(spark, folder, "dispute")
     return rows.groupBy("cluster_id", "doc_id", "seq").agg(F.max_by("what", "batch").alias("claim"), F.max_by("contradiction", "batch").alias("contradiction"))

@@ -50,3 +50,21 @@ def test_a_name_of_many_events_brings_the_newest_alone(spark, name):
         met = sorted((-t, c, sum(holds(x, words) for x in own)) for c, words, t in events if any(holds(x, words) for x in own))
         want += [(i, c, n) for _, c, n in met[:20]]
     assert got == sorted(want) and most_joined(found) < 5 * 20 * len(articles) < len(articles) * len(events)
+
+
+def test_counts_and_claims_of_events_are_kept_without_python(spark, tmp_path):
+    from newsloom.streaming import state as E
+
+    arts = "cluster_id string, ts double, ingest_seq long, publisher string, title string, source_type string, social_coverage long"
+    claims = "cluster_id string, doc_id long, seq long, what string, source_article_id string"
+    spark.createDataFrame([("a", 1.0, 1, "P", "T", "social", 3), ("a", None, 2, None, None, "rss", 9), ("b", 5.0, 3, "", "", "social", None)], arts).write.parquet(f"{tmp_path}/arts")
+    read = lambda kinds, name: spark.readStream.schema(kinds).parquet(f"{tmp_path}/{name}")
+    for rows in ([("a", 5, 0, "One  thing", "s"), ("a", 5, 1, "one thing ", "s")], [("a", 4, 7, " ONE thing", "t"), ("b", 9, 0, "one thing", None)]):
+        spark.createDataFrame(rows, claims).coalesce(1).write.mode("append").parquet(f"{tmp_path}/claims")
+        kept = E.keep_events(E.entries(read(arts, "arts"), read(claims, "claims")), f"{tmp_path}/out", f"{tmp_path}/cp", ("rollup", "claim"))
+        kept.awaitTermination()
+        for q in kept.queries:
+            assert "Python" not in q._jsq.explainInternal(False) and "Pandas" not in q._jsq.explainInternal(False)
+    got = sorted(map(tuple, E.kept_claims(spark, f"{tmp_path}/out").collect()))
+    assert got == [("a", 4, 7, " ONE thing", False, "ONE thing"), ("b", 9, 0, "one thing", True, "one thing")]
+    assert [r.source_count for r in E.kept_rollup(spark, f"{tmp_path}/out", timeline=False).orderBy("cluster_id").collect()] == [2, 1]
