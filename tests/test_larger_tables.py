@@ -68,3 +68,25 @@ def test_counts_and_claims_of_events_are_kept_without_python(spark, tmp_path):
     got = sorted(map(tuple, E.kept_claims(spark, f"{tmp_path}/out").collect()))
     assert got == [("a", 4, 7, " ONE thing", False, "ONE thing"), ("b", 9, 0, "one thing", True, "one thing")]
     assert [r.source_count for r in E.kept_rollup(spark, f"{tmp_path}/out", timeline=False).orderBy("cluster_id").collect()] == [2, 1]
+
+
+def test_hashes_of_a_common_vocabulary_are_compared_in_tiles(spark, monkeypatch):
+    from newsloom.operators import dedup as D
+
+    rng = random.Random(5)
+    common = rng.getrandbits(64)
+    own = [common ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for _ in range(400)]
+    rows = [(f"d{i}", h - (1 << 64) if h >> 63 else h) for i, h in enumerate(own)] + [("none", None)]
+    for attribute, value in (("TILE", 90), ("AT_ONCE", 50)):
+        monkeypatch.setattr(D, attribute, value, raising=False)
+    found = D.banded_pairs(spark.createDataFrame(rows, "id string, h long"), "id", "h", 9)
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan
+    got = [tuple(r) for r in found.collect()]
+    want = set()
+    for i in range(len(own)):
+        for j in range(i):
+            x = own[i] ^ own[j]
+            if x.bit_count() <= 9 and any((x >> 8 * b) & 255 == 0 for b in range(8)):
+                want.add((*sorted((f"d{i}", f"d{j}")), x.bit_count()))
+    assert len(want) > 10_000 and len(got) == len(set(got)) and set(got) == want
