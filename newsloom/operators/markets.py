@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from ..functions import lexicons as L
 from ..functions.scoring import clean_slug, divergence, expired, market_category, market_url, unusual_reason, valid_slug
 
 QUESTION_WORD = r"(?<![\p{L}\p{N}_])[a-z][\p{L}\p{N}_]{2,}"
+TILE, TASKS = 4096, 4096  # questions or events of a tile, tasks at most
 
 
 def with_flags(markets: DataFrame) -> DataFrame:
@@ -67,30 +73,65 @@ def volume_spikes(observations: DataFrame) -> DataFrame:
     return observations.withColumn("before", before).filter((F.col("before") > 0) & (F.col("volume_24h") > 2 * F.col("before")) & (F.col("volume_24h") > 100000))
 
 
+def _best_matches(asked: pa.Table, events: pa.Table) -> pa.Table:
+    """(id, score, position) of the best event of each question that has one, of two tiles."""
+    events = events.sort_by("position")
+    lists = lambda x: x.combine_chunks()
+    words, named, own = lists(events["words"]), lists(events["named"]), lists(asked["w"])
+    known = pc.unique(words.flatten())
+
+    def index(x: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Events in the order of their words, and where each word's begin."""
+        at, code = np.repeat(np.arange(len(x)), np.asarray(x.value_lengths())), pc.index_in(x.flatten(), known).to_numpy()
+        return at[np.argsort(code, kind="stable")], np.searchsorted(np.sort(code), np.arange(len(known) + 1))
+
+    size = np.asarray(own.value_lengths())
+    edge, codes = np.concatenate(([0], np.cumsum(size))), pc.fill_null(pc.index_in(own.flatten(), known), -1).to_numpy()
+    by_word, by_name = index(words), index(named)
+    found, scores, places = [], [], []
+    for i, n in enumerate(size):
+        mine = codes[edge[i] : edge[i + 1]]
+        mine = mine[mine >= 0]
+        if len(mine) < 0.3 * n - 1e-9:
+            continue
+        shared, hits = (np.bincount(np.concatenate([at[first[c] : first[c + 1]] for c in mine] or [at[:0]]), minlength=len(words)) for at, first in (by_word, by_name))
+        share = shared / n
+        score = np.where(((hits >= 1) & (share >= 0.3)) | (share >= 0.6), share + hits * 0.2, -1.0)
+        best = int(score.argmax())  # the first of equal ones is that of the lowest position
+        if score[best] >= 0:
+            found.append(i)
+            scores.append(score[best])
+            places.append(best)
+    return pa.table({"id": asked["id"].take(pa.array(found, pa.int64())), "score": pa.array(scores, pa.float64()), "position": events["position"].take(pa.array(places, pa.int64()))})
+
+
 def match_events(markets: DataFrame, events: DataFrame) -> DataFrame:
     """Best event for each market question by shared words; entities of an event count double.
 
-    A match shares three tenths of the question's n words at least, so it shares one of the n - 0.3 n + 1 words that fewest events
-    have: these alone meet words of headlines and entities in an equi-join, and each pair found is scored once with all its
-    words.  Ties go to the event of the lower position.  Questions of under two words and null ones match nothing.
+    Questions and events are dealt to tiles, and each tile of questions meets each tile of events as a task: the events of a question's
+    words are counted there and the best alone is given on, so no pair is a row.  Ties go to the event of the lower position.  Questions of
+    under two words and null ones match nothing.
     """
     stop = F.array(*[F.lit(w) for w in L.QUESTION_STOPWORDS])
     found = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(QUESTION_WORD), F.lit(0)))
-    q = markets.select("id", F.array_except(found(F.col("question")), stop).alias("w")).filter(F.size("w") >= 2)
+    q = markets.select("id", F.array_except(found(F.col("question")), stop).alias("w")).filter(F.size("w") >= 2).checkpoint()
     named = F.coalesce(found(F.array_join("entities", " ")), F.array().cast("array<string>"))
-    e = events.select("position", F.array_union(F.coalesce(found(F.col("headline")), F.array().cast("array<string>")), named).alias("words"), named.alias("named"))
-    held = e.select("position", F.explode("words").alias("word"))
-    common = held.groupBy("word").agg(F.count(F.lit(1)).alias("events"))
-    # a word that no event has counts as the rarest
-    ranked = q.select("id", "w", F.explode("w").alias("word")).join(common, "word", "left")
-    by_rarity = ranked.groupBy("id", "w").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("events", F.lit(0)).alias("events"), "word"))).alias("r"))
-    least = F.ceil(F.size("r") * F.lit(0.3) - F.lit(1e-9))
-    asked = by_rarity.select("id", F.explode(F.slice("r", F.lit(1), (F.size("r") - least + 1).cast("int"))).alias("r")).filter("r.events > 0").select("id", F.col("r.word").alias("word"))
-    pair = asked.join(held, "word").select("id", "position").distinct().join(q, "id").join(e, "position")
-    share = F.size(F.array_intersect("w", "words")) / F.size("w")
-    scored = pair.select("id", "position", share.alias("share"), F.size(F.array_intersect("w", "named")).alias("hits"))
-    ok = scored.filter(((F.col("hits") >= 1) & (F.col("share") >= 0.3)) | (F.col("share") >= 0.6)).withColumn("score", F.col("share") + F.col("hits") * 0.2)
-    return ok.groupBy("id").agg(F.max_by("position", F.struct("score", -F.col("position"))).alias("position"), F.max("score").alias("score"))
+    e = events.select("position", F.array_union(F.coalesce(found(F.col("headline")), F.array().cast("array<string>")), named).alias("words"), named.alias("named")).checkpoint()
+    tiles = [max(1, math.ceil(x.count() / TILE)) for x in (q, e)]
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left, right = q.withColumn("a", number("id", tiles[0])).withColumn("b", each(tiles[1])), e.withColumn("b", number("position", tiles[1])).withColumn("a", each(tiles[0]))
+    tasks = min(tiles[0] * tiles[1], TASKS)
+    left, right = (x.repartition(tasks, "a", "b").groupBy("a", "b") for x in (left, right))
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not len(x) or not len(y):
+            return pa.table({"id": x["id"].slice(0, 0), "score": pa.array([], pa.float64()), "position": y["position"].slice(0, 0)}) if x.num_columns and y.num_columns else pa.table({})
+        return _best_matches(x, y)
+
+    kind = lambda x, c: x.schema[c].dataType.simpleString()
+    best = left.cogroup(right).applyInArrow(meet, f"id {kind(markets, 'id')}, score double, position {kind(events, 'position')}")
+    return best.groupBy("id").agg(F.max_by("position", F.struct("score", -F.col("position"))).alias("position"), F.max("score").alias("score"))
 
 
 def market_view(events: DataFrame, history: DataFrame, now: DataFrame) -> DataFrame:

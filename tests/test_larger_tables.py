@@ -90,3 +90,25 @@ def test_hashes_of_a_common_vocabulary_are_compared_in_tiles(spark, monkeypatch)
             if x.bit_count() <= 9 and any((x >> 8 * b) & 255 == 0 for b in range(8)):
                 want.add((*sorted((f"d{i}", f"d{j}")), x.bit_count()))
     assert len(want) > 10_000 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_questions_meet_events_of_common_words_without_pairs(spark, monkeypatch):
+    from newsloom.operators import markets as K
+
+    monkeypatch.setattr(K, "TILE", 25, raising=False)
+    rng = random.Random(11)
+    words = ["common", "every", *[f"word{i}" for i in range(12)]]
+    some = lambda n: ["common", *rng.sample(words[1:], n)]
+    asked, told = [(f"q{i}", some(rng.randint(0, 6))) for i in range(80)], [(i, some(5), rng.sample(words, rng.randint(0, 1))) for i in range(120)]
+    q = spark.createDataFrame([(i, " ".join(w)) for i, w in asked] + [("none", None)], "id string, question string")
+    e = spark.createDataFrame([(p, " ".join(w), n) for p, w, n in told] + [(999, None, None)], "position long, headline string, entities array<string>")
+    found = K.match_events(q, e)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    want = {}
+    for i, w in asked:
+        for p, head, named in told:
+            share, hits = len({*w} & ({*head} | {*named})) / len(w), len({*w} & {*named})
+            if len(w) >= 2 and ((hits and share >= 0.3) or share >= 0.6):
+                want[i] = max(want.get(i, (0, 0)), (share + hits * 0.2, -p))
+    assert len(want) > 50 and {r.id: (r.score, -r.position) for r in found.collect()} == want
+    assert K.match_events(q.limit(0), e).count() == 0 == K.match_events(q, e.limit(0)).count()
