@@ -112,3 +112,15 @@ def test_questions_meet_events_of_common_words_without_pairs(spark, monkeypatch)
                 want[i] = max(want.get(i, (0, 0)), (share + hits * 0.2, -p))
     assert len(want) > 50 and {r.id: (r.score, -r.position) for r in found.collect()} == want
     assert K.match_events(q.limit(0), e).count() == 0 == K.match_events(q, e.limit(0)).count()
+
+
+def made_once(spark, column, part):
+    """Whether an expression has a part in one place: inside a lambda it is computed anew for each element."""
+    df = spark.createDataFrame([(["Oslo"], "A gdp tariff. ")], "e array<string>, t string")
+    return df.select(column.alias("c"))._jdf.queryExecution().analyzed().toString().count(part) == 1
+
+
+def test_a_text_is_cut_into_sentences_once(spark):
+    from newsloom.functions import text as X
+
+    assert made_once(spark, X.key_sentences("t"), "split(trim(coalesce(t")
