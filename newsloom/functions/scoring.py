@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import lexicons as L
-from .text import col, edged, text_of
+from .text import col, edged, once, text_of
 
 
 def _hits(text: Column, terms) -> Column:
     """How many of the terms the text contains."""
-    return F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t)))
+    return once(text, lambda x: F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(x, t))))
 
 
 def _any(text: Column, terms) -> Column:
-    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
+    return once(text, lambda x: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(x, t)))
 
 
 def _capped(x: Column, full: float, weight: float) -> Column:
@@ -54,13 +56,17 @@ def impact_label(score: Column | str, shift: Column | float, sources: Column | s
 
 def _best_label(entities: Column | str, text: Column | str, table: dict) -> Column:
     """Label of most keyword hits, the earlier on a tie; '' without a hit."""
-    both = F.concat(F.lower(F.array_join(col(entities), " ")), F.lit(" "), F.lower(text_of(text)))
-    scores = {label: _hits(both, terms) for label, terms in table.items()}
-    most = F.greatest(*scores.values())
-    out = F.when(most == 0, "")
-    for label, score in scores.items():
-        out = out.when(score == most, label)
-    return out
+    labels, terms = ["", *table], list(table.values())
+
+    @F.arrow_udf(T.StringType())
+    def best(texts: pa.Array) -> pa.Array:
+        out = []
+        for x in texts.to_pylist():
+            hits = [0, *(sum(t in x for t in some) for some in terms)] if x else [0]
+            out.append(labels[hits.index(max(hits))])
+        return pa.array(out, pa.string())
+
+    return best(F.concat(F.lower(F.array_join(col(entities), " ")), F.lit(" "), F.lower(text_of(text))))
 
 
 def topic(entities: Column | str, text: Column | str) -> Column:

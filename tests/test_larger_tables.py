@@ -124,3 +124,9 @@ def test_a_text_is_cut_into_sentences_once(spark):
     from newsloom.functions import text as X
 
     assert made_once(spark, X.key_sentences("t"), "split(trim(coalesce(t")
+
+
+def test_a_text_is_lowered_once_for_all_labels(spark):
+    from newsloom.functions import scoring as S
+
+    assert made_once(spark, S.topic("e", "t"), "lower(coalesce(t") and made_once(spark, S.geography("e", "t"), "lower(coalesce(t")
