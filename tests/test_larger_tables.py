@@ -130,3 +130,20 @@ def test_a_text_is_lowered_once_for_all_labels(spark):
     from newsloom.functions import scoring as S
 
     assert made_once(spark, S.topic("e", "t"), "lower(coalesce(t") and made_once(spark, S.geography("e", "t"), "lower(coalesce(t")
+
+
+@pytest.mark.parametrize("name", ["dedup_score"])
+def test_hashes_are_made_once_for_both_sides_of_a_join(spark, name):
+    assert "_majority_of_words" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_bits_of_long_and_short_texts_add_up_in_bytes():
+    import numpy as np
+
+    from newsloom.functions.similarity import _set_bits
+
+    length = np.array([1, 254, 255, 256, 510, 511, 2, 60_000])
+    bits = np.random.default_rng(1).integers(0, 2, (length.sum(), 64)).astype(np.uint8)
+    bits[300:1500] = 1
+    edge = np.concatenate(([0], np.cumsum(length)))
+    assert (_set_bits(bits.view(np.uint64), length) == [bits[i:j].sum(axis=0, dtype=np.int64) for i, j in zip(edge, edge[1:], strict=False)]).all()
