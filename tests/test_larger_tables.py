@@ -132,7 +132,7 @@ def test_a_text_is_lowered_once_for_all_labels(spark):
     assert made_once(spark, S.topic("e", "t"), "lower(coalesce(t") and made_once(spark, S.geography("e", "t"), "lower(coalesce(t")
 
 
-@pytest.mark.parametrize("name", ["dedup_score"])
+@pytest.mark.parametrize("name", ["simhash_classes", "dedup_score"])
 def test_hashes_are_made_once_for_both_sides_of_a_join(spark, name):
     assert "_majority_of_words" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
 
