@@ -161,10 +161,15 @@ def asked_buckets(vector: Column, dim: int, share: float, seed: int = SEED, cent
     return _sides(vector, dim, centre or [0.0] * dim, seed, "array<int>", of)
 
 
+def _centre(vectors: DataFrame, dim: int) -> list[float]:
+    """Mean of the vectors of that length; one number a dimension."""
+    sums = vectors.filter(F.size("embedding") == dim).select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return [r["m"] if r["m"] is not None and math.isfinite(r["m"]) else 0.0 for r in sums.orderBy("i").collect()] or [0.0] * dim
+
+
 def candidates(vectors: DataFrame, queries: DataFrame, dim: int, probe: float = PROBED, votes: int = VOTES) -> DataFrame:
     """(query_id, id): rows that VOTES tables at least hold in a bucket that the query asks; an equi-join of buckets and a count."""
-    sums = vectors.filter(F.size("embedding") == dim).select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    centre = [r["m"] if r["m"] is not None and math.isfinite(r["m"]) else 0.0 for r in sums.orderBy("i").collect()] or [0.0] * dim  # one number a dimension
+    centre = _centre(vectors, dim)
     rows = vectors.select("id", F.explode(bucket_columns(F.col("embedding"), dim, centre=centre)).alias("bucket"))
     asked = queries.select(F.col("id").alias("query_id"), F.explode(asked_buckets(F.col("embedding"), dim, probe, centre=centre)).alias("bucket"))
     met = rows.join(asked, "bucket").filter(F.col("id") != F.col("query_id"))
@@ -174,41 +179,54 @@ def candidates(vectors: DataFrame, queries: DataFrame, dim: int, probe: float =
 def nearest_lsh(vectors: DataFrame, queries: DataFrame, k: int, dim: int, probe: float = PROBED) -> DataFrame:
     """Approximate k nearest by cosine: rows that share asked buckets with the query (see candidates()), ranked exactly.
 
-    All rows are searched for a query of fewer than 3k candidates, and for every query of a table under EXACT_BELOW rows.
-    Rows without a vector take no part, nor do those of another length than `dim` among candidates.
+    A tile of rows meets a tile of queries as matrices: votes are counted and candidates scored where they are found, so that no pair is a row
+    and each query gives on its best k of a tile alone.  All rows are searched for a query of fewer than 3k candidates, and for every
+    query of a table under EXACT_BELOW rows.  Rows without a vector take no part, nor do those of another length than `dim` among candidates.
     """
     rows, asked = vectors.filter("embedding is not null").select("id", "embedding"), queries.filter("embedding is not null").select("id", "embedding")
-    pairs = candidates(rows, asked, dim, probe).checkpoint()
     size = rows.count()
-    enough = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 3 * k) & F.lit(size >= EXACT_BELOW)).select("query_id")
-    few = asked.join(enough, F.col("id") == F.col("query_id"), "left_anti")
-    # a tile of rows, each with its queries of a tile of queries, meets that tile once
+    if size < EXACT_BELOW:
+        return nearest(rows, asked, k, -2.0)
     tiles = [max(1, math.ceil(n / TILE)) for n in (size, asked.count())]
-    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    of_row = pairs.join(enough, "query_id").withColumn("b", number("query_id", tiles[1])).groupBy("id", "b").agg(F.collect_list("query_id").alias("queries"))
-    a = of_row.join(rows, "id").withColumn("a", number("id", tiles[0]))
-    b = asked.select(F.col("id").alias("name"), F.col("embedding").alias("vector")).withColumn("b", number("name", tiles[1])).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(tiles[0] - 1))))
+    centre = _centre(rows, dim)
+    a = _tiled(rows.withColumn("buckets", bucket_columns(F.col("embedding"), dim, centre=centre)).filter("buckets is not null"), "a", "b", *tiles)
+    b = _tiled(asked.withColumn("buckets", asked_buckets(F.col("embedding"), dim, probe, centre=centre)).filter("buckets is not null"), "b", "a", *tiles[::-1])
     kinds = [x.schema["id"].dataType.simpleString() for x in (asked, rows)]
 
     def score(ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        mine, other = _Side(ours["embedding"]), _Side(theirs["vector"])
-        at = {name: j for j, name in enumerate(theirs["name"].to_pylist())}
-        lists = ours["queries"].to_pylist()
-        i = np.repeat(np.arange(len(lists)), [len(q) for q in lists])
-        j = np.array([at[q] for x in lists for q in x], np.int64)
-        c = np.concatenate([mine.scores(i[n : n + (1 << 16)], other, j[n : n + (1 << 16)]) for n in range(0, len(i), 1 << 16)]) if len(i) else np.zeros(0)
-        order = np.lexsort((i, -c, j))  # the best k of each query go on; ids break ties once all meet
-        of_query, place = j[order], np.arange(len(order))
-        first = np.concatenate(([True], of_query[1:] != of_query[:-1])) if len(order) else np.zeros(0, bool)
-        starts = place[first]
-        nth = place - np.repeat(starts, np.diff(np.append(starts, len(order))))
-        least = np.repeat(c[order][np.minimum(starts + k - 1, np.append(starts[1:], len(order)) - 1)], np.diff(np.append(starts, len(order)))) if len(order) else c
-        keep = order[(nth < k) | (c[order] >= least)]
-        return pa.table({"query_id": theirs["name"].take(pa.array(j[keep], pa.int64())), "id": ours["id"].take(pa.array(i[keep], pa.int64())), "c": pa.array(c[keep])})
-
-    met = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(score, f"query_id {kinds[0]}, id {kinds[1]}, c double")
+        mine, other = _Side(ours["embedding"]), _Side(theirs["embedding"])
+        names, found = ours["id"].to_pylist(), theirs["id"].to_pylist()
+        at = {}
+        for i, name in enumerate(names):
+            at.setdefault(name, []).append(i)
+        held = np.array(ours["buckets"].to_pylist(), np.int64).reshape(-1, TABLES).T
+        asks = theirs["buckets"].to_pylist()
+        rows_, columns, values, counts = [], [], [], []
+        step = max(1, (1 << 22) // max(1, len(names)))
+        for low in range(0, len(found), step) if names else ():
+            some = np.arange(low, min(low + step, len(found)))
+            c = other.products(mine, some)
+            for q in some:
+                is_asked = np.zeros(TABLES << BITS, np.uint8)
+                is_asked[asks[q]] = 1
+                votes = sum(is_asked[h] for h in held)
+                votes[at.get(found[q], [])] = 0
+                i = np.flatnonzero(votes >= VOTES)
+                counts.append(len(i))
+                near = c[q - low, i]
+                i = i[near >= np.partition(near, -k)[-k] - CLOSE] if len(i) > k else i
+                rows_, columns = rows_ + [i], columns + [np.full(len(i), q)]
+        i, q = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (rows_, columns))
+        values = other.scores(q, mine, i)
+        take = lambda table, at: table["id"].take(pa.array(at, pa.int64()))
+        many = np.array(counts, np.int64)[q] if len(q) else np.zeros(0, np.int64)
+        return pa.table({"query_id": take(theirs, q), "id": take(ours, i), "c": pa.array(values), "a": pa.array(np.full(len(q), ours["a"][0].as_py() if len(q) else 0, np.int32)), "n": pa.array(many)})
+
+    met = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(score, f"query_id {kinds[0]}, id {kinds[1]}, c double, a int, n long").checkpoint()
+    enough = met.groupBy("query_id", "a").agg(F.max("n").alias("n")).groupBy("query_id").agg(F.sum("n").alias("n")).filter(F.col("n") >= 3 * k).select("query_id")
+    few = asked.join(enough, F.col("id") == F.col("query_id"), "left_anti")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("c").desc(), "id"))
-    near = met.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.round("c", 6).alias("similarity"))
+    near = met.join(enough, "query_id", "left_semi").withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "id", F.round("c", 6).alias("similarity"))
     return near.unionByName(nearest(rows, few, k, -2.0))
 
 

@@ -163,3 +163,21 @@ def test_near_headlines_are_no_sorted_pairs(spark):
             want[i] = near[1]
     assert 40 < len(want) < len(articles) and {r.id: r.cluster_id for r in found.collect()} == want
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_of_a_search_are_no_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from newsloom.operators import vectors as E
+
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    q, of = v.filter("id % 100 = 0"), {r.id: r.embedding for r in v.collect()}
+    want = {}
+    for r in E.candidates(v, q, 64).collect():
+        a, b = of[r.query_id], of[r.id]
+        cosine = sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+        want.setdefault(r.query_id, []).append((-round(cosine, 9), r.id))
+    monkeypatch.setattr(E, "TILE", 400)
+    monkeypatch.setattr(E, "candidates", None)
+    got = {(r.query_id, r["rank"], r.id) for r in E.nearest_lsh(v, q, 5, 64).collect()}
+    assert min(map(len, want.values())) >= 15 and got == {(i, n + 1, x[1]) for i, met in want.items() for n, x in enumerate(sorted(met)[:5])}
