@@ -135,3 +135,31 @@ def test_near_hashes_are_all_pairs(spark):
     got = [tuple(r) for r in G.near_hashes(spark.createDataFrame([(signed(h),) for h in rows], "h long")).collect()]
     want = {(signed(a), signed(b), (a ^ b).bit_count()) for a in rows for b in rows if (a ^ b).bit_count() <= 9}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_copies_make_no_scored_pairs(spark):
+    """Equal headlines meet at their key: their names bring no row for each pair; a pair that only its score joins is there."""
+    rows = [(f"{i:03}", "Harbor Council votes on the Copper Board", "words of a text", ["Harbor Council"], 100_000.0 + i) for i in range(40)]
+    rows += [("a", "", "one two three four", ["Oslo"], 100_500.0), ("b", "", "one two three four", ["Oslo"], 100_600.0), ("c", "", "one two three four", ["Oslo"], 300_000.0)]
+    none = spark.createDataFrame([], I.EVENT_KINDS + ", latest_timestamp double, source_count long")
+    nodes = G._nodes(spark.createDataFrame(rows, KINDS), none).withColumn("day", F.floor(F.col("place.ts") / G.RECENT))
+    assert [(r.place.id, r.earlier.id) for r in G.scored_pairs(nodes).collect()] == [("b", "a")]
+
+
+def test_near_hashes_of_two_days(spark):
+    rows = [(5, 0b0), (5, 0b11), (6, 0b111), (7, (1 << 12) - 1), (8, 0b1), (9, 0b1)]
+    known = spark.createDataFrame([(0b1000,), (-1,)], "h long")
+    got = {tuple(r) for r in G.near_days(spark.createDataFrame(rows, "day long, h long"), known).collect()}
+    bits = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    want = {(h, d, g, d - e, bits(h, g)) for d, h in rows for e, g in rows if d - e in (0, 1) and bits(h, g) <= 9}
+    want |= {(h, 0, g, 2, bits(h, g)) for _, h in rows for g in (0b1000, -1) if bits(h, g) <= 9}
+    assert got == want
+
+
+def test_rounds_send_no_table_through_the_driver(spark):
+    """A round's tables grow with the articles: even where all are small, none is broadcast."""
+    state = spark.createDataFrame([], "place struct<rank int, ts double, id string>, event string, key string, neutral string, h long, day long, seen double, opens boolean")
+    near = spark.createDataFrame([], "h long, day long, other long, back int, distance int")
+    pairs = spark.createDataFrame([], "place struct<rank int, ts double, id string>, earlier struct<rank int, ts double, id string>, score double")
+    plan = G._round(state, near, pairs)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
