@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,31 @@ def _combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0x2545F4914F6CDD1D)))
 
 
+def _order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the unsigned numbers x in rising order, equal ones as they come; x in that order).
+
+    Numbers are sorted with their places as last bits, several times faster than places by their numbers.  If there is no room for the
+    places, they stand for the last bits of the numbers, and where this does not give the order, which is seen, places are sorted after all.
+    """
+    bits = np.uint64(max(len(x) - 1, 1).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    room = not len(x) or int(x.max()) >> (64 - int(bits)) == 0
+    key = x << bits if room else x & ~low
+    key |= np.arange(len(x), dtype=np.uint64)
+    key.sort()
+    order = (key & low).view(np.int64)
+    if room:
+        return order, key >> bits
+    in_order = x[order]
+    if (in_order[1:] < in_order[:-1]).any():
+        order = x.argsort(kind="stable")
+        in_order = x[order]
+    return order, in_order
+
+
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct values, a place of each, index of each value among the distinct ones)."""
-    order = x.argsort()
-    sorted_ = x[order]
+    order, sorted_ = _order(x)
     new = np.ones(len(x), dtype=bool)
     new[1:] = sorted_[1:] != sorted_[:-1]
     at = np.empty(len(x), np.int64)
@@ -41,21 +63,19 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sorted_[new], order[new], at
 
 
-def _distinct_pairs(key: np.ndarray, a: np.ndarray, b: np.ndarray, check_b: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def _distinct_pairs(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a place of each distinct pair (a, b), index of each pair among the distinct ones), in the order of `key`, a number made from the pair.
 
-    Where different pairs have one key, which is seen here, the pairs of that key are sorted among themselves; without check_b, pairs of one key
-    that differ do so in a.
+    Where different pairs have one key, which is seen here, the pairs of that key are sorted among themselves.
     """
-    order = key.argsort()
-    in_order, ordered = key[order], a[order]
+    order, in_order = _order(key)
+    ordered = a[order]
     new = np.ones(len(key), dtype=bool)
     new[1:] = in_order[1:] != in_order[:-1]
     other = np.zeros(len(key), dtype=bool)
     other[1:] = ordered[1:] != ordered[:-1]
-    if check_b:
-        ordered = b[order]
-        other[1:] |= ordered[1:] != ordered[:-1]
+    ordered = b[order]
+    other[1:] |= ordered[1:] != ordered[:-1]
     other &= ~new
     first, at = order[new], np.empty(len(key), np.int64)
     at[order] = np.cumsum(new) - 1
@@ -93,18 +113,20 @@ def _with_ends(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _squeezed(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed string: of each all first bytes, then all second bytes and so on, as small numbers leave most of these zero."""
-    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes() for x in arrays if len(x)]
-    return zstandard.compress(b"".join(planes), 1)
+    """Arrays of numbers from 0 on as one compressed string: a number of bytes for each array, as many as its largest needs, then of each all first bytes, all second bytes and so on."""
+    widths = [(int(x.max()).bit_length() + 7) // 8 if len(x) else 0 for x in arrays]
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, :w].T.tobytes() for x, w in zip(arrays, widths, strict=True)]
+    return zstandard.compress(bytes(widths) + b"".join(planes), 1)
 
 
 def _spread(data: bytes, *parts: tuple[int, type]) -> list[np.ndarray]:
     """The arrays of _squeezed, given their lengths and types."""
-    raw, at, out = np.frombuffer(zstandard.decompress(data) if data else b"", np.uint8), 0, []
-    for n, kind in parts:
-        width = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
-        at += n * width
+    raw, at, out = np.frombuffer(zstandard.decompress(data) if data else bytes(len(parts)), np.uint8), len(parts), []
+    for (n, kind), w in zip(parts, raw[: len(parts)].tolist(), strict=True):
+        x = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+        x[:, :w] = raw[at : at + n * w].reshape(w, n).T
+        out.append(x.view(kind).ravel())
+        at += n * w
     return out
 
 
@@ -155,27 +177,38 @@ class Model:
 class Level:
     """Distinct n-grams of one length in a chunk, in pieces by the bucket that they are sent to."""
 
-    def __init__(self, which: np.ndarray, code: np.ndarray, context: np.ndarray | None, occ: np.ndarray | None, model: Model):
-        """`code` names the last words: whole hashes before any bucket has answered, then the numbers that buckets gave them."""
+    def __init__(
+        self, which: np.ndarray, code: np.ndarray, context: np.ndarray | Callable[[np.ndarray], np.ndarray] | None, occ: np.ndarray | None, model: Model, names: np.ndarray | None = None, bits: int = 32
+    ):
+        """`code` names the chunk's tokens: whole hashes before any bucket has answered, then the numbers that buckets gave them.
+
+        `context` has or gives the 64 bits that name the context of a token.  `names` tells the n-grams of the tokens `which` apart: a number of the
+        context, then `bits` bits for the token, which rise with its code; they are made here if they are not given.
+        """
         self.which = which
-        if context is None:
-            distinct, self.first, at = _distinct(code)
-        else:
-            # by context, then by number, which makes the numbers of a context rise
-            self.first, at = _distinct_pairs((context & np.uint64(0xFFFFFFFF00000000)) | (code.view(np.uint64) & np.uint64(0xFFFFFFFF)), context, code, bool((code >> 32).any()))
+        if names is None:
+            names = code[which] if context is None else (_distinct(context[which])[2] << 32 | _distinct(code[which].view(np.uint64))[2]).view(np.uint64)
+        distinct, self.first, self.gram = _distinct(names)
         n = len(self.first)
         part, asks = np.zeros(n, np.int32), []
         if context is None:
             bucket = (((distinct >> np.uint64(32)) * np.uint64(model.word_buckets)) >> np.uint64(32)).astype(np.int64)
             order = np.arange(n)
         else:
-            self.context, number = context[self.first], code[self.first]
-            bucket = (((self.context >> np.uint64(32)) * np.uint64(model.buckets)) >> np.uint64(32)).astype(np.int64)
-            parts = -(-occ[self.first] // model.hot)
-            hot = np.flatnonzero(parts > 1)
-            bucket[hot] = -1 - (self.context[hot] >> np.uint64(1)).astype(np.int64)
-            part[hot] = ((_combined(self.context[hot], number[hot].view(np.uint64)) >> np.uint64(32)) * parts[hot].astype(np.uint64)) >> np.uint64(32)
-            order = np.concatenate((np.flatnonzero(parts <= 1), hot[np.lexsort((number[hot], part[hot], bucket[hot]))]))
+            token = which[self.first]
+            number, occ, before = code[token], occ[token], distinct >> np.uint64(bits)
+            new = np.ones(n, dtype=bool)
+            new[1:] = before[1:] != before[:-1]
+            self.run = np.cumsum(new) - 1  # number of each one's context
+            named = context(token[new]) if callable(context) else context[token[new]]
+            bucket = (((named >> np.uint64(32)) * np.uint64(model.buckets)) >> np.uint64(32)).astype(np.int64)[self.run]
+            parts = -(-occ // model.hot)
+            hot, cold = np.flatnonzero(parts > 1), np.flatnonzero(parts <= 1)
+            named = named[self.run[hot]]
+            cold = cold[_order(bucket[cold].view(np.uint64))[0]]
+            bucket[hot] = -1 - (named >> np.uint64(1)).astype(np.int64)
+            part[hot] = ((_combined(named, number[hot].view(np.uint64)) >> np.uint64(32)) * parts[hot].astype(np.uint64)) >> np.uint64(32)
+            order = np.concatenate((cold, hot[np.lexsort((number[hot], part[hot], bucket[hot]))]))
             # a hot context's gain is the sum over all parts: parts without an n-gram of this chunk are asked too
             for b, i in zip(*np.unique(bucket[hot], return_index=True), strict=True):
                 n_parts = parts[hot[i]]
@@ -186,11 +219,11 @@ class Level:
         self.order, self.asks = order, asks
         back = np.empty(n, np.int64)
         back[order] = np.arange(n)
-        self.at = back[at]  # place of each asked token's n-gram in the order sent
+        self.at = back[self.gram]  # place of each asked token's n-gram in the order sent
 
     def runs(self, i: int, j: int) -> np.ndarray:
         """Where contexts begin among the n-grams i to j in the order sent, and j."""
-        c = self.context[self.order[i:j]]
+        c = self.run[self.order[i:j]]
         return np.append(i + np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))), j)
 
 
@@ -225,12 +258,17 @@ class Tokens:
             rank, count[i:j] = _spread(replies[0, b, 0], (j - i, np.int64), (j - i, np.int64))
             code[i:j] = rank * model.word_buckets + b
         self.code, self.count = code[words.at], count[words.at]
-        # of the model so far: each token's prediction, and the same without the token itself
+        rank = np.empty(len(code), np.int64)
+        rank[_order(code.view(np.uint64))[0]] = np.arange(len(code))
+        self.word = rank[words.at]  # words of the chunk, numbered in the order of their codes
+        self.gram = self.word  # the n-gram that ends with each token, numbered in the chunk, or -1 if it was not asked for
+        # of the model so far: each token's prediction, which scores need, or the same without the token itself, which buckets are told
         self.root = (self.count + 0.1) / self.norm
-        self.p, self.without = self.root.copy(), (np.maximum(self.count - 1, 0) + 0.1) / max(self.norm - 1, 0.1)
+        self.p = self.root.copy() if levels > model.depth else None
+        self.without = (np.maximum(self.count - 1, 0) + 0.1) / max(self.norm - 1, 0.1) if self.p is None else None
         self.known = self.count > 0
-        self.context, self.occ = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-        for length in range(1, levels + 1):
+        self.occ = np.zeros(n, np.int64)
+        for length in range(1, min(levels, model.depth) + 1):
             self._ask(length)
             if length < levels:
                 self._learn(length, replies)
@@ -238,16 +276,27 @@ class Tokens:
     def _ask(self, length: int) -> None:
         """The n-grams after contexts of `length` words that have enough occurrences."""
         n = len(self.row)
-        context, occ = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-        context[1:] = _combined(self.context[:-1] if length > 1 else np.full(max(n - 1, 0), length, np.uint64), self.code[:-1].view(np.uint64))
-        occ[1:] = self.count[:-1]
+        occ, before = np.zeros(n, np.int64), np.full(n, -1)
+        occ[1:], before[1:] = self.count[:-1], self.gram[:-1]
         has = np.zeros(n, dtype=bool)
         has[length:] = self.row[length:] == self.row[:-length]
         # a context that stands wherever its suffix stands has the same next words: nothing to tell apart
         self.same = has & (occ == self.occ) & (length > 1 and self.model.skip_equal)
-        self.context, self.occ = context, occ
-        which = np.flatnonzero(has & (occ >= self.model.least) & ~self.same)
-        self.levels.append(Level(which, self.code[which], context[which], occ[which], self.model))
+        self.occ = occ
+        # what was not asked for is rare or the same as a shorter n-gram, and so is whatever goes on from it
+        which = np.flatnonzero(has & (occ >= self.model.least) & ~self.same & (before >= 0))
+        bits = len(self.levels[0].first).bit_length()  # no more than the words need: places fit in beside
+        names = (before[which] << bits | self.word[which]).view(np.uint64)
+        self.levels.append(Level(which, self.code, lambda token: self._context(token, length), occ, self.model, names, bits))
+        self.gram = np.full(n, -1)
+        self.gram[which] = self.levels[-1].gram
+
+    def _context(self, token: np.ndarray, length: int) -> np.ndarray:
+        """64 bits that name the `length` words before each token."""
+        context = np.full(len(token), 1, np.uint64)
+        for k in range(length):
+            context = _combined(context, self.code[token - length + k].view(np.uint64))
+        return context
 
     def _learn(self, length: int, replies: dict) -> None:
         level, model = self.levels[length], self.model
@@ -272,8 +321,10 @@ class Tokens:
         kept = which[np.isfinite(weight)]
         weight = weight[np.isfinite(weight)]
         c, occ = self.count[kept], self.occ[kept]
-        self.p[kept] = (c + weight * self.p[kept]) / (occ + weight)
-        self.without[kept] = (np.maximum(c - 1, 0) + weight * self.without[kept]) / (np.maximum(occ - 1, 0) + weight)
+        if self.p is not None:
+            self.p[kept] = (c + weight * self.p[kept]) / (occ + weight)
+        else:
+            self.without[kept] = (np.maximum(c - 1, 0) + weight * self.without[kept]) / (np.maximum(occ - 1, 0) + weight)
 
     def sent(self, chunk: int, length: int) -> pa.Table:
         """Rows for the buckets: of each distinct n-gram its words, occurrences in training texts, and how its last word is predicted so far."""

@@ -9,7 +9,7 @@ window of words costs a few array operations and no Python object.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,10 +106,13 @@ class Words:
         self.space = space
         self.start = np.flatnonzero(~space & before)
         self.end = np.flatnonzero(~space & after) + 1
-        self.row = np.searchsorted(offsets, self.start, side="right") - 1
         #: words of row i are first[i] to first[i + 1]
         self.first = np.searchsorted(self.start, offsets, side="left")
 
+    @cached_property
+    def row(self) -> np.ndarray:
+        return np.searchsorted(self.offsets, self.start, side="right") - 1
+
     def hashes(self, lower: bool = False) -> np.ndarray:
         n = len(self.data)
         power, inverse = _powers(0, max(n, 1))
