@@ -181,3 +181,34 @@ def test_candidates_of_a_search_are_no_rows(spark, monkeypatch):
     monkeypatch.setattr(E, "candidates", None)
     got = {(r.query_id, r["rank"], r.id) for r in E.nearest_lsh(v, q, 5, 64).collect()}
     assert min(map(len, want.values())) >= 15 and got == {(i, n + 1, x[1]) for i, met in want.items() for n, x in enumerate(sorted(met)[:5])}
+
+
+def sent(frame):
+    """The rows that the exchanges of a frame that was run wrote."""
+
+    def below(plan):
+        inner = "executedPlan" if plan.nodeName() == "AdaptiveSparkPlan" else "plan" if plan.nodeName().endswith("QueryStage") else ""
+        if inner:
+            return below(getattr(plan, inner)())
+        n = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+        return n + sum(below(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return below(frame._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("name", ["simhash_pairs_all"])
+def test_what_is_sent_for_pairs_grows_with_the_rows(spark, tmp_path, monkeypatch, name):
+    from newsloom.operators import dedup as D
+
+    texts = [f"storm nears coast {i % 900} {i % 7}" for i in range(1200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    for attribute, value in (("TILE", 4), ("BLOCKS", 8), ("WIDEST", 100)):
+        monkeypatch.setattr(D, attribute, value, raising=False)
+    found = QUERIES[name](spark, str(tmp_path))
+    got = [tuple(r) for r in found.collect()]
+    assert len(want) > 1000 and sorted(got) == sorted(want)
+    # 1,200 rows of 300 tiles: each tile's rows once for each of 8 blocks, not of 300 tiles
+    assert sent(found) < 8 * 300 + 4 * 300 + 100
+    monkeypatch.setattr(D, "WIDEST", 5)
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want)
