@@ -196,7 +196,7 @@ def sent(frame):
     return below(frame._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize("name", ["simhash_pairs_all"])
+@pytest.mark.parametrize("name", ["simhash_pairs_all", "simhash_pairs"])
 def test_what_is_sent_for_pairs_grows_with_the_rows(spark, tmp_path, monkeypatch, name):
     from newsloom.operators import dedup as D
 
