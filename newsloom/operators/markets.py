@@ -15,6 +15,7 @@ from ..functions.scoring import clean_slug, divergence, expired, market_category
 
 QUESTION_WORD = r"(?<![\p{L}\p{N}_])[a-z][\p{L}\p{N}_]{2,}"
 TILE, TASKS = 4096, 4096  # questions or events of a tile, tasks at most
+BLOCKS, WIDEST, EVENTS = 64, 32, 16  # blocks that tiles of questions lie in, tiles of such a block at most, tiles of a block of events
 
 
 def with_flags(markets: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def volume_spikes(observations: DataFrame) -> DataFrame:
 
 
 def _best_matches(asked: pa.Table, events: pa.Table) -> pa.Table:
-    """(id, score, position) of the best event of each question that has one, of two tiles."""
+    """(id, score, position) of the best event of each question that has one, of two blocks."""
     events = events.sort_by("position")
     lists = lambda x: x.combine_chunks()
     words, named, own = lists(events["words"]), lists(events["named"]), lists(asked["w"])
@@ -85,6 +86,10 @@ def _best_matches(asked: pa.Table, events: pa.Table) -> pa.Table:
         at, code = np.repeat(np.arange(len(x)), np.asarray(x.value_lengths())), pc.index_in(x.flatten(), known).to_numpy()
         return at[np.argsort(code, kind="stable")], np.searchsorted(np.sort(code), np.arange(len(known) + 1))
 
+    def count(mine: np.ndarray, x: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        at, first = x
+        return np.bincount(np.concatenate([at[first[c] : first[c + 1]] for c in mine] or [at[:0]]), minlength=len(words))
+
     size = np.asarray(own.value_lengths())
     edge, codes = np.concatenate(([0], np.cumsum(size))), pc.fill_null(pc.index_in(own.flatten(), known), -1).to_numpy()
     by_word, by_name = index(words), index(named)
@@ -94,22 +99,26 @@ def _best_matches(asked: pa.Table, events: pa.Table) -> pa.Table:
         mine = mine[mine >= 0]
         if len(mine) < 0.3 * n - 1e-9:
             continue
-        shared, hits = (np.bincount(np.concatenate([at[first[c] : first[c + 1]] for c in mine] or [at[:0]]), minlength=len(words)) for at, first in (by_word, by_name))
-        share = shared / n
+        shared = count(mine, by_word)
+        some = np.flatnonzero(shared >= 0.3 * n - 1e-9)
+        if not len(some):
+            continue
+        share, hits = shared[some] / n, count(mine, by_name)[some]
         score = np.where(((hits >= 1) & (share >= 0.3)) | (share >= 0.6), share + hits * 0.2, -1.0)
         best = int(score.argmax())  # the first of equal ones is that of the lowest position
         if score[best] >= 0:
             found.append(i)
             scores.append(score[best])
-            places.append(best)
+            places.append(some[best])
     return pa.table({"id": asked["id"].take(pa.array(found, pa.int64())), "score": pa.array(scores, pa.float64()), "position": events["position"].take(pa.array(places, pa.int64()))})
 
 
 def match_events(markets: DataFrame, events: DataFrame) -> DataFrame:
     """Best event for each market question by shared words; entities of an event count double.
 
-    Questions and events are dealt to tiles, and each tile of questions meets each tile of events as a task: the events of a question's
-    words are counted there and the best alone is given on, so no pair is a row.  Ties go to the event of the lower position.  Questions of
+    Questions and events are dealt to blocks, and each block of questions meets each block of events as a task: the events of a question's
+    words are counted there and the best alone is given on, so no pair is a row.  A question is sent once for EVENTS * TILE events, an event BLOCKS times until
+    a block has WIDEST * TILE questions, which is all that a task holds of them.  Ties go to the event of the lower position.  Questions of
     under two words and null ones match nothing.
     """
     stop = F.array(*[F.lit(w) for w in L.QUESTION_STOPWORDS])
@@ -117,11 +126,12 @@ def match_events(markets: DataFrame, events: DataFrame) -> DataFrame:
     q = markets.select("id", F.array_except(found(F.col("question")), stop).alias("w")).filter(F.size("w") >= 2).checkpoint()
     named = F.coalesce(found(F.array_join("entities", " ")), F.array().cast("array<string>"))
     e = events.select("position", F.array_union(F.coalesce(found(F.col("headline")), F.array().cast("array<string>")), named).alias("words"), named.alias("named")).checkpoint()
-    tiles = [max(1, math.ceil(x.count() / TILE)) for x in (q, e)]
+    asked, told = (max(1, math.ceil(x.count() / TILE)) for x in (q, e))
+    blocks = [max(min(asked, BLOCKS), math.ceil(asked / WIDEST)), math.ceil(told / EVENTS)]
     number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left, right = q.withColumn("a", number("id", tiles[0])).withColumn("b", each(tiles[1])), e.withColumn("b", number("position", tiles[1])).withColumn("a", each(tiles[0]))
-    tasks = min(tiles[0] * tiles[1], TASKS)
+    left, right = q.withColumn("a", number("id", blocks[0])).withColumn("b", each(blocks[1])), e.withColumn("b", number("position", blocks[1])).withColumn("a", each(blocks[0]))
+    tasks = min(blocks[0] * blocks[1], TASKS)
     left, right = (x.repartition(tasks, "a", "b").groupBy("a", "b") for x in (left, right))
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:

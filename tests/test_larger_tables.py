@@ -271,3 +271,21 @@ def test_the_best_of_the_newest_events_of_names(spark):
         if score > 0.7:
             want[r.id] = min(want.get(r.id, (9, "")), (-score, r.cluster_id))
     assert len(want) > 20 and {r.id: r.shared for r in N._best_shared(a, b, now, 50.0).collect()} == {k: v[1] for k, v in want.items()}
+
+
+def test_what_is_sent_for_questions_grows_with_the_rows(spark, monkeypatch):
+    from newsloom.operators import markets as K
+
+    rng = random.Random(12)
+    words = ["common", "every", *[f"word{i}" for i in range(30)]]
+    q = spark.createDataFrame([(f"q{i}", " ".join(rng.sample(words, rng.randint(2, 7)))) for i in range(800)], "id string, question string")
+    e = spark.createDataFrame([(i, " ".join(rng.sample(words, 6)), rng.sample(words, rng.randint(0, 1))) for i in range(200)], "position long, headline string, entities array<string>")
+    want = sorted(map(tuple, K.match_events(q, e).collect()))
+    for attribute, value in (("TILE", 4), ("BLOCKS", 8), ("WIDEST", 25), ("EVENTS", 13)):
+        monkeypatch.setattr(K, attribute, value, raising=False)
+    found = K.match_events(q, e)
+    assert len(want) > 100 and sorted(map(tuple, found.collect())) == want
+    # 800 questions once for each of 4 blocks of events, 200 events once for each of 8 of questions, and the best; not 40,000 and 40,000
+    assert sent(found) <= 4 * 800 + 8 * 200 + 4 * 800
+    monkeypatch.setattr(K, "WIDEST", 5)
+    assert sorted(map(tuple, K.match_events(q, e).collect())) == want
