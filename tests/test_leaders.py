@@ -163,3 +163,19 @@ def test_rounds_send_no_table_through_the_driver(spark):
     pairs = spark.createDataFrame([], "place struct<rank int, ts double, id string>, earlier struct<rank int, ts double, id string>, score double")
     plan = G._round(state, near, pairs)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_disk_holds_what_one_round_shuffles(spark):
+    """Shuffles of rounds that are over are removed while the loop goes on, whether the driver needs memory or not."""
+    import time
+
+    from newsloom.session import Rounds
+
+    held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size
+    rounds, state, before = Rounds(spark), spark.range(50), held()
+    for _ in range(12):
+        state = rounds.write(state.groupBy((F.col("id") % 40).alias("id")).agg(F.count(F.lit(1)).alias("n")).select("id"))
+    end = time.time() + 20
+    while held() > before + 4 and time.time() < end:  # removed by a thread of the driver
+        time.sleep(0.2)
+    assert held() <= before + 4 and state.count() == 40
